@@ -25,9 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROOT = 0
+#: Rows whose texts a worker holds as Python strings at a time.
+ROWS = 500
 #: Entries of a memo's young half, and of the transducer's moves before it starts anew: a worker's memory stays bounded.
-PIECE_MEMO = 250_000
-STATE_MEMO = 400_000
+PIECE_MEMO = 200_000
+STATE_MEMO = 250_000
+#: A live guess is one number: the trie node below this bit, the token before it plus one above.
+NODE_BITS = 24
+NODE_MASK = (1 << NODE_BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,12 +41,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids by applying the merges to one piece, lowest rank first; the definition that the transducer compiles."""
+def merge(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 40) -> list[int]:
+    """Ids by applying the merges of ranks under ``below`` to one piece, lowest first; what the transducer compiles."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], len(ranks) + 1), i) for i in range(len(parts) - 1))
-        if rank > len(ranks):
+        rank, at = min([(ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1)])
+        if rank >= below:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return [ranks[p] for p in parts]
@@ -64,44 +69,85 @@ class MergeTransducer:
                     self.accepts.append(-1)
                 node = following
             self.accepts[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.inner = bytearray(len(self.accepts))
+        for arc in self.arcs:
+            self.inner[arc >> 8] = 1
+        self.pairs: dict[int, bool] = {}
+        self.made_of: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        """Forget the deterministic states. A state is a tuple of (trie node, token before it, output owed)."""
-        start = ((ROOT, -1, ()),)
+        """Forget the deterministic states. A state is (live guesses, output each owes or None if none does)."""
+        start = ((ROOT,), None)
         self.states, self.number, self.moves = [start], {start: 0}, {}
         self.final: list[tuple[int, ...]] = [()]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the token's last merge joined; None for a byte."""
+        known = self.made_of.get(token, 0)
+        if known == 0:
+            whole = self.token_bytes[token]
+            parts = merge(whole, self.ranks, token)
+            known = self.made_of[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return known
+
     def stable(self, before: int, token: int) -> bool:
-        known = self.pairs.get((before, token))
-        if known is None:
-            if len(self.pairs) > 4 * STATE_MEMO:
-                self.pairs.clear()
-            own = [token] if before < 0 else [before, token]
-            known = self.pairs[before, token] = merge(b"".join(self.token_bytes[t] for t in own), self.ranks) == own
+        """Whether the merges keep the boundary. ``before`` is a token plus one, 0 at the start of a piece.
+
+        Merges are undone from the last to the first on both sides of the boundary.  While two parts
+        stand next to it they would be joined across it if their merge came before ``until``, when one of
+        them is used up by its own side; of equal merges the left one comes first.
+        """
+        known = self.pairs.get(before << 20 | token)
+        if known is not None:
+            return known
+        if len(self.pairs) > STATE_MEMO:
+            self.pairs.clear()
+        if not before:
+            known = merge(self.token_bytes[token], self.ranks) == [token]
+        else:
+            left, right, until, known = before - 1, token, len(self.ranks) + 1, None
+            while known is None:
+                if self.ranks.get(self.token_bytes[left] + self.token_bytes[right], until) < until:
+                    known = False
+                    break
+                inner, outer = self.halves(left), self.halves(right)
+                if inner is None and outer is None:
+                    known = True
+                elif outer is None or (inner is not None and left > right):
+                    left, until = inner[1], left
+                else:
+                    right, until = outer[0], right + 1
+        self.pairs[before << 20 | token] = known
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live = []
-        for node, before, owed in self.states[state]:
-            node = self.arcs.get(node << 8 | byte, -1)
-            if node < 0:
+        guesses, owing = self.states[state]
+        live, owed = [], []
+        for i, guess in enumerate(guesses):
+            node = self.arcs.get((guess & NODE_MASK) << 8 | byte)
+            if node is None:
                 continue
-            live.append((node, before, owed))
+            owes = owing[i] if owing else ()
             token = self.accepts[node]
-            if token >= 0 and self.stable(before, token):
-                live.append((ROOT, token, (*owed, token)))
-        common = min((owed for _, _, owed in live), key=len)
+            if token >= 0 and self.stable(guess >> NODE_BITS, token):
+                live.append((token + 1) << NODE_BITS | ROOT)
+                owed.append((*owes, token))
+            if self.inner[node]:
+                live.append(guess & ~NODE_MASK | node)
+                owed.append(owes)
+        common = min(owed, key=len)
         n = len(common)
-        while any(owed[:n] != common[:n] for _, _, owed in live):
+        while n and any(o[:n] != common[:n] for o in owed):
             n -= 1
-        reached = tuple((node, before, owed[n:]) for node, before, owed in live)
+        if n:
+            owed = [o[n:] for o in owed]
+        reached = tuple(live), tuple(owed) if any(owed) else None
         target = self.number.get(reached)
         if target is None:
             target = self.number[reached] = len(self.states)
             self.states.append(reached)
-            self.final.append(next((owed for node, _, owed in reached if node == ROOT), ()))
+            self.final.append(next((o for g, o in zip(live, owed) if g & NODE_MASK == ROOT), ()))
         move = self.moves[state << 8 | byte] = target, common[:n]
         return move
 
@@ -212,30 +258,49 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns (id, ids_le): the token ids as little-endian unsigned 32-bit integers. No shuffle.
+def _mapped(rows: DataFrame, path: str, pattern: str, name: str, work, columns: str) -> DataFrame:
+    """``work(codec, values)`` gives the columns after the first two for each batch; no shuffle.
 
-    ``ranks_path`` must be readable on the executors, as an installed vocabulary package is.
+    ``path`` must be readable on the executors, as an installed vocabulary package is.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    names = [name, *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(path, pattern)
         for batch in batches:
-            ids = [own.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_col, "ids_le"])
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                yield pa.RecordBatch.from_arrays([part.column(0), *work(own, part.column(1).to_pylist())], names)
+
+    return rows.mapInArrow(run, f"`{name}` {rows.schema[name].dataType.simpleString()}, {columns}")
+
+
+def _encoded(own: Codec, values: list[str | None]) -> list[pa.Array]:
+    return [pa.array([own.encode(t) if t else b"" for t in values], pa.binary())]
+
+
+def _decoded(own: Codec, values: list[bytes | None]) -> list[pa.Array]:
+    return [pa.array(values, pa.binary()), pa.array([own.decode(ids) if ids else "" for ids in values], pa.string())]
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids_le binary")
+
+def _both(own: Codec, values: list[str | None]) -> list[pa.Array]:
+    return _decoded(own, _encoded(own, values)[0].to_pylist())
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Returns (id, ids_le): the token ids as little-endian unsigned 32-bit integers."""
+    return _mapped(_texts(docs, id_col, text_col), ranks_path, pattern, id_col, _encoded, "ids_le binary")
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """Takes the result of encode() and returns (id, ids_le, decoded). Null ids decode to the empty text."""
     rows = tokens.select(F.col(id_col), F.col("ids_le"))
+    return _mapped(rows, ranks_path, pattern, id_col, _decoded, "ids_le binary, decoded string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
-        for batch in batches:
-            out = [own.decode(ids) if ids else "" for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], [id_col, "ids_le", "decoded"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids_le binary, decoded string")
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass: the texts are encoded and their ids decoded by the same worker."""
+    return _mapped(_texts(docs, id_col, text_col), ranks_path, pattern, id_col, _both, "ids_le binary, decoded string")

@@ -8,17 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_counts
+from . import byte_bpe, line_rules, mixing, token_counts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def remainder(spark_id: str, modulus: int):
+    """crc32 of the id as text, modulo ``modulus``."""
+    return F.crc32(F.col(spark_id).cast("string").cast("binary")) % modulus
+
+
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_rules.line_rules(read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *line_rules.BASE, "base_failed", "kept", "n_frequent_lines", "words_left")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
-    return decoded.select(
+    return byte_bpe.round_trip(read(spark, sf_dir, "documents"), ranks, pattern).select(
         "doc_id",
         F.floor(F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids_le", 256).alias("ids_sha256"),
@@ -26,6 +35,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(read(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(
         read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -33,8 +47,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(remainder("doc_id", 4) != 2))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_byte_bpe": op3_byte_bpe, "op7_token_counts": op7_token_counts}
+    """Name -> query, by the operators' numbers."""
+    return {f.__name__: f for f in (op2_line_rules, op3_byte_bpe, op4_systematic_mix, op7_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
