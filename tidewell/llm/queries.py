@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_rules, mixing, token_counts, toxicity
+from . import byte_bpe, line_rules, mixing, token_counts, toxicity, window_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = window_dedup.window_dedup(read(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans")
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(remainder("doc_id", 4) != 2))
@@ -60,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query, by the operators' numbers."""
-    return {f.__name__: f for f in (op2_line_rules, op3_byte_bpe, op4_systematic_mix, op7_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op2_line_rules, op3_byte_bpe, op4_systematic_mix, op7_token_counts, op8_window_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
