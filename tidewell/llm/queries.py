@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_rules, mixing, token_counts, toxicity, window_dedup
+from . import backoff_lm, byte_bpe, line_rules, mixing, token_counts, toxicity, window_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(remainder("doc_id", 4) != 2))
@@ -67,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query, by the operators' numbers."""
-    return {f.__name__: f for f in (op2_line_rules, op3_byte_bpe, op4_systematic_mix, op7_token_counts, op8_window_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_line_rules, op3_byte_bpe, op4_systematic_mix, op7_token_counts, op8_window_dedup, op9_backoff_lm, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
