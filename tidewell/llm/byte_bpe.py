@@ -16,9 +16,9 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+from array import array as words
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,8 +28,8 @@ ROOT = 0
 #: Rows whose texts a worker holds as Python strings at a time.
 ROWS = 500
 #: Entries of a memo's young half, and of the transducer's moves before it starts anew: a worker's memory stays bounded.
-PIECE_MEMO = 200_000
-STATE_MEMO = 250_000
+PIECE_MEMO = 450_000
+STATE_MEMO = 500_000
 #: A live guess is one number: the trie node below this bit, the token before it plus one above.
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
@@ -219,7 +219,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = MergeTransducer(ranks)
         self.split = regex.compile(pattern).findall
-        self.memo = Memo(lambda piece: np.array(self.transducer.encode(piece.encode("utf-8")), dtype="<u4").tobytes())
+        encode = self.transducer.encode
+        self.memo = Memo(lambda piece: words("I", encode(piece.encode("utf-8"))).tobytes())
         self.bytes_of = [self.transducer.token_bytes.get(i, b"") for i in range(max(ranks.values()) + 1)]
         #: Text of the tokens that are whole characters; the others need the byte state.
         self.text_of: list[str | None] = []
@@ -235,7 +236,7 @@ class Codec:
         return b"".join([memo[piece] for piece in self.split(text)])
 
     def decode(self, ids: bytes) -> str:
-        tokens = np.frombuffer(ids, dtype="<u4").tolist()
+        tokens = words("I", ids)
         text_of = self.text_of
         try:
             return "".join([text_of[t] for t in tokens])  # no character is split between tokens
