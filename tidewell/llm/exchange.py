@@ -106,7 +106,7 @@ def ranges(keys: np.ndarray, bits: int) -> np.ndarray:
 Packed = list[tuple[int, bytes]]
 
 
-def _table(block: Iterable[int], bucket: Iterable[int], data: list[bytes]) -> pa.Table:
+def rows(block: Iterable[int], bucket: Iterable[int], data: list[bytes]) -> pa.Table:
     return pa.table({"block": pa.array(block, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
@@ -116,7 +116,7 @@ def send(docs: DataFrame, work: Callable[[int, pa.Table], Packed]) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         out = work(block, table.sort_by("id"))
-        return _table([block] * len(out), [b for b, _ in out], [d for _, d in out])
+        return rows([block] * len(out), [b for b, _ in out], [d for _, d in out])
 
     return docs.groupBy("block").applyInArrow(run, PACKED)
 
@@ -127,7 +127,7 @@ def answer(sent: DataFrame, work: Callable[[int, list[int], list[bytes]], list[b
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         bucket, blocks = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
-        return _table(blocks, [bucket] * len(blocks), work(bucket, blocks, table.column("data").to_pylist()))
+        return rows(blocks, [bucket] * len(blocks), work(bucket, blocks, table.column("data").to_pylist()))
 
     return sent.groupBy("bucket").applyInArrow(run, PACKED)
 
