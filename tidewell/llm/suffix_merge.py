@@ -320,7 +320,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             key, own_ids, sizes, string, echo = exchange.part(packed)
             keys.append(exchange.unpack(key))
             ids.append(np.frombuffer(own_ids, "<i8"))
-            at = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u4"))]).tolist()
+            at = [0, *np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()]
             strings += [string[a:b] for a, b in zip(at[:-1], at[1:])]
             ends.append(len(strings))
             echoes.append(echo)
