@@ -34,14 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import exchange
-from .textscan import buffers, chunks, mix, texts
+from .textscan import BYTE_BASE, buffers, chunks, mix, polynomial, texts
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24  # GRAM is a multiple of 8
 #: Documents that share a minimizer from which on single windows are sent.
 FREQUENT = 2_000
 #: Bits of a position beside the hash that orders minimizers; a document may have so many bytes.
 PLACE_BITS = 28
 SHARDS = 4
+#: Bytes scanned at a time: the dozen arrays of eight bytes a byte stay in the processor's cache.
+CACHED_BYTES = 1 << 17
 
 
 class Segments:
@@ -52,7 +54,7 @@ class Segments:
         self.id = table.column("id").to_numpy()
         self.offsets, self.data = buffers(self.text)
         key, start, count, row = ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
-        for i, j, offsets, data in chunks(self.text):
+        for i, j, offsets, data in chunks(self.text, CACHED_BYTES):
             if len(data) < length:
                 continue
             own = segments(offsets, data, length)
@@ -79,7 +81,10 @@ def segments(offsets: np.ndarray, data: np.ndarray, length: int) -> tuple[np.nda
     n = len(data)
     padded = np.concatenate([data, np.zeros(2 * length, dtype=np.uint8)])
     eight = np.ndarray((n + GRAM,), dtype="<u8", buffer=padded, strides=(1,)).copy()
-    gram = mix(eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(eight[8 : n + 8]))
+    gram = eight[:n]
+    for k in range(8, GRAM, 8):
+        gram = mix(gram) + eight[k : n + k] * np.uint64(0x9E3779B97F4A7C15)
+    gram = mix(gram)
     place = np.uint64((1 << PLACE_BITS) - 1)
     least = (gram & ~place) | np.arange(n, dtype=np.uint64)
     span, width = length - GRAM + 1, 1
@@ -172,15 +177,21 @@ def merge_shards(shards: list[list[bytes]], rounds: int) -> tuple[np.ndarray, np
 
     String numbers count through the shards.  Suffixes shorter than ``rounds`` are blocks of their own.
     """
+    used = np.zeros(256, dtype=bool)
+    for shard in shards:
+        used[np.frombuffer(b"".join(shard), np.uint8)] = True
+    if used.all():
+        raise ValueError("UTF-8 text never uses all 256 bytes; 0 must stay free for the ends")
+    letters = np.cumsum(used).astype(np.uint8)
     transforms, places, strings, enders = [], [], [], []
     base = 0
     for shard in shards:
         lengths = np.array([len(s) + 1 for s in shard])
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        text = np.zeros(starts[-1], dtype=np.uint16)
+        text = np.zeros(starts[-1], dtype=np.uint8)
         inside = np.ones(starts[-1], dtype=bool)
         inside[starts[1:] - 1] = False
-        text[inside] = np.frombuffer(b"".join(shard), np.uint8).astype(np.uint16) + 1
+        text[inside] = letters[np.frombuffer(b"".join(shard), np.uint8)]
         segment = np.repeat(np.arange(len(shard)), lengths)
         order = suffix_order(text, segment)
         previous = text[order - 1]
@@ -195,7 +206,7 @@ def merge_shards(shards: list[list[bytes]], rounds: int) -> tuple[np.ndarray, np
     ends = np.repeat(np.arange(len(shards), dtype=np.uint8), enders)
     interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(t) for t in transforms])
     block = np.zeros(n, dtype=np.int32)
-    merged = np.empty(n, dtype=np.uint16)
+    merged = np.empty(n, dtype=np.uint8)
     for _ in range(rounds):
         merged[np.argsort(interleave, kind="stable")] = transform
         # Stable by the byte before: the suffixes one byte longer, in order. Ends keep the shards' order.
@@ -225,6 +236,27 @@ def least_ids(strings: list[bytes], ids: np.ndarray, length: int) -> tuple[np.nd
     return string, place, least[np.cumsum(first) - 1]
 
 
+def repeated_windows(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) window of each string whose hash also stands in another place; (0, -1) if there is none.
+
+    Equal windows have equal hashes, so what is left out here is unique; what is kept is decided on bytes.
+    """
+    sizes = np.array([len(s) for s in strings])
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    room = np.repeat(offsets[1:], sizes) - np.arange(len(data))
+    at = np.flatnonzero(room >= length)
+    hashes = polynomial(data.astype(np.uint64) + np.uint64(1), at, at + length, BYTE_BASE)
+    _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    hit = at[count[back] > 1]
+    owner = np.searchsorted(offsets, hit, "right") - 1
+    first, last = np.zeros(len(strings), np.int64), np.full(len(strings), -1)
+    begin = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
+    first[owner[begin]] = (hit - offsets[owner])[begin]
+    last[owner] = hit - offsets[owner]  # of equal places the last value stays
+    return first, last
+
+
 def resolve(keys: np.ndarray, ids: np.ndarray, strings: list[bytes], length: int, pool_bytes: int = 4 << 20) -> np.ndarray:
     """For each sent string a bit for each of its windows: held by a document smaller than the sender's smallest."""
     found: dict[bytes, int] = {}
@@ -250,14 +282,20 @@ def resolve(keys: np.ndarray, ids: np.ndarray, strings: list[bytes], length: int
         if held < pool_bytes and g + 1 < len(groups):
             continue
         members = np.concatenate(pool)
-        string, place, smallest = least_ids([distinct[k] for k in members.tolist()], least[members], length)
-        string = members[string]
+        pool, held = [], 0
+        first, last = repeated_windows([distinct[k] for k in members.tolist()], length)
+        some = last >= 0
+        if not some.any():
+            continue
+        members, first, last = members[some], first[some], last[some]
+        cut = [distinct[k][a : z + length] for k, a, z in zip(members.tolist(), first.tolist(), last.tolist())]
+        string, place, smallest = least_ids(cut, least[members], length)
+        string, place = members[string], place + first[string]
         # every sender of the string compares with its own smallest id
         n = np.diff(sender_bounds)[string]
         to = senders[np.repeat(sender_bounds[string], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         hit = np.repeat(smallest, n) < ids[to]
         np.bitwise_or.at(masks, to[hit], np.uint64(1) << np.repeat(place, n)[hit].astype(np.uint64))
-        pool, held = [], 0
     return masks
 
 
@@ -311,7 +349,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if j > i or b == home:
                 sizes = np.array([len(s) for s in sent.strings[i:j]], dtype="<u4")
                 echo = zlib.compress(flags.tobytes(), 1) if b == home else b""
-                out.append((b, exchange.join([exchange.pack(sent.keys[i:j]), sent.ids[i:j].tobytes(), sizes.tobytes(), b"".join(sent.strings[i:j]), echo])))
+                out.append((b, exchange.join([exchange.pack(sent.keys[i:j]), sent.ids[i:j].tobytes(), sizes.tobytes(), zlib.compress(b"".join(sent.strings[i:j]), 1), echo])))
         return exchange.rows([block] * len(out), [b for b, _ in out], [d for _, d in out])
 
     def merge(bucket: int, blocks: list[int], data: list[bytes]) -> list[bytes]:
@@ -321,6 +359,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keys.append(exchange.unpack(key))
             ids.append(np.frombuffer(own_ids, "<i8"))
             at = [0, *np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()]
+            string = zlib.decompress(string)
             strings += [string[a:b] for a, b in zip(at[:-1], at[1:])]
             ends.append(len(strings))
             echoes.append(echo)
