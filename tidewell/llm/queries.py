@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, line_rules, mixing, suffix_merge, token_counts, toxicity, window_dedup
+from . import backoff_lm, byte_bpe, jaccard_join, line_rules, mixing, suffix_merge, token_counts, toxicity, window_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(
         read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -76,7 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query, by the operators' numbers."""
-    return {f.__name__: f for f in (op2_line_rules, op3_byte_bpe, op4_systematic_mix, op5_suffix_merge, op7_token_counts, op8_window_dedup, op9_backoff_lm, op10_toxicity)}
+    return {f.__name__: f for f in (op2_line_rules, op3_byte_bpe, op4_systematic_mix, op5_suffix_merge, op6_jaccard_join, op7_token_counts, op8_window_dedup, op9_backoff_lm, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
