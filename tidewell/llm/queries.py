@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, jaccard_join, line_rules, mixing, suffix_merge, token_counts, toxicity, window_dedup
+from . import backoff_lm, byte_bpe, jaccard_join, line_rules, mixing, suffix_merge, token_counts, toxicity, vector_dedup, window_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,10 @@ def remainder(spark_id: str, modulus: int):
     return F.crc32(F.col(spark_id).cast("string").cast("binary")) % modulus
 
 
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.line_rules(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", *line_rules.BASE, "base_failed", "kept", "n_frequent_lines", "words_left")
@@ -80,7 +84,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query, by the operators' numbers."""
-    return {f.__name__: f for f in (op2_line_rules, op3_byte_bpe, op4_systematic_mix, op5_suffix_merge, op6_jaccard_join, op7_token_counts, op8_window_dedup, op9_backoff_lm, op10_toxicity)}
+    return {f.__name__: f for f in (op1_vector_dedup, op2_line_rules, op3_byte_bpe, op4_systematic_mix, op5_suffix_merge, op6_jaccard_join, op7_token_counts, op8_window_dedup, op9_backoff_lm, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
