@@ -257,7 +257,7 @@ def repeated_windows(strings: list[bytes], length: int) -> tuple[np.ndarray, np.
     return first, last
 
 
-def resolve(keys: np.ndarray, ids: np.ndarray, strings: list[bytes], length: int, pool_bytes: int = 4 << 20) -> np.ndarray:
+def resolve(keys: np.ndarray, ids: np.ndarray, strings: list[bytes], length: int, pool_bytes: int = 1 << 20) -> np.ndarray:
     """For each sent string a bit for each of its windows: held by a document smaller than the sender's smallest."""
     found: dict[bytes, int] = {}
     number = np.array([found.setdefault(s, len(found)) for s in strings], dtype=np.int64)
@@ -317,7 +317,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Returns (id, n_bytes, n_removed, kept binary, spans array<struct<start, end>>): spans count bytes, end excluded."""
     rows, blocks, total = exchange.blocked(docs, id_col, text_col)
     bits = exchange.bucket_bits(total / 18 * 7, total / blocks / 18)
-    later = exchange.bucket_bits(total / 3, total / blocks / 50)
+    later = exchange.bucket_bits(total, total / blocks / 50, least_keys=256)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def send(block: int, table: pa.Table) -> exchange.Packed:
