@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import base64
 from array import array as words
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = 0
 #: Rows whose texts a worker holds as Python strings at a time.
@@ -259,20 +260,22 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _mapped(rows: DataFrame, path: str, pattern: str, name: str, work, columns: str) -> DataFrame:
-    """``work(codec, values)`` gives the columns after the first two for each batch; no shuffle.
+def _mapped(rows: DataFrame, path: str, pattern: str, work, columns: str) -> DataFrame:
+    """Adds ``columns``, which ``work(codec, values of the second column)`` gives for each batch; drops that column. No shuffle.
 
     ``path`` must be readable on the executors, as an installed vocabulary package is.
     """
-    names = [name, *(c.split()[0] for c in columns.split(", "))]
+    kept = [f for i, f in enumerate(rows.schema.fields) if i != 1]
+    schema = T.StructType(kept + T._parse_datatype_string(columns).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
-                yield pa.RecordBatch.from_arrays([part.column(0), *work(own, part.column(1).to_pylist())], names)
+                same = [part.column(i) for i in range(part.num_columns) if i != 1]
+                yield pa.RecordBatch.from_arrays([*same, *work(own, part.column(1).to_pylist())], schema.names)
 
-    return rows.mapInArrow(run, f"`{name}` {rows.schema[name].dataType.simpleString()}, {columns}")
+    return rows.mapInArrow(run, schema)
 
 
 def _encoded(own: Codec, values: list[str | None]) -> list[pa.Array]:
@@ -287,21 +290,22 @@ def _both(own: Codec, values: list[str | None]) -> list[pa.Array]:
     return _decoded(own, _encoded(own, values)[0].to_pylist())
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns (id, ids_le): the token ids as little-endian unsigned 32-bit integers."""
-    return _mapped(_texts(docs, id_col, text_col), ranks_path, pattern, id_col, _encoded, "ids_le binary")
+    return _mapped(_texts(docs, id_col, text_col), ranks_path, pattern, _encoded, "ids_le binary")
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """Takes the result of encode() and returns (id, ids_le, decoded). Null ids decode to the empty text."""
-    rows = tokens.select(F.col(id_col), F.col("ids_le"))
-    return _mapped(rows, ranks_path, pattern, id_col, _decoded, "ids_le binary, decoded string")
+    return _mapped(tokens.select(F.col(id_col), F.col("ids_le")), ranks_path, pattern, _decoded, "ids_le binary, decoded string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """decode(encode(docs)) in one pass: the texts are encoded and their ids decoded by the same worker."""
-    return _mapped(_texts(docs, id_col, text_col), ranks_path, pattern, id_col, _both, "ids_le binary, decoded string")
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """decode(encode(docs)) in one pass, the columns in ``carry`` after the id: one worker encodes the texts and decodes their ids."""
+    return _mapped(_texts(docs, id_col, text_col, carry), ranks_path, pattern, _both, "ids_le binary, decoded string")

@@ -12,7 +12,7 @@ once by block and that exchange is used again in later steps of the same plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,17 @@ LAST_ID = (1 << 63) - 1
 PACKED = "block int, bucket int, data binary"
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
-    """(documents as (id long, text, block), number of blocks, bytes of text).
+def blocked(
+    docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = (), block_bytes: int = BLOCK_BYTES
+) -> tuple[DataFrame, int, int]:
+    """(documents as (id long, text, carry struct if any, block), number of blocks, bytes of text).
 
     Bytes are counted for ID_SLICES equal slices of the id range (a bounded result), and slices are
     joined to blocks of about ``block_bytes``; one id is always in one block.
     """
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []),
     )
     low, high = rows.where(F.col("id") != LAST_ID).agg(F.min("id"), F.max("id")).first()
     if low is None:

@@ -90,19 +90,19 @@ def plan(
         [(r["source"], r["class"], -(-r["n"] // CELL_ROWS), *aim[r["source"]]) for r in classes],
         "source string, class int, slices int, source_size long, target double",
     )
-    same = [sized["source"].eqNullSafe(aims["source"]), sized["class"] == aims["class"]]
-    placed = sized.join(F.broadcast(aims), same).drop(aims["source"], aims["class"]).withColumn(
+    # One non-null key for a source, so that the window and the join below deal rows out alike, once.
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")
+    sized = sized.withColumn("key", key)
+    placed = sized.join(F.broadcast(aims.select(key, "class", "slices", "source_size", "target")), ["key", "class"]).withColumn(
         "slice", F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.col("slices")).cast("int")
     )
-    cell = ["source", "class", "slice"]
+    cell = ["key", "class", "slice"]
     counts = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn(
-        "before", F.sum("n").over(Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1))
+        "before", F.sum("n").over(Window.partitionBy("key").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1))
     ).select(*cell, F.coalesce("before", F.lit(0)).alias("before"))
     inside = Window.partitionBy(*cell).orderBy("size", F.xxhash64(F.col(id_col), F.lit(SEED + 1)), id_col)
-    ranked = placed.withColumn("place", F.row_number().over(inside))
-    same = [ranked[c].eqNullSafe(before[c]) for c in cell]
-    joined = ranked.join(before, same).select(ranked["*"], before["before"])
+    joined = placed.withColumn("place", F.row_number().over(inside)).join(before, cell)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     upto = F.col("before") + F.col("place")

@@ -15,9 +15,12 @@ the two named are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import exchange
 from .textscan import CHECK_BASE, WORD_BASE, Words, buffers, chunks, texts, windows
@@ -25,6 +28,7 @@ from .textscan import CHECK_BASE, WORD_BASE, Words, buffers, chunks, texts, wind
 SIZE = 13
 #: Second hash: so many bytes of another polynomial besides the 64-bit key.
 CHECK = "<u2"
+RESULT = "id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
 
 
 class Block:
@@ -127,9 +131,12 @@ def kept_texts(own: Block, gone: np.ndarray) -> tuple[list[str], np.ndarray]:
     return out, removed
 
 
-def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """Returns (id, n_words, n_removed, kept_text, spans array<struct<start, end>>): spans count words, end excluded."""
-    rows, blocks, total = exchange.blocked(docs, id_col, text_col)
+def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, carry: Sequence[str] = ()) -> DataFrame:
+    """Returns (id, n_words, n_removed, kept_text, spans array<struct<start, end>>): spans count words, end excluded.
+
+    Columns named in ``carry`` come back in a last column ``carry``, a struct.
+    """
+    rows, blocks, total = exchange.blocked(docs, id_col, text_col, carry)
     bits = exchange.bucket_bits(total / 6 * 8, total / blocks / 6)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
@@ -151,11 +158,12 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bounds = np.searchsorted(own.row[begins] if len(begins) else begins, np.arange(len(own.id) + 1)).astype(np.int32)
         return pa.table(
             {
-                id_col: exchange.ids(table), "n_words": pa.array(own.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+                "id": exchange.ids(table), "n_words": pa.array(own.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                 "kept_text": pa.array(kept, pa.string()), "spans": pa.ListArray.from_arrays(pa.array(bounds), spans),
             }
+            | ({"carry": table.column("carry")} if carry else {})
         )
 
     answers = exchange.answer(exchange.send(rows, send_windows(size, bits)), seen_earlier)
-    schema = f"`{id_col}` long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
-    return exchange.finish(rows, answers, cut_out, schema)
+    schema = T.StructType(T._parse_datatype_string(RESULT).fields + ([rows.schema["carry"]] if carry else []))
+    return exchange.finish(rows, answers, cut_out, schema).withColumnRenamed("id", id_col)
