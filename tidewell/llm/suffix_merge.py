@@ -42,6 +42,8 @@ FREQUENT = 2_000
 #: Bits of a position beside the hash that orders minimizers; a document may have so many bytes.
 PLACE_BITS = 28
 SHARDS = 4
+#: Smaller than usual: besides the text a block holds the strings that it shares.
+BLOCK_BYTES = 4 << 20
 #: Bytes scanned at a time: the dozen arrays of eight bytes a byte stay in the processor's cache.
 CACHED_BYTES = 1 << 17
 
@@ -315,7 +317,7 @@ def shared(bucket: int, blocks: list[int], data: list[bytes]) -> list[bytes]:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Returns (id, n_bytes, n_removed, kept binary, spans array<struct<start, end>>): spans count bytes, end excluded."""
-    rows, blocks, total = exchange.blocked(docs, id_col, text_col)
+    rows, blocks, total = exchange.blocked(docs, id_col, text_col, block_bytes=BLOCK_BYTES)
     bits = exchange.bucket_bits(total / 18 * 7, total / blocks / 18)
     later = exchange.bucket_bits(total, total / blocks / 50, least_keys=256)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
