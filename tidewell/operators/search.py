@@ -68,17 +68,17 @@ def stemmed(words: pd.Series) -> pd.Series:
     return words.map(lambda row: None if row is None else [one(w) for w in row])
 
 
-def occurrences(words: Column, clause: list[str]) -> Column:
-    """How often the clause stands in the tokens, as a phrase of adjacent ones."""
+def spaced(words: Column) -> Column:
+    """Tokens as one text with a space before and after each."""
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+def occurrences(line: Column, clause: list[str]) -> Column:
+    """How often the clause stands in a spaced line, as a phrase of adjacent tokens; overlaps count."""
     if not clause:
         return F.lit(0)
-    if len(clause) == 1:
-        return F.size(F.filter(words, lambda w: w == clause[0]))
-    phrase = F.array(*[F.lit(c) for c in clause])
-    starts = F.sequence(F.lit(1), F.size(words) - F.lit(len(clause) - 1))
-    here = F.size(F.filter(starts, lambda i: F.slice(words, i, len(clause)) == phrase))
-    held = reduce(lambda a, b: a & b, [F.array_contains(words, c) for c in set(clause)])
-    return F.when(held & (F.size(words) >= len(clause)), here).otherwise(0)
+    after = "".join(f" {t}" for t in clause[1:])
+    return F.regexp_count(line, F.lit(f"(?<= ){clause[0]}(?={after} )"))
 
 
 def match(posts: DataFrame, clauses: Clauses, stems: bool = False) -> DataFrame:
@@ -86,12 +86,13 @@ def match(posts: DataFrame, clauses: Clauses, stems: bool = False) -> DataFrame:
 
     The statistics are those of all posts given, not only of the eligible ones.
     """
-    words = token_column(F.col("text"))
     if stems:
-        words, clauses = stemmed(words), [[stem(t) for t in c] for c in clauses]
-    counted = posts.select("canonical_id", words.alias("words")).select(
-        "canonical_id", F.size("words").alias("n"), *[occurrences(F.col("words"), c).alias(f"f{i}") for i, c in enumerate(clauses)]
-    )
+        words, clauses = stemmed(token_column(F.col("text"))), [[stem(t) for t in c] for c in clauses]
+        lines = posts.select("canonical_id", words.alias("words")).select("canonical_id", spaced(F.col("words")).alias("line"), F.size("words").alias("n"))
+    else:  # without an array of tokens: everything else becomes a space
+        line = F.regexp_replace(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
+        lines = posts.select("canonical_id", line.alias("line"), (F.length(line) - F.length(F.replace(line, F.lit(" "))) - 1).alias("n"))
+    counted = lines.select("canonical_id", "n", *[occurrences(F.col("line"), c).alias(f"f{i}") for i, c in enumerate(clauses)])
     stats = counted.agg(
         F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(clauses))]
     )
@@ -110,6 +111,10 @@ def score(clauses: int) -> Column:
     return -total
 
 
+def _minus(k: int):
+    return lambda p: p - k
+
+
 class Postings:
     """An inverted index: (term, canonical_id, positions), and (canonical_id, n) of all posts.
 
@@ -136,6 +141,6 @@ class Postings:
         """(canonical_id, f): positions of the phrase's start, by intersecting shifted positions."""
         rows = self.terms.where(F.col("term") == (clause[0] if clause else "")).select("canonical_id", "positions")
         for k, term in enumerate(clause[1:], 1):
-            other = self.terms.where(F.col("term") == term).select("canonical_id", F.transform("positions", lambda p, k=k: p - k).alias("shifted"))
+            other = self.terms.where(F.col("term") == term).select("canonical_id", F.transform("positions", _minus(k)).alias("shifted"))
             rows = rows.join(other, "canonical_id").select("canonical_id", F.array_intersect("positions", "shifted").alias("positions"))
         return rows.select("canonical_id", F.size("positions").alias("f")).where("f > 0")
