@@ -29,8 +29,8 @@ ROOT = 0
 #: Rows whose texts a worker holds as Python strings at a time.
 ROWS = 500
 #: Entries of a memo's young half, and of the transducer's moves before it starts anew: a worker's memory stays bounded.
-PIECE_MEMO = 450_000
-STATE_MEMO = 500_000
+PIECE_MEMO = 300_000
+STATE_MEMO = 250_000
 #: A live guess is one number: the trie node below this bit, the token before it plus one above.
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
@@ -231,6 +231,12 @@ class Codec:
             except UnicodeDecodeError:
                 self.text_of.append(None)
 
+    def rest(self) -> None:
+        """Give back what the next task can do without; workers are used again, also for other operators."""
+        self.memo.old = {}
+        self.transducer.pairs.clear()
+        self.transducer.reset()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         memo = self.memo
@@ -274,6 +280,7 @@ def _mapped(rows: DataFrame, path: str, pattern: str, work, columns: str) -> Dat
             for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
                 same = [part.column(i) for i in range(part.num_columns) if i != 1]
                 yield pa.RecordBatch.from_arrays([*same, *work(own, part.column(1).to_pylist())], schema.names)
+        own.rest()
 
     return rows.mapInArrow(run, schema)
 
