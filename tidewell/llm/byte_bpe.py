@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 from array import array as words
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -25,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import settle
+
 ROOT = 0
 #: Rows whose texts a worker holds as Python strings at a time.
 ROWS = 500
 #: Entries of a memo's young half, and of the transducer's moves before it starts anew: a worker's memory stays bounded.
 PIECE_MEMO = 300_000
 STATE_MEMO = 250_000
+#: Pieces that stay from one task to the next.
+KEPT_PIECES = 60_000
 #: A live guess is one number: the trie node below this bit, the token before it plus one above.
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
@@ -232,10 +237,17 @@ class Codec:
                 self.text_of.append(None)
 
     def rest(self) -> None:
-        """Give back what the next task can do without; workers are used again, also for other operators."""
+        """Give back what the next task can do without; workers are used again, also for other operators.
+
+        The pieces met first stay: they are the frequent ones.
+        """
+        kept = list(islice(self.memo.items(), KEPT_PIECES))
+        self.memo.clear()
         self.memo.old = {}
+        self.memo.update(kept)
         self.transducer.pairs.clear()
         self.transducer.reset()
+        settle()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 #: Bytes of text that a block aims at.
 BLOCK_BYTES = 6 << 20
 #: Fixed number of equal slices of the id range from which blocks are put together.
@@ -113,13 +115,18 @@ def rows(block: Iterable[int], bucket: Iterable[int], data: list[bytes]) -> pa.T
     return pa.table({"block": pa.array(block, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
+def _settled(table: pa.Table) -> pa.Table:
+    settle()
+    return table
+
+
 def send(docs: DataFrame, work: Callable[[int, pa.Table], Packed]) -> DataFrame:
     """``work(block, its documents in order of id)`` gives (bucket, data)."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         out = work(block, table.sort_by("id"))
-        return rows([block] * len(out), [b for b, _ in out], [d for _, d in out])
+        return _settled(rows([block] * len(out), [b for b, _ in out], [d for _, d in out]))
 
     return docs.groupBy("block").applyInArrow(run, PACKED)
 
@@ -130,7 +137,7 @@ def answer(sent: DataFrame, work: Callable[[int, list[int], list[bytes]], list[b
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         bucket, blocks = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
-        return rows(blocks, [bucket] * len(blocks), work(bucket, blocks, table.column("data").to_pylist()))
+        return _settled(rows(blocks, [bucket] * len(blocks), work(bucket, blocks, table.column("data").to_pylist())))
 
     return sent.groupBy("bucket").applyInArrow(run, PACKED)
 
@@ -141,7 +148,7 @@ def finish(docs: DataFrame, answers: DataFrame, work: Callable[[int, pa.Table, d
         if not left.num_rows:
             return work(-1, left, {})
         got = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist())) if right.num_rows else {}
-        return work(left.column("block")[0].as_py(), left.sort_by("id"), got)
+        return _settled(work(left.column("block")[0].as_py(), left.sort_by("id"), got))
 
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

@@ -1,10 +1,13 @@
-"""What several operators of this subpackage share: checkpoints and shipping of the package to executors."""
+"""What several operators of this subpackage share: checkpoints, and memory that workers give back."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle() -> None:
+    """Give freed memory back to the system: Python workers idle beside the next stage's, and an executor's memory is one sum."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import Memo
+from .shared import settle
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in such files: printable bytes for themselves, the rest from U+0100 on."""
@@ -103,5 +104,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             out = [count(t) if t else 0 for t in batch.column(1).to_pylist()]
             sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(out, pa.int64())], [id_col, "n_bytes", "n_tokens"])
+        _counters[path, pattern].more.old = {}
+        settle()
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long")
