@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 from array import array as words
 from collections.abc import Iterator, Sequence
-from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -26,16 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import settle
+from .shared import Idle
 
 ROOT = 0
 #: Rows whose texts a worker holds as Python strings at a time.
 ROWS = 500
 #: Entries of a memo's young half, and of the transducer's moves before it starts anew: a worker's memory stays bounded.
-PIECE_MEMO = 300_000
-STATE_MEMO = 250_000
-#: Pieces that stay from one task to the next.
-KEPT_PIECES = 60_000
+PIECE_MEMO = 200_000
+STATE_MEMO = 200_000
 #: A live guess is one number: the trie node below this bit, the token before it plus one above.
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
@@ -79,7 +76,7 @@ class MergeTransducer:
         for arc in self.arcs:
             self.inner[arc >> 8] = 1
         self.pairs: dict[int, bool] = {}
-        self.made_of: dict[int, tuple[int, int] | None] = {}
+        self.undo()
         self.reset()
 
     def reset(self) -> None:
@@ -88,14 +85,14 @@ class MergeTransducer:
         self.states, self.number, self.moves = [start], {start: 0}, {}
         self.final: list[tuple[int, ...]] = [()]
 
-    def halves(self, token: int) -> tuple[int, int] | None:
-        """The two tokens that the token's last merge joined; None for a byte."""
-        known = self.made_of.get(token, 0)
-        if known == 0:
-            whole = self.token_bytes[token]
+    def undo(self) -> None:
+        """The two tokens that each token's last merge joined; -1 for bytes and for what no merge makes."""
+        size = max(self.token_bytes) + 1
+        self.left_of, self.right_of = words("i", [-1]) * size, words("i", [-1]) * size
+        for token, whole in self.token_bytes.items():
             parts = merge(whole, self.ranks, token)
-            known = self.made_of[token] = (parts[0], parts[1]) if len(parts) == 2 else None
-        return known
+            if len(parts) == 2:
+                self.left_of[token], self.right_of[token] = parts
 
     def stable(self, before: int, token: int) -> bool:
         """Whether the merges keep the boundary. ``before`` is a token plus one, 0 at the start of a piece.
@@ -104,57 +101,65 @@ class MergeTransducer:
         stand next to it they would be joined across it if their merge came before ``until``, when one of
         them is used up by its own side; of equal merges the left one comes first.
         """
-        known = self.pairs.get(before << 20 | token)
-        if known is not None:
-            return known
         if len(self.pairs) > STATE_MEMO:
             self.pairs.clear()
         if not before:
             known = merge(self.token_bytes[token], self.ranks) == [token]
         else:
-            left, right, until, known = before - 1, token, len(self.ranks) + 1, None
-            while known is None:
-                if self.ranks.get(self.token_bytes[left] + self.token_bytes[right], until) < until:
+            ranks, whole, left_of, right_of = self.ranks, self.token_bytes, self.left_of, self.right_of
+            left, right, until = before - 1, token, len(self.ranks) + 1
+            while True:
+                if ranks.get(whole[left] + whole[right], until) < until:
                     known = False
                     break
-                inner, outer = self.halves(left), self.halves(right)
-                if inner is None and outer is None:
-                    known = True
-                elif outer is None or (inner is not None and left > right):
-                    left, until = inner[1], left
+                inner, outer = right_of[left], left_of[right]
+                if inner >= 0 and (outer < 0 or left > right):
+                    left, until = inner, left
+                elif outer >= 0:
+                    right, until = outer, right + 1
                 else:
-                    right, until = outer[0], right + 1
+                    known = True
+                    break
         self.pairs[before << 20 | token] = known
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         guesses, owing = self.states[state]
-        live, owed = [], []
+        arcs, accepts, inner, pairs = self.arcs, self.accepts, self.inner, self.pairs
+        live, owed, end, n = [], [], (), 0
         for i, guess in enumerate(guesses):
-            node = self.arcs.get((guess & NODE_MASK) << 8 | byte)
+            node = arcs.get((guess & NODE_MASK) << 8 | byte)
             if node is None:
                 continue
-            owes = owing[i] if owing else ()
-            token = self.accepts[node]
-            if token >= 0 and self.stable(guess >> NODE_BITS, token):
-                live.append((token + 1) << NODE_BITS | ROOT)
-                owed.append((*owes, token))
-            if self.inner[node]:
+            token = accepts[node]
+            if token >= 0:
+                before = guess >> NODE_BITS
+                fits = pairs.get(before << 20 | token)
+                if fits or (fits is None and self.stable(before, token)):
+                    end = (*owing[i], token) if owing else (token,)
+                    live.append((token + 1) << NODE_BITS | ROOT)
+                    owed.append(end)
+            if inner[node]:
                 live.append(guess & ~NODE_MASK | node)
-                owed.append(owes)
-        common = min(owed, key=len)
-        n = len(common)
-        while n and any(o[:n] != common[:n] for o in owed):
-            n -= 1
+                owed.append(owing[i] if owing else ())
+        if len(live) == 1:
+            n = len(owed[0])
+        elif owing:  # else somebody owes nothing yet
+            common = min(owed, key=len)
+            n = len(common)
+            while n and any([o[:n] != common[:n] for o in owed]):
+                n -= 1
+        out = owed[0][:n]
         if n:
             owed = [o[n:] for o in owed]
+            end = end[n:]
         reached = tuple(live), tuple(owed) if any(owed) else None
         target = self.number.get(reached)
         if target is None:
             target = self.number[reached] = len(self.states)
             self.states.append(reached)
-            self.final.append(next((o for g, o in zip(live, owed) if g & NODE_MASK == ROOT), ()))
-        move = self.moves[state << 8 | byte] = target, common[:n]
+            self.final.append(end)
+        move = self.moves[state << 8 | byte] = target, out
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -237,17 +242,11 @@ class Codec:
                 self.text_of.append(None)
 
     def rest(self) -> None:
-        """Give back what the next task can do without; workers are used again, also for other operators.
-
-        The pieces met first stay: they are the frequent ones.
-        """
-        kept = list(islice(self.memo.items(), KEPT_PIECES))
+        """Forget what was worked out."""
         self.memo.clear()
         self.memo.old = {}
-        self.memo.update(kept)
         self.transducer.pairs.clear()
         self.transducer.reset()
-        settle()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -269,6 +268,11 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+_idle = Idle(lambda: [own.rest() for own in _codecs.values()])
+
+
+def busy():
+    return _idle.busy()
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -287,12 +291,15 @@ def _mapped(rows: DataFrame, path: str, pattern: str, work, columns: str) -> Dat
     schema = T.StructType(kept + T._parse_datatype_string(columns).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with busy():
+            yield from coded(batches)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
                 same = [part.column(i) for i in range(part.num_columns) if i != 1]
                 yield pa.RecordBatch.from_arrays([*same, *work(own, part.column(1).to_pylist())], schema.names)
-        own.rest()
 
     return rows.mapInArrow(run, schema)
 

@@ -6,6 +6,9 @@ import ctypes
 import gc
 import os
 import tempfile
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +37,40 @@ def settle() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # not glibc
         pass
+
+
+class Idle:
+    """Keeps a worker's memos from one task to the next, and drops them once no task has come for a while.
+
+    While a task runs, the cycle collector is off: memos are many small objects without cycles.
+    """
+
+    def __init__(self, release: Callable[[], object], seconds: float = 1.5):
+        self.release, self.seconds = release, seconds
+        self.lock, self.tasks, self.timer = threading.Lock(), 0, None
+
+    @contextmanager
+    def busy(self) -> Iterator[None]:
+        with self.lock:
+            self.tasks += 1
+            if self.timer:
+                self.timer.cancel()
+        gc.disable()
+        try:
+            yield
+        finally:
+            gc.enable()
+            with self.lock:
+                self.tasks -= 1
+                self.timer = threading.Timer(self.seconds, self._drop)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def _drop(self) -> None:
+        with self.lock:
+            if not self.tasks:
+                self.release()
+                settle()
+
+    def __reduce__(self):
+        raise TypeError("belongs to one process")

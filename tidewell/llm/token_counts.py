@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import Memo
-from .shared import settle
+from .shared import Idle
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in such files: printable bytes for themselves, the rest from U+0100 on."""
@@ -88,6 +88,18 @@ class Counter:
 
 
 _counters: dict[tuple[str, str], Counter] = {}
+_idle = Idle(lambda: [(c.more.clear(), c.more.old.clear()) for c in _counters.values()])
+
+
+def busy():
+    return _idle.busy()
+
+
+def counter(path: str, pattern: str, whole: frozenset[str]) -> Counter:
+    """One counter a worker; its memo serves all the worker's tasks."""
+    if (path, pattern) not in _counters:
+        _counters[path, pattern] = Counter(path, pattern, whole)
+    return _counters[path, pattern]
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,14 +109,14 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, pattern) not in _counters:
-            _counters[path, pattern] = Counter(path, pattern, proven.value)
-        count = _counters[path, pattern].count
+        with busy():
+            yield from counted(batches)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path, pattern, proven.value).count
         for batch in batches:
             out = [count(t) if t else 0 for t in batch.column(1).to_pylist()]
             sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(out, pa.int64())], [id_col, "n_bytes", "n_tokens"])
-        _counters[path, pattern].more.old = {}
-        settle()
 
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long")
