@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, jaccard_join, line_rules, mixing, suffix_merge, token_counts, toxicity, vector_dedup, window_dedup
+from . import backoff_lm, byte_bpe, jaccard_join, line_rules, mixing, oracles, suffix_merge, token_counts, toxicity, vector_dedup, window_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = window_dedup.window_dedup(read(spark, sf_dir, "documents"))
     return cleaned.select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans")
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
     )
 
 
@@ -88,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
