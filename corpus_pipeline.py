@@ -22,6 +22,9 @@ from tidewell.llm import byte_bpe, jaccard_join, mixing, toxicity, window_dedup
 from tidewell.llm.queries import read, remainder
 from tidewell.llm.shared import cut
 
+#: Smaller than for the operator alone: the executors have run the other stages before.
+BPE_MEMO = 100_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -54,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     texts = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))
-    return byte_bpe.round_trip(texts, ranks, pattern, carry=["lang", "source", "n_chars", "text_hash"]).select(
+    return byte_bpe.round_trip(texts, ranks, pattern, carry=["lang", "source", "n_chars", "text_hash"], memo=BPE_MEMO).select(
         "doc_id", "lang", "source", "n_chars",
         F.floor(F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"),
         "ids_le", (F.xxhash64("decoded") == F.col("text_hash")).alias("decodes"),

@@ -30,9 +30,9 @@ from .shared import Idle
 ROOT = 0
 #: Rows whose texts a worker holds as Python strings at a time.
 ROWS = 500
-#: Entries of a memo's young half, and of the transducer's moves before it starts anew: a worker's memory stays bounded.
-PIECE_MEMO = 200_000
-STATE_MEMO = 200_000
+#: Entries of a memo's young half, and of the transducer's moves before it starts anew: a worker's memory stays
+#: bounded, at about 1.2 KB for each.
+MEMO = 200_000
 #: A live guess is one number: the trie node below this bit, the token before it plus one above.
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
@@ -58,8 +58,8 @@ def merge(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 40) -> list[i
 class MergeTransducer:
     """Deterministic states are built when first reached. ``encode`` runs one piece through them."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], memo: int = MEMO):
+        self.ranks, self.memo = ranks, memo
         self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.arcs: dict[int, int] = {}
         self.accepts: list[int] = [-1]
@@ -101,7 +101,7 @@ class MergeTransducer:
         stand next to it they would be joined across it if their merge came before ``until``, when one of
         them is used up by its own side; of equal merges the left one comes first.
         """
-        if len(self.pairs) > STATE_MEMO:
+        if len(self.pairs) > self.memo:
             self.pairs.clear()
         if not before:
             known = merge(self.token_bytes[token], self.ranks) == [token]
@@ -163,7 +163,7 @@ class MergeTransducer:
         return move
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.moves) > STATE_MEMO:
+        if len(self.moves) > self.memo:
             self.reset()
         state, out, moves = 0, [], self.moves
         for byte in piece:
@@ -209,7 +209,7 @@ class Utf8Stream:
 class Memo(dict):
     """Two generations: when the young one is full it becomes the old one; what is used again moves back."""
 
-    def __init__(self, make, limit: int = PIECE_MEMO):
+    def __init__(self, make, limit: int = MEMO):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -227,11 +227,11 @@ class Memo(dict):
 class Codec:
     """Whole texts to ids and back. Each match of ``pattern`` is encoded separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = MergeTransducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
+        self.transducer = MergeTransducer(ranks, memo)
         self.split = regex.compile(pattern).findall
         encode = self.transducer.encode
-        self.memo = Memo(lambda piece: words("I", encode(piece.encode("utf-8"))).tobytes())
+        self.memo = Memo(lambda piece: words("I", encode(piece.encode("utf-8"))).tobytes(), memo)
         self.bytes_of = [self.transducer.token_bytes.get(i, b"") for i in range(max(ranks.values()) + 1)]
         #: Text of the tokens that are whole characters; the others need the byte state.
         self.text_of: list[str | None] = []
@@ -267,7 +267,7 @@ class Codec:
         return "".join(out) + stream.close()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 _idle = Idle(lambda: [own.rest() for own in _codecs.values()])
 
 
@@ -275,14 +275,14 @@ def busy():
     return _idle.busy()
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, memo: int) -> Codec:
     """One codec a worker; its memos serve all the worker's tasks."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+    if (path, pattern, memo) not in _codecs:
+        _codecs[path, pattern, memo] = Codec(read_ranks(path), pattern, memo)
+    return _codecs[path, pattern, memo]
 
 
-def _mapped(rows: DataFrame, path: str, pattern: str, work, columns: str) -> DataFrame:
+def _mapped(rows: DataFrame, path: str, pattern: str, work, columns: str, memo: int = MEMO) -> DataFrame:
     """Adds ``columns``, which ``work(codec, values of the second column)`` gives for each batch; drops that column. No shuffle.
 
     ``path`` must be readable on the executors, as an installed vocabulary package is.
@@ -295,7 +295,7 @@ def _mapped(rows: DataFrame, path: str, pattern: str, work, columns: str) -> Dat
             yield from coded(batches)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, memo)
         for batch in batches:
             for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
                 same = [part.column(i) for i in range(part.num_columns) if i != 1]
@@ -331,7 +331,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
 
 def round_trip(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), memo: int = MEMO
 ) -> DataFrame:
     """decode(encode(docs)) in one pass, the columns in ``carry`` after the id: one worker encodes the texts and decodes their ids."""
-    return _mapped(_texts(docs, id_col, text_col, carry), ranks_path, pattern, _both, "ids_le binary, decoded string")
+    return _mapped(_texts(docs, id_col, text_col, carry), ranks_path, pattern, _both, "ids_le binary, decoded string", memo)

@@ -308,7 +308,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = shingled(docs, id_col, text_col, size, percent)
     able = base.where("set is not null and id is not null")
     alike = able.groupBy("lo", "hi").agg(F.min("id").alias("rep"))
-    members = able.select("id", "lo", "hi").join(alike, ["lo", "hi"]).select("id", "rep").distinct()
+    members = able.select("id", "lo", "hi").distinct().join(alike, ["lo", "hi"]).select("id", "rep")  # no more work on its rows, so AQE can split hot sets
     distinct = cut(able.join(alike.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "regions", "set"))
 
     regions = distinct.select("rep", F.explode("regions").alias("s"))

@@ -24,9 +24,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Shuffle files go when the driver collects its garbage, so it is asked to: what earlier steps left
+    would else stay on the executors' disks.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return kept
 
 
 def settle() -> None:

@@ -43,7 +43,7 @@ FREQUENT = 2_000
 PLACE_BITS = 28
 SHARDS = 4
 #: Smaller than usual: besides the text a block holds the strings that it shares.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Bytes scanned at a time: the dozen arrays of eight bytes a byte stay in the processor's cache.
 CACHED_BYTES = 1 << 17
 
