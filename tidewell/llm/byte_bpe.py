@@ -32,7 +32,7 @@ ROOT = 0
 ROWS = 500
 #: Entries of a memo's young half, and of the transducer's moves before it starts anew: a worker's memory stays
 #: bounded, at about 1.2 KB for each.
-MEMO = 200_000
+MEMO = 450_000
 #: A live guess is one number: the trie node below this bit, the token before it plus one above.
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
