@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import aggregates, enrich, extras, feeds, graph, moderation, state, tree, vectors, window
+from tidewell.operators import aggregates, enrich, extras, feeds, graph, lookups, moderation, state, tree, vectors, window
+from tidewell.streaming import schedule
 
 NOW = 1_800_000_000
 POST = "canonical_id string, source string, author_id long, text string, created_at long, parent_id string, root_id string"
@@ -202,3 +203,38 @@ def test_as_of(spark):
     left = spark.createDataFrame([(1, 1, 5), (2, 1, 1), (3, 2, 9)], "id int, k int, t int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b")], "k int, t int, v string")
     assert {(r["id"], r["out"]) for r in extras.as_of(left, right, "k", "t", "v", "out").collect()} == {(1, "b"), (2, None), (3, None)}
+
+
+def test_lookups(spark):
+    rows = spark.createDataFrame([("k", 0, '{"id": "e", "tags": [["p", "x"]], "content": "c"}'), ("k", 3, "broken")], "pubkey string, kind int, event_json string")
+    assert lookups.metadata(rows, "k", 0).first()["event"]["tags"] == [["p", "x"]] and lookups.metadata(rows, "z", 0).collect() == []
+    table = spark.createDataFrame([("b", 2, '{"n": 5}'), ("a", 1, '{"n": 7, "m": "x"}')], "source string, updated_at long, detail string")
+    assert [tuple(r) for r in lookups.status(table, ["n", "m"]).collect()] == [("a", 1, "7", "x"), ("b", 2, "5", None)]
+    after = lookups.put(table, spark.createDataFrame([("b", 9, "{}")], table.schema), ["source"])
+    assert {(r["source"], r["updated_at"]) for r in after.collect()} == {("a", 1), ("b", 9)}
+    seen = spark.createDataFrame([("x", 3), ("y", 1), ("x", 0), ("z", 2)], "v string, at int")
+    assert [r["v"] for r in lookups.distinct_in_order(seen, "v", "at", 2).collect()] == ["x", "y"]
+    assert {(r["v"], r["at"]) for r in lookups.first_seen(seen, "v", ["at"]).collect()} == {("x", 0), ("y", 1), ("z", 2)}
+    kept, gone = lookups.without(seen, F.when(F.col("v") == "x", True))
+    assert kept.count() == 2 and gone.count() == 2
+
+
+def test_context(spark):
+    df = posts(spark, [("r", 1, "", 99, None, None), ("a", 1, "", 90, "r", "r"), ("b", 1, "", 80, "a", "r"), ("c", 1, "", 70, "b", "r"), ("d", 1, "", 75, "b", "r")])
+    above, own, below = feeds.context(df, "b", NOW)
+    assert [r["canonical_id"] for r in above.collect()] == ["r", "a"] and own.first()["canonical_id"] == "b"
+    assert [(r["canonical_id"], r["depth"]) for r in below.collect()] == [("d", 1), ("c", 1)]
+
+
+def test_schedule():
+    assert schedule.shares(80) == (40, 40) and schedule.shares(2) == (3, 2)
+    assert schedule.due(None, 5) and not schedule.due(100, 200) and schedule.due(100, 100 + 86400) and schedule.due(300, 200)
+    assert schedule.accept_list(None, 5, "b", 9) and not schedule.accept_list(None, 10, "b", 9)
+    assert schedule.accept_list((5, "b"), 5, "a", 9) and not schedule.accept_list((5, "b"), 5, "c", 9) and not schedule.accept_list((5, "b"), 4, "a", 9)
+    assert schedule.relays(["a", "b"], ["b", "c", "c", "d"], 3) == ["a", "b", "c"]
+    report = schedule.Report()
+    for event in ("x", "x", "y"):
+        report.count("spam", event)
+    report.count("invalid")
+    report.gap("stopped")
+    assert report.counts == {"spam": 2, "invalid": 1} and report.gaps == ["stopped"]

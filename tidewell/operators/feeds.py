@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, search
-from .window import DAY, PAGE, eligible, page, upper
+from . import graph, search, tree
+from .window import DAY, PAGE, eligible, lookup, page, upper
 
 MODES = ("new", "relevance", "conversations", "social")
 
@@ -126,4 +126,13 @@ def feed(posts: DataFrame, follows: DataFrame, hubs: DataFrame, root: int, reque
     return social(posts, follows, hubs, root, now, request.page, request.before, request.order, request.reach, matches)
 
 
-__all__ = ["MODES", "PAGE", "Request", "conversations", "feed", "new", "ranked", "relevance", "social", "threads"]
+def context(posts: DataFrame, canonical_id: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ancestors from the top with distance, the post, replies in pre-order with depth) of one eligible post."""
+    rows = eligible(posts, now)
+    above = tree.ancestors(rows.select("canonical_id", "parent_id")).where(F.col("id") == canonical_id)
+    chain = rows.join(above.select(F.col("ancestor").alias("canonical_id"), "distance"), "canonical_id").orderBy(F.desc("distance"))
+    below = rows.join(tree.preorder(posts, canonical_id, now), "canonical_id").orderBy("position")
+    return chain, lookup(posts, canonical_id, now), below
+
+
+__all__ = ["MODES", "PAGE", "Request", "context", "conversations", "feed", "new", "ranked", "relevance", "social", "threads"]

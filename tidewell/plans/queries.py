@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import events as signed
 from ..functions import markup
-from ..operators import aggregates, enrich, extras, feeds, graph, moderation, search, state, tree, vectors, window
+from ..operators import aggregates, enrich, extras, feeds, graph, lookups, moderation, search, state, tree, vectors, window
 from ..sources.views import DAY, NOW, ctes, table, view
 from ..streaming import ingest
 
@@ -415,6 +415,39 @@ def event_filter_match(spark, sf_dir):
     return events.where(moderation.matches_filters(FILTERS, names)).select("event_id")
 
 
+@query("select canonical_id, string_agg(reason, ' | ' order by reason) as reasons from warnings where canonical_id in (select canonical_id from posts where author_id % 2 = 0) group by canonical_id")
+def warning_lookup(spark, sf_dir):
+    return lookups.content_warnings(view(spark, sf_dir, "warnings"), posts_of(spark, sf_dir).where("author_id % 2 = 0")).select("canonical_id", F.array_join("reasons", " | ").alias("reasons"))
+
+
+@query("select distinct followee from follows where follower = 3")
+def followed_lookup(spark, sf_dir):
+    return lookups.followed(view(spark, sf_dir, "follows"), 3)
+
+
+@query("select event_id, user_id, event_type from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) where k = 1")
+def first_sighting(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("key", F.concat_ws(":", "user_id", "event_type"))
+    return lookups.first_seen(events, "key", ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("select canonical_id from posts where not regexp_matches(text, 'token = \"[0-9a-f]{40}\"')")
+def secret_purge(spark, sf_dir):
+    return lookups.without(posts_of(spark, sf_dir), moderation.secret(F.col("text"), RULES).isNotNull())[0].select("canonical_id")
+
+
+@query("""select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey % 5 <> 0 union all select o_orderkey, -1, 'X' from orders where o_orderkey % 5 = 0""")
+def keyed_overwrite(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    fresh = rows.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit(-1).cast("long").alias("o_custkey"), F.lit("X").alias("o_orderstatus"))
+    return lookups.put(rows, fresh, ["o_orderkey"])
+
+
+@query("select id, max(distance) as depth from (with recursive x(id, a, distance) as (select canonical_id, parent_id, 1::bigint from posts where parent_id is not null union all select x.id, p.parent_id, x.distance + 1 from x join posts p on p.canonical_id = x.a where p.parent_id is not null) select * from x) group by id")
+def reply_depth(spark, sf_dir):
+    return tree.ancestors(posts_of(spark, sf_dir)).groupBy("id").agg(F.max("distance").alias("depth"))
+
+
 # ---------------------------------------------------------------- scalars and cards
 
 
