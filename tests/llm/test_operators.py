@@ -71,6 +71,8 @@ def test_vector_dedup(spark, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in (900, 901, 902, 903, 904, 905, 906, 907))
     assert got[908]["component_id"] == 0 and not got[908]["kept"] and got[908]["n_links"] == got[0]["n_links"]
     assert vector_dedup.vector_dedup(df.where("false")).collect() == []
+    wide = vector_dedup.vector_dedup(df.withColumn("embedding", F.col("embedding").cast("array<double>")))
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in wide.collect()} == {(r["vec_id"], r["n_links"], r["component_id"]) for r in got.values()}
 
 
 def test_hadamard_keeps_lengths():

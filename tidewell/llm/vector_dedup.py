@@ -80,8 +80,8 @@ def codes(unit: np.ndarray, depth: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), "<f4").reshape(len(vectors), -1).astype(np.float64)
+def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -99,7 +99,7 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def verify(table: pa.Table, cosine: float) -> pa.Table:
+def verify(table: pa.Table, cosine: float, kind: str) -> pa.Table:
     """Rows (code, pair, side, rep, label, weight, codes, vector) of some buckets -> (a, b, n): links, and counts where b is null."""
     a, b, n = [], [], []
     pair = table.column("pair").to_numpy()
@@ -116,7 +116,7 @@ def verify(table: pa.Table, cosine: float) -> pa.Table:
             continue
         for dim in np.unique(size[i:j]).tolist():  # one, but for clashes of codes
             at = np.flatnonzero(size[i:j] == dim) + i
-            x = _unit([vectors[k] for k in at.tolist()])
+            x = _unit([vectors[k] for k in at.tolist()], kind)
             own = np.array([all_codes[k] for k in at.tolist()], dtype=np.int64)
             two = side[at].any()
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -159,10 +159,12 @@ def verify(table: pa.Table, cosine: float) -> pa.Table:
 def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """Returns (id, n_links, component_id, kept)."""
     v = F.col("v")
+    wide = vectors.schema[vector_col].dataType.simpleString() != "array<float>"
+    kind, array = ("<f8", "array<double>") if wide else ("<f4", "array<float>")
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(
         ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)
     )
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).cast("long").alias("label")).withColumn("fine", fine)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(array).alias("v"), F.col(label_col).cast("long").alias("label")).withColumn("fine", fine)
     same = ["label", "h1", "h2"]
     valid = rows.where("fine").select("id", "label", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), F.reverse("v")).alias("h2"))
     alike = valid.groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
@@ -175,11 +177,11 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.array(x, dtype="<f4").tobytes() for x in batch.column("v").to_pylist()]
+            packed = [np.array(x, dtype=kind).tobytes() for x in batch.column("v").to_pylist()]
             found: list[list[int]] = [[]] * len(packed)
             for dim in {len(p) for p in packed}:
                 at = [k for k, p in enumerate(packed) if len(p) == dim]
-                own = codes(_unit([packed[k] for k in at]), depth)
+                own = codes(_unit([packed[k] for k in at], kind), depth)
                 for k, c in zip(at, own.tolist()):
                     found[k] = c
             yield pa.RecordBatch.from_arrays(
@@ -202,7 +204,7 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         "rep", "label", "weight", "codes", "vector",
     )
     buckets = max(1, int((sizes.agg(F.sum("many")).first()[0] or 0) / 4000))
-    found = cut(dealt.withColumn("bucket", F.pmod("pair", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(lambda t: verify(t, cosine), "a long, b long, n long"))
+    found = cut(dealt.withColumn("bucket", F.pmod("pair", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(lambda t: verify(t, cosine, kind), "a long, b long, n long"))
     reached = components(found.where("b is not null").select("a", "b"))
     counted = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     final = alike.join(counted, "rep", "left").join(reached.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
