@@ -241,13 +241,6 @@ class Codec:
             except UnicodeDecodeError:
                 self.text_of.append(None)
 
-    def rest(self) -> None:
-        """Forget what was worked out."""
-        self.memo.clear()
-        self.memo.old = {}
-        self.transducer.pairs.clear()
-        self.transducer.reset()
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         memo = self.memo
@@ -268,7 +261,7 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str, int], Codec] = {}
-_idle = Idle(lambda: [own.rest() for own in _codecs.values()])
+_idle = Idle(_codecs.clear)
 
 
 def busy():

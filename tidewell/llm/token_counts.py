@@ -88,7 +88,7 @@ class Counter:
 
 
 _counters: dict[tuple[str, str], Counter] = {}
-_idle = Idle(lambda: [(c.more.clear(), c.more.old.clear()) for c in _counters.values()])
+_idle = Idle(_counters.clear)
 
 
 def busy():
