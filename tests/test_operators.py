@@ -178,10 +178,13 @@ def test_missing_profiles(spark):
     assert [r["author_id"] for r in aggregates.missing_profiles(df, known, 5).collect()] == [2, 3]
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, [0.0, 3.0]), (3, [2.0, 0.1])], "vec_id long, embedding array<float>")
     got = [(r["id"], r["rank"]) for r in vectors.top_k(df, df.where("vec_id = 0"), 2).orderBy("rank").collect()]
     assert got == [(1, 1), (3, 2)]  # a tie goes to the smaller id
+    whole = sorted(tuple(r) for r in vectors.top_k(df, df, 3).collect())
+    monkeypatch.setattr(vectors, "ANCHORS", 1)  # one block an anchor
+    assert sorted(tuple(r) for r in vectors.top_k(df, df, 3).collect()) == whole and len(whole) == 12
     encode, decode = (lambda t: list(t.encode())), (lambda ids: bytes(ids).decode())
     assert vectors.token_chunks("abcdefg", encode, decode, 3) == ["abc", "def", "g"] and vectors.token_chunks("", encode, decode, 3) == [""]
     grown = lambda t: list(t.encode()) * (2 if len(t) > 2 else 1)  # noqa: E731  re-encoding may exceed the budget

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,17 +24,27 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x / (norm(a) + EPSILON))
 
 
+#: Anchors broadcast at a time: with 64 numbers each, about half a megabyte.
+ANCHORS = 1000
+
+
 def top_k(vectors: DataFrame, anchors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(anchor, id, rank, cosine): the k nearest of every anchor but itself; ties by id.
 
-    The anchors are the stated query set; they are broadcast and the corpus is read once.
+    The anchors are the stated query set. They are counted and broadcast in blocks of about ANCHORS, each
+    against one pass over the corpus, so what is broadcast doesn't grow with either side.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("n", norm(F.col("v")))
     asked = anchors.select(F.col(id_col).alias("anchor"), F.col(vector_col).cast("array<double>").alias("q")).withColumn("qn", norm(F.col("q")))
     cosine = dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn"))
-    pairs = rows.join(F.broadcast(asked), F.col("id") != F.col("anchor")).select("anchor", "id", cosine.alias("cosine"))
     order = Window.partitionBy("anchor").orderBy(F.desc(F.round("cosine", 9)), F.asc("id"))
-    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    blocks = -(-anchors.count() // ANCHORS) or 1
+    found = []
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == block) if blocks > 1 else asked
+        pairs = rows.join(F.broadcast(part), F.col("id") != F.col("anchor")).select("anchor", "id", cosine.alias("cosine"))
+        found.append(pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)
 
 
 def norms(vectors: DataFrame, by: str, vector_col: str = "embedding") -> DataFrame:
