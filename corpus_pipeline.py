@@ -23,7 +23,7 @@ from tidewell.llm.queries import read, remainder
 from tidewell.llm.shared import cut
 
 #: Smaller than for the operator alone: the executors have run the other stages before.
-BPE_MEMO = 100_000
+BPE_MEMO = 60_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
