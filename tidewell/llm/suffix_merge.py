@@ -103,7 +103,8 @@ def segments(offsets: np.ndarray, data: np.ndarray, length: int) -> tuple[np.nda
     first[1:] = (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)
     begins = np.flatnonzero(first)
     start = at[begins]
-    return gram[chosen[begins]], start, np.diff(np.append(begins, len(at))), np.searchsorted(offsets, start, "right") - 1
+    # mixed once more: smallest hashes would crowd into the first buckets
+    return mix(gram[chosen[begins]]), start, np.diff(np.append(begins, len(at))), np.searchsorted(offsets, start, "right") - 1
 
 
 class Candidates:
