@@ -422,6 +422,18 @@ def test_toxicity(spark):
     assert all(r["score"] == 0 for r in toxicity.score(df, none).collect() if r["doc_id"] in (5000, 5001))
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    """The offending words stand after 20,000 characters only."""
+    rng = random.Random(4)
+    pool = H.vocabulary(rng, 400)
+    text = lambda y: ". ".join(" ".join(rng.choice(pool) for _ in range(8)) for _ in range(700)) + (". zonk." if y else ".")
+    rows = [(i, text(i % 3 == 0)) for i in range(90)]
+    assert all(t.find("zonk") > 20_000 for i, t in rows if i % 3 == 0)
+    model = toxicity.train(H.frame(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(H.frame(spark, rows + [(900, "a zonk b."), (901, "a b.")]), model).collect()}
+    assert all((s >= toxicity.THRESHOLD) == (i % 3 == 0) for i, s in got.items() if i < 901) and got[901] < toxicity.THRESHOLD
+
+
 def test_document_of_nothing(spark):
     """Every operator takes one empty document and one without words."""
     df = H.frame(spark, [(1, ""), (2, " \n ")])
