@@ -434,6 +434,18 @@ def test_toxicity_trains_on_whole_texts(spark):
     assert all((s >= toxicity.THRESHOLD) == (i % 3 == 0) for i, s in got.items() if i < 901) and got[901] < toxicity.THRESHOLD
 
 
+def test_toxicity_of_a_long_clean_text(spark):
+    """Thousands of sentences without an offending word don't add up to a rejection, and one with such a word still counts."""
+    rows, labels, _ = toxic_corpus()
+    model = toxicity.train(H.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = " ".join(t for (_, t), (_, y) in zip(rows, labels) if not y) * 3
+    assert clean.count(".") > 6_000
+    df = H.frame(spark, [(1, clean), (2, clean + " A zonk."), (3, clean * 4)])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    assert got[1] < toxicity.THRESHOLD and got[3] < toxicity.THRESHOLD and got[2] >= toxicity.THRESHOLD
+    assert {r["doc_id"] for r in toxicity.accepted(df, model).collect()} == {1, 3}
+
+
 def test_document_of_nothing(spark):
     """Every operator takes one empty document and one without words."""
     df = H.frame(spark, [(1, ""), (2, " \n ")])

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: documents carry the labels, sentences carry the scores.
 
 A sentence's score is a logistic regression over its words and their beginnings, as 64-bit hashes; only
-features that tell the labels apart are known to the model, and a sentence without one scores 0. A
+features that tell of label 1 are known to the model, and a sentence without one scores 0. A
 document's score is the noisy-or of its sentences, 1 - prod(1 - p).  Only document labels are needed to
 train: the gradient of the document's loss flows to the sentences that explain it.  The trained sentence
 scores then locate the offending sentences.
@@ -128,13 +128,13 @@ def noisy_or(s: Sentences, z: np.ndarray, rows: int) -> np.ndarray:
 
 
 def telling(have: Column, toxic: Column, n: int, ones: int) -> Column:
-    """Whether a feature tells the labels apart: chi-square of (document has it, label), with Yates' correction.
+    """Whether a feature tells of label 1: chi-square of (document has it, label), with Yates' correction, of features commoner there.
 
     ``have`` and ``toxic``: documents, and documents of label 1, with the feature, of ``n`` and ``ones``.
     """
     expected = have * (ones / n)
     variance = expected * (1 - ones / n) * (n - have) / max(1, n - 1)
-    gap = F.greatest(F.lit(0.0), F.abs(toxic - expected) - 0.5)
+    gap = F.greatest(F.lit(0.0), toxic - expected - 0.5)
     return (have >= LEAST_DOCS) & (gap * gap > LEAST_CHI2 * F.greatest(variance, F.lit(1e-9)))
 
 
@@ -190,7 +190,11 @@ def bags(sample: DataFrame, known: np.ndarray) -> DataFrame:
 
 
 def fit(bag: pa.Table, known: np.ndarray, weights: np.ndarray) -> Model:
-    """Full-batch Adagrad on the weighted log loss of the noisy-or, over rows of ``bags``."""
+    """Full-batch Adagrad on the weighted log loss of the noisy-or, over rows of ``bags``.
+
+    Weights stay at 0 or above, and features that end at 0 are forgotten: a sentence without evidence
+    scores 0, so that a clean text isn't rejected for the number of its sentences.
+    """
     labels = bag.column("y").to_numpy()
     flat = lambda name: bag.column(name).combine_chunks().flatten().to_numpy().astype(np.int64)
     times, sizes, feature = flat("times"), flat("sizes"), flat("features")
@@ -206,11 +210,12 @@ def fit(bag: pa.Table, known: np.ndarray, weights: np.ndarray) -> Model:
         slope = np.where(labels[row] == 1, -p * ((1 - q) / q)[row], p) * times * weights[row] / total
         g = np.bincount(feature, weights=slope[sentence], minlength=len(known)) + L2 * model.weight / total
         squares += g * g
-        model.weight = model.weight - RATE * g / np.sqrt(squares)
+        model.weight = np.maximum(0.0, model.weight - RATE * g / np.sqrt(squares))
         b = slope.sum()
         bias_squares += b * b
         model.bias -= RATE * b / np.sqrt(bias_squares)
-    return model
+    used = model.weight > 0
+    return Model(known[used], model.weight[used], model.bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
