@@ -3,7 +3,8 @@
 1. toxicity: documents whose noisy-or score reaches the threshold go; the model learns from the labels
    that op10 may learn from.
 2. n-gram Jaccard join: of each group of near-duplicates the document with the smallest id stays.
-   Rows that share an id are one document, of which one row stays; rows without an id all stay.
+   Rows that share an id are told apart by their texts: of equal or linked ones one row stays; rows
+   without an id all stay.
 3. substring dedup: repeated passages are cut out; the text becomes the remaining words, n_chars their
    length. A document of which nothing is left stays, empty.
 4. mixing: every document as often as the mix takes it.
@@ -34,11 +35,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = cut(jaccard_join.jaccard_join(docs).where("doc_id is not null"))
-    stay = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    marked = docs.withColumn("text_hash", F.xxhash64("text"))
+    groups = cut(
+        jaccard_join.jaccard_join(marked, carry=["text_hash"]).where("doc_id is not null")
+        .select("doc_id", "component_id", "group", "carry.text_hash")
+    )
+    row = ["doc_id", "text_hash"]
+    stay = marked.join(groups.where("doc_id <> component_id").select(row).distinct(), row, "left_anti")
     again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.take(1):
-        stay = stay.join(again, "doc_id", "left_anti").unionByName(stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        # Of an id's rows one of each group stays, and one of each text outside of groups.
+        first = groups.join(again, "doc_id", "left_semi").groupBy("doc_id", "group", F.expr("if(group is null, text_hash, null)").alias("alone")).agg(
+            F.min("text_hash").alias("text_hash")
+        )
+        single = stay.join(first.select(row), row, "left_semi").dropDuplicates(row)
+        stay = stay.join(again, "doc_id", "left_anti").unionByName(single)
     return stay.select(docs.columns)
 
 

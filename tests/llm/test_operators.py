@@ -319,6 +319,13 @@ def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_join(df.where("false")).collect() == []
 
 
+def test_jaccard_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    df = H.frame(spark, [(5, a), (5, b), (7, a), (9, b), (8, b + " more"), (2, a + " end")])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(df).collect())
+    assert got == [(2, 37, 2), (5, 36, 2), (5, 36, 5), (7, 36, 2), (8, 37, 5), (9, 36, 5)]
+
+
 def test_metric_join_in_memory():
     rng = random.Random(5)
     sets = []

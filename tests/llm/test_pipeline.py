@@ -60,3 +60,10 @@ def test_repeated_and_nameless_rows(spark, sf_dir):
     assert all(r["decodes"] for r in out)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), sf_dir).collect() == []
+
+
+def test_id_with_two_texts(spark, sf_dir):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    docs = H.frame(spark, [(5, a), (5, b), (5, b + " more"), (5, b), (7, b), (2, a), (6, c), (6, "x"), (6, "y"), (6, "y")])
+    got = sorted((r["doc_id"], r["text"][:2]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect())
+    assert got == [(2, "a0"), (5, "b0"), (6, "c0"), (6, "x"), (6, "y")]

@@ -18,17 +18,21 @@ all documents costs one key a block.  Identical sets are one vertex.  Links are
 integer comparison of set sizes (of 64-bit shingle hashes).
 
 Edge cases: documents without a word have no shingle and link with nothing; with one to four words the
-whole sequence is the only shingle; repeated rows are linked to each other like copies; null ids come
-back null, and such rows are linked with nothing; an empty table gives an empty result; other columns
+whole sequence is the only shingle; repeated rows are linked to each other like copies; rows that share an
+id but not the set are documents of their own, each in the group of its set; null ids come back null, and
+such rows are linked with nothing; an empty table gives an empty result; other columns
 are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange
 from .components import components
@@ -215,9 +219,9 @@ def join_together(table: pa.Table, percent: int) -> pa.Table:
 LINKS = "a long, b long"
 
 
-def shingled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(id, n, lo, hi, regions array<long>, set binary): regions and set only where a partner is possible; checkpointed."""
-    rows, blocks, total = exchange.blocked(docs, id_col, text_col)
+def shingled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, n, lo, hi, regions array<long>, set binary, carry if any): regions and set only where a partner is possible; checkpointed."""
+    rows, blocks, total = exchange.blocked(docs, id_col, text_col, carry)
     bits = exchange.bucket_bits(total / 6 * 4, total / blocks / 6)
     shift = np.uint64(64 - RARITY_BITS)
 
@@ -244,10 +248,12 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 "id": exchange.ids(table), "n": pa.array(n, pa.int64()), "lo": pa.array(total(0)), "hi": pa.array(total(CHECK_BASE)),
                 "regions": pa.array(regions, pa.list_(pa.int64())), "set": pa.array(sets, pa.binary()),
             }
+            | ({"carry": table.column("carry")} if carry else {})
         )
 
     answers = exchange.answer(exchange.send(rows, send), rarity)
-    return cut(exchange.finish(rows, answers, enter, "id long, n long, lo long, hi long, regions array<long>, set binary"))
+    found = T._parse_datatype_string("id long, n long, lo long, hi long, regions array<long>, set binary").fields
+    return cut(exchange.finish(rows, answers, enter, T.StructType(found + ([rows.schema["carry"]] if carry else []))))
 
 
 def ring_pairs(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -303,13 +309,19 @@ def ring_pairs(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return links, dealt
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Returns (id, n_shingles, representative, component_id): the smallest id with the same set, and the smallest reachable by links."""
-    base = shingled(docs, id_col, text_col, size, percent)
+def jaccard_join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Returns (id, n_shingles, representative, component_id, group): the smallest id with the same set, and the smallest reachable by links.
+
+    Vertices are the distinct sets, ``rep`` a hash of theirs. ``group`` is one for the sets that hang together and null for
+    rows that can't have a partner. Columns named in ``carry`` come back in a last column ``carry``, a struct.
+    """
+    base = shingled(docs, id_col, text_col, size, percent, carry)
     able = base.where("set is not null and id is not null")
-    alike = able.groupBy("lo", "hi").agg(F.min("id").alias("rep"))
-    members = able.select("id", "lo", "hi").distinct().join(alike, ["lo", "hi"]).select("id", "rep")  # no more work on its rows, so AQE can split hot sets
-    distinct = cut(able.join(alike.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "regions", "set"))
+    alike = able.groupBy("lo", "hi").agg(F.min("id").alias("id")).withColumn("rep", F.xxhash64("lo", "hi"))
+    members = able.select("id", "lo", "hi").distinct().join(alike.withColumnRenamed("id", "least"), ["lo", "hi"])  # no more work on its rows, so AQE can split hot sets
+    distinct = cut(able.join(alike, ["id", "lo", "hi"]).select("rep", "lo", "hi", "regions", "set").dropDuplicates(["lo", "hi"]).select("rep", "regions", "set"))
 
     regions = distinct.select("rep", F.explode("regions").alias("s"))
     least = regions.groupBy("s").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -323,9 +335,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = tasks.agg(F.sum(F.octet_length("set"))).first()[0] or 0
     tasks = tasks.withColumn("bucket", F.pmod("bucket", F.lit(max(1, int(rows / (2 << 20))))).cast("int"))
     found = tasks.groupBy("bucket").applyInArrow(lambda table: join_together(table, percent), LINKS)
-    final = components(found.union(links)).select(F.col("id").alias("rep"), F.col("component"))
-    named = members.join(final, "rep", "left").select("id", "rep", "component")
-    return base.select("id", "n").join(named, "id", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("representative"),
-        F.coalesce("component", "rep", "id").alias("component_id"),
+    final = components(found.union(links)).select(F.col("id").alias("rep"), "component")
+    lowest = final.join(alike.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("lowest"))
+    final = final.join(lowest, "component")
+    named = members.join(final, "rep", "left").select("id", "lo", "hi", "least", "lowest", F.coalesce("component", "rep").alias("group"))
+    return base.select("id", "n", "lo", "hi", *(["carry"] if carry else [])).join(named, ["id", "lo", "hi"], "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("representative"),
+        F.coalesce("lowest", "least", "id").alias("component_id"), "group", *(["carry"] if carry else []),
     )
