@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import byte_bpe, jaccard_join, mixing, toxicity, window_dedup
 from tidewell.llm.queries import read, remainder
-from tidewell.llm.shared import cut
+from tidewell.llm.shared import cut, stored
 
 #: Smaller than for the operator alone: the executors have run the other stages before.
 BPE_MEMO = 60_000
@@ -88,7 +88,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written as Parquet and read again as the next one's documents."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, stored(docs) if k else docs, sf_dir)
     return docs

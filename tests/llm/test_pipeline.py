@@ -67,3 +67,17 @@ def test_id_with_two_texts(spark, sf_dir):
     docs = H.frame(spark, [(5, a), (5, b), (5, b + " more"), (5, b), (7, b), (2, a), (6, c), (6, "x"), (6, "y"), (6, "y")])
     got = sorted((r["doc_id"], r["text"][:2]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect())
     assert got == [(2, "a0"), (5, "b0"), (6, "c0"), (6, "x"), (6, "y")]
+
+
+def test_stages_read_what_was_written(spark, sf_dir, monkeypatch):
+    """Every stage after the first sees a Parquet file, so that what it evaluates twice is the same twice."""
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs.inputFiles())
+        assert docs.select("draw").collect() == docs.select("draw").collect() if "draw" in docs.columns else True
+        return docs.select("doc_id").selectExpr("doc_id", "uuid() as draw").unionByName(docs.selectExpr("doc_id", "uuid() as draw"))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    corpus_pipeline.run(spark, sf_dir)
+    assert len({tuple(f) for f in seen}) == 3 and all("documents.parquet" not in f for files in seen[1:] for f in files)

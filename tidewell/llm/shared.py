@@ -7,6 +7,7 @@ import gc
 import os
 import tempfile
 import threading
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -36,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return kept
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it again."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def settle() -> None:
     """Give freed memory back to the system: Python workers idle beside the next stage's, and an executor's memory is one sum."""
     gc.collect()
