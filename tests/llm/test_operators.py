@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -33,12 +34,12 @@ def docs(spark, rows):
     return H.frame(spark, rows).repartition(3).cache()
 
 
-@pytest.fixture
-def small_blocks(monkeypatch):
+@pytest.fixture(params=[exchange.Deal(3, 3, 1), exchange.Deal(1, 4, 3)], ids=["one level", "two levels"])
+def small_blocks(monkeypatch, request):
     """Several blocks, buckets and chunks even for little tables."""
     real = exchange.blocked
     monkeypatch.setattr(exchange, "blocked", lambda *a, **k: real(*a, **(k | {"block_bytes": 900})))
-    monkeypatch.setattr(exchange, "bucket_bits", lambda *a, **k: 3)
+    monkeypatch.setattr(exchange, "deal", lambda *a, **k: request.param)
 
 
 # ---------------------------------------------------------------- 1
@@ -198,7 +199,13 @@ def test_token_counts(spark):
     df = H.frame(spark, [*enumerate(texts), (None, None), (1, " ")])
     got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(df, path, P.PATTERN).collect())
     assert got == Counter([(i, len(t.encode()), n) for i, (t, n) in enumerate(zip(texts, expected))] + [(None, 0, 0), (1, 1, 1)])
-    whole = token_counts.Merges(path).whole()
+    whole = token_counts.whole_tokens(path)
+    rng = random.Random(1)
+    long = ["".join(rng.choice("abcdefghij") for _ in range(100_000)), "a" * 100_000, "ab1 " * 30_000]
+    began = time.monotonic()
+    counter = token_counts.Counter(path, P.PATTERN, whole)
+    assert [counter.count(t) for t in long] == [len(e.ids) for e in library.encode_batch(long, add_special_tokens=False)]
+    assert time.monotonic() - began < 60 and all(len(p) <= byte_bpe.LONG for p in counter.more)
     assert " the" in whole and all(len(library.encode(w, add_special_tokens=False).ids) == 1 for w in sorted(whole)[:: 997])
 
 
@@ -261,12 +268,20 @@ def test_suffix_dedup(docs, rows, small_blocks, monkeypatch, frequent):
 
 def test_suffix_dedup_edges(spark, small_blocks):
     line = "the same line of rather more than fifty bytes, again and again. "
-    df = H.frame(spark, [(5, line), (5, line), (2, "x" * 300), (9, "y" + "x" * 120), (None, line), (7, None), (8, "é" * 40)])
+    top = (1 << 63) - 1  # the largest id is smaller than none
+    df = H.frame(spark, [(5, line), (5, line), (2, "x" * 300), (9, "y" + "x" * 120), (None, line), (None, line), (top, "q" * 90), (None, "q" * 95), (-3, "z" * 70), (4, "z" * 70), (7, None), (8, "é" * 40)])
     got = sorted(((r["doc_id"], r["n_removed"]) for r in suffix_merge.suffix_dedup(df).collect()), key=repr)
-    assert got == sorted([(5, 0), (5, 0), (2, 0), (9, 120), (None, len(line)), (7, 0), (8, 0)], key=repr)
+    assert got == sorted([(5, 0), (5, 0), (2, 0), (9, 120), (None, len(line)), (None, len(line)), (top, 0), (None, 95), (-3, 0), (4, 70), (7, 0), (8, 0)], key=repr)
     assert suffix_merge.suffix_dedup(df.where("false")).collect() == []
 
 
+def test_long_text_in_pieces(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_merge, "PIECE", 700)
+    monkeypatch.setattr(suffix_merge, "CACHED_BYTES", 100)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in suffix_merge.suffix_dedup(docs).collect()}
+    assert got == H.byte_dedup(rows)
+
+
 def test_window_dedup(docs, rows, small_blocks):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in window_dedup.window_dedup(docs).collect()}
     assert got == H.window_dedup(rows) and sum(v[1] for v in got.values())
@@ -287,7 +302,56 @@ def test_packing():
     for n in (0, 1, 2, 500):
         keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         assert (exchange.unpack(exchange.pack(keys)) == keys).all()
+        high = np.unique(keys & np.uint64(0xFFFFFFFF00000000))  # low bits that all lack take no room
+        assert (exchange.unpack(exchange.pack(high)) == high).all() and len(exchange.pack(high)) <= 10 + 4 * n
     assert exchange.part(exchange.join([b"", b"ab", b"c"])) == [b"", b"ab", b"c"]
+    for values in ([0, 1, 1], [0, 255], [300], [1 << 40], [], [(1 << 64) - 1]):
+        column = np.array(values, dtype=np.uint64)
+        assert (exchange.unpack_column(exchange.pack_column(column), len(values)) == column).all()
+    assert exchange.unpack_column(exchange.pack_column([b"", b"xy", b"z"]), 3) == [b"", b"xy", b"z"]
+
+
+def largest_block(spark, ids, block_bytes=20_000):
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(i, "x" * 984) for i in ids], T._parse_datatype_string("doc_id long, text string"))
+    rows, blocks, total = exchange.blocked(df.repartition(3), "doc_id", "text", block_bytes=block_bytes)
+    assert total == 1000 * len(ids)
+    held = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.collect_set("id").alias("ids")).collect()
+    named = sorted((r for r in held if r["low"] is not None), key=lambda r: r["block"])
+    for a, b in zip(named, named[1:]):  # blocks follow the ids; parts of one rank hold one id
+        same = a["block"] >> exchange.PART_BITS == b["block"] >> exchange.PART_BITS
+        assert a["high"] < b["low"] or (same and a["ids"] == b["ids"] and len(a["ids"]) == 1)
+    nameless = {r["block"] >> exchange.PART_BITS for r in held if r["low"] is None}
+    assert len(nameless) <= 1 and all(r["high"] is None for r in held if r["block"] >> exchange.PART_BITS in nameless)
+    assert sum(r["n"] for r in held) == len(ids)
+    return max(r["n"] for r in held)
+
+
+def test_blocks_hold_like_shares_whatever_the_ids(spark):
+    """Dense, with one far outlier, clustered, negative, all null, half null, one id for a third of the rows, huge ids: 20 rows a block are meant."""
+    n = 2000
+    tables = {
+        "dense": list(range(n)), "outlier": [*range(n - 1), 10**15], "clusters": [k % 4 * 10**12 + k for k in range(n)], "negative": [-k * k for k in range(n)],
+        "null": [None] * n, "half null": [None if k % 2 else k for k in range(n)], "one id": [7 if k % 3 else k for k in range(n)],
+        "two heavy neighbours": [6 + k % 2 if k % 3 else k for k in range(n)], "huge": [(1 << 63) - 1 - k // 2 for k in range(n)], "one id only": [(1 << 63) - 1] * n,
+    }
+    for name, ids in tables.items():
+        assert largest_block(spark, ids) <= 45, name
+    assert largest_block(spark, [5, None]) == 1
+
+
+def test_deal_keeps_buckets_and_rows():
+    """From megabytes to 100 TB, buckets stay near their size and rows hold some keys, on both levels."""
+    for total in (10**6, 10**9, 3 * 10**10, 10**12, 10**14):
+        blocks = max(1, total // max(exchange.BLOCK_BYTES, total // exchange.MOST_BOUNDS))
+        keys = total / 6
+        own = exchange.deal(keys * 8, blocks, keys / blocks)
+        assert keys * 8 / (1 << max(own.bits, own.fine)) <= 2 * exchange.BUCKET_BYTES
+        assert own.bits == 0 or keys / blocks / (1 << own.bits) >= exchange.LEAST_KEYS / 2
+        if own.fine > own.bits:
+            unit = keys / own.groups / (1 << own.bits)
+            assert unit * 8 <= 2 * exchange.BUCKET_BYTES and unit / (1 << (own.fine - own.bits)) >= 16
 
 
 # ---------------------------------------------------------------- 6
@@ -347,42 +411,46 @@ def test_metric_join_in_memory():
 # ---------------------------------------------------------------- 9
 
 
-def language_model(rows, modulus=7, remainder=2):
+def language_model(rows, modulus=7, remainder=2, order=backoff_lm.ORDER):
     held = lambda i: zlib.crc32(str(i).encode()) % modulus == remainder
-    tokens = {i: H.words(H.lower(t)) + [None] for i, t in rows}
-    uni, pairs = Counter(), Counter()
-    for i, w in tokens.items():
-        if not held(i):
-            uni.update(["<s>", *w])
-            pairs.update(zip(["<s>", *w], w))
-    n, v = sum(c for k, c in uni.items() if k != "<s>"), len([k for k in uni if k != "<s>"])
-    out = {}
-    for i, w in tokens.items():
+    tokens = [(i, ["<s>"] * (order - 1) + H.words(H.lower(t)) + [None]) for i, t in rows]
+    grams, contexts = Counter(), Counter()
+    for i, w in tokens:
+        if i is not None and not held(i):
+            for k in range(order - 1, len(w)):
+                for n in range(order):
+                    grams[tuple(w[k - n : k + 1])] += 1
+                    contexts[tuple(w[k - n : k])] += 1
+    n, v = contexts[()], len([g for g in grams if len(g) == 1])
+    out = []
+    for i, w in tokens:
         base = score = 0.0
-        for before, word in zip(["<s>", *w], w):
-            p = (uni[word] + 1) / (n + v + 1)
-            left = backoff_lm.LEAST + backoff_lm.SPREAD / (1 + uni[before] / backoff_lm.HALF)
+        for k in range(order - 1, len(w)):
+            p = (grams[w[k],] + 1) / (n + v + 1)
             base += math.log10(p)
-            score += math.log10((1 - left) * pairs[before, word] / uni[before] + left * p if uni[before] else p)
-        out[i] = (held(i), len(w), sum(uni[x] > 0 for x in w), n, base, score)
+            for m in range(1, order):
+                prior = backoff_lm.PRIOR[m - 1]
+                p = (grams[tuple(w[k - m : k + 1])] + prior * p) / (contexts[tuple(w[k - m : k])] + prior)
+            score += math.log10(p)
+        out.append((i, i is not None and held(i), len(w) - order + 1, sum(grams[x,] > 0 for x in w[order - 1 :]), n, base, score))
     return out
 
 
-def test_language_model(docs, rows, small_blocks):
-    expected = language_model(rows)
-    got = {r["doc_id"]: tuple(r)[1:] for r in backoff_lm.score(docs).collect()}
-    assert {i: g[:4] for i, g in got.items()} == {i: e[:4] for i, e in expected.items()}
-    for i, e in expected.items():
-        assert got[i][4] == pytest.approx(e[4], rel=1e-9) and got[i][5] == pytest.approx(e[5], rel=1e-9)
+def test_language_model(spark, rows, small_blocks):
+    many = rows + [(None, rows[2][1]), rows[3], (rows[3][0], rows[4][1])]  # no id, a repeated row, an id with two texts
+    expected = language_model(many)
+    got = sorted((tuple(r) for r in backoff_lm.score(H.frame(spark, many).repartition(3)).collect()), key=repr)
+    for g, e in zip(got, sorted(expected, key=repr), strict=True):
+        assert g[:5] == e[:5] and g[5:] == pytest.approx(e[5:], rel=1e-9)
 
 
 def test_language_model_is_a_distribution(spark):
-    """All words and the unknown share sum to one in a known and an unknown state."""
-    words, pairs = np.array([5, 3, 2, 10]), np.array([2, 3])  # state 0 continues with words 1 and 2
-    machine = backoff_lm.Automaton(words, np.append(pairs, 0), 20, 4)
-    arcs = np.array([2, 0, 1, 2])
-    total = (10.0 ** machine.traverse(np.zeros(4, int), np.arange(4), arcs)).sum() + machine.left[0] / 25
-    assert abs(total - 1) < 1e-9
+    """The continuations of a seen and of an unseen context, and the unknown share, sum to one."""
+    counts = [np.array([5, 3, 2, 10, 0]), np.array([2, 3, 0])]  # state 0 continues with words 1 and 2; word 4 is unknown
+    machine = backoff_lm.Automaton(counts, 20, 4)
+    for state, arcs in ((0, [2, 0, 1, 2, 2]), (4, [2] * 5)):
+        steps = machine.traverse([np.arange(5), np.array(arcs)], [np.full(5, state), None])
+        assert abs((10.0**steps).sum() - 1) < 1e-9
     empty = backoff_lm.score(H.frame(spark, [(1, None), (None, "x"), (2, "")])).collect()
     assert sorted(r["n_tokens"] for r in empty) == [1, 1, 2]
     assert backoff_lm.score(H.frame(spark, [(1, "x")]).where("false")).collect() == []

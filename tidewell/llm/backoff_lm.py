@@ -1,24 +1,28 @@
 """Language-model scoring by a weighted backoff automaton over smoothed n-grams.
 
-States are the start, every known word (the context of one word) and the root (no context).  A
-context state has an arc for each continuation seen in training, weighted by its smoothed
-probability, and one failure arc to the root, weighted by the mass left to unseen continuations; the
-root has an arc for every token.  A text is read once from left to right: each token takes the
-context's arc or fails to the root, adds the weights in log10, and moves to the token's state.
+States are the contexts of up to ORDER - 1 tokens, from the start of a text down to the root (no
+context).  A state has an arc for each continuation seen in training, weighted by its smoothed
+probability, and one failure arc to the state of the context without its first token, weighted by the mass
+left to unseen continuations; the root has an arc for every token.  A text is read once from left to
+right: each token takes the state's arc, or fails until a state has one, adds the weights in log10, and moves
+on to the state of the last ORDER - 1 tokens.
 
-    P(w)     = (c(w) + 1) / (N + V + 1)                         root, add-one, one share for the unknown
-    P(w | v) = (1 - l(v)) c(v w) / c(v) + l(v) P(w)             c(v) > 0; else P(w)
-    l(v)     = LEAST + SPREAD / (1 + c(v) / HALF)               Jelinek-Mercer weight by the context's count
+    P(w)     = (c(w) + 1) / (N + V + 1)                      root, add-one, one share for the unknown
+    P(w | h) = (c(h w) + k P(w | h')) / (c(h) + k)           h' is h without its first token; k by the length of h
+    failure  = k / (c(h) + k)                                1 for a context never seen
 
-Counting: a block of documents sends its distinct tokens and pairs with their training counts to
+which is interpolation with a Dirichlet prior (MacKay and Peto) whose strengths PRIOR are fixed.
+
+Counting: a block of documents sends its distinct n-grams of every order with their training counts to
 buckets of key ranges; the buckets add the counts up and answer with the totals, in the order the
 keys were sent, so only counts come back.  N and V come back as each bucket's share.  Every block
 then holds exactly the arcs that its own texts can take.  No vocabulary is collected anywhere.
+Tokens are 64-bit hashes; longer n-grams keep so many bits that one in 2**SPARE_BITS unseen ones looks seen.
 
 Tokens: words with A-Z lowered, then one end.  Edge cases: a null or empty text is one end token; a
-null id is held by the training rule given (its remainder is null: not trained on), and comes back
-null; without training rows every token has P = 1 / (0 + 0 + 1); an empty table gives an empty
-result; columns other than the two named are ignored.
+row without an id is not trained on, and its id comes back null; rows that share an id are trained on or held out
+alike, each counting; a text of any length is scored whole; without training rows every token has P = 1 / (0 + 0 + 1); an
+empty table gives an empty result; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import exchange
@@ -34,7 +39,10 @@ from .textscan import WORD_BASE, Words, chunks, mix, texts
 
 END = np.uint64(0x51A7E0F0E4D00001)
 START = np.uint64(0x51A7E0F05A2700A3)
-LEAST, SPREAD, HALF = 0.4, 0.45, 300.0
+ORDER = 3
+#: Strength of the prior for contexts of one token, two tokens and so on; of longer ones the last.
+PRIOR = (600.0, 30.0)
+SPARE_BITS = 18
 
 
 def held_out(ids: np.ndarray, modulus: int, remainder: int) -> np.ndarray:
@@ -42,13 +50,22 @@ def held_out(ids: np.ndarray, modulus: int, remainder: int) -> np.ndarray:
     return np.array([zlib.crc32(b"%d" % i) % modulus == remainder for i in ids.tolist()], dtype=bool)
 
 
+def extended(grams: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams one token longer."""
+    return mix(grams * np.uint64(WORD_BASE) + token)
+
+
 class Block:
-    """Token and pair hashes of a block's documents, each an index into the sorted distinct ones."""
+    """A block's n-grams of every order: sorted distinct keys, their training counts, and each position's place among them.
 
-    def __init__(self, table: pa.Table, modulus: int, remainder: int):
-        id_ = table.column("id").to_numpy()
-        self.held = held_out(id_, modulus, remainder) & (id_ != exchange.LAST_ID)
-        trained = ~self.held & (id_ != exchange.LAST_ID)
+    ``gram[k]`` and ``context[k]`` are, for each position, the places of the (k + 1)-gram that ends there and of the one that
+    ends before it; texts begin after as many starts as needed.
+    """
+
+    def __init__(self, table: pa.Table, modulus: int, remainder: int, order: int, bits: int):
+        nameless = pc.is_null(table.column("id")).to_numpy().astype(bool)
+        self.held = held_out(exchange.order(table), modulus, remainder) & ~nameless
+        trained = ~self.held & ~nameless
         text = texts(table.column("text"))
         tokens, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, j, offsets, data in chunks(text):
@@ -57,125 +74,98 @@ class Block:
             tokens.append(np.insert(words.hashes(data, lower=True), ends, END))
             rows.append(np.insert(words.row, ends, np.arange(j - i)) + i)
         token, self.row = np.concatenate(tokens), np.concatenate(rows)
-        first = np.ones(len(token), dtype=bool)
-        first[1:] = self.row[1:] != self.row[:-1]
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[first] = START
-        pair = mix(before * np.uint64(WORD_BASE) + token)
+        first = np.append(True, self.row[1:] != self.row[:-1])[: len(token)]
         weight = trained[self.row].astype(float)
-        self.words, self.word = np.unique(np.concatenate([token, [START]]), return_inverse=True)
-        start = self.word[-1]
-        self.word = self.word[:-1]
-        self.before = np.empty_like(self.word)
-        self.before[1:] = self.word[:-1]
-        self.before[first] = start
-        self.word_counts = np.bincount(self.word, weights=weight, minlength=len(self.words)).astype(np.int64)
-        self.word_counts[start] = int(trained.sum())
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
-        self.pair_counts = np.bincount(self.pair, weights=weight, minlength=len(self.pairs)).astype(np.int64)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    """One byte a count; those of 255 or more follow whole."""
-    return exchange.join([np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype("<i8").tobytes()])
-
-
-def unpack_counts(data: bytes) -> np.ndarray:
-    small, large = exchange.part(data)
-    counts = np.frombuffer(small, np.uint8).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(large, "<i8")
-    return counts
-
-
-def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, their totals, place of every key sent)."""
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return distinct, np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64), place
-
-
-def add_up(bucket: int, blocks: list[int], data: list[bytes]) -> list[bytes]:
-    """Totals of every block's tokens and pairs, and this bucket's share of N and V."""
-    parts = [exchange.part(d) for d in data]
-    answers, stats = [], np.zeros(2, dtype="<i8")
-    for which in (0, 2):
-        keys = [exchange.unpack(p[which]) for p in parts]
-        distinct, total, place = totals(keys, [unpack_counts(p[which + 1]) for p in parts])
-        if which == 0:
+        self.keys, self.counts, self.gram, self.context = [], [], [], []
+        start, whole = START, token
+        for k in range(order):
+            if k:
+                before = np.empty_like(whole)
+                before[1:] = whole[:-1]
+                before[first] = start
+                whole = extended(before, token)
+                start = extended(np.array([start]), np.array([START]))[0]
+            mask = ~np.uint64(0) << np.uint64(64 - bits if k else 0)
+            keys, place = np.unique(np.append(whole, start) & mask, return_inverse=True)
+            counts = np.bincount(place, weights=np.append(weight, trained.sum()), minlength=len(keys)).astype(np.int64)
+            context = np.empty(len(token), dtype=np.int64)
+            context[1:] = place[:-2]
+            context[first] = place[-1]
+            self.keys.append(keys)
+            self.counts.append(counts)
+            self.gram.append(place[:-1])
+            self.context.append(context)
+
+    def sections(self) -> list[exchange.Section]:
+        """The longest n-grams are no context, so that starts among them need not be sent; the rest is the same for all orders."""
+        return [(keys, [counts]) for keys, counts in zip(self.keys, self.counts)]
+
+
+def add_up(asked: list[tuple[np.ndarray, np.ndarray, list]]) -> tuple[list[list[np.ndarray]], list[int]]:
+    """Totals of every n-gram sent, and this bucket's share of N and V."""
+    answers, share = [], [0, 0]
+    for k, (keys, _, columns) in enumerate(asked):
+        if not len(keys):
+            answers.append([])
+            continue
+        distinct, place = np.unique(keys, return_inverse=True)
+        total = np.bincount(place, weights=columns[0]).astype(np.int64)
+        if not k:
             real = distinct != START
-            stats = np.array([total[real].sum(), (total[real] > 0).sum()], dtype="<i8")
-        ends = np.cumsum([0, *map(len, keys)])
-        answers.append([pack_counts(total[place[i:j]]) for i, j in zip(ends[:-1], ends[1:])])
-    return [exchange.join([w, p, stats.tobytes()]) for w, p in zip(*answers)]
+            share = [int(total[real].sum()), int((total[real] > 0).sum())]
+        answers.append([total[place]])
+    return answers, share
 
 
 class Automaton:
-    """The arcs a block can take, as arrays over its distinct tokens (states) and pairs (arcs)."""
+    """Weights of the arcs that a block can take: ``counts[k]`` are the training counts of its (k + 1)-grams, ``n`` tokens of ``v`` kinds in all."""
+
+    def __init__(self, counts: list[np.ndarray], n: int, v: int):
+        self.counts = counts
+        self.root = (counts[0] + 1.0) / (n + v + 1.0)
+        self.prior = [PRIOR[min(k, len(PRIOR) - 1)] for k in range(len(counts) - 1)]
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, n: int, v: int):
-        self.root = np.log10((words + 1.0) / (n + v + 1.0))
-        weight = LEAST + SPREAD / (1.0 + words / HALF)
-        self.left = np.where(words > 0, weight, 1.0)  # mass of the failure arc
-        self.words, self.pairs = words, pairs
+    def failure(self, k: int, state: np.ndarray) -> np.ndarray:
+        """Weight of the failure arcs of states of k + 1 tokens."""
+        return self.prior[k] / (self.counts[k][state] + self.prior[k])
 
-    def traverse(self, state: np.ndarray, token: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """log10 weight of each step: the state's own arc where training saw it, else failure and the root's arc."""
-        fail = np.log10(self.left[state]) + self.root[token]
-        seen = self.pairs[arc] > 0
-        s, t = state[seen], token[seen]
-        fail[seen] = np.log10((1.0 - self.left[s]) * self.pairs[arc[seen]] / self.words[s] + self.left[s] * 10.0 ** self.root[t])
-        return fail
+    def traverse(self, gram: list[np.ndarray], context: list[np.ndarray]) -> np.ndarray:
+        """log10 weight of each step: failure arcs down to the first state with an arc for the token, and that arc."""
+        p = self.root[gram[0]]
+        for k in range(len(self.counts) - 1):
+            seen = self.counts[k + 1][gram[k + 1]]
+            p = self.failure(k, context[k]) * p + seen / (self.counts[k][context[k]] + self.prior[k])
+        return np.log10(p)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, order: int = ORDER) -> DataFrame:
     """Returns (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Rows whose crc32 of the id as text, modulo ``modulus``, is ``remainder`` are held out of training.
     """
     rows, blocks, total = exchange.blocked(docs, id_col, text_col)
-    bits = exchange.bucket_bits(total / 6 * 6, total / blocks / 9)
-
-    def send(block: int, table: pa.Table) -> exchange.Packed:
-        own = Block(table, modulus, remainder)
-        w, p = exchange.ranges(own.words, bits), exchange.ranges(own.pairs, bits)
-        return [
-            (
-                b,
-                exchange.join(
-                    [
-                        exchange.pack(own.words[w[b] : w[b + 1]]), pack_counts(own.word_counts[w[b] : w[b + 1]]),
-                        exchange.pack(own.pairs[p[b] : p[b + 1]]), pack_counts(own.pair_counts[p[b] : p[b + 1]]),
-                    ]
-                ),
-            )
-            for b in range(1 << bits)  # an empty share too, for the answer's part of N and V
-        ]
-
-    def read(block: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        own = Block(table, modulus, remainder)
-        n = v = 0
-        words, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for b in sorted(got):
-            word_part, pair_part, stats = exchange.part(got[b])
-            words.append(unpack_counts(word_part))
-            pairs.append(unpack_counts(pair_part))
-            share = np.frombuffer(stats, "<i8")
-            n, v = n + int(share[0]), v + int(share[1])
-        count = np.concatenate(words)
-        size = table.num_rows
-        if not size:
-            count = np.zeros(len(own.words), np.int64)
-        automaton = Automaton(count, np.concatenate(pairs), n, v)
-        steps = automaton.traverse(own.before, own.word, own.pair) if size else np.zeros(0)
+    tokens = total / 6 + 1
+    dealt = exchange.deal(tokens * 5 * order, blocks, tokens * (order - 0.5) / blocks)
+    bits = min(64, int(np.ceil(np.log2(tokens * order))) + SPARE_BITS)
+
+    def block(table: pa.Table) -> Block:
+        return Block(table, modulus, remainder, order, bits)
+
+    def read(table: pa.Table, got) -> pa.Table:
+        own, size = block(table), table.num_rows
+        answers, share = got(own.sections(), dealt, True)
+        counts = [a[0].astype(np.int64) for a in answers]
+        n, v = share.tolist()
+        machine = Automaton(counts, n, v)
         by_row = lambda values: np.bincount(own.row, weights=values, minlength=size)
         return pa.table(
             {
-                id_col: exchange.ids(table), "held_out": pa.array(own.held), "n_tokens": pa.array(np.bincount(own.row, minlength=size).astype(np.int64)),
-                "n_known": pa.array(by_row(count[own.word] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(size, n, np.int64)),
-                "base_score": pa.array(by_row(automaton.root[own.word])), "score": pa.array(by_row(steps)),
+                id_col: table.column("id"), "held_out": pa.array(own.held), "n_tokens": pa.array(np.bincount(own.row, minlength=size).astype(np.int64)),
+                "n_known": pa.array(by_row(counts[0][own.gram[0]] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(size, n, np.int64)),
+                "base_score": pa.array(by_row(np.log10(machine.root[own.gram[0]]))), "score": pa.array(by_row(machine.traverse(own.gram, own.context))),
             }
         )
 
-    answers = exchange.answer(exchange.send(rows, send), add_up)
+    answers = exchange.answer(exchange.send(rows, dealt, lambda table: block(table).sections(), True), dealt, add_up, True)
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return exchange.finish(rows, answers, read, schema)

@@ -9,8 +9,8 @@ output each still owes; the common part of what they owe is emitted at once, so
 a lookahead of at most the longest token's bytes beyond the point where the guesses agree.
 
 Input columns used: the id column and the text column; all others are ignored, so clashing names do
-no harm.  A null text counts as empty and gives no tokens; repeated rows give repeated results; an
-empty table gives an empty result.
+no harm.  A text of any length takes time in proportion to it.  A null text counts as empty and gives no
+tokens; repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ ROWS = 500
 #: Entries of a memo's young half, and of the transducer's moves before it starts anew: a worker's memory stays
 #: bounded, at about 1.2 KB for each.
 MEMO = 450_000
+#: Longer pieces are rare and may be very long: they are encoded each time, so that a memo's bytes are bounded too.
+LONG = 64
 #: A live guess is one number: the trie node below this bit, the token before it plus one above.
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
@@ -207,7 +209,7 @@ class Utf8Stream:
 
 
 class Memo(dict):
-    """Two generations: when the young one is full it becomes the old one; what is used again moves back."""
+    """Two generations: when the young one is full it becomes the old one; what is used again moves back. Pieces over LONG characters aren't kept."""
 
     def __init__(self, make, limit: int = MEMO):
         super().__init__()
@@ -217,6 +219,8 @@ class Memo(dict):
         value = self.old.get(piece)
         if value is None:
             value = self.make(piece)
+            if len(piece) > LONG:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -3,8 +3,18 @@
 A *block* is a set of whole documents of some megabytes, a *bucket* a range of 64-bit keys.  Blocks
 send each bucket one packed row of their sorted keys there; a bucket answers each block with one
 packed row.  Neither depends on how often a key occurs: a block sends a key once, so a key that a
-third of all documents hold costs a row's share per block and no more.  Blocks are ranges of the id,
-so of two blocks the one with the smaller number holds the smaller ids.
+third of all documents hold costs a row's share per block and no more.
+
+Blocks follow the ids.  Their bounds are quantiles, by bytes, of a sample of the ids, so that neither
+gaps nor outliers among the ids matter; blocks and buckets keep their size and grow in number with the
+corpus (above some terabytes of text blocks grow instead, so that their bounds stay below MOST_BOUNDS). Rows of an
+id too heavy for one block, and rows without an id, are dealt over several *parts*.  A block's
+number is its rank shifted by PART_BITS, plus the part: of two blocks with different ranks the smaller
+number holds the smaller ids, and parts of one rank hold the same id. Rows without an id have the last rank.
+
+Where blocks and buckets are so many that a row would hold fewer than LEAST_KEYS keys, the exchange
+has two levels: rows of several blocks for a coarse bucket are merged into one, which is dealt on to the fine
+buckets and whose answers are dealt back.
 
 Everything goes through Spark's shuffle, which recovers from lost executors; the text is shuffled
 once by block and that exchange is used again in later steps of the same plan.
@@ -12,23 +22,83 @@ once by block and that exchange is used again in later steps of the same plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import zlib
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settle
 
-#: Bytes of text that a block aims at.
-BLOCK_BYTES = 4 << 20
-#: Fixed number of equal slices of the id range from which blocks are put together.
-ID_SLICES = 1 << 14
-#: Ids that are null stand after all others.
-LAST_ID = (1 << 63) - 1
+#: Bytes of text that a block aims at, and of packed keys that a bucket aims at.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Keys that a packed row should hold at least.
+LEAST_KEYS = 64
+#: Bounds between blocks travel with the plan: so many at most, then blocks grow.
+MOST_BOUNDS = 1 << 20
+#: Points of the first sample, and points a block that bounds are drawn from.
+POINTS, POINTS_A_BLOCK = 1 << 15, 8
+PART_BITS = 20
+SEED = 11
+
+PACKED = "block long, bucket long, data binary"
+
+#: Sorted keys, and columns beside them: arrays of numbers from 0, or lists of bytes.
+Section = tuple[np.ndarray, list]
+
+
+# ---------------------------------------------------------------- blocks
+
 
-PACKED = "block int, bucket int, data binary"
+def _points(rows: DataFrame, points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, whether null, bytes each stands for): rows fall into random groups, which one row chosen by its bytes stands for."""
+    got = (
+        rows.select("id", (F.octet_length("text") + 16).alias("bytes"), F.floor(F.rand(SEED) * points).alias("g"), F.rand(SEED + 1).alias("draw"))
+        .groupBy("g").agg(F.min_by(F.struct("id"), -F.log(1.0 - F.col("draw")) / F.col("bytes")).alias("one"), F.sum("bytes").alias("bytes"))
+        .select("one.id", "bytes").toArrow()
+    )
+    ids = got.column("id")
+    return ids.fill_null(0).to_numpy().astype(np.int64), pc.is_null(ids).to_numpy(zero_copy_only=False).astype(bool), got.column("bytes").to_numpy().astype(np.int64)
+
+
+def bounds(ids: np.ndarray, weights: np.ndarray, block_bytes: int) -> tuple[list[int], list[int]]:
+    """(first ids of all ranks but the first, parts of each rank) from a weighted sample."""
+    if not len(ids):
+        return [], [1]
+    values, place = np.unique(ids, return_inverse=True)
+    held, often = np.bincount(place, weights=weights), np.bincount(place)
+    heavy = (held > 2 * block_bytes) & (often > 1)
+    middle = np.cumsum(held) - held / 2
+    number = (middle // block_bytes).astype(np.int64)
+    new = np.append(True, number[1:] != number[:-1])
+    found = {int(v): 1 for v in values[new]}
+    for value in values[heavy].tolist():
+        if value < (1 << 63) - 1:
+            found.setdefault(value + 1, 1)
+    found |= {int(v): int(np.ceil(w / block_bytes)) for v, w in zip(values[heavy], held[heavy])}
+    if not heavy[0]:
+        del found[int(values[0])]  # the first rank begins below all
+    starts = sorted(found)
+    return starts, [1, *[found[s] for s in starts]]
+
+
+def _numbers(values: Sequence[int]) -> Column:
+    """A constant array; as text in the plan, which the optimizer folds into one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def rank_of(value: Column, starts: Sequence[int]) -> Column:
+    """How many of the ascending ``starts`` are at most ``value``: a binary search in an expression."""
+    if not len(starts):
+        return F.lit(0).cast("int")
+    steps = [1 << k for k in range(len(starts).bit_length())][::-1]
+    padded = _numbers([*starts, *[(1 << 63) - 1] * ((1 << len(steps)) - 1 - len(starts))])
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.element_at(padded, at + step) <= value, at + step).otherwise(at))
+    return F.least(found, F.lit(len(starts)))
 
 
 def blocked(
@@ -36,83 +106,144 @@ def blocked(
 ) -> tuple[DataFrame, int, int]:
     """(documents as (id long, text, carry struct if any, block), number of blocks, bytes of text).
 
-    Bytes are counted for ID_SLICES equal slices of the id range (a bounded result), and slices are
-    joined to blocks of about ``block_bytes``; one id is always in one block.
+    One aggregation draws the sample and counts the bytes; a second one only where the first sample is too coarse.
     """
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []),
     )
-    low, high = rows.where(F.col("id") != LAST_ID).agg(F.min("id"), F.max("id")).first()
-    if low is None:
-        low = high = 0
-    width = (high - low) / ID_SLICES + 1e-9
-    place = F.least(F.greatest(F.floor((F.col("id").cast("double") - float(low)) / width), F.lit(0)), F.lit(ID_SLICES - 1)).cast("int")
-    sizes = np.zeros(ID_SLICES, dtype=np.int64)
-    for r in rows.groupBy(place.alias("s")).agg(F.sum(F.octet_length("text") + 16).alias("b")).collect():
-        sizes[r["s"]] = r["b"]
-    middle = np.cumsum(sizes) - sizes // 2
-    number = np.unique((middle // block_bytes)[sizes > 0], return_inverse=True)[1]
-    block_of = np.zeros(ID_SLICES, dtype=np.int64)
-    block_of[sizes > 0] = number
-    total, blocks = int(sizes.sum()), int(number.max()) + 1 if len(number) else 1
-    found = rows.withColumn("block", F.element_at(F.lit(block_of.tolist()).cast("array<int>"), place + 1))
-    return found, blocks, total
-
-
-def bucket_bits(expected_bytes: float, keys_a_block: float, bucket_bytes: int = 4 << 20, least_keys: int = 512) -> int:
-    """Bits of the bucket number: buckets of about ``bucket_bytes``, but rows of at least ``least_keys`` keys."""
-    wanted = max(1.0, min(expected_bytes / bucket_bytes, keys_a_block / least_keys))
-    return min(20, int(np.ceil(np.log2(wanted)))) if wanted > 1 else 0
+    ids, nameless, weights = _points(rows, POINTS)
+    total = int(weights.sum())
+    block_bytes = max(block_bytes, total // MOST_BOUNDS)
+    needed = POINTS_A_BLOCK * (total // block_bytes)
+    if needed > POINTS:
+        ids, nameless, weights = _points(rows, needed)
+    starts, parts = bounds(ids[~nameless], weights[~nameless], block_bytes)
+    parts.append(max(1, int(np.ceil(weights[nameless].sum() / block_bytes))))
+    rank = F.when(F.col("id").isNull(), F.lit(len(parts) - 1)).otherwise(rank_of(F.col("id"), starts))
+    block = F.shiftleft(rank.cast("long"), PART_BITS)
+    if max(parts) > 1:
+        # Rows of a scan or of a file read again are numbered alike in every attempt.
+        dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(_numbers(parts), rank + 1))
+        block = block + F.least(dealt, F.lit((1 << PART_BITS) - 1))
+    return rows.withColumn("block", block), sum(parts), total
+
+
+def ranks(blocks: np.ndarray) -> np.ndarray:
+    return blocks >> PART_BITS
+
+
+def order(table: pa.Table) -> np.ndarray:
+    """Ids as numbers that order a block's rows; in the rank of the nameless all are alike."""
+    return table.column("id").fill_null(0).to_numpy().astype(np.int64)
+
+
+# ---------------------------------------------------------------- buckets
+
+
+@dataclass(frozen=True)
+class Deal:
+    """Bits of the bucket number that blocks deal by; if ``fine`` exceeds it, merged rows of ``groups`` of blocks are dealt on by that many bits."""
+
+    bits: int
+    fine: int
+    groups: int
+
+
+def deal(packed_bytes: float, blocks: int, keys_a_block: float, bucket_bytes: int = BUCKET_BYTES, least_keys: int = LEAST_KEYS) -> Deal:
+    wanted = max(0, int(np.ceil(np.log2(max(1.0, packed_bytes / bucket_bytes)))))
+    most = max(0, int(np.log2(max(1.0, keys_a_block / least_keys))))
+    if wanted <= most + 1:
+        return Deal(min(wanted, most + 1), min(wanted, most + 1), 1)
+    a_row = max(1.0, packed_bytes / blocks / (1 << most))
+    return Deal(most, wanted, max(1, int(np.ceil(blocks * a_row / bucket_bytes))))
+
+
+# ---------------------------------------------------------------- packing
+
+
+def join(parts: Iterable[bytes]) -> bytes:
+    """Several byte strings as one."""
+    parts = list(parts)
+    return np.array([len(parts), *map(len, parts)], dtype="<u4").tobytes() + b"".join(parts)
+
+
+def part(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = 4 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", n, 4))]).astype(np.int64)
+    return [data[ends[i] : ends[i + 1]] for i in range(n)]
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct uint64 keys as differences of as few bytes as the largest needs."""
+    """Sorted uint64 keys as differences, without low bits that all lack, of as few bytes as the largest needs."""
     if not len(keys):
         return b""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(steps[1:].max()).bit_length() + 7) // 8) if len(keys) > 1 else 1
-    rest = np.ascontiguousarray(steps[1:]).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(rest).tobytes()
+    steps = np.diff(keys)
+    used = int(np.bitwise_or.reduce(steps)) if len(steps) else 0
+    shift = (used & -used).bit_length() - 1 if used else 0
+    steps >>= np.uint64(shift)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    rest = np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width, shift]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(rest).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, dtype=np.uint64)
-    width, first = data[0], np.frombuffer(data, "<u8", 1, 1)
-    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    width, shift, first = data[0], data[1], np.frombuffer(data, "<u8", 1, 2)
+    rest = np.frombuffer(data, np.uint8, offset=10).reshape(-1, width)
     steps = np.zeros((len(rest) + 1, 8), dtype=np.uint8)
     steps[1:, :width] = rest
     steps = steps.reshape(-1).view("<u8")
+    steps <<= np.uint64(shift)
     steps[0] = first[0]
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def join(parts: Iterable[bytes]) -> bytes:
-    """Several byte strings as one."""
-    parts = list(parts)
-    return np.array([len(parts), *map(len, parts)], dtype="<u8").tobytes() + b"".join(parts)
+def pack_column(values: np.ndarray | list[bytes]) -> bytes:
+    """Numbers from 0 in the narrowest of 1 bit and 1, 2, 4 or 8 bytes; strings as their sizes and one compressed whole."""
+    if isinstance(values, list):
+        return b"\x09" + join([pack_column(np.array([len(v) for v in values], dtype=np.uint64)), zlib.compress(b"".join(values), 1)])
+    top = int(values.max()) if len(values) else 0
+    if top <= 1:
+        return b"\x00" + np.packbits(values.astype(bool)).tobytes()
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
-def part(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data, "<u8", 1)[0])
-    ends = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u8", n, 8))]).astype(np.int64)
-    return [data[ends[i] : ends[i + 1]] for i in range(n)]
+def unpack_column(data: bytes, n: int) -> np.ndarray | list[bytes]:
+    width = data[0]
+    if width == 9:
+        sizes, whole = part(data[1:])
+        ends = [0, *np.cumsum(unpack_column(sizes, n).astype(np.int64)).tolist()]
+        whole = zlib.decompress(whole)
+        return [whole[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    if not width:
+        return np.unpackbits(np.frombuffer(data, np.uint8, offset=1), count=n).astype(np.uint64)
+    return np.frombuffer(data, f"<u{width}", n, 1).astype(np.uint64)
 
 
-def ranges(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Bounds of the 2**bits buckets in sorted keys."""
-    if not bits:
-        return np.array([0, len(keys)])
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def pack_section(keys: np.ndarray, columns: list) -> bytes:
+    return join([pack(keys), *map(pack_column, columns)]) if len(keys) else b""
 
 
-Packed = list[tuple[int, bytes]]
+def unpack_section(data: bytes) -> Section | None:
+    if not data:
+        return None
+    keys, *columns = part(data)
+    keys = unpack(keys)
+    return keys, [unpack_column(c, len(keys)) for c in columns]
+
 
+def together(columns: list) -> np.ndarray | list[bytes]:
+    """One column of several blocks' shares."""
+    if columns and isinstance(columns[0], list):
+        return [v for c in columns for v in c]
+    return np.concatenate([np.zeros(0, np.uint64), *columns])
 
-def rows(block: Iterable[int], bucket: Iterable[int], data: list[bytes]) -> pa.Table:
-    return pa.table({"block": pa.array(block, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary())})
+
+def _rows(block: Sequence[int], bucket: Sequence[int], data: list[bytes]) -> pa.Table:
+    return pa.table({"block": pa.array(block, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
 def _settled(table: pa.Table) -> pa.Table:
@@ -120,42 +251,167 @@ def _settled(table: pa.Table) -> pa.Table:
     return table
 
 
-def send(docs: DataFrame, work: Callable[[int, pa.Table], Packed]) -> DataFrame:
-    """``work(block, its documents in order of id)`` gives (bucket, data)."""
+def _shares(sections: list[Section], bits: int, first: int, last: int, every: bool) -> Iterator[tuple[int, list[Section]]]:
+    """(bucket, its share of every section) for the buckets from ``first`` to ``last``; empty ones only if ``every``."""
+    if not bits:
+        yield 0, sections
+        return
+    edges = np.arange(first + 1, last + 1, dtype=np.uint64) << np.uint64(64 - bits)
+    cuts = [np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).tolist() for keys, _ in sections]
+    for k in range(last - first + 1):
+        if every or any(c[k + 1] > c[k] for c in cuts):
+            yield first + k, [(keys[c[k] : c[k + 1]], [v[c[k] : c[k + 1]] for v in columns]) for (keys, columns), c in zip(sections, cuts)]
+
+
+def _packed(blocks: np.ndarray, share: list[Section]) -> bytes:
+    return join([np.asarray(blocks, dtype="<i8").tobytes(), *[pack_section(*s) for s in share]])
+
+
+def send(docs: DataFrame, dealt: Deal, work: Callable[[pa.Table], list[Section]], every: bool = False) -> DataFrame:
+    """``work(documents of a block in order of id)`` gives sections; each bucket gets its share of all. ``every``: empty shares too."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        out = work(block, table.sort_by("id"))
-        return _settled(rows([block] * len(out), [b for b, _ in out], [d for _, d in out]))
+        shares = list(_shares(work(table.sort_by("id")), dealt.bits, 0, (1 << dealt.bits) - 1, every))
+        return _settled(_rows([block] * len(shares), [b for b, _ in shares], [_packed([block], s) for _, s in shares]))
 
     return docs.groupBy("block").applyInArrow(run, PACKED)
 
 
-def answer(sent: DataFrame, work: Callable[[int, list[int], list[bytes]], list[bytes]]) -> DataFrame:
-    """``work(bucket, blocks in order, their data)`` gives what goes back to each block."""
+def send_on(docs: DataFrame, answers: DataFrame, dealt: Deal, work: Callable[[pa.Table, Callable], list[Section]]) -> DataFrame:
+    """Like ``send``, after an exchange before: ``work`` also takes ``got`` (see ``finish``)."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, got: Callable) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        shares = list(_shares(work(table, got), dealt.bits, 0, (1 << dealt.bits) - 1, False))
+        return _rows([block] * len(shares), [b for b, _ in shares], [_packed([block], s) for _, s in shares])
+
+    return finish(docs, answers, run, PACKED)
+
+
+#: Takes (keys, number of the block that sent each, columns) for every section, gives answer columns for every section and numbers to be summed over buckets.
+Work = Callable[[list[tuple[np.ndarray, np.ndarray, list]]], tuple[list[list[np.ndarray]], Sequence[int]]]
+
+
+def _answered(data: list[bytes], work: Work) -> list[bytes]:
+    """Answers to the packed rows of one bucket."""
+    opened = [part(d) for d in data]
+    senders = [np.frombuffer(o[0], "<i8") for o in opened]
+    asked, lengths = [], []
+    for s in range(1, len(opened[0])):
+        keys, blocks, columns, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
+        for sender, o in zip(senders, opened):
+            section = unpack_section(o[s])
+            sizes.append(len(section[0]) if section else 0)
+            if section:
+                own = section[1]
+                if len(sender) > 1:
+                    blocks.append(sender[own[0].astype(np.int64)])
+                    own = own[1:]
+                else:
+                    blocks.append(np.repeat(sender, len(section[0])))
+                keys.append(section[0])
+                columns.append(own)
+        asked.append((np.concatenate(keys), np.concatenate(blocks), [together(list(c)) for c in zip(*columns)]))
+        lengths.append(np.concatenate([[0], np.cumsum(sizes)]))
+    given, note = work(asked)
+    note = np.asarray(note, dtype="<i8").tobytes()
+    return [
+        join([note, *[join([pack_column(c[at[k] : at[k + 1]]) for c in columns]) if at[k + 1] > at[k] else b"" for columns, at in zip(given, lengths)]])
+        for k in range(len(data))
+    ]
+
+
+def _gathered(answers: list[bytes], sizes: list[list[int]]) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """Answer columns for every section in order of key, and the sum of the notes; ``sizes``: keys of every section in each answered row."""
+    notes, found = np.zeros(0, np.int64), [[] for _ in sizes]
+    for k, data in enumerate(answers):
+        note, *sections = part(data)
+        note = np.frombuffer(note, "<i8")
+        notes = note + notes if len(notes) else note
+        for s, section in enumerate(sections):
+            if section:
+                found[s].append([unpack_column(c, sizes[s][k]) for c in part(section)])
+    return [[together(list(c)) for c in zip(*f)] for f in found], notes
+
+
+def answer(sent: DataFrame, dealt: Deal, work: Work, every: bool = False) -> DataFrame:
+    """(block, bucket, data): what goes back to each block."""
+
+    def bucket(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        bucket, blocks = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
-        return _settled(rows(blocks, [bucket] * len(blocks), work(bucket, blocks, table.column("data").to_pylist())))
-
-    return sent.groupBy("bucket").applyInArrow(run, PACKED)
-
+        return _settled(_rows(table.column("block").to_pylist(), table.column("bucket").to_pylist(), _answered(table.column("data").to_pylist(), work)))
+
+    if dealt.fine <= dealt.bits:
+        return sent.groupBy("bucket").applyInArrow(bucket, PACKED)
+
+    def merged(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[Section], list[np.ndarray]]:
+        """(blocks, their keys in every section, merged sections with the sender's place as first column, order of merging)."""
+        blocks, opened = table.column("block").to_numpy(), [part(d) for d in table.column("data").to_pylist()]
+        sections, orders, counts = [], [], []
+        for s in range(1, len(opened[0])):
+            own = [unpack_section(o[s]) for o in opened]
+            counts.append(np.array([len(o[0]) if o else 0 for o in own]))
+            keys = np.concatenate([np.zeros(0, np.uint64), *[o[0] for o in own if o]])
+            way = np.argsort(keys, kind="stable")
+            member = np.repeat(np.arange(len(own), dtype=np.uint64), counts[-1])
+            columns = [together(list(c)) for c in zip(*[o[1] for o in own if o])]
+            columns = [[c[k] for k in way.tolist()] if isinstance(c, list) else c[way] for c in columns]
+            sections.append((keys[way], [member[way], *columns] if len(own) > 1 else columns))
+            orders.append(way)
+        return blocks, counts, sections, orders
+
+    def fine_shares(table: pa.Table, sections: list[Section]) -> list[tuple[int, list[Section]]]:
+        coarse, more = table.column("bucket")[0].as_py(), dealt.fine - dealt.bits
+        return list(_shares(sections, dealt.fine, coarse << more, ((coarse + 1) << more) - 1, every))
+
+    def onward(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        blocks, _, sections, _ = merged(table)
+        unit = table.column("unit")[0].as_py()
+        shares = fine_shares(table, sections)
+        return _settled(_rows([unit] * len(shares), [b for b, _ in shares], [_packed(blocks, s) for _, s in shares]))
+
+    def back(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _rows([], [], [])
+        table = table.sort_by("block")
+        blocks, counts, sections, orders = merged(table)
+        shares = fine_shares(table, sections)
+        columns, note = _gathered(answers.sort_by("bucket").column("data").to_pylist(), [[len(s[k][0]) for _, s in shares] for k in range(len(sections))])
+        ends = [np.concatenate([[0], np.cumsum(c)]) for c in counts]
+        for s, way in enumerate(orders):
+            for c, values in enumerate(columns[s]):
+                columns[s][c] = np.empty_like(values)
+                columns[s][c][way] = values
+        out = [
+            join([note.astype("<i8").tobytes(), *[join([pack_column(v[at[k] : at[k + 1]]) for v in own]) if at[k + 1] > at[k] else b"" for own, at in zip(columns, ends)]])
+            for k in range(len(blocks))
+        ]
+        return _settled(_rows(blocks.tolist(), table.column("bucket").to_pylist(), out))
+
+    group = F.pmod(F.xxhash64("block"), F.lit(dealt.groups))
+    units = sent.withColumn("unit", F.shiftleft(group, dealt.bits) + F.col("bucket"))
+    answers = units.groupBy("unit").applyInArrow(onward, PACKED).groupBy("bucket").applyInArrow(bucket, PACKED)
+    return units.groupBy("unit").cogroup(answers.groupBy("block")).applyInArrow(back, PACKED)
+
+
+def finish(docs: DataFrame, answers: DataFrame, work: Callable[[pa.Table, Callable], pa.Table], schema) -> DataFrame:
+    """``work(documents of a block in order of id, got)`` gives the result's rows.
+
+    ``got(sections, dealt, every, kind)`` takes what the block sent and gives the answer columns of every section and the sum of the
+    notes. Answers of several exchanges may be united in ``answers``, told apart by a column ``kind``.
+    """
 
-def finish(docs: DataFrame, answers: DataFrame, work: Callable[[int, pa.Table, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """``work(block, its documents in order of id, answers by bucket)`` gives the result's rows."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return work(-1, left, {})
-        got = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist())) if right.num_rows else {}
-        return _settled(work(left.column("block")[0].as_py(), left.sort_by("id"), got))
-
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+        def got(sections: list[Section], dealt: Deal, every: bool = False, kind: int = 0) -> tuple[list[list[np.ndarray]], np.ndarray]:
+            own = right.filter(pc.equal(right.column("kind"), kind)) if "kind" in right.column_names else right
+            own = own.sort_by("bucket")
+            shares = list(_shares(sections, dealt.bits, 0, (1 << dealt.bits) - 1, every)) if own.num_rows else []
+            if own.column("bucket").to_pylist() != [b for b, _ in shares]:
+                raise ValueError("answers don't fit what was sent")
+            return _gathered(own.column("data").to_pylist(), [[len(s[k][0]) for _, s in shares] for k in range(len(sections))])
 
+        return _settled(work(left.sort_by("id"), got))
 
-def ids(table: pa.Table) -> pa.Array:
-    """The ids again, null where they were null."""
-    values = table.column("id").combine_chunks()
-    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
-    at = values.to_numpy(zero_copy_only=False)
-    return pa.array(at, pa.int64(), mask=at == LAST_ID)
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -75,21 +75,13 @@ class Block:
         self.short, self.place, self.count = np.unique(self.key >> np.uint64(64 - RARITY_BITS), return_inverse=True, return_counts=True)
 
 
-def _counts(values: np.ndarray) -> bytes:
-    return np.minimum(values, 65535).astype("<u2").tobytes()
-
-
-def rarity(bucket: int, blocks: list[int], data: list[bytes]) -> list[bytes]:
+def rarity(asked: list[tuple[np.ndarray, np.ndarray, list]]) -> tuple[list[list[np.ndarray]], list[int]]:
     """For each shingle sent: in how many documents it is."""
-    keys, counts = [], []
-    for packed in data:
-        key, count = exchange.part(packed)
-        keys.append(exchange.unpack(key))
-        counts.append(np.frombuffer(count, "<u2").astype(np.int64))
-    ends = np.cumsum([0, *map(len, keys)])
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)[place]
-    return [_counts(total[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+    keys, _, columns = asked[0]
+    if not len(keys):
+        return [[]], ()
+    _, place = np.unique(keys, return_inverse=True)
+    return [[np.bincount(place, weights=columns[0]).astype(np.int64)[place]]], ()
 
 
 def entered(own: Block, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,20 +214,16 @@ LINKS = "a long, b long"
 def shingled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, carry: Sequence[str] = ()) -> DataFrame:
     """(id, n, lo, hi, regions array<long>, set binary, carry if any): regions and set only where a partner is possible; checkpointed."""
     rows, blocks, total = exchange.blocked(docs, id_col, text_col, carry)
-    bits = exchange.bucket_bits(total / 6 * 4, total / blocks / 6)
+    dealt = exchange.deal(total / 6 * 4, blocks, total / blocks / 6)
     shift = np.uint64(64 - RARITY_BITS)
 
-    def send(block: int, table: pa.Table) -> exchange.Packed:
-        own = Block(table, size)
-        bounds = exchange.ranges(own.short << shift, bits)
-        return [
-            (b, exchange.join([exchange.pack(own.short[i:j]), _counts(own.count[i:j])]))
-            for b, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if j > i
-        ]
+    def shingles_of(own: Block) -> list[exchange.Section]:
+        return [(own.short << shift, [own.count])]
 
-    def enter(block: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
+    def enter(table: pa.Table, got) -> pa.Table:
         own = Block(table, size)
-        frequency = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(got[b], "<u2").astype(np.int64) for b in sorted(got))])[own.place]
+        found = got(shingles_of(own), dealt)[0][0]
+        frequency = found[0].astype(np.int64)[own.place] if found else np.zeros(0, np.int64)
         able, region = entered(own, frequency, percent)
         n = np.diff(own.bounds)
         total = lambda salt: np.add.reduceat(np.append(mix(own.key ^ np.uint64(salt)), np.uint64(0)), own.bounds[:-1]).view(np.int64) if len(n) else np.zeros(0, np.int64)
@@ -245,13 +233,13 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
             sets.append(own.key[i:j].astype("<u8").tobytes() if able[r] else None)
         return pa.table(
             {
-                "id": exchange.ids(table), "n": pa.array(n, pa.int64()), "lo": pa.array(total(0)), "hi": pa.array(total(CHECK_BASE)),
+                "id": table.column("id"), "n": pa.array(n, pa.int64()), "lo": pa.array(total(0)), "hi": pa.array(total(CHECK_BASE)),
                 "regions": pa.array(regions, pa.list_(pa.int64())), "set": pa.array(sets, pa.binary()),
             }
             | ({"carry": table.column("carry")} if carry else {})
         )
 
-    answers = exchange.answer(exchange.send(rows, send), rarity)
+    answers = exchange.answer(exchange.send(rows, dealt, lambda table: shingles_of(Block(table, size))), dealt, rarity)
     found = T._parse_datatype_string("id long, n long, lo long, hi long, regions array<long>, set binary").fields
     return cut(exchange.finish(rows, answers, enter, T.StructType(found + ([rows.schema["carry"]] if carry else []))))
 

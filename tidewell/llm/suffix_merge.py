@@ -26,12 +26,11 @@ all others and comes back null; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import exchange
 from .textscan import BYTE_BASE, buffers, chunks, mix, polynomial, texts
@@ -39,13 +38,17 @@ from .textscan import BYTE_BASE, buffers, chunks, mix, polynomial, texts
 LENGTH, GRAM = 50, 24  # GRAM is a multiple of 8
 #: Documents that share a minimizer from which on single windows are sent.
 FREQUENT = 2_000
-#: Bits of a position beside the hash that orders minimizers; a document may have so many bytes.
-PLACE_BITS = 28
+#: Bits of a position beside the hash that orders minimizers; longer texts are scanned in pieces that overlap by a window.
+PLACE_BITS = 27
 SHARDS = 4
+#: Strings that a packed row should hold at least.
+LEAST_STRINGS = 32
 #: Smaller than usual: besides the text a block holds the strings that it shares.
 BLOCK_BYTES = 3 << 20
 #: Bytes scanned at a time: the dozen arrays of eight bytes a byte stay in the processor's cache.
 CACHED_BYTES = 1 << 17
+#: Windows of one text that are scanned at a time.
+PIECE = (1 << PLACE_BITS) - 4096
 
 
 class Segments:
@@ -53,17 +56,19 @@ class Segments:
 
     def __init__(self, table: pa.Table, length: int):
         self.text = texts(table.column("text"))
-        self.id = table.column("id").to_numpy()
+        self.id = exchange.order(table)
         self.offsets, self.data = buffers(self.text)
         key, start, count, row = ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
         for i, j, offsets, data in chunks(self.text, CACHED_BYTES):
-            if len(data) < length:
-                continue
-            own = segments(offsets, data, length)
-            key.append(own[0])
-            start.append(own[1] + self.offsets[i])
-            count.append(own[2])
-            row.append(own[3] + i)
+            for at in range(0, max(1, len(data) - length + 1), PIECE):
+                piece = data[at : at + PIECE + length - 1]
+                if len(piece) < length:
+                    continue
+                own = segments(offsets if len(piece) == len(data) else np.array([0, len(piece)]), piece, length)
+                key.append(own[0])
+                start.append(own[1] + at + self.offsets[i])
+                count.append(own[2])
+                row.append(own[3] + i)
         self.key, self.start, self.count, self.row = map(np.concatenate, (key, start, count, row))
         order = np.argsort(self.key, kind="stable")
         ranked = self.key[order]
@@ -302,81 +307,52 @@ def resolve(keys: np.ndarray, ids: np.ndarray, strings: list[bytes], length: int
     return masks
 
 
-def shared(bucket: int, blocks: list[int], data: list[bytes]) -> list[bytes]:
+def shared(asked: list[tuple[np.ndarray, np.ndarray, list]]) -> tuple[list[list[np.ndarray]], list[int]]:
     """For each minimizer sent: 0 held by one document only, 1 by several, 2 by very many."""
-    keys, counts = [], []
-    for packed in data:
-        key, count = exchange.part(packed)
-        keys.append(exchange.unpack(key))
-        counts.append(np.frombuffer(count, np.uint8).astype(np.int64))
-    ends = np.cumsum([0, *map(len, keys)])
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts))[place]
-    flags = ((total > 1).astype(np.uint8) + (total > FREQUENT)).astype(np.uint8)
-    return [flags[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
+    keys, _, columns = asked[0]
+    if not len(keys):
+        return [[]], ()
+    _, place = np.unique(keys, return_inverse=True)
+    total = np.bincount(place, weights=columns[0])[place]
+    return [[(total > 1).astype(np.uint8) + (total > FREQUENT)]], ()
+
+
+def merge(asked: list[tuple[np.ndarray, np.ndarray, list]], length: int) -> tuple[list[list[np.ndarray]], list[int]]:
+    """For each string sent, a bit for each of its windows; documents stand in order of (rank, id)."""
+    keys, blocks, columns = asked[0]
+    if not len(keys):
+        return [[]], ()
+    ids, strings = columns
+    rank = exchange.ranks(blocks)
+    way = np.lexsort((ids, rank))
+    place = np.empty(len(way), dtype=np.int64)
+    place[way] = np.cumsum(np.append(0, (rank[way][1:] != rank[way][:-1]) | (ids[way][1:] != ids[way][:-1])))
+    return [[resolve(keys, place, strings, length)]], ()
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Returns (id, n_bytes, n_removed, kept binary, spans array<struct<start, end>>): spans count bytes, end excluded."""
     rows, blocks, total = exchange.blocked(docs, id_col, text_col, block_bytes=BLOCK_BYTES)
-    bits = exchange.bucket_bits(total / 18 * 7, total / blocks / 18)
-    later = exchange.bucket_bits(total, total / blocks / 50, least_keys=256)
+    first = exchange.deal(total / 18 * 7, blocks, total / blocks / 18)
+    later = exchange.deal(total, blocks, total / blocks / 50, least_keys=LEAST_STRINGS)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    def send(block: int, table: pa.Table) -> exchange.Packed:
-        own = Segments(table, length)
-        bounds = exchange.ranges(own.keys, bits)
-        count = np.minimum(own.documents, 255).astype(np.uint8)
-        return [
-            (b, exchange.join([exchange.pack(own.keys[i:j]), count[i:j].tobytes()]))
-            for b, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if j > i
-        ]
-
-    def flags_of(own: Segments, got: dict[int, bytes]) -> np.ndarray:
-        flags = np.zeros(len(own.keys), dtype=np.uint8)
-        bounds = exchange.ranges(own.keys, bits)
-        for b, data in got.items():
-            flags[bounds[b] : bounds[b + 1]] = np.frombuffer(data, np.uint8)
-        return flags
-
-    def send_strings(block: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        if not table.num_rows:
-            return exchange.rows([], [], [])
-        own = Segments(table, length)
-        flags = flags_of(own, got)
-        sent = Candidates(own, flags, length)
-        bounds = exchange.ranges(sent.keys, later).tolist()
-        home = block % (1 << later)
-        out = []
-        for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])):
-            if j > i or b == home:
-                sizes = np.array([len(s) for s in sent.strings[i:j]], dtype="<u4")
-                echo = zlib.compress(flags.tobytes(), 1) if b == home else b""
-                out.append((b, exchange.join([exchange.pack(sent.keys[i:j]), sent.ids[i:j].tobytes(), sizes.tobytes(), zlib.compress(b"".join(sent.strings[i:j]), 1), echo])))
-        return exchange.rows([block] * len(out), [b for b, _ in out], [d for _, d in out])
-
-    def merge(bucket: int, blocks: list[int], data: list[bytes]) -> list[bytes]:
-        keys, ids, strings, echoes, ends = [], [], [], [], [0]
-        for packed in data:
-            key, own_ids, sizes, string, echo = exchange.part(packed)
-            keys.append(exchange.unpack(key))
-            ids.append(np.frombuffer(own_ids, "<i8"))
-            at = [0, *np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()]
-            string = zlib.decompress(string)
-            strings += [string[a:b] for a, b in zip(at[:-1], at[1:])]
-            ends.append(len(strings))
-            echoes.append(echo)
-        masks = resolve(np.concatenate(keys), np.concatenate(ids), strings, length) if strings else np.zeros(0, np.uint64)
-        return [exchange.join([masks[i:j].tobytes(), echo]) for i, j, echo in zip(ends[:-1], ends[1:], echoes)]
-
-    def cut_out(block: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
+    def minimizers(own: Segments) -> list[exchange.Section]:
+        return [(own.keys, [own.documents])]
+
+    def candidates(table: pa.Table, got) -> tuple[Segments, Candidates]:
         own = Segments(table, length)
-        flags, parts = np.zeros(len(own.keys), dtype=np.uint8), {b: exchange.part(d) for b, d in got.items()}
-        for _, echo in parts.values():
-            if echo:
-                flags = np.frombuffer(zlib.decompress(echo), np.uint8)
-        sent = Candidates(own, flags, length)
-        masks = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(parts[b][0], np.uint64) for b in sorted(parts))])
+        found = got(minimizers(own), first, kind=0)[0][0]
+        return own, Candidates(own, found[0].astype(np.uint8) if found else np.zeros(0, np.uint8), length)
+
+    def strings_of(table: pa.Table, got) -> list[exchange.Section]:
+        sent = candidates(table, got)[1]
+        return [(sent.keys, [sent.ids.view(np.uint64) ^ np.uint64(1 << 63), sent.strings])]
+
+    def cut_out(table: pa.Table, got) -> pa.Table:
+        own, sent = candidates(table, got)
+        found = got([(sent.keys, [])], later, kind=1)[0][0]
+        masks = found[0] if found else np.zeros(0, np.uint64)
         edge = np.zeros(len(own.data) + 1, dtype=np.int32)
         if len(sent.start):
             later_one = own.id[sent.row] > sent.ids[sent.entry]
@@ -402,12 +378,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *begins])), pa.array(np.concatenate([none, *ends]))], fields=list(span))
         return pa.table(
             {
-                id_col: exchange.ids(table), "n_bytes": pa.array(np.diff(own.offsets)[: table.num_rows], pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+                id_col: table.column("id"), "n_bytes": pa.array(np.diff(own.offsets)[: table.num_rows], pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                 "kept": pa.array(kept, pa.binary()), "spans": pa.ListArray.from_arrays(pa.array(counts, pa.int32()), spans),
             }
         )
 
-    flagged = exchange.answer(exchange.send(rows, send), shared)
-    strings = exchange.finish(rows, flagged, send_strings, exchange.PACKED)
+    flagged = exchange.answer(exchange.send(rows, first, lambda table: minimizers(Segments(table, length))), first, shared)
+    answered = exchange.answer(exchange.send_on(rows, flagged, later, strings_of), later, lambda asked: merge(asked, length))
+    both = flagged.withColumn("kind", F.lit(0)).unionByName(answered.withColumn("kind", F.lit(1)))
     schema = f"`{id_col}` long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
-    return exchange.finish(rows, exchange.answer(strings, merge), cut_out, schema)
+    return exchange.finish(rows, both, cut_out, schema)

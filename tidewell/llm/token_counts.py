@@ -4,14 +4,18 @@ Offline, once per vocabulary, every vocabulary string is merged on its own; thos
 one token form the *whole* set.  A pre-token in that set is one token and is only counted; merges
 run for the rest, with a memo.
 
-Null texts count as empty (0 tokens).  Only the id and text columns are read.  Special strings of
-the tokenizer inside a text are one token each, as in the library's default.
+Edge cases: null texts count as empty (0 tokens); repeated rows are counted each; a piece of any length takes n log n
+steps, and only pieces of ordinary length stay in the memo; an empty table gives an empty result; only the id and text
+columns are read, so that other names can't clash.  Special strings of the tokenizer inside a text are one token each,
+as in the library's default.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,13 +50,24 @@ class Merges:
         return len(self.split("".join([self.letters[b] for b in piece.encode("utf-8")])))
 
     def split(self, written: str) -> list[str]:
+        """The merges in order of priority, leftmost first: a heap of the pairs that stand next to each other, in n log n steps."""
         parts, rank = list(written), self.rank
-        while len(parts) > 1:
-            best, at = min((rank.get((parts[i], parts[i + 1]), 1 << 40), i) for i in range(len(parts) - 1))
-            if best == 1 << 40:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(rank[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in rank]
+        heapify(heap)
+        while heap:
+            priority, i = heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= len(parts) or rank.get((parts[i], parts[j])) != priority:
+                continue  # one of the two has been merged meanwhile
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < len(parts) and (parts[a], parts[b]) in rank:
+                    heappush(heap, (rank[parts[a], parts[b]], a))
+        return [p for p in parts if p]
 
     def whole(self) -> frozenset[str]:
         """The vocabulary strings, as text, that encode alone as one token."""
@@ -67,6 +82,12 @@ class Merges:
         return frozenset(found)
 
 
+@lru_cache(maxsize=4)
+def whole_tokens(path: str) -> frozenset[str]:
+    """The whole set of a vocabulary file, computed once in a process."""
+    return Merges(path).whole()
+
+
 class Counter:
     def __init__(self, path: str, pattern: str, whole: frozenset[str]):
         self.merges = Merges(path)
@@ -105,7 +126,7 @@ def counter(path: str, pattern: str, whole: frozenset[str]) -> Counter:
 def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns (id, n_bytes, n_tokens). No shuffle; the whole set is broadcast, its size bounded by the vocabulary's."""
     spark = docs.sparkSession
-    proven = spark.sparkContext.broadcast(Merges(path).whole())
+    proven = spark.sparkContext.broadcast(whole_tokens(path))
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,8 @@
 """Substring dedup by Rabin-Karp hashes of every window of ``size`` words, counted in Spark.
 
 Hashes roll over the words of a block by prefix sums (80 bits of two polynomials).  A block sends its
-distinct hashes, sorted and packed, to the bucket of their range; the bucket counts the blocks that
-hold each and answers which were seen in an earlier block, one bit a hash.  Blocks are ranges of
+distinct hashes, sorted and packed, to the bucket of their range; the bucket counts the ranks of ids that
+hold each and answers which were seen in a lower rank, one bit a hash.  Ranks are ranges of
 document ids, so such a window starts in a smaller document; windows that repeat inside one block
 are resolved there.  Repeated windows merge into maximal intervals of words, which are removed.
 Windows are judged on the input, not on what is left.
@@ -36,7 +36,7 @@ class Block:
 
     def __init__(self, table: pa.Table, size: int):
         self.text = texts(table.column("text"))
-        self.id = table.column("id").to_numpy()
+        self.id = exchange.order(table)
         keys, checks, at, row, start, end, counts, n = [], [], [], [], [], [], [], 0
         origin = buffers(self.text)[0]
         for i, j, offsets, data in chunks(self.text):
@@ -74,40 +74,22 @@ class Block:
         return np.cumsum(edge)[: len(self.row)] > 0
 
 
-def send_windows(size: int, bits: int):
-    def work(block: int, table: pa.Table) -> exchange.Packed:
-        own = Block(table, size)
-        bounds = exchange.ranges(own.keys, bits)
-        return [
-            (b, exchange.join([exchange.pack(own.keys[i:j]), own.checks[i:j].tobytes()]))
-            for b, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-            if j > i
-        ]
-
-    return work
-
-
-def seen_earlier(bucket: int, blocks: list[int], data: list[bytes]) -> list[bytes]:
-    """For each block a bit for each of its windows: whether a block before it holds the window too."""
-    keys, checks = [], []
-    for packed in data:
-        key, check = exchange.part(packed)
-        keys.append(exchange.unpack(key))
-        checks.append(np.frombuffer(check, CHECK))
-    sizes = np.cumsum([0, *map(len, keys)])
-    key, check = np.concatenate(keys), np.concatenate(checks)
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    same = np.zeros(len(key), dtype=bool)
-    same[1:] = ranked[1:] == ranked[:-1]
+def seen_earlier(asked: list[tuple[np.ndarray, np.ndarray, list]]) -> tuple[list[list[np.ndarray]], list[int]]:
+    """For each window sent: whether a block of a lower rank holds it too."""
+    key, blocks, columns = asked[0]
     again = np.zeros(len(key), dtype=bool)
-    # Runs of one key: a window was seen before if an earlier one of the run has its check too.
-    run = np.flatnonzero(same | np.append(same[1:], False))
-    if len(run):
-        fine = np.lexsort((order[run], check[order[run]], ranked[run]))
-        at = order[run][fine]
-        again[at[1:]] = (key[at[1:]] == key[at[:-1]]) & (check[at[1:]] == check[at[:-1]])
-    return [np.packbits(again[i:j]).tobytes() for i, j in zip(sizes[:-1], sizes[1:])]
+    if len(key):
+        check, rank = columns[0], exchange.ranks(blocks)
+        way = np.argsort(key, kind="stable")
+        same = key[way[1:]] == key[way[:-1]]
+        # Only runs of one key need their checks and ranks in order.
+        run = way[np.append(same, False) | np.append(False, same)]
+        fine = run[np.lexsort((rank[run], check[run], key[run]))]
+        if len(fine):
+            first = np.append(True, (key[fine[1:]] != key[fine[:-1]]) | (check[fine[1:]] != check[fine[:-1]]))
+            least = rank[fine[first]][np.cumsum(first) - 1]
+            again[fine] = rank[fine] > least
+    return [[again]], ()
 
 
 def kept_texts(own: Block, gone: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -137,16 +119,17 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Columns named in ``carry`` come back in a last column ``carry``, a struct.
     """
     rows, blocks, total = exchange.blocked(docs, id_col, text_col, carry)
-    bits = exchange.bucket_bits(total / 6 * 8, total / blocks / 6)
+    dealt = exchange.deal(total / 6 * 8, blocks, total / blocks / 6)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    def cut_out(block: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
+    def windows_of(table: pa.Table) -> list[exchange.Section]:
+        own = Block(table, size)
+        return [(own.keys, [own.checks])]
+
+    def cut_out(table: pa.Table, got) -> pa.Table:
         own = Block(table, size)
-        earlier = np.zeros(len(own.keys), dtype=bool)
-        bounds = exchange.ranges(own.keys, bits)
-        for bucket, data in got.items():
-            i, j = int(bounds[bucket]), int(bounds[bucket + 1])
-            earlier[i:j] = np.unpackbits(np.frombuffer(data, np.uint8), count=j - i)
+        found = got([(own.keys, [own.checks])], dealt)[0][0]
+        earlier = found[0].astype(bool) if found else np.zeros(len(own.keys), dtype=bool)
         gone = own.covered(earlier, size)
         kept, removed = kept_texts(own, gone)
         first = np.concatenate([[0], np.cumsum(own.counts)])
@@ -158,12 +141,12 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bounds = np.searchsorted(own.row[begins] if len(begins) else begins, np.arange(len(own.id) + 1)).astype(np.int32)
         return pa.table(
             {
-                "id": exchange.ids(table), "n_words": pa.array(own.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+                "id": table.column("id"), "n_words": pa.array(own.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                 "kept_text": pa.array(kept, pa.string()), "spans": pa.ListArray.from_arrays(pa.array(bounds), spans),
             }
             | ({"carry": table.column("carry")} if carry else {})
         )
 
-    answers = exchange.answer(exchange.send(rows, send_windows(size, bits)), seen_earlier)
+    answers = exchange.answer(exchange.send(rows, dealt, windows_of), dealt, seen_earlier)
     schema = T.StructType(T._parse_datatype_string(RESULT).fields + ([rows.schema["carry"]] if carry else []))
     return exchange.finish(rows, answers, cut_out, schema).withColumnRenamed("id", id_col)
