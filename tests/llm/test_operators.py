@@ -305,7 +305,7 @@ def test_packing():
         high = np.unique(keys & np.uint64(0xFFFFFFFF00000000))  # low bits that all lack take no room
         assert (exchange.unpack(exchange.pack(high)) == high).all() and len(exchange.pack(high)) <= 10 + 4 * n
     assert exchange.part(exchange.join([b"", b"ab", b"c"])) == [b"", b"ab", b"c"]
-    for values in ([0, 1, 1], [0, 255], [300], [1 << 40], [], [(1 << 64) - 1]):
+    for values in ([0, 1, 1], [0, 255], [300], [1 << 40], [], [(1 << 64) - 1], [1, 2, 3] * 9 + [255, 1 << 50]):
         column = np.array(values, dtype=np.uint64)
         assert (exchange.unpack_column(exchange.pack_column(column), len(values)) == column).all()
     assert exchange.unpack_column(exchange.pack_column([b"", b"xy", b"z"]), 3) == [b"", b"xy", b"z"]
@@ -359,7 +359,7 @@ def test_deal_keeps_buckets_and_rows():
 
 @pytest.mark.parametrize("together", [800, 4])
 def test_jaccard_join(spark, small_blocks, monkeypatch, together):
-    monkeypatch.setattr(jaccard_join, "TOGETHER", together)  # 4: groups are dealt into rings
+    monkeypatch.setattr(jaccard_join, "TOGETHER", together)  # 4: regions are divided by pivots in Spark
     rng = random.Random(8)
     base = rng.choices(H.vocabulary(rng, 500), k=300)
     rows = H.corpus(3)
@@ -390,6 +390,47 @@ def test_jaccard_id_with_two_texts(spark):
     assert got == [(2, 37, 2), (5, 36, 2), (5, 36, 5), (7, 36, 2), (8, 37, 5), (9, 36, 5)]
 
 
+@pytest.mark.parametrize("kind", ["edits of one text", "mixtures", "clusters"])
+def test_large_regions_are_divided(spark, monkeypatch, kind):
+    """Regions larger than a task: dense ones, where pivots link most; mixtures, all about equally far from each other; and clusters."""
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 24)
+    rng = random.Random(11)
+    base, rows = [f"b{k}" for k in range(120)], []
+    pool = [[f"s{j}x{k}" for k in range(12)] for j in range(14)]
+    centres = [[f"c{j}x{k}" for k in range(90)] for j in range(6)]
+    for i in range(170):
+        if kind == "edits of one text":
+            own = list(base)
+            for _ in range(rng.randint(0, 4)):
+                own[rng.randrange(120)] = rng.choice(["e1", "e2", "e3"])
+        elif kind == "mixtures":
+            own = ["rare", "phrase", "in", "every", "text", "here"] + sum(rng.sample(pool, 7), [])
+        else:
+            own = base[:30] + centres[i % 6]
+            own[rng.randrange(30, 120)] = f"d{rng.randint(0, 3)}"
+        rows.append((i, " ".join(own)))
+    sizes, expected = H.jaccard(rows)
+    divided = []
+    real = jaccard_join.divide
+    monkeypatch.setattr(jaccard_join, "divide", lambda *a: divided.append(1) or real(*a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(H.frame(spark, rows)).collect()}
+    assert got == {i: (sizes[i], expected[i]) for i in sizes} and divided
+
+
+def test_a_shared_phrase_makes_no_large_region(spark, monkeypatch):
+    """5,000 texts, each with one near copy, share a phrase: pairs meet, not all."""
+    rng = random.Random(12)
+    phrase, rows = [f"p{k}" for k in range(30)], []
+    for i in range(2500):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(40)]
+        rows += [(2 * i, " ".join(phrase + own)), (2 * i + 1, " ".join(phrase + own[:-1] + ["end"]))]
+    pairs = []
+    real = jaccard_join.joined_regions
+    monkeypatch.setattr(jaccard_join, "joined_regions", lambda cells, percent: pairs.append(cells.groupBy("cell").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]) or real(cells, percent))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(H.frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(5000)} and pairs[0] <= 5000
+
+
 def test_metric_join_in_memory():
     rng = random.Random(5)
     sets = []
@@ -403,6 +444,7 @@ def test_metric_join_in_memory():
             sets.append(np.array(sorted(own), dtype=np.uint64))
     own = jaccard_join.Join(sets, 80)
     own.run(np.arange(len(sets)), np.zeros(0, np.int64))
+    assert own.compared < len(sets) ** 2 / 6  # pivots and windows spare most pairs
     plain = [set(s.tolist()) for s in sets]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])]
     assert H.classes(range(len(sets)), own.edges) == H.classes(range(len(sets)), links)

@@ -201,13 +201,19 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_column(values: np.ndarray | list[bytes]) -> bytes:
-    """Numbers from 0 in the narrowest of 1 bit and 1, 2, 4 or 8 bytes; strings as their sizes and one compressed whole."""
+    """Numbers from 0 in 1 bit, or in 1, 2, 4 or 8 bytes; few numbers from 255 on stand behind the others, which are compressed.
+
+    Strings are packed as their sizes and one compressed whole.
+    """
     if isinstance(values, list):
         return b"\x09" + join([pack_column(np.array([len(v) for v in values], dtype=np.uint64)), zlib.compress(b"".join(values), 1)])
     top = int(values.max()) if len(values) else 0
     if top <= 1:
-        return b"\x00" + np.packbits(values.astype(bool)).tobytes()
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+        return b"\x00" + zlib.compress(np.packbits(values.astype(bool)).tobytes(), 1)
+    large = values >= 255
+    if 10 * np.count_nonzero(large) <= len(values):
+        return b"\x01" + join([zlib.compress(np.where(large, 255, values).astype(np.uint8).tobytes(), 1), values[large].astype("<u8").tobytes()])
+    width = next(w for w in (2, 4, 8) if top < 1 << (8 * w))
     return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
@@ -219,7 +225,12 @@ def unpack_column(data: bytes, n: int) -> np.ndarray | list[bytes]:
         whole = zlib.decompress(whole)
         return [whole[a:b] for a, b in zip(ends[:-1], ends[1:])]
     if not width:
-        return np.unpackbits(np.frombuffer(data, np.uint8, offset=1), count=n).astype(np.uint64)
+        return np.unpackbits(np.frombuffer(zlib.decompress(data[1:]), np.uint8), count=n).astype(np.uint64)
+    if width == 1:
+        small, large = part(data[1:])
+        values = np.frombuffer(zlib.decompress(small), np.uint8).astype(np.uint64)
+        values[values == 255] = np.frombuffer(large, "<u8")
+        return values
     return np.frombuffer(data, f"<u{width}", n, 1).astype(np.uint64)
 
 

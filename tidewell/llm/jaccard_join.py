@@ -1,26 +1,32 @@
-"""N-gram Jaccard join in the metric space of shingle sets, by pivots, windows and recursion.
+"""N-gram Jaccard join in the metric space of shingle sets, by pivots, Voronoi regions, windows and recursion.
 
 Jaccard distance 1 - |x & y| / |x | y| is a metric, so pivots cut the space into Voronoi regions: if
-x is nearest to pivot p and y to q and d(x, y) <= r, then d(x, q) <= d(x, p) + 2 r, and a document
-that is replicated into every region within that window meets all its partners.
-
-On whole corpora nearly all documents are at distance 1 from any document, where such windows exclude
-nothing.  The first level therefore takes single shingles as pivots: d(x, {s}) is 1 - 1/|x| if x
-holds s and 1 if not, so x lies nearest to its own shingles, in a fixed order with the rarest first,
-and the overlap that d(x, y) <= r demands makes it enough to enter the first |x| - ceil((1-r)|x|) + 1
-of them.  Shingles of one document only are regions with nobody else in them: a document with enough
-of those has no partner, and most end here.  Regions that share a document hang together; what hangs
-together is then joined exactly, with documents as pivots and triangle-inequality windows,
-recursively.  Large ones are dealt into rings around a pivot; rings further apart than r don't meet.
+x is nearest to pivot p and y to q and d(x, y) <= r, then d(x, q) <= d(x, p) + 2 r and d(x, q) lies within r of
+the ring of distances that q's documents have, and a document that is replicated into every region within those
+windows meets all its partners.
+
+1. Who may have a partner at all: by the overlap that d(x, y) <= r demands, partners share one of their first
+   |x| - ceil((1-r)|x|) + 1 shingles, the rarest first.  Documents without a shared one there end here.
+2. Regions of pivot documents: the pivot of a shared shingle is the document of the smallest number that
+   holds it there; a document belongs to the region of each of its shingles' pivots (few, as the
+   smallest number is mostly the same).  Partners have a pivot in common, so that regions are joined
+   independently of each other, and only documents that share a rare shingle come together: no
+   chains.
+3. Inside a region, pivots, windows and recursion.  Regions that fit a task do it there (``Join``).
+   Larger ones are split in Spark (``divide``): sampled pivots, each document in the region of the nearest, or in
+   the remote one if all pivots are further than 1 - r; documents linked to a pivot take its label, and
+   documents of one label needn't be compared any more, as connected ones are all that's asked for.
+   A region that pivots don't divide (all distances alike) is dealt into parts: those not labelled
+   like the most, in blocks, against all.
 
 Document frequencies come from the packed exchange of blocks and buckets, so a shingle of a third of
 all documents costs one key a block.  Identical sets are one vertex.  Links are decided by exact
 integer comparison of set sizes (of 64-bit shingle hashes).
 
 Edge cases: documents without a word have no shingle and link with nothing; with one to four words the
-whole sequence is the only shingle; repeated rows are linked to each other like copies; rows that share an
-id but not the set are documents of their own, each in the group of its set; null ids come back null, and
-such rows are linked with nothing; an empty table gives an empty result; other columns
+whole sequence is the only shingle; a text of any length is taken whole; repeated rows are linked to each other like
+copies; rows that share an id but not the set are documents of their own, each in the group of its set; null ids come
+back null, and such rows are linked with nothing; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -42,11 +48,12 @@ from .textscan import CHECK_BASE, WORD_BASE, Words, chunks, mix, polynomial, tex
 SIZE, PERCENT = 5, 80
 #: Only so many leading bits of a shingle's hash are exchanged; a clash makes a shingle look more frequent, no more.
 RARITY_BITS = 40
-#: Distinct sets that hang together and are joined in one task; larger groups are dealt into rings.
+#: Distinct sets of a region that are joined in one task; larger regions are divided first.
 TOGETHER = 800
-#: Width of a ring in distance.
-RING = 0.05
-PIVOTS, LEAF = 8, 48
+#: Pivots of a region, and sets that are compared without more pivots.
+PIVOTS, LEAF = 8, 16
+#: A region that holds more than this share of the one it came from isn't divided again.
+STUCK = 0.8
 
 
 class Block:
@@ -126,11 +133,14 @@ class Sets:
 class Join:
     """Exact join of sets that fit one task; links are kept as a forest."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None):
+    def __init__(self, sets: list[np.ndarray], percent: int, label: np.ndarray | None = None):
         self.sets, self.percent, self.radius = Sets(sets), percent, 1 - percent / 100 + 1e-9
+        self.compared = 0
         self.root = np.arange(len(sets))
+        if label is not None:  # those of one label are connected already
+            _, first, place = np.unique(label, return_index=True, return_inverse=True)
+            self.root = first[place]
         self.edges: list[tuple[int, int]] = []
-        self.apart = apart  # 0 and 1: only pairs of both kinds need be looked at
 
     def link(self, one: int, others: np.ndarray) -> None:
         for other in others.tolist():
@@ -144,11 +154,10 @@ class Join:
         for k, one in enumerate(home.tolist()):
             others = np.concatenate([home[k + 1 :], visitors])
             others = others[self.root[others] != self.root[one]]
-            if self.apart is not None:
-                others = others[self.apart[others] != self.apart[one]]
             n, m = self.sets.sizes[one], self.sets.sizes[others]
             others = others[(100 * m >= self.percent * n) & (100 * n >= self.percent * m)]
             if len(others):
+                self.compared += len(others)
                 _, linked = self.sets.compare(one, others, self.percent)
                 self.link(one, others[linked])
 
@@ -162,11 +171,9 @@ class Join:
         # Pivots: the first, then always the one farthest from those chosen.
         pivots, distance = [int(home[0])], []
         for _ in range(PIVOTS):
+            self.compared += len(both)
             d, linked = self.sets.compare(pivots[-1], both, self.percent)
-            if self.apart is None:
-                self.link(pivots[-1], both[linked])
-            else:
-                self.link(pivots[-1], both[linked & (self.apart[both] != self.apart[pivots[-1]])])
+            self.link(pivots[-1], both[linked])
             distance.append(d)
             nearest = np.min(distance, axis=0)
             far = int(np.argmax(nearest[: len(home)]))
@@ -174,14 +181,18 @@ class Join:
                 break
             pivots.append(int(home[far]))
         d = np.array(distance)
-        region = np.argmin(d, axis=0)
-        least = d[region, np.arange(len(both))]
+        least, last = d.min(axis=0), len(d)
+        region = np.where(least < 1 - self.radius, d.argmin(axis=0), last)  # the last one is remote from all pivots
         is_home = np.arange(len(both)) < len(home)
-        for p in range(len(d)):
+        for p in range(last + 1):
             own = is_home & (region == p)
             if not own.any():
                 continue
-            window = (d[p] <= least + 2 * self.radius) & (d[p] <= d[p][own].max() + self.radius) & (d[p] >= d[p][own].min() - self.radius)
+            if p < last:
+                window = (d[p] <= d[p][own].max() + self.radius) & (d[p] >= d[p][own].min() - self.radius)
+                window &= (region == last) | (d[p] <= least + 2 * self.radius)
+            else:
+                window = least >= 1 - 2 * self.radius
             guests = window & ~own & (~is_home | (region > p))
             h, v = both[own], both[guests]
             if len(h) + len(v) > 0.8 * len(both):
@@ -191,18 +202,17 @@ class Join:
 
 
 def join_together(table: pa.Table, percent: int) -> pa.Table:
-    """Links inside each group of one bucket: rows (together, side, rep, set)."""
+    """Links inside each region of one bucket: rows (cell, side, rep, label, set). Side 1 are guests, who are joined with those at home only."""
     a, b = [], []
-    groups = table.column("together").to_numpy()
-    order = np.lexsort((table.column("rep").to_numpy(), groups))
-    rep, side = table.column("rep").to_numpy()[order], table.column("side").to_numpy()[order]
+    cells = table.column("cell").to_numpy()
+    order = np.lexsort((table.column("rep").to_numpy(), cells))
+    rep, side, label = (table.column(c).to_numpy()[order] for c in ("rep", "side", "label"))
     sets = table.column("set").take(pa.array(order)).to_pylist()
-    bounds = np.flatnonzero(np.append(True, np.diff(groups[order]) != 0)).tolist() + [len(order)]
+    bounds = np.flatnonzero(np.append(True, np.diff(cells[order]) != 0)).tolist() + [len(order)]
     for i, j in zip(bounds[:-1], bounds[1:]):
         if j - i > 1:
-            kinds = side[i:j]
-            own = Join([np.frombuffer(s, "<u8") for s in sets[i:j]], percent, kinds if kinds.any() else None)
-            own.run(np.arange(j - i), np.zeros(0, np.int64))
+            own = Join([np.frombuffer(s, "<u8") for s in sets[i:j]], percent, label[i:j])
+            own.run(np.flatnonzero(side[i:j] == 0), np.flatnonzero(side[i:j] == 1))
             a += [int(rep[i + x]) for x, _ in own.edges]
             b += [int(rep[i + y]) for _, y in own.edges]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -244,57 +254,128 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     return cut(exchange.finish(rows, answers, enter, T.StructType(found + ([rows.schema["carry"]] if carry else []))))
 
 
-def ring_pairs(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links with the pivot, rows (together, side, rep, set)) of groups too large for one task.
+def regions_of(distinct: DataFrame) -> DataFrame:
+    """(cell, rep): for (rep, regions), the documents of each pivot document's region; ``cell`` is the pivot's rep."""
+    entered = distinct.select("rep", F.explode("regions").alias("s"))
+    pivots = entered.groupBy("s").agg(F.min("rep").alias("cell"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "cell")
+    return entered.join(pivots, "s").select("cell", "rep").distinct()
 
-    The pivot is the group's first set; rings are ranges of the distance to it, cut into parts of
-    TOGETHER / 2 sets.  Parts meet if their rings are within the radius.  Sets within half the radius of
-    the pivot are linked with each other for certain, and through the pivot connected already.
-    """
-    pivots = large.groupBy("together").agg(F.min("rep").alias("pivot")).join(
-        large.select(F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), "pivot"
+
+def measured(percent: int):
+    """Distances of documents (left) to their region's pivots (right): who is linked, and whose region is nearest, after the last if remote."""
+    radius = 1 - percent / 100
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("rep")
+        sets = [np.frombuffer(s, "<u8") for s in right.column("set").to_pylist() + left.column("set").to_pylist()]
+        k, n = right.num_rows, left.num_rows
+        own, others = Sets(sets), np.arange(k, k + n)
+        d, linked = zip(*[own.compare(p, others, percent) for p in range(k)]) if n else ([np.zeros(0)] * k, [np.zeros(0, bool)] * k)
+        d, linked = np.array(d), np.array(linked)
+        near = d.argmin(axis=0)
+        region = np.where(d.min(axis=0) < 1 - radius, near, k)
+        flat = pa.array(d.T.reshape(-1)), pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
+        at = [np.flatnonzero(row).tolist() for row in linked.T]
+        return pa.table(
+            {
+                **{c: left.column(c) for c in ("cell", "side", "rep", "label", "set", "n")},
+                "region": pa.array(region.astype(np.int32)), "d": pa.ListArray.from_arrays(flat[1], flat[0]), "linked": pa.array(at, pa.list_(pa.int32())),
+                "pivots": pa.array([right.column("rep").to_pylist() if x else None for x in at], pa.list_(pa.int64())),
+            }
+        )
+
+    return run
+
+
+def merged_pivots(table: pa.Table) -> pa.Table:
+    """(cell, p, q), pivots linked to one document, -> (cell, p, root)."""
+    p, q = table.column("p").to_numpy(), table.column("q").to_numpy()
+    root = np.arange(max(p.max(), q.max()) + 1)
+    for a, b in zip(p.tolist(), q.tolist()):
+        low, high = sorted((root[a], root[b]))
+        root[root == high] = low
+    own = np.unique(np.concatenate([p, q]))
+    cell = table.column("cell")[0].as_py()
+    return pa.table({"cell": pa.array([cell] * len(own), pa.int64()), "p": pa.array(own.astype(np.int32)), "root": pa.array(root[own].astype(np.int32))})
+
+
+def divide(state: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(links, smaller regions) of regions (cell, side, rep, label, set, n) too large for a task; side 1 are guests."""
+    radius = 1 - percent / 100 + 1e-9
+    key = F.xxhash64("rep", F.lit(depth))
+    home = state.where("side = 0")
+    drawn = home.where(F.pmod(key, F.lit(1 << 30)) < F.lit(PIVOTS * float(1 << 30)) / F.col("n")).select("cell", "rep", "set", "n")
+    least = home.groupBy("cell").agg(F.min_by(F.struct("rep", "set", "n"), key).alias("one")).select("cell", "one.*")
+    pivots = drawn.unionByName(least).dropDuplicates(["cell", "rep"])
+    parts = F.ceil(F.col("n") / TOGETHER).cast("int")
+    left = state.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    right = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(*[F.col(c).alias(c) for c in ("cell", "part", "rep", "set")])
+    far = cut(
+        left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(
+            measured(percent), "cell long, side int, rep long, label long, set binary, n long, region int, d array<double>, linked array<int>, pivots array<long>"
+        )
     )
-    measured = large.join(pivots, "together")
-
-    def distance(batches):
-        for batch in batches:
-            same, size, pivot_size = [], [], []
-            known: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-            for own, pivot in zip(batch.column("set").to_pylist(), batch.column("pivot_set").to_pylist()):
-                if pivot != known[0]:
-                    known = pivot, np.frombuffer(pivot, "<u8")
-                values = np.frombuffer(own, "<u8")
-                at = np.minimum(np.searchsorted(known[1], values), len(known[1]) - 1)
-                same.append(int((known[1][at] == values).sum()))
-                size.append(len(values))
-                pivot_size.append(len(known[1]))
-            same, union = np.array(same, dtype=np.int64), np.array(size, dtype=np.int64) + np.array(pivot_size, dtype=np.int64)
-            union -= same
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("together"), batch.column("rep"), batch.column("set"), batch.column("pivot"), pa.array(1.0 - same / union), pa.array(100 * same >= percent * union)],
-                ["together", "rep", "set", "pivot", "d", "linked"],
-            )
-
-    far = cut(measured.select("together", "rep", "set", "pivot", "pivot_set").mapInArrow(distance, "together long, rep long, set binary, pivot long, d double, linked boolean"))
-    links = far.where("linked and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    ringed = far.withColumn("ring", F.floor(F.col("d") / RING).cast("int"))
-    parts = ringed.groupBy("together", "ring").agg(F.ceil(F.count(F.lit(1)) / (TOGETHER // 2)).cast("int").alias("parts"))
-    placed = ringed.join(parts, ["together", "ring"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).select(
-        "together", "ring", "part", "rep", "set"
+    links = far.where("size(linked) > 0").select(F.col("rep").alias("a"), F.explode(F.transform("linked", lambda k: F.element_at("pivots", k + 1))).alias("b")).where("a <> b")
+    pairs = far.where("size(linked) > 0").select("cell", F.explode("linked").alias("p"), F.element_at("linked", 1).alias("q")).distinct()
+    roots = pairs.groupBy("cell").applyInArrow(merged_pivots, "cell long, p int, root int")
+    named = far.withColumn("p", F.when(F.size("linked") > 0, F.element_at("linked", 1))).join(roots, ["cell", "p"], "left")
+    rings = far.where("side = 0").groupBy("cell", F.col("region").alias("q")).agg(
+        F.min(F.expr("d[least(region, size(d) - 1)]")).alias("low"), F.max(F.expr("d[least(region, size(d) - 1)]")).alias("high")
     )
-    cells = parts.select("together", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    other = cells.select(F.col("together").alias("t2"), F.col("ring").alias("ring2"), F.col("part").alias("part2"))
-    radius = 1 - percent / 100
-    reach, core = int(np.ceil(radius / RING - 1e-9)), int(radius / 2 / RING + 1e-9)
-    ordered = (F.col("ring") < F.col("ring2")) | ((F.col("ring") == F.col("ring2")) & (F.col("part") <= F.col("part2")))
-    met = cells.join(other, F.col("together") == F.col("t2")).where(
-        ordered & (F.col("ring2") - F.col("ring") <= reach) & ~((F.col("ring") < core) & (F.col("ring2") < core))
-    ).withColumn("pair", F.xxhash64("together", "ring", "part", "ring2", "part2"))
-    same_cell = (F.col("ring") == F.col("ring2")) & (F.col("part") == F.col("part2"))
-    first = met.select("together", "ring", "part", "pair", F.lit(0).alias("side"))
-    second = met.where(~same_cell).select("together", F.col("ring2").alias("ring"), F.col("part2").alias("part"), "pair", F.lit(1).alias("side"))
-    dealt = placed.join(first.union(second), ["together", "ring", "part"]).select(F.col("pair").alias("together"), "side", "rep", "set")
-    return links, dealt
+    # Of two regions the documents of the later one visit the earlier one; guests visit all.
+    visited = named.withColumn("q", F.explode(F.sequence(F.lit(0), F.size("d")))).where("q = region and side = 0 or q < region or side = 1")
+    met = visited.join(rings, ["cell", "q"])
+    at_home = (F.col("q") == F.col("region")) & (F.col("side") == 0)
+    remote = F.col("q") == F.size("d")
+    to_pivot = F.expr("d[least(q, size(d) - 1)]")
+    near = (to_pivot <= F.col("high") + radius) & (to_pivot >= F.col("low") - radius)
+    own = F.expr("d[least(region, size(d) - 1)]")
+    near = near & ((F.col("region") == F.size("d")) | (to_pivot <= own + 2 * radius))
+    met = met.where(at_home | (remote & (F.array_min("d") >= 1 - 2 * radius)) | (~remote & near))
+    label = F.when(F.col("root").isNull(), F.col("label")).otherwise(F.xxhash64("cell", "root", F.lit(depth)))
+    return links, met.select(
+        F.xxhash64("cell", "q", F.lit(depth)).alias("cell"), F.when(at_home, 0).otherwise(1).alias("side"), "rep", label.alias("label"), "set", F.col("n").alias("before")
+    )
+
+
+def parted(stuck: DataFrame) -> DataFrame:
+    """Regions that pivots don't divide: the documents not labelled like the most, in blocks, against all in blocks."""
+    labels = stuck.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("held"))
+    most = labels.groupBy("cell").agg(F.max_by("label", F.struct("held", "label")).alias("most"), F.sum("held").alias("all"), F.max("held").alias("largest"))
+    sized = stuck.join(most, "cell")
+    blocks = lambda count: F.greatest(F.lit(1), F.ceil(count / (TOGETHER // 2))).cast("int")
+    loose, whole = blocks(F.col("all") - F.col("largest")), blocks(F.col("all"))
+    part = lambda count: F.pmod(F.xxhash64("rep"), count).cast("int")
+    asking = sized.where("label <> most").select("*", part(loose).alias("i"), F.explode(F.sequence(F.lit(0), whole - 1)).alias("j"), F.lit(0).alias("at"))
+    asked = sized.select("*", F.explode(F.sequence(F.lit(0), loose - 1)).alias("i"), part(whole).alias("j"), F.lit(1).alias("at"))
+    return asking.unionByName(asked.select(asking.columns)).select(F.xxhash64("cell", "i", "j").alias("cell"), F.col("at").alias("side"), "rep", "label", "set")
+
+
+def joined_regions(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the documents of each region (cell, side, rep, label, set), so that linked ones are connected."""
+    columns = ["cell", "side", "rep", "label", "set"]
+    links, tasks, depth = [], [], 0
+    state = cells.withColumn("before", F.lit(None).cast("long"))
+    while True:
+        sizes = state.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(1 - F.col("side")).alias("homes"))
+        sized = state.join(sizes.where("low <> high and homes > 0").select("cell", "n"), "cell")
+        tasks.append(sized.where(F.col("n") <= TOGETHER).select(columns))
+        large = sized.where(F.col("n") > TOGETHER)
+        if not sizes.where((F.col("n") > TOGETHER) & (F.col("low") != F.col("high"))).take(1):
+            break
+        stuck = F.coalesce(F.col("n") > STUCK * F.col("before"), F.lit(False))
+        tasks.append(parted(large.where(stuck)))
+        found, smaller = divide(large.where(~stuck), percent, depth)
+        links.append(found)
+        state, depth = cut(smaller), depth + 1
+    for more in tasks[1:]:
+        tasks[0] = tasks[0].unionByName(more)
+    whole = tasks[0].agg(F.sum(F.octet_length("set"))).first()[0] or 0
+    dealt = tasks[0].withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(max(1, int(whole / (2 << 20))))).cast("int"))
+    found = dealt.groupBy("bucket").applyInArrow(lambda table: join_together(table, percent), LINKS)
+    for more in links:
+        found = found.union(more)
+    return found
 
 
 def jaccard_join(
@@ -302,7 +383,7 @@ def jaccard_join(
 ) -> DataFrame:
     """Returns (id, n_shingles, representative, component_id, group): the smallest id with the same set, and the smallest reachable by links.
 
-    Vertices are the distinct sets, ``rep`` a hash of theirs. ``group`` is one for the sets that hang together and null for
+    Vertices are the distinct sets, ``rep`` a hash of theirs. ``group`` is one for sets connected by links and null for
     rows that can't have a partner. Columns named in ``carry`` come back in a last column ``carry``, a struct.
     """
     base = shingled(docs, id_col, text_col, size, percent, carry)
@@ -311,19 +392,10 @@ def jaccard_join(
     members = able.select("id", "lo", "hi").distinct().join(alike.withColumnRenamed("id", "least"), ["lo", "hi"])  # no more work on its rows, so AQE can split hot sets
     distinct = cut(able.join(alike, ["id", "lo", "hi"]).select("rep", "lo", "hi", "regions", "set").dropDuplicates(["lo", "hi"]).select("rep", "regions", "set"))
 
-    regions = distinct.select("rep", F.explode("regions").alias("s"))
-    least = regions.groupBy("s").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hanging = components(regions.join(least.select("s", "b"), "s").select(F.col("rep").alias("a"), "b"))
-    grouped = hanging.select(F.col("id").alias("rep"), F.col("component").alias("together"))
-    sizes = grouped.groupBy("together").agg(F.count(F.lit(1)).alias("many"))
-    sets = cut(distinct.select("rep", "set").join(grouped.join(sizes, "together"), "rep"))
-    small = sets.where(F.col("many") <= TOGETHER).select("together", F.lit(0).alias("side"), "rep", "set")
-    links, dealt = ring_pairs(sets.where(F.col("many") > TOGETHER).select("together", "rep", "set"), percent)
-    tasks = small.unionByName(dealt).withColumn("bucket", F.xxhash64("together"))
-    rows = tasks.agg(F.sum(F.octet_length("set"))).first()[0] or 0
-    tasks = tasks.withColumn("bucket", F.pmod("bucket", F.lit(max(1, int(rows / (2 << 20))))).cast("int"))
-    found = tasks.groupBy("bucket").applyInArrow(lambda table: join_together(table, percent), LINKS)
-    final = components(found.union(links)).select(F.col("id").alias("rep"), "component")
+    cells = cut(
+        regions_of(distinct).join(distinct.select("rep", "set"), "rep").select("cell", F.lit(0).alias("side"), "rep", F.col("rep").alias("label"), "set")
+    )
+    final = components(joined_regions(cells, percent)).select(F.col("id").alias("rep"), "component")
     lowest = final.join(alike.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("lowest"))
     final = final.join(lowest, "component")
     named = members.join(final, "rep", "left").select("id", "lo", "hi", "least", "lowest", F.coalesce("component", "rep").alias("group"))
