@@ -1,5 +1,7 @@
 """Brute-force versions and hostile little tables for the operators."""
 
+import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -130,3 +132,36 @@ def line_statistics(text):
     grams = Counter(zip(w, w[1:], w[2:]))
     covered = {k + d for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for d in range(3)}
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), repeated, len(covered)
+
+
+def fill(sizes, weights, total, most=2.0):
+    """Targets by weight; those above ``most`` times their size stop there, and the rest is shared again."""
+    capped = set()
+    while True:
+        free = [i for i in range(len(sizes)) if i not in capped]
+        rest = total - sum(most * sizes[i] for i in capped)
+        target = [most * s if i in capped else rest * weights[i] / sum(weights[k] for k in free) for i, s in enumerate(sizes)]
+        above = {i for i in free if target[i] > most * sizes[i]}
+        if not above or len(above) == len(free):
+            return [min(t, most * s) for t, s in zip(target, sizes)]
+        capped |= above
+
+
+def systematic(rows, aims, seed="mix", most=2.0):
+    """Copies of each row (id, text, source), in order: a walk along every source's line, document by document."""
+    out = [0] * len(rows)
+    for source, target in aims.items():
+        md5 = lambda x: hashlib.md5((seed + x).encode()).hexdigest()
+        line = sorted((-len(words(t)), md5("" if i is None else str(i)), k) for k, (i, t, s) in enumerate(rows) if s == source)
+        left = sum(-n for n, _, _ in line)
+        even, wanted = (min(target / left, most) if left else 0.0), target
+        place = int(md5("" if source is None else "=" + source)[:8], 16) / 2**32
+        for size in sorted({-n for n, _, _ in line}, reverse=True):
+            own = [k for n, _, k in line if -n == size]
+            each = min(max(wanted / left, 0.0), most) if size and left else even
+            for j, k in enumerate(own):
+                out[k] = math.floor(place + each * (j + 1)) - math.floor(place + each * j)
+                wanted -= out[k] * size
+            left -= size * len(own)
+            place = (place + each * len(own)) % 1.0
+    return out

@@ -212,34 +212,46 @@ def test_token_counts(spark):
 # ---------------------------------------------------------------- 4
 
 
-def test_fill():
-    assert mixing.fill([10, 10], [1, 1], 30) == [15, 15]
-    assert mixing.fill([10, 100], [9, 1], 165) == [20, 145]
-    assert mixing.fill([10, 10, 100], [3, 1, 2], 180) == [20, 20, 140]
-
-
-def test_mix(spark):
+def test_targets(spark):
+    rng = random.Random(3)
+    cases = [[10, 10], [10, 100], [10, 10, 100], [0, 5], [0, 0], [7], *[[rng.randint(0, 10 ** rng.randint(1, 6)) for _ in range(rng.randint(2, 40))] for _ in range(4)]]
+    for sizes in cases:
+        names = [f"s{k:03d}" for k in range(len(sizes) - 1)] + [None]
+        table = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.targets(table).collect()}
+        expected = H.fill(sizes, [mixing.WEIGHTS[k % 3] for k in range(len(sizes))], 1.5 * sum(sizes)) if sum(sizes) else [0.0] * len(sizes)
+        assert got == pytest.approx(dict(zip(names, expected)))
+
+
+@pytest.mark.parametrize("cell_rows", [100, 3])
+def test_mix(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell_rows)  # 3: classes are several cells
     rng = random.Random(6)
-    rows = [(i, " ".join(["w"] * rng.choice([1, 5, 20, 40, 300]))) for i in range(900)] + [(950, None), (951, ""), (952, "  ")]
-    df = H.frame(spark, rows, lambda i: None if i % 5 == 0 else ("hot" if i % 5 < 3 else f"s{i % 5}"))
-    planned = mixing.plan(df)
-    got = planned.collect()
+    source = lambda i: None if i is None or i % 5 == 0 else ("hot" if i % 5 < 3 else f"s{i % 5}")
+    rows = [(i, " ".join(["w"] * rng.choice([1, 5, 20, 40, 300]))) for i in range(900)] + [(950, None), (951, ""), (952, "  "), (953, "w " * 5000), (None, "w w"), (None, None), (7, "x y z"), (7, "x y z")]
+    df = H.frame(spark, rows, source)
+    got = mixing.plan(df).collect()
     size = Counter()
     for i, t in rows:
-        size[None if i % 5 == 0 else ("hot" if i % 5 < 3 else f"s{i % 5}")] += len(H.words(t))
+        size[source(i)] += len(H.words(t))
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    aims = dict(zip(order, mixing.fill([size[s] for s in order], [3, 1, 2, 3][: len(order)], 1.5 * sum(size.values()))))
+    aims = dict(zip(order, H.fill([size[s] for s in order], [3, 1, 2, 3][: len(order)], 1.5 * sum(size.values()))))
     taken = Counter()
     for r in got:
         taken[r["source"]] += r["taken"]
         assert r["taken"] <= 2 * r["size"] and r["source_size"] == size[r["source"]] and abs(r["target"] - aims[r["source"]]) < 1e-6
-    assert len(got) == len(rows) and all(abs(taken[s] - aims[s]) < 0.05 * aims[s] + 300 for s in size)
-    again = {(r["doc_id"], r["taken"]) for r in mixing.plan(df.repartition(7)).collect()}
-    assert again == {(r["doc_id"], r["taken"]) for r in got}
+    assert len(got) == len(rows) and all(abs(taken[s] - aims[s]) <= 2 for s in size)  # by the shortest documents, not by the longest
+    copies = H.systematic([(i, t, source(i)) for i, t in rows], aims)
+    assert Counter((r["doc_id"], r["size"], r["copies"]) for r in got) == Counter((i, len(H.words(t)), c) for (i, t), c in zip(rows, copies))
+    again = Counter((r["doc_id"], r["taken"]) for r in mixing.plan(df.repartition(7)).collect())
+    assert again == Counter((r["doc_id"], r["taken"]) for r in got)
     mixed = mixing.mix(df)
-    assert mixed.columns == df.columns and Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
+    expected = Counter()
+    for r in got:
+        expected[r["doc_id"]] += r["copies"]
+    assert mixed.columns == df.columns and Counter(r["doc_id"] for r in mixed.collect()) == +expected
     assert mixing.plan(df.where("false")).collect() == [] and mixing.mix(df.where("false")).collect() == []
-    assert all(r["taken"] == 0 for r in mixing.plan(df.where("doc_id > 949")).collect())
+    assert all(r["taken"] == 0 for r in mixing.plan(df.where("doc_id in (950, 951, 952)")).collect())
 
 
 # ---------------------------------------------------------------- 5 and 8

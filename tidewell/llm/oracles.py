@@ -32,6 +32,23 @@ OP2 = rf"""with d as (select doc_id, source, coalesce(text, '') as text, {WORDS.
  c as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
  select *, not base_failed and not words_left < 0.3 * n_words as kept from c"""
 
+OP4 = rf"""with recursive d as (select doc_id, source, coalesce(len({WORDS.format("text")}), 0)::bigint as size, md5('mix' || coalesce(doc_id::varchar, '')) as h from documents),
+ s as (select source, coalesce('=' || source, '') as key, sum(size)::bigint as source_size, [3.0::double, 1.0::double, 2.0::double][1 + (row_number() over (order by source is null, source) - 1) % 3] as w from d group by source),
+ o as (select *, row_number() over (order by 2 * source_size / w, key) as k, sum(w) over (order by 2 * source_size / w, key rows between current row and unbounded following) as free,
+   1.5::double * (select sum(source_size) from s)::double - 2.0::double * coalesce(sum(source_size) over (order by 2 * source_size / w, key rows between unbounded preceding and 1 preceding), 0)::double as rest from s),
+ f as (select k, rest, free from o where rest * w / free <= 2.0::double * source_size order by k limit 1),
+ t as (select o.source, o.key, o.source_size, case when f.k is null or o.k < f.k then 2.0::double * o.source_size else f.rest * o.w / f.free end as target,
+   ('0x' || substr(md5('mix' || o.key), 1, 8))::bigint / 4294967296.0::double as offs from o left join f on true),
+ c as (select key, size, n, row_number() over (partition by key order by size desc) as i from (select coalesce('=' || source, '') as key, size, count(*) as n from d group by 1, 2)),
+ w as (select t.key, 0::bigint as i, 0::bigint as size, 0.0::double as rate, 0.0::double as start, t.target as wanted, t.source_size::double as remain, t.offs as pos from t
+  union all select key, i, size, rate, pos, wanted - (floor(pos + rate * n) - floor(pos)) * size, remain - size * n, (pos + rate * n) - floor(pos + rate * n)
+   from (select w.key, c.i, c.size, c.n, w.pos, w.wanted, w.remain, case when c.size > 0 and w.remain > 0 then least(greatest(w.wanted / w.remain, 0.0::double), 2.0::double)
+     when t.source_size > 0 then least(t.target / t.source_size, 2.0::double) else 0.0::double end as rate from w join c on c.key = w.key and c.i = w.i + 1 join t on t.key = w.key)),
+ p as (select doc_id, source, size, row_number() over (partition by source, size order by h, doc_id) as j from d)
+ select p.doc_id, p.size, t.source_size, t.target, (floor(w.start + w.rate * p.j) - floor(w.start + w.rate * (p.j - 1)))::bigint * p.size as taken,
+  (floor(w.start + w.rate * p.j) - floor(w.start + w.rate * (p.j - 1)))::bigint as copies
+ from p join t on t.source is not distinct from p.source join w on w.key = t.key and w.size = p.size and w.i > 0"""
+
 OP5 = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
  p as (select doc_id, unnest(range(1, length(x) // 2 + 1)) as k, x from d where length(x) > 0),
  s as (select doc_id, k, substr(x, 2 * k - 1, 2) as b, case when k + 49 <= length(x) // 2 then substr(x, 2 * k - 1, 100) end as w from p),
@@ -60,4 +77,4 @@ OP8 = f"""with d as (select doc_id, {WORDS.format("coalesce(text, '')")} as ws f
  a as (select doc_id, count(*) filter (where gone) as n_removed, string_agg(case when not gone then word end, ' ' order by k) as rest from c group by doc_id)
  select d.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(rest, '')) as kept_sha256 from d left join a using (doc_id)"""
 
-SQL = {"op1_vector_dedup": OP1, "op2_line_rules": OP2, "op5_suffix_merge": OP5, "op6_jaccard_join": OP6, "op8_window_dedup": OP8}
+SQL = {"op1_vector_dedup": OP1, "op2_line_rules": OP2, "op4_systematic_mix": OP4, "op5_suffix_merge": OP5, "op6_jaccard_join": OP6, "op8_window_dedup": OP8}
