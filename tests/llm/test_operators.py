@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import helpers as H
-from tidewell.llm import backoff_lm, byte_bpe, components, exchange, jaccard_join, line_rules, mixing, suffix_merge, token_counts, toxicity, vector_dedup, window_dedup
+from tidewell.llm import backoff_lm, byte_bpe, components, exchange, jaccard_join, line_rules, mixing, suffix_merge, token_counts, textscan, toxicity, vector_dedup, window_dedup
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 ODD = [
@@ -315,7 +315,7 @@ def test_packing():
         keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         assert (exchange.unpack(exchange.pack(keys)) == keys).all()
         high = np.unique(keys & np.uint64(0xFFFFFFFF00000000))  # low bits that all lack take no room
-        assert (exchange.unpack(exchange.pack(high)) == high).all() and len(exchange.pack(high)) <= 10 + 4 * n
+        assert (exchange.unpack(exchange.pack(high)) == high).all() and len(exchange.pack(high)) <= 30 + 4 * n
     assert exchange.part(exchange.join([b"", b"ab", b"c"])) == [b"", b"ab", b"c"]
     for values in ([0, 1, 1], [0, 255], [300], [1 << 40], [], [(1 << 64) - 1], [1, 2, 3] * 9 + [255, 1 << 50]):
         column = np.array(values, dtype=np.uint64)
@@ -332,10 +332,10 @@ def largest_block(spark, ids, block_bytes=20_000):
     held = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.collect_set("id").alias("ids")).collect()
     named = sorted((r for r in held if r["low"] is not None), key=lambda r: r["block"])
     for a, b in zip(named, named[1:]):  # blocks follow the ids; parts of one rank hold one id
-        same = a["block"] >> exchange.PART_BITS == b["block"] >> exchange.PART_BITS
+        same = exchange.ranks(a["block"]) == exchange.ranks(b["block"])
         assert a["high"] < b["low"] or (same and a["ids"] == b["ids"] and len(a["ids"]) == 1)
-    nameless = {r["block"] >> exchange.PART_BITS for r in held if r["low"] is None}
-    assert len(nameless) <= 1 and all(r["high"] is None for r in held if r["block"] >> exchange.PART_BITS in nameless)
+    nameless = {exchange.ranks(r["block"]) for r in held if r["low"] is None}
+    assert len(nameless) <= 1 and all(r["high"] is None for r in held if exchange.ranks(r["block"]) in nameless)
     assert sum(r["n"] for r in held) == len(ids)
     return max(r["n"] for r in held)
 
@@ -353,6 +353,19 @@ def test_blocks_hold_like_shares_whatever_the_ids(spark):
     assert largest_block(spark, [5, None]) == 1
 
 
+def test_tasks_get_like_shares(spark):
+    numbers = np.array([0, 1, -5, 1 << 40, (1 << 62) + 12345])
+    hashes = [r[0] for r in spark.createDataFrame([(int(n),) for n in numbers], "v long").select(F.hash("v")).collect()]
+    assert exchange.murmur(numbers).tolist() == hashes
+    for many, tasks in ((8, 4), (500, 250), (4096, 51)):
+        dealt = exchange.salted(np.arange(many), tasks)
+        load = Counter((exchange.murmur(dealt) % tasks).tolist())
+        assert (dealt >> exchange.SALT_BITS == np.arange(many)).all() and max(load.values()) <= -(-many // tasks) + 1
+    rows, blocks, _ = exchange.blocked(spark.range(3000).selectExpr("id as doc_id", "repeat('x', 984) as text"), "doc_id", "text", block_bytes=20_000)
+    counts = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count_distinct("block").alias("n")).collect()]
+    assert blocks > 140 and max(counts) <= exchange.A_TASK + 1
+
+
 def test_deal_keeps_buckets_and_rows():
     """From megabytes to 100 TB, buckets stay near their size and rows hold some keys, on both levels."""
     for total in (10**6, 10**9, 3 * 10**10, 10**12, 10**14):
@@ -531,7 +544,7 @@ def toxic_corpus(n=900, seed=2):
 def test_toxicity(spark):
     rows, labels, bad = toxic_corpus()
     df = H.frame(spark, rows + [(5000, None), (5001, ""), (None, "zonk")])
-    table = spark.createDataFrame(labels + [(5000, None), (None, 1)], "doc_id long, toxic int")
+    table = spark.createDataFrame(labels + [(5000, None), (None, 1), labels[0]], "doc_id long, toxic int")
     train = table.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     model = toxicity.train(df, train)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
@@ -551,6 +564,42 @@ def test_toxicity(spark):
     assert all(r["score"] == 0 for r in toxicity.score(df, none).collect() if r["doc_id"] in (5000, 5001))
 
 
+def test_noisy_or_by_brute_force(spark):
+    """Scores recomputed sentence by sentence, with hashes of single words."""
+    import re
+
+    rows, labels, _ = toxic_corpus(300)
+    model = toxicity.train(H.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weight = dict(zip(model.known.tolist(), model.weight.tolist()))
+
+    def hashed(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return textscan.Words(np.array([0, len(data)]), data).hashes(data, lower=True)
+
+    def score(text):
+        left = 1.0
+        for sentence in re.split(r"(?<=[.!?\n])", text):
+            found = set()
+            for word in H.words(sentence):
+                word = word.strip(".,;:!?\"'()[]{}*#$%&<>|").encode()
+                if word:
+                    found |= set(hashed(word.decode()).tolist())
+                    for size in toxicity.PREFIXES:
+                        if len(word) > size:
+                            data = np.frombuffer(word[:size], np.uint8)
+                            own = textscan.Words.__new__(textscan.Words)
+                            own.start, own.end = np.array([0]), np.array([size])
+                            found |= set(textscan.mix(own.hashes(data, lower=True) + np.uint64(size)).tolist())
+            known = [weight[h] for h in found if h in weight]
+            if known:
+                left *= 1 - 1 / (1 + math.exp(-sum(known) - model.bias))
+        return 1 - left
+
+    extra = [(1000, "A zonk. Vexo grubbel! zonking\nzonk"), (1001, "plain")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(H.frame(spark, rows + extra), model).collect()}
+    assert all(got[i] == pytest.approx(score(t), abs=1e-9) for i, t in rows + extra) and got[1000] > 0.9
+
+
 def test_toxicity_trains_on_whole_texts(spark):
     """The offending words stand after 20,000 characters only."""
     rng = random.Random(4)

@@ -43,6 +43,8 @@ ORDER = 3
 #: Strength of the prior for contexts of one token, two tokens and so on; of longer ones the last.
 PRIOR = (600.0, 30.0)
 SPARE_BITS = 18
+#: Larger than usual: the more text a block holds, the fewer n-grams does it send that others send too.
+BLOCK_BYTES = 6 << 20
 
 
 def held_out(ids: np.ndarray, modulus: int, remainder: int) -> np.ndarray:
@@ -97,7 +99,6 @@ class Block:
             self.context.append(context)
 
     def sections(self) -> list[exchange.Section]:
-        """The longest n-grams are no context, so that starts among them need not be sent; the rest is the same for all orders."""
         return [(keys, [counts]) for keys, counts in zip(self.keys, self.counts)]
 
 
@@ -143,9 +144,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
 
     Rows whose crc32 of the id as text, modulo ``modulus``, is ``remainder`` are held out of training.
     """
-    rows, blocks, total = exchange.blocked(docs, id_col, text_col)
+    rows, blocks, total = exchange.blocked(docs, id_col, text_col, block_bytes=BLOCK_BYTES)
     tokens = total / 6 + 1
-    dealt = exchange.deal(tokens * 5 * order, blocks, tokens * (order - 0.5) / blocks)
+    dealt = exchange.evenly(exchange.deal(tokens * 5 * order, blocks, tokens * (order - 0.5) / blocks), rows)
     bits = min(64, int(np.ceil(np.log2(tokens * order))) + SPARE_BITS)
 
     def block(table: pa.Table) -> Block:

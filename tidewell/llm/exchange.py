@@ -9,8 +9,9 @@ Blocks follow the ids.  Their bounds are quantiles, by bytes, of a sample of the
 gaps nor outliers among the ids matter; blocks and buckets keep their size and grow in number with the
 corpus (above some terabytes of text blocks grow instead, so that their bounds stay below MOST_BOUNDS). Rows of an
 id too heavy for one block, and rows without an id, are dealt over several *parts*.  A block's
-number is its rank shifted by PART_BITS, plus the part: of two blocks with different ranks the smaller
+number begins with its rank: of two blocks with different ranks the smaller
 number holds the smaller ids, and parts of one rank hold the same id. Rows without an id have the last rank.
+It ends with a salt, chosen so that Spark's hash deals the blocks evenly over the tasks; so do the numbers of buckets.
 
 Where blocks and buckets are so many that a row would hold fewer than LEAST_KEYS keys, the exchange
 has two levels: rows of several blocks for a coarse bucket are merged into one, which is dealt on to the fine
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,9 @@ LEAST_KEYS = 64
 MOST_BOUNDS = 1 << 20
 #: Points of the first sample, and points a block that bounds are drawn from.
 POINTS, POINTS_A_BLOCK = 1 << 15, 8
-PART_BITS = 20
+PART_BITS, SALT_BITS = 20, 6
+#: Blocks and buckets that a task takes.
+A_TASK = 2
 SEED = 11
 
 PACKED = "block long, bucket long, data binary"
@@ -121,16 +124,49 @@ def blocked(
     starts, parts = bounds(ids[~nameless], weights[~nameless], block_bytes)
     parts.append(max(1, int(np.ceil(weights[nameless].sum() / block_bytes))))
     rank = F.when(F.col("id").isNull(), F.lit(len(parts) - 1)).otherwise(rank_of(F.col("id"), starts))
-    block = F.shiftleft(rank.cast("long"), PART_BITS)
+    blocks = sum(parts)
+    tasks = _tasks(docs, blocks)
+    numbers = salted(np.concatenate([(k << PART_BITS) + np.arange(n) for k, n in enumerate(parts)]), tasks)
     if max(parts) > 1:
         # Rows of a scan or of a file read again are numbered alike in every attempt.
-        dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(_numbers(parts), rank + 1))
-        block = block + F.least(dealt, F.lit((1 << PART_BITS) - 1))
-    return rows.withColumn("block", block), sum(parts), total
+        dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(_numbers(parts), rank + 1)).cast("int")
+        rank = F.element_at(_numbers(np.cumsum([0, *parts[:-1]]).tolist()), rank + 1).cast("int") + dealt
+    return rows.withColumn("block", F.element_at(_numbers(numbers.tolist()), rank + 1)).repartition(tasks, "block"), blocks, total
+
+
+def _tasks(frame: DataFrame, units: int) -> int:
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-units // A_TASK))
+
+
+def murmur(values: np.ndarray) -> np.ndarray:
+    """Murmur3 of 64-bit numbers with Spark's seed, by which Spark deals rows out."""
+    u = np.uint32
+    turn = lambda x, k: (x << u(k)) | (x >> u(32 - k))
+    with np.errstate(over="ignore"):
+        h = np.full(values.shape, 42, dtype=u)
+        for half in (values & 0xFFFFFFFF, (values >> 32) & 0xFFFFFFFF):
+            h ^= turn(half.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593)
+            h = turn(h, 13) * u(5) + u(0xE6546B64)
+        h ^= u(8)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> u(shift))) * u(factor)
+        return (h ^ (h >> u(16))).astype(np.int32)
+
+
+def salted(numbers: np.ndarray, tasks: int) -> np.ndarray:
+    """The numbers with a salt behind each that leads to the emptiest of the tasks it can choose from."""
+    salts = np.asarray(numbers, dtype=np.int64)[:, None] << SALT_BITS | np.arange(1 << SALT_BITS)
+    places = murmur(salts).astype(np.int64) % tasks
+    load, out = np.zeros(tasks, dtype=np.int64), np.empty(len(salts), dtype=np.int64)
+    for k, choice in enumerate(places):
+        best = int(load[choice].argmin())
+        load[choice[best]] += 1
+        out[k] = salts[k, best]
+    return out
 
 
 def ranks(blocks: np.ndarray) -> np.ndarray:
-    return blocks >> PART_BITS
+    return blocks >> PART_BITS + SALT_BITS
 
 
 def order(table: pa.Table) -> np.ndarray:
@@ -143,11 +179,16 @@ def order(table: pa.Table) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Deal:
-    """Bits of the bucket number that blocks deal by; if ``fine`` exceeds it, merged rows of ``groups`` of blocks are dealt on by that many bits."""
+    """Bits of the bucket number that blocks deal by; if ``fine`` exceeds it, merged rows of ``groups`` of blocks are dealt on by that many bits.
+
+    ``numbers`` are the salted numbers of the buckets, if there is one level.
+    """
 
     bits: int
     fine: int
     groups: int
+    tasks: int = 0
+    numbers: tuple[int, ...] = ()
 
 
 def deal(packed_bytes: float, blocks: int, keys_a_block: float, bucket_bytes: int = BUCKET_BYTES, least_keys: int = LEAST_KEYS) -> Deal:
@@ -159,6 +200,14 @@ def deal(packed_bytes: float, blocks: int, keys_a_block: float, bucket_bytes: in
     return Deal(most, wanted, max(1, int(np.ceil(blocks * a_row / bucket_bytes))))
 
 
+def evenly(dealt: Deal, frame: DataFrame) -> Deal:
+    """The deal with numbers of buckets that Spark deals evenly over its tasks."""
+    if dealt.fine > dealt.bits:
+        return dealt
+    tasks = _tasks(frame, 1 << dealt.bits)
+    return replace(dealt, tasks=tasks, numbers=tuple(salted(np.arange(1 << dealt.bits), tasks).tolist()))
+
+
 # ---------------------------------------------------------------- packing
 
 
@@ -175,7 +224,10 @@ def part(data: bytes) -> list[bytes]:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted uint64 keys as differences, without low bits that all lack, of as few bytes as the largest needs."""
+    """Sorted uint64 keys as differences, without low bits that all lack, of as few bytes as the largest needs.
+
+    Differences are about exponential, so that their highest bytes are few different ones: these are compressed.
+    """
     if not len(keys):
         return b""
     steps = np.diff(keys)
@@ -183,17 +235,19 @@ def pack(keys: np.ndarray) -> bytes:
     shift = (used & -used).bit_length() - 1 if used else 0
     steps >>= np.uint64(shift)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    rest = np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width, shift]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(rest).tobytes()
+    rest = np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)
+    low = np.ascontiguousarray(rest[:, : width - 1]).tobytes()
+    return bytes([width, shift]) + np.array([len(steps)], "<u4").tobytes() + keys[:1].astype("<u8").tobytes() + low + zlib.compress(np.ascontiguousarray(rest[:, width - 1]).tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, dtype=np.uint64)
-    width, shift, first = data[0], data[1], np.frombuffer(data, "<u8", 1, 2)
-    rest = np.frombuffer(data, np.uint8, offset=10).reshape(-1, width)
-    steps = np.zeros((len(rest) + 1, 8), dtype=np.uint8)
-    steps[1:, :width] = rest
+    width, shift, n, first = data[0], data[1], int(np.frombuffer(data, "<u4", 1, 2)[0]), np.frombuffer(data, "<u8", 1, 6)
+    steps = np.zeros((n + 1, 8), dtype=np.uint8)
+    end = 14 + n * (width - 1)
+    steps[1:, : width - 1] = np.frombuffer(data, np.uint8, n * (width - 1), 14).reshape(n, width - 1)
+    steps[1:, width - 1] = np.frombuffer(zlib.decompress(data[end:]), np.uint8)
     steps = steps.reshape(-1).view("<u8")
     steps <<= np.uint64(shift)
     steps[0] = first[0]
@@ -278,13 +332,17 @@ def _packed(blocks: np.ndarray, share: list[Section]) -> bytes:
     return join([np.asarray(blocks, dtype="<i8").tobytes(), *[pack_section(*s) for s in share]])
 
 
+def _outgoing(block: int, sections: list[Section], dealt: Deal, every: bool) -> pa.Table:
+    shares = list(_shares(sections, dealt.bits, 0, (1 << dealt.bits) - 1, every))
+    return _rows([block] * len(shares), [dealt.numbers[b] if dealt.numbers else b for b, _ in shares], [_packed([block], s) for _, s in shares])
+
+
 def send(docs: DataFrame, dealt: Deal, work: Callable[[pa.Table], list[Section]], every: bool = False) -> DataFrame:
     """``work(documents of a block in order of id)`` gives sections; each bucket gets its share of all. ``every``: empty shares too."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        shares = list(_shares(work(table.sort_by("id")), dealt.bits, 0, (1 << dealt.bits) - 1, every))
-        return _settled(_rows([block] * len(shares), [b for b, _ in shares], [_packed([block], s) for _, s in shares]))
+        return _settled(_outgoing(block, work(table.sort_by("id")), dealt, every))
 
     return docs.groupBy("block").applyInArrow(run, PACKED)
 
@@ -293,9 +351,7 @@ def send_on(docs: DataFrame, answers: DataFrame, dealt: Deal, work: Callable[[pa
     """Like ``send``, after an exchange before: ``work`` also takes ``got`` (see ``finish``)."""
 
     def run(table: pa.Table, got: Callable) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        shares = list(_shares(work(table, got), dealt.bits, 0, (1 << dealt.bits) - 1, False))
-        return _rows([block] * len(shares), [b for b, _ in shares], [_packed([block], s) for _, s in shares])
+        return _outgoing(table.column("block")[0].as_py(), work(table, got), dealt, False)
 
     return finish(docs, answers, run, PACKED)
 
@@ -354,6 +410,8 @@ def answer(sent: DataFrame, dealt: Deal, work: Work, every: bool = False) -> Dat
         return _settled(_rows(table.column("block").to_pylist(), table.column("bucket").to_pylist(), _answered(table.column("data").to_pylist(), work)))
 
     if dealt.fine <= dealt.bits:
+        if dealt.tasks:
+            sent = sent.repartition(dealt.tasks, "bucket")
         return sent.groupBy("bucket").applyInArrow(bucket, PACKED)
 
     def merged(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[Section], list[np.ndarray]]:
@@ -419,7 +477,7 @@ def finish(docs: DataFrame, answers: DataFrame, work: Callable[[pa.Table, Callab
             own = right.filter(pc.equal(right.column("kind"), kind)) if "kind" in right.column_names else right
             own = own.sort_by("bucket")
             shares = list(_shares(sections, dealt.bits, 0, (1 << dealt.bits) - 1, every)) if own.num_rows else []
-            if own.column("bucket").to_pylist() != [b for b, _ in shares]:
+            if own.column("bucket").to_pylist() != [dealt.numbers[b] if dealt.numbers else b for b, _ in shares]:
                 raise ValueError("answers don't fit what was sent")
             return _gathered(own.column("data").to_pylist(), [[len(s[k][0]) for _, s in shares] for k in range(len(sections))])
 

@@ -224,7 +224,7 @@ LINKS = "a long, b long"
 def shingled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, carry: Sequence[str] = ()) -> DataFrame:
     """(id, n, lo, hi, regions array<long>, set binary, carry if any): regions and set only where a partner is possible; checkpointed."""
     rows, blocks, total = exchange.blocked(docs, id_col, text_col, carry)
-    dealt = exchange.deal(total / 6 * 4, blocks, total / blocks / 6)
+    dealt = exchange.evenly(exchange.deal(total / 6 * 4, blocks, total / blocks / 6), rows)
     shift = np.uint64(64 - RARITY_BITS)
 
     def shingles_of(own: Block) -> list[exchange.Section]:

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Where it is unset one of our own is set, but only if driver and executors are one process."""
     context = spark.sparkContext
     folder = context._conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "tidewell-checkpoints"))
     return folder or ""
 

@@ -333,8 +333,8 @@ def merge(asked: list[tuple[np.ndarray, np.ndarray, list]], length: int) -> tupl
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Returns (id, n_bytes, n_removed, kept binary, spans array<struct<start, end>>): spans count bytes, end excluded."""
     rows, blocks, total = exchange.blocked(docs, id_col, text_col, block_bytes=BLOCK_BYTES)
-    first = exchange.deal(total / 18 * 7, blocks, total / blocks / 18)
-    later = exchange.deal(total, blocks, total / blocks / 50, least_keys=LEAST_STRINGS)
+    first = exchange.evenly(exchange.deal(total / 18 * 7, blocks, total / blocks / 18), rows)
+    later = exchange.evenly(exchange.deal(total, blocks, total / blocks / 50, least_keys=LEAST_STRINGS), rows)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def minimizers(own: Segments) -> list[exchange.Section]:

@@ -13,7 +13,8 @@ their number; scoring covers every whole text in one pass without a shuffle, the
 the task.
 
 Edge cases: a null or empty text has no sentence and scores 0; without any positive training label
-every score is 0; rows with a null label or null id are not trained on; repeated rows score alike;
+every score is 0; rows with a null label or null id are not trained on; of documents that share an id one is trained on,
+of its labels the larger; repeated rows score alike;
 an empty table gives an empty result; columns other than those named are ignored.
 """
 
@@ -220,7 +221,7 @@ def fit(bag: pa.Table, known: np.ndarray, weights: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the bounded sample. ``labels`` holds only rows that may be learned from."""
-    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     found = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = []
     for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
@@ -231,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = docs.sparkSession.createDataFrame(picked, usable.schema)  # bounded by the two limits
     sample = cut(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(chosen), "id").select("id", "y", "text")
+        .join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
     )
     held = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not held.get(1):

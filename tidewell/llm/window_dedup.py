@@ -119,7 +119,7 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Columns named in ``carry`` come back in a last column ``carry``, a struct.
     """
     rows, blocks, total = exchange.blocked(docs, id_col, text_col, carry)
-    dealt = exchange.deal(total / 6 * 8, blocks, total / blocks / 6)
+    dealt = exchange.evenly(exchange.deal(total / 6 * 8, blocks, total / blocks / 6), rows)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def windows_of(table: pa.Table) -> list[exchange.Section]:
