@@ -415,10 +415,11 @@ def test_jaccard_id_with_two_texts(spark):
     assert got == [(2, 37, 2), (5, 36, 2), (5, 36, 5), (7, 36, 2), (8, 37, 5), (9, 36, 5)]
 
 
-@pytest.mark.parametrize("kind", ["edits of one text", "mixtures", "clusters"])
-def test_large_regions_are_divided(spark, monkeypatch, kind):
+@pytest.mark.parametrize("kind, few", [("edits of one text", 200), ("edits of one text", 1), ("mixtures", 200), ("clusters", 3)])
+def test_large_regions_are_divided(spark, monkeypatch, kind, few):
     """Regions larger than a task: dense ones, where pivots link most; mixtures, all about equally far from each other; and clusters."""
     monkeypatch.setattr(jaccard_join, "TOGETHER", 24)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
     rng = random.Random(11)
     base, rows = [f"b{k}" for k in range(120)], []
     pool = [[f"s{j}x{k}" for k in range(12)] for j in range(14)]
@@ -451,7 +452,7 @@ def test_a_shared_phrase_makes_no_large_region(spark, monkeypatch):
         rows += [(2 * i, " ".join(phrase + own)), (2 * i + 1, " ".join(phrase + own[:-1] + ["end"]))]
     pairs = []
     real = jaccard_join.joined_regions
-    monkeypatch.setattr(jaccard_join, "joined_regions", lambda cells, percent: pairs.append(cells.groupBy("cell").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]) or real(cells, percent))
+    monkeypatch.setattr(jaccard_join, "joined_regions", lambda cells, *a: pairs.append(cells.groupBy("cell").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]) or real(cells, *a))
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(H.frame(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i in range(5000)} and pairs[0] <= 5000
 

@@ -33,6 +33,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ RARITY_BITS = 40
 TOGETHER = 800
 #: Pivots of a region, and sets that are compared without more pivots.
 PIVOTS, LEAF = 8, 16
+#: So many regions at most are broadcast.
+FEW = 200
 #: A region that holds more than this share of the one it came from isn't divided again.
 STUCK = 0.8
 
@@ -255,10 +258,16 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
 
 def regions_of(distinct: DataFrame) -> DataFrame:
-    """(cell, rep): for (rep, regions), the documents of each pivot document's region; ``cell`` is the pivot's rep."""
+    """(cell, rep): for (rep, regions), the documents of each pivot document's region; ``cell`` is the pivot's rep.
+
+    A region all of whose documents are in one other region of a smaller pivot is left out.
+    """
     entered = distinct.select("rep", F.explode("regions").alias("s"))
     pivots = entered.groupBy("s").agg(F.min("rep").alias("cell"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "cell")
-    return entered.join(pivots, "s").select("cell", "rep").distinct()
+    members = cut(entered.join(pivots, "s").select("cell", "rep").distinct())
+    least = members.groupBy("rep").agg(F.min("cell").alias("least"))
+    spare = members.join(least, "rep").groupBy("cell").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low = high and low < cell")
+    return members.join(spare.select("cell"), "cell", "left_anti")
 
 
 def measured(percent: int):
@@ -299,14 +308,17 @@ def merged_pivots(table: pa.Table) -> pa.Table:
     return pa.table({"cell": pa.array([cell] * len(own), pa.int64()), "p": pa.array(own.astype(np.int32)), "root": pa.array(root[own].astype(np.int32))})
 
 
-def divide(state: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(links, smaller regions) of regions (cell, side, rep, label, set, n) too large for a task; side 1 are guests."""
+def divide(state: DataFrame, percent: int, depth: int, small) -> tuple[DataFrame, DataFrame]:
+    """(links, smaller regions) of regions (cell, side, rep, label, set, n) too large for a task; side 1 are guests.
+
+    ``small`` marks tables of a few rows a region: a hint to broadcast them where the regions are known to be few.
+    """
     radius = 1 - percent / 100 + 1e-9
     key = F.xxhash64("rep", F.lit(depth))
     home = state.where("side = 0")
     drawn = home.where(F.pmod(key, F.lit(1 << 30)) < F.lit(PIVOTS * float(1 << 30)) / F.col("n")).select("cell", "rep", "set", "n")
     least = home.groupBy("cell").agg(F.min_by(F.struct("rep", "set", "n"), key).alias("one")).select("cell", "one.*")
-    pivots = drawn.unionByName(least).dropDuplicates(["cell", "rep"])
+    pivots = small(cut(drawn.unionByName(least).dropDuplicates(["cell", "rep"])))
     parts = F.ceil(F.col("n") / TOGETHER).cast("int")
     left = state.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     right = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(*[F.col(c).alias(c) for c in ("cell", "part", "rep", "set")])
@@ -318,13 +330,13 @@ def divide(state: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataF
     links = far.where("size(linked) > 0").select(F.col("rep").alias("a"), F.explode(F.transform("linked", lambda k: F.element_at("pivots", k + 1))).alias("b")).where("a <> b")
     pairs = far.where("size(linked) > 0").select("cell", F.explode("linked").alias("p"), F.element_at("linked", 1).alias("q")).distinct()
     roots = pairs.groupBy("cell").applyInArrow(merged_pivots, "cell long, p int, root int")
-    named = far.withColumn("p", F.when(F.size("linked") > 0, F.element_at("linked", 1))).join(roots, ["cell", "p"], "left")
+    named = far.withColumn("p", F.when(F.size("linked") > 0, F.element_at("linked", 1))).join(small(roots), ["cell", "p"], "left")
     rings = far.where("side = 0").groupBy("cell", F.col("region").alias("q")).agg(
         F.min(F.expr("d[least(region, size(d) - 1)]")).alias("low"), F.max(F.expr("d[least(region, size(d) - 1)]")).alias("high")
     )
     # Of two regions the documents of the later one visit the earlier one; guests visit all.
     visited = named.withColumn("q", F.explode(F.sequence(F.lit(0), F.size("d")))).where("q = region and side = 0 or q < region or side = 1")
-    met = visited.join(rings, ["cell", "q"])
+    met = visited.join(small(rings), ["cell", "q"])
     at_home = (F.col("q") == F.col("region")) & (F.col("side") == 0)
     remote = F.col("q") == F.size("d")
     to_pivot = F.expr("d[least(q, size(d) - 1)]")
@@ -334,48 +346,61 @@ def divide(state: DataFrame, percent: int, depth: int) -> tuple[DataFrame, DataF
     met = met.where(at_home | (remote & (F.array_min("d") >= 1 - 2 * radius)) | (~remote & near))
     label = F.when(F.col("root").isNull(), F.col("label")).otherwise(F.xxhash64("cell", "root", F.lit(depth)))
     return links, met.select(
-        F.xxhash64("cell", "q", F.lit(depth)).alias("cell"), F.when(at_home, 0).otherwise(1).alias("side"), "rep", label.alias("label"), "set", F.col("n").alias("before")
+        F.xxhash64("cell", "q", F.lit(depth)).alias("cell"), F.when(at_home, 0).otherwise(1).alias("side"), "rep", label.alias("label"), F.col("n").alias("before")
     )
 
 
-def parted(stuck: DataFrame) -> DataFrame:
+def parted(stuck: DataFrame, small) -> DataFrame:
     """Regions that pivots don't divide: the documents not labelled like the most, in blocks, against all in blocks."""
     labels = stuck.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("held"))
     most = labels.groupBy("cell").agg(F.max_by("label", F.struct("held", "label")).alias("most"), F.sum("held").alias("all"), F.max("held").alias("largest"))
-    sized = stuck.join(most, "cell")
+    sized = stuck.join(small(most), "cell")
     blocks = lambda count: F.greatest(F.lit(1), F.ceil(count / (TOGETHER // 2))).cast("int")
     loose, whole = blocks(F.col("all") - F.col("largest")), blocks(F.col("all"))
     part = lambda count: F.pmod(F.xxhash64("rep"), count).cast("int")
     asking = sized.where("label <> most").select("*", part(loose).alias("i"), F.explode(F.sequence(F.lit(0), whole - 1)).alias("j"), F.lit(0).alias("at"))
     asked = sized.select("*", F.explode(F.sequence(F.lit(0), loose - 1)).alias("i"), part(whole).alias("j"), F.lit(1).alias("at"))
-    return asking.unionByName(asked.select(asking.columns)).select(F.xxhash64("cell", "i", "j").alias("cell"), F.col("at").alias("side"), "rep", "label", "set")
+    return asking.unionByName(asked.select(asking.columns)).select(F.xxhash64("cell", "i", "j").alias("cell"), F.col("at").alias("side"), "rep", "label")
+
 
+def joined_regions(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the documents of each region (cell, rep), so that linked ones are connected; ``sets``: (rep, set).
 
-def joined_regions(cells: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the documents of each region (cell, side, rep, label, set), so that linked ones are connected."""
-    columns = ["cell", "side", "rep", "label", "set"]
+    Regions of more than one in FEW of all rows are fewer than FEW: what is known of them is broadcast, so that nothing of a
+    hot region is gathered by its number.
+    """
+    columns = ["cell", "side", "rep", "label"]
     links, tasks, depth = [], [], 0
-    state = cells.withColumn("before", F.lit(None).cast("long"))
+    state = members.select("cell", F.lit(0).alias("side"), "rep", F.col("rep").alias("label"), F.lit(None).cast("long").alias("before"))
     while True:
-        sizes = state.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(1 - F.col("side")).alias("homes"))
-        sized = state.join(sizes.where("low <> high and homes > 0").select("cell", "n"), "cell")
-        tasks.append(sized.where(F.col("n") <= TOGETHER).select(columns))
-        large = sized.where(F.col("n") > TOGETHER)
-        if not sizes.where((F.col("n") > TOGETHER) & (F.col("low") != F.col("high"))).take(1):
+        counted = state.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(1 - F.col("side")).alias("homes"))
+        counted = cut(counted)
+        sizes = counted.where("low <> high and homes > 0").select("cell", "n")
+        rows = counted.agg(F.sum("n"), F.max("n")).first()
+        hot = F.col("n") > max(TOGETHER, (rows[0] or 0) // FEW)
+        tasks.append(state.join(sizes.where(F.col("n") <= TOGETHER), "cell").select(columns))
+        if (rows[1] or 0) <= TOGETHER:
+            break
+        smaller = []
+        for which, small in ((hot, F.broadcast), ((F.col("n") > TOGETHER) & ~hot, lambda frame: frame)):
+            own = sizes.where(which)
+            if not own.take(1):
+                continue
+            large = state.join(small(own), "cell")
+            stuck = F.coalesce(F.col("n") > STUCK * F.col("before"), F.lit(False))
+            tasks.append(parted(large.where(stuck), small).select(columns))
+            found, next_ = divide(large.where(~stuck).join(sets, "rep"), percent, depth, small)
+            links.append(found)
+            smaller.append(next_)
+        if not smaller:
             break
-        stuck = F.coalesce(F.col("n") > STUCK * F.col("before"), F.lit(False))
-        tasks.append(parted(large.where(stuck)))
-        found, smaller = divide(large.where(~stuck), percent, depth)
-        links.append(found)
-        state, depth = cut(smaller), depth + 1
-    for more in tasks[1:]:
-        tasks[0] = tasks[0].unionByName(more)
-    whole = tasks[0].agg(F.sum(F.octet_length("set"))).first()[0] or 0
-    dealt = tasks[0].withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(max(1, int(whole / (2 << 20))))).cast("int"))
+        state, depth = cut(reduce(DataFrame.unionByName, smaller)), depth + 1
+    wanted = cut(reduce(DataFrame.unionByName, tasks))
+    held = sets.select(F.avg(F.octet_length("set"))).first()[0] or 0
+    buckets = max(1, int(wanted.count() * held / (2 << 20)))
+    dealt = wanted.join(sets, "rep").withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)).cast("int"))
     found = dealt.groupBy("bucket").applyInArrow(lambda table: join_together(table, percent), LINKS)
-    for more in links:
-        found = found.union(more)
-    return found
+    return reduce(DataFrame.union, [found, *links])
 
 
 def jaccard_join(
@@ -392,10 +417,7 @@ def jaccard_join(
     members = able.select("id", "lo", "hi").distinct().join(alike.withColumnRenamed("id", "least"), ["lo", "hi"])  # no more work on its rows, so AQE can split hot sets
     distinct = cut(able.join(alike, ["id", "lo", "hi"]).select("rep", "lo", "hi", "regions", "set").dropDuplicates(["lo", "hi"]).select("rep", "regions", "set"))
 
-    cells = cut(
-        regions_of(distinct).join(distinct.select("rep", "set"), "rep").select("cell", F.lit(0).alias("side"), "rep", F.col("rep").alias("label"), "set")
-    )
-    final = components(joined_regions(cells, percent)).select(F.col("id").alias("rep"), "component")
+    final = components(joined_regions(cut(regions_of(distinct)), distinct.select("rep", "set"), percent)).select(F.col("id").alias("rep"), "component")
     lowest = final.join(alike.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("lowest"))
     final = final.join(lowest, "component")
     named = members.join(final, "rep", "left").select("id", "lo", "hi", "least", "lowest", F.coalesce("component", "rep").alias("group"))
