@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime
+from urllib.parse import urlencode
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from . import graph, search, tree
 from .window import DAY, PAGE, eligible, lookup, page, upper
 
-MODES = ("new", "relevance", "conversations", "social")
+MODES = ("new", "relevance", "conversations", "discovery")
 
 
 def ranked(bm25: Column) -> Column:
@@ -54,15 +57,17 @@ def threads(posts: DataFrame, now: int, before: int | None = None, matches: Data
     replied = (F.col("created_at") >= end - DAY) & ~is_root
     cards = rows.groupBy("thread").agg(
         card.alias("card"), F.bool_or(is_root).alias("root_present"), F.max(F.when(is_root, F.col("author_id"))).alias("root_author"),
-        F.collect_set(F.when(replied, F.struct("source", "author_id"))).alias("repliers"),
         F.count(F.lit(1)).alias("members"), F.max("created_at").alias("latest_activity"),
     )
     if matches is not None:
         cards = cards.where(F.col("card.bm25").isNotNull())
-    others = F.filter("repliers", lambda r: ~((r["source"] == F.col("card.source")) & r["author_id"].eqNullSafe(F.col("root_author"))))
-    return cards.select(
+    # Distinct first, so that nobody holds all repliers of one thread.
+    repliers = rows.where(replied).select("thread", "source", "author_id").distinct()
+    own = (F.col("source") == F.col("card.source")) & F.coalesce(F.col("author_id") == F.col("root_author"), F.lit(False))
+    counts = repliers.join(cards.select("thread", "card", "root_author"), "thread").where(~own).groupBy("thread").agg(F.count(F.lit(1)).alias("n"))
+    return cards.join(counts, "thread", "left").select(
         F.col("thread").alias("root_id"), F.col("card.canonical_id").alias("card_id"), F.col("card.bm25").alias("card_bm25"), "root_present",
-        F.size(others).cast("long").alias("n_reply_authors"), (F.col("members") - F.col("root_present").cast("int")).alias("n_replies"), "latest_activity",
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_reply_authors"), (F.col("members") - F.col("root_present").cast("int")).alias("n_replies"), "latest_activity",
     )
 
 
@@ -83,56 +88,102 @@ def social(
     return page(rows, [F.desc("weight"), *newest] if order == "connections" else newest, number)
 
 
+def has_next(rows: DataFrame, order: list[Column], number: int) -> bool:
+    """Whether a page follows the given one: one row more is asked for, so a full last page has none after it."""
+    return bool(rows.orderBy(*order).offset((number + 1) * PAGE).limit(1).take(1))
+
+
+def page_full(pages: DataFrame) -> DataFrame:
+    """(page, has_next) by a full page, for rows (page, n): what readers of fixed pages see, also after a full last one."""
+    return pages.select("page", (F.col("n") == PAGE).alias("has_next"))
+
+
+def match_label(bm25: Column) -> Column:
+    return F.format_string("match %.1f", bm25)
+
+
+def score_label(mode: str, searched: bool) -> Column:
+    """The score that a card shows: nothing on new ones, the match, repliers of the day, or hops and connection."""
+    match = F.concat(F.lit(" · "), match_label(F.col("bm25"))) if searched else F.lit("")
+    if mode == "relevance":
+        return F.concat(match_label(F.col("bm25")), F.lit(" (lower=closer)"))
+    if mode == "conversations":
+        return F.concat(F.col("n_reply_authors").cast("string"), F.lit(" repliers (24h)"), match)
+    if mode == "discovery":
+        near = F.when(F.col("hops") == 1, "1 hop · you follow").otherwise(F.format_string("%d hops · connection %.2f", "hops", "graph_score"))
+        return F.concat(near, match)
+    return F.lit("")
+
+
+def _number(args: Mapping[str, str], name: str, default: int) -> int:
+    """An integer argument, at least 0; anything else is the default."""
+    try:
+        return max(0, int(args.get(name, default)))
+    except ValueError:
+        return default
+
+
+def _midnight(day: str) -> int:
+    """Seconds of a YYYY-MM-DD day's start in UTC, 0 if it isn't one."""
+    try:
+        return int(datetime.strptime(day, "%Y-%m-%d").replace(tzinfo=UTC).timestamp())
+    except ValueError:
+        return 0
+
+
 @dataclass(frozen=True)
 class Request:
-    """A feed request after defaults: unknown modes, orders and reaches fall back."""
+    """A feed request after defaults: unknown modes, orders and reaches fall back; reach and order belong to discovery only."""
 
     mode: str = "conversations"
     query: str = ""
     page: int = 0
     before: int | None = None
-    order: str = "recent"
-    reach: int = 2
+    order: str | None = None
+    reach: int | None = None
 
     @classmethod
-    def parse(cls, args: dict[str, str], now: int) -> Request:
+    def parse(cls, args: Mapping[str, str], now: int) -> Request:
+        """``go`` (the search was submitted) makes a query a relevance search; ``date`` stands for ``before`` where that is missing."""
         query = args.get("q", "").strip()
-        mode = args.get("mode", "")
-        if args.get("go") == "1" and query:
-            mode = "relevance"
-        if mode not in MODES:
-            mode = "relevance" if query else "conversations"
-        if mode == "relevance" and not query:
-            mode = "conversations"
-        number = lambda name, default: int(args[name]) if args.get(name, "").strip().lstrip("-").isdigit() else default
-        before = number("before", 0)
-        reach = number("reach", 2)
-        order = args.get("order", "recent")
-        return cls(
-            mode, query, max(0, number("page", 0)), before if 0 < before < now else None,
-            order if order in ("recent", "connections") else "recent", reach if reach in (1, 2, 3) else 2,
-        )
-
-
-def feed(posts: DataFrame, follows: DataFrame, hubs: DataFrame, root: int, request: Request, now: int) -> DataFrame:
-    """The page that a request asks for."""
-    matches = search.match(posts, search.parse(request.query)) if request.query else None
+        asked = "relevance" if query and "go" in args else args.get("mode", "")
+        mode = asked if asked in MODES else "relevance" if query else "conversations"
+        mode = "conversations" if mode == "relevance" and not query else mode
+        before = _number(args, "before", 0) or _midnight(args.get("date", ""))
+        order = reach = None
+        if args.get("mode") == "discovery":
+            order = "connections" if args.get("order") == "connections" else "recent"
+            reach = next((r for r in (1, 3) if _number(args, "reach", 2) == r), 2)
+        return cls(mode, query, _number(args, "page", 0), before if 0 < before < now else None, order, reach)
+
+    def query_string(self) -> str:
+        """The canonical form of the request, as links carry it: without the page, and without what is empty."""
+        parts = {"q": self.query, "mode": self.mode, "before": self.before, "reach": self.reach, "order": self.order}
+        return urlencode({k: v for k, v in parts.items() if v})
+
+
+def feed(posts: DataFrame, follows: DataFrame, hubs: DataFrame, root: int, request: Request, now: int, index: search.Index | None = None) -> DataFrame:
+    """The page that a request asks for; searches read ``index`` if there is one, else all texts."""
+    matches = None
+    if request.query:
+        clauses = search.parse(request.query)
+        matches = index.match(clauses) if index else search.match(posts, clauses)
     if request.mode == "new":
         return new(posts, now, request.page, request.before, matches)
     if request.mode == "relevance":
         return relevance(posts, matches, now, request.page, request.before)
     if request.mode == "conversations":
         return conversations(posts, now, request.page, request.before, matches)
-    return social(posts, follows, hubs, root, now, request.page, request.before, request.order, request.reach, matches)
+    return social(posts, follows, hubs, root, now, request.page, request.before, request.order or "recent", request.reach or 2, matches)
 
 
 def context(posts: DataFrame, canonical_id: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ancestors from the top with distance, the post, replies in pre-order with depth) of one eligible post."""
     rows = eligible(posts, now)
-    above = tree.ancestors(rows.select("canonical_id", "parent_id")).where(F.col("id") == canonical_id)
-    chain = rows.join(above.select(F.col("ancestor").alias("canonical_id"), "distance"), "canonical_id").orderBy(F.desc("distance"))
+    above = tree.walk_up(rows, canonical_id).where("distance > 0")
+    chain = rows.join(above.select("canonical_id", "distance"), "canonical_id").orderBy(F.desc("distance"))
     below = rows.join(tree.preorder(posts, canonical_id, now), "canonical_id").orderBy("position")
     return chain, lookup(posts, canonical_id, now), below
 
 
-__all__ = ["MODES", "PAGE", "Request", "context", "conversations", "feed", "new", "ranked", "relevance", "social", "threads"]
+__all__ = ["MODES", "PAGE", "Request", "context", "conversations", "feed", "has_next", "new", "page_full", "ranked", "relevance", "score_label", "social", "threads"]

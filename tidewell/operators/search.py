@@ -1,25 +1,31 @@
-"""Full-text search: query parsing, conjunctive terms and phrases, and BM25.
+"""Full-text search: query parsing, folded and stemmed terms, phrases, and BM25.
 
-``match`` scans tokens of the posts at hand and stays in the JVM; ``Postings`` is the same search over
-a stored inverted index, where a query reads only its own terms.
+Texts and queries go through one tokenizer: letters and digits are tokens, case and the diacritics of Latin letters
+are folded in the JVM, and tokens are reduced to Porter stems (in Arrow batches). ``Index`` is the inverted
+index, stored as Parquet by shards of the term: a query reads its own terms' rows only. ``match`` is the same search by
+a scan of the posts at hand.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.porter import stem
+from . import state
 
-TOKEN = r"[\p{L}\p{N}]+"
+TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 K1, B = 1.2, 0.75
 #: Replaces an inverse document frequency that isn't positive.
 LEAST_IDF = 1e-6
+#: Folders that an index is dealt over by its terms.
+SHARDS = 16
 
 
 class QueryError(ValueError):
@@ -27,6 +33,7 @@ class QueryError(ValueError):
 
 
 Clauses = list[list[str]]
+_PIECES = re.compile(r'"(?P<phrase>[^"]*)"|(?P<open>")|(?P<bare>[^"]+)')
 
 
 def parse(query: str) -> Clauses:
@@ -35,24 +42,59 @@ def parse(query: str) -> Clauses:
     AND, OR and NOT are ordinary words. A clause that has no token (such as a lone underscore) stays
     in the list, empty, and matches nothing.
     """
-    pieces = query.split('"')
-    if len(pieces) % 2 == 0:
-        raise QueryError("Unmatched quotation mark in search query.")
-    quoted = [" ".join(re.findall(r"\w+", p)) for p in pieces[1::2]]
-    bare = [w for p in pieces[::2] for w in re.findall(r"\w+", p)]
-    clauses = [tokens(c) for c in [q for q in quoted if q] + bare]
-    if not clauses:
-        raise QueryError("Search query has no searchable terms.")
-    return clauses
+    phrases, bare = [], []
+    for piece in _PIECES.finditer(query):
+        if piece["open"]:
+            raise QueryError("a quotation mark is left open")
+        words = re.findall(r"\w+", piece["phrase"] or piece["bare"] or "")
+        if piece["bare"]:
+            bare += words
+        elif words:
+            phrases.append(" ".join(words))
+    if not phrases and not bare:
+        raise QueryError("nothing to search for")
+    return [tokens(c) for c in phrases + bare]
 
 
 def tokens(text: str) -> list[str]:
-    """Tokens of a short text on the driver, as ``token_column`` gives them."""
+    """Tokens of a short text on the driver, before folding."""
     return re.findall(r"[^\W_]+", text.lower())
 
 
+@lru_cache(maxsize=1)
+def folding() -> tuple[str, str]:
+    """(letters, what each becomes), for ``translate``; letters beyond the second text's length go.
+
+    Rule: a letter becomes its simple case folding, and a Latin letter that Unicode decomposes into a letter from a to
+    z and one mark becomes that letter; these marks themselves (up to U+0331) go.
+    """
+    change, marks = {}, set()
+    for code in [*range(0x80, 0x3000), *range(0xA640, 0xAC00), *range(0xFF21, 0xFF5B)]:
+        letter = chr(code)
+        folded = letter.casefold() if len(letter.casefold()) == 1 else letter.lower() if len(letter.lower()) == 1 else letter
+        parts = unicodedata.decomposition(folded).split()
+        if len(parts) == 2 and parts[0][0] != "<" and "a" <= chr(int(parts[0], 16)) <= "z":
+            folded = chr(int(parts[0], 16))
+            marks |= {int(parts[1], 16)} if int(parts[1], 16) <= 0x331 else set()
+        if folded != letter:
+            change[letter] = folded
+    return "".join(change) + "".join(map(chr, sorted(marks))), "".join(change.values())
+
+
+def fold(text: str) -> str:
+    """A text on the driver, folded as ``folded`` does it."""
+    source, target = folding()
+    table = {ord(c): target[i] if i < len(target) else None for i, c in enumerate(source)}
+    return text.translate(table).lower().translate(table)
+
+
+def folded(text: Column) -> Column:
+    source, target = folding()
+    return F.translate(F.lower(text), source, target)
+
+
 def token_column(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -68,6 +110,15 @@ def stemmed(words: pd.Series) -> pd.Series:
     return words.map(lambda row: None if row is None else [one(w) for w in row])
 
 
+def words_of(text: Column, stems: bool = True) -> Column:
+    return stemmed(token_column(text)) if stems else token_column(text)
+
+
+def normal(clauses: Clauses, stems: bool = True) -> Clauses:
+    """The clauses as they stand in an index."""
+    return [[stem(fold(t)) if stems else fold(t) for t in c] for c in clauses]
+
+
 def spaced(words: Column) -> Column:
     """Tokens as one text with a space before and after each."""
     return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
@@ -81,17 +132,14 @@ def occurrences(line: Column, clause: list[str]) -> Column:
     return F.regexp_count(line, F.lit(f"(?<= ){clause[0]}(?={after} )"))
 
 
-def match(posts: DataFrame, clauses: Clauses, stems: bool = False) -> DataFrame:
+def match(posts: DataFrame, clauses: Clauses, stems: bool = True) -> DataFrame:
     """(canonical_id, bm25) of the posts that hold every clause; lower is better.
 
     The statistics are those of all posts given, not only of the eligible ones.
     """
-    if stems:
-        words, clauses = stemmed(token_column(F.col("text"))), [[stem(t) for t in c] for c in clauses]
-        lines = posts.select("canonical_id", words.alias("words")).select("canonical_id", spaced(F.col("words")).alias("line"), F.size("words").alias("n"))
-    else:  # without an array of tokens: everything else becomes a space
-        line = F.regexp_replace(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
-        lines = posts.select("canonical_id", line.alias("line"), (F.length(line) - F.length(F.replace(line, F.lit(" "))) - 1).alias("n"))
+    clauses = normal(clauses, stems)
+    words = posts.select("canonical_id", words_of(F.col("text"), stems).alias("words"))
+    lines = words.select("canonical_id", spaced(F.col("words")).alias("line"), F.size("words").alias("n"))
     counted = lines.select("canonical_id", "n", *[occurrences(F.col("line"), c).alias(f"f{i}") for i, c in enumerate(clauses)])
     stats = counted.agg(
         F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(clauses))]
@@ -115,32 +163,73 @@ def _minus(k: int):
     return lambda p: p - k
 
 
-class Postings:
-    """An inverted index: (term, canonical_id, positions), and (canonical_id, n) of all posts.
+def shard(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
+
+
+class Index:
+    """An inverted index: postings (shard, term, canonical_id, n, positions) and the posts' lengths (canonical_id, n).
 
-    Stored bucketed or partitioned by term, a query prunes to its terms; posts without hits cost nothing.
+    ``n`` is the post's number of tokens, kept beside each posting so that scoring a hit needs no other table.
     """
 
-    def __init__(self, posts: DataFrame):
-        words = posts.select("canonical_id", token_column(F.col("text")).alias("words"))
-        self.lengths = words.select("canonical_id", F.size("words").alias("n"))
-        self.terms = words.select("canonical_id", F.posexplode("words").alias("at", "term")).groupBy("term", "canonical_id").agg(
+    def __init__(self, postings: DataFrame, lengths: DataFrame, stems: bool = True):
+        self.postings, self.lengths, self.stems = postings, lengths, stems
+
+    @classmethod
+    def of(cls, posts: DataFrame, stems: bool = True) -> Index:
+        words = posts.select("canonical_id", words_of(F.col("text"), stems).alias("words")).withColumn("n", F.size("words"))
+        postings = words.select("canonical_id", "n", F.posexplode("words").alias("at", "term")).groupBy("term", "canonical_id", "n").agg(
             F.sort_array(F.collect_list("at")).alias("positions")
         )
+        return cls(postings.select(shard(F.col("term")).alias("shard"), "term", "canonical_id", "n", "positions"), words.select("canonical_id", "n"), stems)
+
+    def publish(self, folder: str) -> Index:
+        """Store the index as the next generation under ``folder``: by shard, each file sorted by term so that its row groups can be skipped."""
+        tables = {"postings": self.postings.repartition(SHARDS, "shard").sortWithinPartitions("shard", "term"), "lengths": self.lengths}
+        state.publish_all(tables, folder, partitions={"postings": ["shard"]})
+        return Index.stored(self.postings.sparkSession, folder, self.stems)
+
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str, stems: bool = True) -> Index:
+        tables = state.current_all(spark, folder, ("postings", "lengths"))
+        if tables is None:
+            raise FileNotFoundError(f"no index in {folder}")
+        return cls(tables["postings"], tables["lengths"], stems)
+
+    def updated(self, gone: DataFrame, posts: DataFrame) -> Index:
+        """The index without the posts in ``gone`` (canonical_id), and with ``posts``, which replace those of their ids."""
+        fresh, old = Index.of(posts, self.stems), gone.select("canonical_id").union(posts.select("canonical_id")).distinct()
+        return Index(
+            self.postings.join(old, "canonical_id", "left_anti").unionByName(fresh.postings),
+            self.lengths.join(old, "canonical_id", "left_anti").unionByName(fresh.lengths), self.stems,
+        )
+
+    def differences(self, posts: DataFrame) -> DataFrame:
+        """(term, canonical_id): postings that are not what the posts' texts give; empty if the index is sound."""
+        flat = lambda i: i.postings.select("term", "canonical_id", "n", "positions")
+        fresh = Index.of(posts, self.stems)
+        own, other = flat(self).withColumn("side", F.lit(1)), flat(fresh).withColumn("side", F.lit(-1))
+        return own.unionByName(other).groupBy("term", "canonical_id", "n", "positions").agg(F.sum("side").alias("s")).where("s <> 0").select("term", "canonical_id").distinct()
 
     def match(self, clauses: Clauses) -> DataFrame:
+        """(canonical_id, bm25), as ``match`` gives them."""
         found = None
-        for i, clause in enumerate(clauses):
+        for i, clause in enumerate(normal(clauses, self.stems)):
             hits = self.phrase(clause).withColumnRenamed("f", f"f{i}")
-            hits = hits.join(F.broadcast(hits.agg(F.count(F.lit(1)).alias(f"d{i}"))))
-            found = hits if found is None else found.join(hits, "canonical_id")
+            hits = hits.crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias(f"d{i}"))))  # one row
+            found = hits if found is None else found.join(hits.drop("n"), "canonical_id")
         stats = self.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-        return found.join(self.lengths, "canonical_id").crossJoin(F.broadcast(stats)).select("canonical_id", score(len(clauses)).alias("bm25"))
+        return found.crossJoin(F.broadcast(stats)).select("canonical_id", score(len(clauses)).alias("bm25"))
+
+    def rows(self, term: str) -> DataFrame:
+        here = F.lit(term)
+        return self.postings.where((F.col("shard") == shard(here)) & (F.col("term") == here)).select("canonical_id", "n", "positions")
 
     def phrase(self, clause: list[str]) -> DataFrame:
-        """(canonical_id, f): positions of the phrase's start, by intersecting shifted positions."""
-        rows = self.terms.where(F.col("term") == (clause[0] if clause else "")).select("canonical_id", "positions")
+        """(canonical_id, n, f): places where the phrase starts, by intersecting shifted positions."""
+        rows = self.rows(clause[0] if clause else "")
         for k, term in enumerate(clause[1:], 1):
-            other = self.terms.where(F.col("term") == term).select("canonical_id", F.transform("positions", _minus(k)).alias("shifted"))
-            rows = rows.join(other, "canonical_id").select("canonical_id", F.array_intersect("positions", "shifted").alias("positions"))
-        return rows.select("canonical_id", F.size("positions").alias("f")).where("f > 0")
+            other = self.rows(term).select("canonical_id", F.transform("positions", _minus(k)).alias("shifted"))
+            rows = rows.join(other, "canonical_id").select("canonical_id", "n", F.array_intersect("positions", "shifted").alias("positions"))
+        return rows.select("canonical_id", "n", F.size("positions").alias("f")).where("f > 0")

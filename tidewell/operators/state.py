@@ -1,11 +1,13 @@
 """State tables: latest-wins, change-detecting upserts, edge replacement, deletes, and published snapshots.
 
 Plain parquet has no MERGE, so an update is a plan from the old snapshot and the new rows to the next
-snapshot, published by moving a pointer.
+snapshot, published by a mark that appears last.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -67,36 +69,70 @@ def warnings_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy("canonical_id", "category").agg(F.max_by("reason", "seq").alias("reason"), F.min_by("created_at", "seq").alias("created_at"))
 
 
-def _paths(spark: SparkSession, folder: str):
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    return jvm, path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir. Where it is unset one of our own is used, but only if driver and executors are one process."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = os.path.join(tempfile.gettempdir(), "tidewell-checkpoints")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def _storage(spark: SparkSession, folder: str):
+    """(path class, file system) of a folder; a missing folder has no generations."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(path, fs, folder: str, prefix: str) -> list[str]:
+    return sorted(s.getPath().getName() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith(prefix)) if fs.exists(path(folder)) else []
+
+
+def publish_all(tables: dict[str, DataFrame], folder: str, partitions: dict[str, Sequence[str]] | None = None, keep: int = 2) -> int:
+    """Write the tables as the next generation under ``folder`` and return its number; all appear together or not at all.
+
+    A generation counts once its mark ``_done-N`` exists, an empty file created without overwriting: readers see the highest marked
+    one whole, and of two writers that took the same number one fails. A number is never used twice. The last
+    ``keep`` generations stay for readers that began earlier.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    path, fs = _storage(spark, folder)
+    taken = [int(n.split("-")[1]) for n in _names(path, fs, folder, "_done-") + _names(path, fs, folder, "gen-")]
+    number = max(taken, default=0) + 1
+    for name, table in tables.items():
+        writer = table.write.partitionBy(*partitions[name]) if partitions and name in partitions else table.write
+        writer.parquet(f"{folder}/gen-{number:06d}/{name}")
+    fs.create(path(f"{folder}/_done-{number:06d}"), False).close()
+    done = _names(path, fs, folder, "_done-")
+    for old in done[:-keep]:
+        fs.delete(path(f"{folder}/{old}"), False)
+        fs.delete(path(f"{folder}/gen-{old.split('-')[1]}"), True)
+    return number
+
+
+def generation(spark: SparkSession, folder: str) -> str | None:
+    """Folder of the latest published generation, or None."""
+    path, fs = _storage(spark, folder)
+    done = _names(path, fs, folder, "_done-")
+    return f"{folder}/gen-{done[-1].split('-')[1]}" if done else None
+
+
+def current_all(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame] | None:
+    """The tables of the latest published generation, or None."""
+    where = generation(spark, folder)
+    return None if where is None else {n: spark.read.parquet(f"{where}/{n}") for n in names}
 
 
 def publish(df: DataFrame, folder: str) -> str:
-    """Write ``df`` as the next generation under ``folder`` and move the pointer to it; readers see the old or the new one whole."""
-    spark = df.sparkSession
-    jvm, root, fs = _paths(spark, folder)
-    numbers = [int(s.getPath().getName()[4:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("gen=")] if fs.exists(root) else []
-    target = f"{folder}/gen={max(numbers, default=0) + 1:06d}"
-    df.write.parquet(target)
-    staged, pointer = jvm.org.apache.hadoop.fs.Path(f"{folder}/_pointer.new"), jvm.org.apache.hadoop.fs.Path(f"{folder}/_pointer")
-    out = fs.create(staged, True)
-    out.write(bytearray(target.encode()))
-    out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(staged, pointer)
-    return target
+    """``publish_all`` of one table; returns where it is."""
+    return f"{folder}/gen-{publish_all({'rows': df}, folder):06d}/rows"
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The published generation, or None."""
-    jvm, _, fs = _paths(spark, folder)
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{folder}/_pointer")
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
-    target = bytes(stream.readAllBytes()).decode()
-    stream.close()
-    return spark.read.parquet(target)
+    """The published generation of one table, or None."""
+    found = current_all(spark, folder, ("rows",))
+    return found and found["rows"]

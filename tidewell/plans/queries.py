@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import events as signed
 from ..functions import markup
+from ..functions.porter import stem
 from ..operators import aggregates, enrich, extras, feeds, graph, lookups, moderation, search, state, tree, vectors, window
 from ..sources.views import DAY, NOW, ctes, table, view
 from ..streaming import ingest
@@ -121,35 +120,62 @@ def thread_cards_top50(spark, sf_dir):
 
 # ---------------------------------------------------------------- search
 
-SCORED = """w as (select canonical_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as words from posts),
- o as (select canonical_id, len(words) as n,
-   len(list_filter(range(1, len(words)), lambda i: words[i] = 'of' and words[i + 1] = 'the')) as f0,
-   len(list_filter(words, lambda x: x = 'tion')) as f1 from w),
- st as (select count(*) as docs, avg(n) as mean, count(*) filter (where f0 > 0) as d0, count(*) filter (where f1 > 0) as d1 from o),
- m as (select canonical_id, -(
-   (case when ln((docs - d0 + 0.5) / (d0 + 0.5)) <= 0 then 1e-6 else ln((docs - d0 + 0.5) / (d0 + 0.5)) end) * f0::double * 2.2 / (f0::double + 1.2 * (0.25 + 0.75 * n / mean)) +
-   (case when ln((docs - d1 + 0.5) / (d1 + 0.5)) <= 0 then 1e-6 else ln((docs - d1 + 0.5) / (d1 + 0.5)) end) * f1::double * 2.2 / (f1::double + 1.2 * (0.25 + 0.75 * n / mean))) as bm25
-   from o, st where f0 > 0 and f1 > 0)"""
+SUFFIXES = ("", "s", "es", "e", "ed", "ing", "y", "ies", "ly", "al", "er", "ic", "ation", "ations", "ator", "ize", "ness", "ful", "ment", "ments", "ement", "able", "ible", "ance", "ence", "ant", "ent", "ism", "ate", "ous", "ive", "ion", "ions")
+
+
+def variants(target: str) -> list[str]:
+    """Words of the stem: the stem table that the SQL reads, limited to the words that two suffixes make."""
+    return sorted({target + a + b for a in SUFFIXES for b in SUFFIXES if stem(target + a + b) == target})
+
+
+def scored(clauses: search.Clauses) -> str:
+    """CTEs w (words), o (f0, f1 ... by post), st and m (canonical_id, bm25) for the clauses, by plain definition."""
+    clauses = search.normal(clauses)
+    known = sorted({t for c in clauses for t in c})
+    cases = " ".join(f"when x in ({', '.join(repr(v) for v in variants(t))}) then '{t}'" for t in known)
+    count = lambda c: f"len(list_filter(range(1, len(words) - {len(c) - 2}), lambda i: {' and '.join(f'words[i + {k}] = {t!r}' for k, t in enumerate(c))}))"
+    idf = lambda i: f"(case when ln((docs - d{i} + 0.5) / (d{i} + 0.5)) <= 0 then 1e-6 else ln((docs - d{i} + 0.5) / (d{i} + 0.5)) end)"
+    part = lambda i: f"{idf(i)} * f{i}::double * 2.2 / (f{i}::double + 1.2 * (0.25 + 0.75 * n / mean))"
+    n = range(len(clauses))
+    return f"""w as (select canonical_id, list_transform(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'), lambda x: case {cases} else x end) as words from posts),
+ o as (select canonical_id, len(words) as n, {', '.join(f'{count(c)} as f{i}' for i, c in enumerate(clauses))} from w),
+ st as (select count(*) as docs, avg(n) as mean, {', '.join(f'count(*) filter (where f{i} > 0) as d{i}' for i in n)} from o),
+ m as (select canonical_id, -({' + '.join(part(i) for i in n)}) as bm25 from o, st where {' and '.join(f'f{i} > 0' for i in n)})"""
+
+
+SCORED = scored(CLAUSES)
+_indexes: dict[tuple, str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The stored index of a folder's posts: built when first asked for and read again until the documents change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = spark.sparkContext.applicationId, sf_dir, changed
+    if key not in _indexes:
+        folder = scratch(spark)
+        search.Index.of(posts_of(spark, sf_dir)).publish(folder)
+        _indexes[key] = folder
+    return search.Index.stored(spark, _indexes[key])
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match(posts_of(spark, sf_dir), CLAUSES)
+    return stored_index(spark, sf_dir).match(CLAUSES)
 
 
-@query("with w as (select canonical_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as words from posts) "
-       "select canonical_id from w where list_contains(words, 'tion') and list_contains(words, 'thing')")
+@query(f"with {scored(search.parse(AND_QUERY))} select canonical_id from m")
 def search_terms_and(spark, sf_dir):
     return search.match(posts_of(spark, sf_dir), search.parse(AND_QUERY)).select("canonical_id")
 
 
 @query(f"with {SCORED} select canonical_id from o where f0 > 0")
 def search_phrase(spark, sf_dir):
-    return search.match(posts_of(spark, sf_dir), search.parse('"of the"')).select("canonical_id")
+    return stored_index(spark, sf_dir).match(search.parse('"of the"')).select("canonical_id")
 
 
 @query(f"with {SCORED} select canonical_id, round(bm25, 6) as bm25 from m")
 def search_bm25_all(spark, sf_dir):
-    return matched(spark, sf_dir).select("canonical_id", F.round("bm25", 6).alias("bm25"))
+    return search.match(posts_of(spark, sf_dir), CLAUSES).select("canonical_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"with {SCORED} select canonical_id, round(bm25, 6) as bm25, created_at from m join posts using (canonical_id) where {ELIGIBLE} "
@@ -160,7 +186,45 @@ def search_bm25_top50(spark, sf_dir):
 
 @query(f"with {SCORED} select canonical_id, round(bm25, 6) as bm25 from m")
 def search_index_bm25(spark, sf_dir):
-    return search.Postings(posts_of(spark, sf_dir)).match(CLAUSES).select("canonical_id", F.round("bm25", 6).alias("bm25"))
+    return matched(spark, sf_dir).select("canonical_id", F.round("bm25", 6).alias("bm25"))
+
+
+STEMMED = search.parse("things erings")
+
+
+@query(f"with {scored(STEMMED)} select canonical_id, round(bm25, 6) as bm25 from m")
+def search_stemmed(spark, sf_dir):
+    return stored_index(spark, sf_dir).match(STEMMED).select("canonical_id", F.round("bm25", 6).alias("bm25"))
+
+
+ACCENTS = search.parse('fur "de la" Ción')
+
+
+@query(f"with {scored(ACCENTS)} select canonical_id, round(bm25, 6) as bm25 from m")
+def search_accents(spark, sf_dir):
+    return stored_index(spark, sf_dir).match(ACCENTS).select("canonical_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"""with {scored([["the"]])}, t as (select canonical_id, len(words) as n from w where starts_with(canonical_id, 'doc:1')),
+ k as (select canonical_id, f0 from o) select t.canonical_id, t.n, k.f0 as the from t join k using (canonical_id)""")
+def search_index_updated(spark, sf_dir):
+    """An index of half the posts, some of them with other texts, brought up to date: only what its keeper was told of changes."""
+    posts = posts_of(spark, sf_dir)
+    wanted = posts.where("canonical_id like 'doc:1%'")
+    stale = wanted.where("author_id % 2 = 0").withColumn("text", F.when(F.expr("author_id % 4 = 0"), F.lit("the stale text")).otherwise(F.col("text")))
+    gone = posts.where("canonical_id like 'doc:2%'")
+    old = search.Index.of(stale.unionByName(gone))
+    folder = scratch(spark)
+    index = old.updated(gone, wanted.where("author_id % 2 = 1 or author_id % 4 = 0")).publish(folder)
+    return index.lengths.join(index.phrase(["the"]).select("canonical_id", "f"), "canonical_id", "left").select(
+        "canonical_id", "n", F.coalesce("f", F.lit(0)).alias("the")
+    )
+
+
+@query("select term, canonical_id from (values ('', '')) as t(term, canonical_id) where false")
+def search_index_differences(spark, sf_dir):
+    """The stored index against the posts' texts: no row if it is sound."""
+    return stored_index(spark, sf_dir).differences(posts_of(spark, sf_dir))
 
 
 @query(f"with {SCORED} {FEED}{ELIGIBLE} and canonical_id in (select canonical_id from m) order by created_at desc, canonical_id limit 50")
@@ -175,11 +239,6 @@ def thread_cards_match(spark, sf_dir):
     return feeds.threads(posts_of(spark, sf_dir), NOW, matches=matched(spark, sf_dir)).withColumn("card_bm25", F.round("card_bm25", 6))
 
 
-@query()
-def search_stemmed(spark, sf_dir):
-    return search.match(posts_of(spark, sf_dir), search.parse("thing ering"), stems=True).select("canonical_id", F.round("bm25", 6).alias("bm25"))
-
-
 # ---------------------------------------------------------------- graph
 
 HOPS = f"""d as (select distinct followee as id from follows where follower = {ROOT}),
@@ -530,9 +589,8 @@ def vector_reuse_diff(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder for a stream's state: in the shared checkpoint folder, or a temporary one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidewell-streams")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A fresh folder for a stream's state or a stored index, in the shared checkpoint folder."""
+    return f"{state.checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query(LATEST)
