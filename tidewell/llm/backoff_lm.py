@@ -154,9 +154,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
 
     def read(table: pa.Table, got) -> pa.Table:
         own, size = block(table), table.num_rows
-        answers, share = got(own.sections(), dealt, True)
-        counts = [a[0].astype(np.int64) for a in answers]
-        n, v = share.tolist()
+        counts = [a[0].astype(np.int64) for a in got(own.sections())]
+        n, v = got.note.tolist()
         machine = Automaton(counts, n, v)
         by_row = lambda values: np.bincount(own.row, weights=values, minlength=size)
         return pa.table(

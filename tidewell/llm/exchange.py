@@ -192,7 +192,7 @@ class Deal:
 
 
 def deal(packed_bytes: float, blocks: int, keys_a_block: float, bucket_bytes: int = BUCKET_BYTES, least_keys: int = LEAST_KEYS) -> Deal:
-    wanted = max(0, int(np.ceil(np.log2(max(1.0, packed_bytes / bucket_bytes)))))
+    wanted = int(np.round(np.log2(max(1.0, packed_bytes / bucket_bytes))))
     most = max(0, int(np.log2(max(1.0, keys_a_block / least_keys))))
     if wanted <= most + 1:
         return Deal(min(wanted, most + 1), min(wanted, most + 1), 1)
@@ -263,7 +263,7 @@ def pack_column(values: np.ndarray | list[bytes]) -> bytes:
         return b"\x09" + join([pack_column(np.array([len(v) for v in values], dtype=np.uint64)), zlib.compress(b"".join(values), 1)])
     top = int(values.max()) if len(values) else 0
     if top <= 1:
-        return b"\x00" + zlib.compress(np.packbits(values.astype(bool)).tobytes(), 1)
+        return b"\x00" + np.array([len(values)], "<u4").tobytes() + zlib.compress(np.packbits(values.astype(bool)).tobytes(), 1)
     large = values >= 255
     if 10 * np.count_nonzero(large) <= len(values):
         return b"\x01" + join([zlib.compress(np.where(large, 255, values).astype(np.uint8).tobytes(), 1), values[large].astype("<u8").tobytes()])
@@ -271,21 +271,21 @@ def pack_column(values: np.ndarray | list[bytes]) -> bytes:
     return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
-def unpack_column(data: bytes, n: int) -> np.ndarray | list[bytes]:
+def unpack_column(data: bytes) -> np.ndarray | list[bytes]:
     width = data[0]
     if width == 9:
         sizes, whole = part(data[1:])
-        ends = [0, *np.cumsum(unpack_column(sizes, n).astype(np.int64)).tolist()]
+        ends = [0, *np.cumsum(unpack_column(sizes).astype(np.int64)).tolist()]
         whole = zlib.decompress(whole)
         return [whole[a:b] for a, b in zip(ends[:-1], ends[1:])]
     if not width:
-        return np.unpackbits(np.frombuffer(zlib.decompress(data[1:]), np.uint8), count=n).astype(np.uint64)
+        return np.unpackbits(np.frombuffer(zlib.decompress(data[5:]), np.uint8), count=int(np.frombuffer(data, "<u4", 1, 1)[0])).astype(np.uint64)
     if width == 1:
         small, large = part(data[1:])
         values = np.frombuffer(zlib.decompress(small), np.uint8).astype(np.uint64)
         values[values == 255] = np.frombuffer(large, "<u8")
         return values
-    return np.frombuffer(data, f"<u{width}", n, 1).astype(np.uint64)
+    return np.frombuffer(data, f"<u{width}", offset=1).astype(np.uint64)
 
 
 def pack_section(keys: np.ndarray, columns: list) -> bytes:
@@ -297,7 +297,7 @@ def unpack_section(data: bytes) -> Section | None:
         return None
     keys, *columns = part(data)
     keys = unpack(keys)
-    return keys, [unpack_column(c, len(keys)) for c in columns]
+    return keys, [unpack_column(c) for c in columns]
 
 
 def together(columns: list) -> np.ndarray | list[bytes]:
@@ -328,13 +328,16 @@ def _shares(sections: list[Section], bits: int, first: int, last: int, every: bo
             yield first + k, [(keys[c[k] : c[k + 1]], [v[c[k] : c[k + 1]] for v in columns]) for (keys, columns), c in zip(sections, cuts)]
 
 
-def _packed(blocks: np.ndarray, share: list[Section]) -> bytes:
-    return join([np.asarray(blocks, dtype="<i8").tobytes(), *[pack_section(*s) for s in share]])
+def _packed(blocks: np.ndarray, share: list[Section], kept: list[Section] = ()) -> bytes:
+    """A packed row: the senders' blocks, what comes back as it is, and the sections."""
+    echo = join([pack_column(c) for _, columns in kept for c in columns]) if kept else b""
+    return join([np.asarray(blocks, dtype="<i8").tobytes(), echo, *[pack_section(*s) for s in share]])
 
 
-def _outgoing(block: int, sections: list[Section], dealt: Deal, every: bool) -> pa.Table:
-    shares = list(_shares(sections, dealt.bits, 0, (1 << dealt.bits) - 1, every))
-    return _rows([block] * len(shares), [dealt.numbers[b] if dealt.numbers else b for b, _ in shares], [_packed([block], s) for _, s in shares])
+def _outgoing(block: int, sections: list[Section], dealt: Deal, every: bool, kept: list[Section] = ()) -> pa.Table:
+    n = len(sections)
+    shares = list(_shares([*sections, *kept], dealt.bits, 0, (1 << dealt.bits) - 1, every))
+    return _rows([block] * len(shares), [dealt.numbers[b] if dealt.numbers else b for b, _ in shares], [_packed([block], s[:n], s[n:]) for _, s in shares])
 
 
 def send(docs: DataFrame, dealt: Deal, work: Callable[[pa.Table], list[Section]], every: bool = False) -> DataFrame:
@@ -347,11 +350,15 @@ def send(docs: DataFrame, dealt: Deal, work: Callable[[pa.Table], list[Section]]
     return docs.groupBy("block").applyInArrow(run, PACKED)
 
 
-def send_on(docs: DataFrame, answers: DataFrame, dealt: Deal, work: Callable[[pa.Table, Callable], list[Section]]) -> DataFrame:
-    """Like ``send``, after an exchange before: ``work`` also takes ``got`` (see ``finish``)."""
+def send_on(docs: DataFrame, answers: DataFrame, dealt: Deal, work: Callable[[pa.Table, Callable], tuple[list[Section], list[Section]]]) -> DataFrame:
+    """Like ``send``, after an exchange before: ``work`` also takes ``got`` (see ``finish``).
+
+    It gives the sections, and sections whose columns come back as they are: what the next step would else have to find again.
+    """
 
     def run(table: pa.Table, got: Callable) -> pa.Table:
-        return _outgoing(table.column("block")[0].as_py(), work(table, got), dealt, False)
+        sections, kept = work(table, got)
+        return _outgoing(table.column("block")[0].as_py(), sections, dealt, False, kept)
 
     return finish(docs, answers, run, PACKED)
 
@@ -365,7 +372,7 @@ def _answered(data: list[bytes], work: Work) -> list[bytes]:
     opened = [part(d) for d in data]
     senders = [np.frombuffer(o[0], "<i8") for o in opened]
     asked, lengths = [], []
-    for s in range(1, len(opened[0])):
+    for s in range(2, len(opened[0])):
         keys, blocks, columns, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
         for sender, o in zip(senders, opened):
             section = unpack_section(o[s])
@@ -384,22 +391,25 @@ def _answered(data: list[bytes], work: Work) -> list[bytes]:
     given, note = work(asked)
     note = np.asarray(note, dtype="<i8").tobytes()
     return [
-        join([note, *[join([pack_column(c[at[k] : at[k + 1]]) for c in columns]) if at[k + 1] > at[k] else b"" for columns, at in zip(given, lengths)]])
+        join([note, opened[k][1], *[join([pack_column(c[at[k] : at[k + 1]]) for c in columns]) if at[k + 1] > at[k] else b"" for columns, at in zip(given, lengths)]])
         for k in range(len(data))
     ]
 
 
-def _gathered(answers: list[bytes], sizes: list[list[int]]) -> tuple[list[list[np.ndarray]], np.ndarray]:
-    """Answer columns for every section in order of key, and the sum of the notes; ``sizes``: keys of every section in each answered row."""
-    notes, found = np.zeros(0, np.int64), [[] for _ in sizes]
-    for k, data in enumerate(answers):
-        note, *sections = part(data)
+def _gathered(answers: list[bytes]) -> tuple[list[list[np.ndarray]], np.ndarray, list]:
+    """Answer columns for every section in order of key, the sum of the notes, and the columns that were kept."""
+    notes, found, kept = np.zeros(0, np.int64), [], []
+    for data in answers:
+        note, echo, *sections = part(data)
         note = np.frombuffer(note, "<i8")
         notes = note + notes if len(notes) else note
-        for s, section in enumerate(sections):
+        found = found or [[] for _ in sections]
+        for f, section in zip(found, sections):
             if section:
-                found[s].append([unpack_column(c, sizes[s][k]) for c in part(section)])
-    return [[together(list(c)) for c in zip(*f)] for f in found], notes
+                f.append([unpack_column(c) for c in part(section)])
+        if echo:
+            kept.append([unpack_column(c) for c in part(echo)])
+    return [[together(list(c)) for c in zip(*f)] for f in found], notes, [together(list(c)) for c in zip(*kept)]
 
 
 def answer(sent: DataFrame, dealt: Deal, work: Work, every: bool = False) -> DataFrame:
@@ -418,7 +428,7 @@ def answer(sent: DataFrame, dealt: Deal, work: Work, every: bool = False) -> Dat
         """(blocks, their keys in every section, merged sections with the sender's place as first column, order of merging)."""
         blocks, opened = table.column("block").to_numpy(), [part(d) for d in table.column("data").to_pylist()]
         sections, orders, counts = [], [], []
-        for s in range(1, len(opened[0])):
+        for s in range(2, len(opened[0])):
             own = [unpack_section(o[s]) for o in opened]
             counts.append(np.array([len(o[0]) if o else 0 for o in own]))
             keys = np.concatenate([np.zeros(0, np.uint64), *[o[0] for o in own if o]])
@@ -446,15 +456,15 @@ def answer(sent: DataFrame, dealt: Deal, work: Work, every: bool = False) -> Dat
             return _rows([], [], [])
         table = table.sort_by("block")
         blocks, counts, sections, orders = merged(table)
-        shares = fine_shares(table, sections)
-        columns, note = _gathered(answers.sort_by("bucket").column("data").to_pylist(), [[len(s[k][0]) for _, s in shares] for k in range(len(sections))])
+        columns, note, _ = _gathered(answers.sort_by("bucket").column("data").to_pylist())
+        echoes = [part(d)[1] for d in table.column("data").to_pylist()]
         ends = [np.concatenate([[0], np.cumsum(c)]) for c in counts]
         for s, way in enumerate(orders):
             for c, values in enumerate(columns[s]):
                 columns[s][c] = np.empty_like(values)
                 columns[s][c][way] = values
         out = [
-            join([note.astype("<i8").tobytes(), *[join([pack_column(v[at[k] : at[k + 1]]) for v in own]) if at[k + 1] > at[k] else b"" for own, at in zip(columns, ends)]])
+            join([note.astype("<i8").tobytes(), echoes[k], *[join([pack_column(v[at[k] : at[k + 1]]) for v in own]) if at[k + 1] > at[k] else b"" for own, at in zip(columns, ends)]])
             for k in range(len(blocks))
         ]
         return _settled(_rows(blocks.tolist(), table.column("bucket").to_pylist(), out))
@@ -468,19 +478,19 @@ def answer(sent: DataFrame, dealt: Deal, work: Work, every: bool = False) -> Dat
 def finish(docs: DataFrame, answers: DataFrame, work: Callable[[pa.Table, Callable], pa.Table], schema) -> DataFrame:
     """``work(documents of a block in order of id, got)`` gives the result's rows.
 
-    ``got(sections, dealt, every, kind)`` takes what the block sent and gives the answer columns of every section and the sum of the
-    notes. Answers of several exchanges may be united in ``answers``, told apart by a column ``kind``.
+    ``got(sections)`` takes what the block sent and gives the answer columns of every section; ``got.note`` is the sum of the notes
+    and ``got.kept`` the columns that came back as they were.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        def got(sections: list[Section], dealt: Deal, every: bool = False, kind: int = 0) -> tuple[list[list[np.ndarray]], np.ndarray]:
-            own = right.filter(pc.equal(right.column("kind"), kind)) if "kind" in right.column_names else right
-            own = own.sort_by("bucket")
-            shares = list(_shares(sections, dealt.bits, 0, (1 << dealt.bits) - 1, every)) if own.num_rows else []
-            if own.column("bucket").to_pylist() != [dealt.numbers[b] if dealt.numbers else b for b, _ in shares]:
+        answered, note, kept = _gathered(right.sort_by("bucket").column("data").to_pylist())
+
+        def got(sections: list[Section]) -> list[list[np.ndarray]]:
+            if any(len(c) != len(keys) for (keys, _), columns in zip(sections, answered) for c in columns) or (not answered and any(len(k) for k, _ in sections)):
                 raise ValueError("answers don't fit what was sent")
-            return _gathered(own.column("data").to_pylist(), [[len(s[k][0]) for _, s in shares] for k in range(len(sections))])
+            return answered or [[] for _ in sections]
 
+        got.note, got.kept, got.answered = note, kept, answered
         return _settled(work(left.sort_by("id"), got))
 
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -235,7 +235,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
     def enter(table: pa.Table, got) -> pa.Table:
         own = Block(table, size)
-        found = got(shingles_of(own), dealt)[0][0]
+        found = got(shingles_of(own))[0]
         frequency = found[0].astype(np.int64)[own.place] if found else np.zeros(0, np.int64)
         able, region = entered(own, frequency, percent)
         n = np.diff(own.bounds)

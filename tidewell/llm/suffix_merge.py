@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import exchange
 from .textscan import BYTE_BASE, buffers, chunks, mix, polynomial, texts
@@ -340,32 +339,36 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def minimizers(own: Segments) -> list[exchange.Section]:
         return [(own.keys, [own.documents])]
 
-    def candidates(table: pa.Table, got) -> tuple[Segments, Candidates]:
+    def strings_of(table: pa.Table, got) -> tuple[list[exchange.Section], list[exchange.Section]]:
         own = Segments(table, length)
-        found = got(minimizers(own), first, kind=0)[0][0]
-        return own, Candidates(own, found[0].astype(np.uint8) if found else np.zeros(0, np.uint8), length)
-
-    def strings_of(table: pa.Table, got) -> list[exchange.Section]:
-        sent = candidates(table, got)[1]
-        return [(sent.keys, [sent.ids.view(np.uint64) ^ np.uint64(1 << 63), sent.strings])]
+        found = got(minimizers(own))[0]
+        sent = Candidates(own, found[0].astype(np.uint8) if found else np.zeros(0, np.uint8), length)
+        # Back come, for each string, how often it stands in the block, its windows, and where it stands.
+        way = np.argsort(sent.entry, kind="stable")
+        times = np.bincount(sent.entry, minlength=len(sent.keys))
+        windows = np.array([len(s) for s in sent.strings], dtype=np.int64) - length + 1
+        places = (sent.start[way] - own.offsets[0], sent.keys[sent.entry[way]]) if len(way) else (way, sent.keys)
+        return [(sent.keys, [sent.ids.view(np.uint64) ^ np.uint64(1 << 63), sent.strings])], [(sent.keys, [times, windows]), (places[1], [places[0]])]
 
     def cut_out(table: pa.Table, got) -> pa.Table:
-        own, sent = candidates(table, got)
-        found = got([(sent.keys, [])], later, kind=1)[0][0]
-        masks = found[0] if found else np.zeros(0, np.uint64)
-        edge = np.zeros(len(own.data) + 1, dtype=np.int32)
-        if len(sent.start):
-            later_one = own.id[sent.row] > sent.ids[sent.entry]
-            mask = np.where(later_one, ~np.uint64(0), masks[sent.entry])
-            for k in range(int(sent.count.max())):
-                at = sent.start[(sent.count > k) & ((mask >> np.uint64(k)) & np.uint64(1) == 1)] + k
+        text, ids = texts(table.column("text")), exchange.order(table)
+        offsets, data = buffers(text)
+        edge = np.zeros(offsets[-1] - offsets[0] + 1, dtype=np.int32)
+        if got.kept:
+            masks, (times, windows, places) = got.answered[0][0], (c.astype(np.int64) for c in got.kept)
+            entry = np.repeat(np.arange(len(times)), times)
+            id_ = ids[np.searchsorted(offsets, places + offsets[0], "right") - 1]
+            least = np.minimum.reduceat(id_, np.cumsum(times) - times)
+            mask = np.where(id_ > least[entry], ~np.uint64(0), masks[entry])
+            for k in range(int(windows.max())):
+                at = places[(windows[entry] > k) & ((mask >> np.uint64(k)) & np.uint64(1) == 1)] + k
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + length, -1)
         gone = np.cumsum(edge)[:-1] > 0
         kept, removed, begins, ends, counts = [], [], [], [], [0]
-        whole = own.data.tobytes()
+        whole = data[offsets[0] : offsets[-1]].tobytes()
         for r in range(table.num_rows):
-            a, z = int(own.offsets[r]), int(own.offsets[r + 1])
+            a, z = int(offsets[r] - offsets[0]), int(offsets[r + 1] - offsets[0])
             change = np.flatnonzero(np.diff(gone[a:z].astype(np.int8), prepend=0, append=0))
             b, e = change[::2], change[1::2]
             stay = np.concatenate([[0], e]), np.concatenate([b, [z - a]])
@@ -378,13 +381,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *begins])), pa.array(np.concatenate([none, *ends]))], fields=list(span))
         return pa.table(
             {
-                id_col: table.column("id"), "n_bytes": pa.array(np.diff(own.offsets)[: table.num_rows], pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+                id_col: table.column("id"), "n_bytes": pa.array(np.diff(offsets)[: table.num_rows], pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                 "kept": pa.array(kept, pa.binary()), "spans": pa.ListArray.from_arrays(pa.array(counts, pa.int32()), spans),
             }
         )
 
     flagged = exchange.answer(exchange.send(rows, first, lambda table: minimizers(Segments(table, length))), first, shared)
     answered = exchange.answer(exchange.send_on(rows, flagged, later, strings_of), later, lambda asked: merge(asked, length))
-    both = flagged.withColumn("kind", F.lit(0)).unionByName(answered.withColumn("kind", F.lit(1)))
     schema = f"`{id_col}` long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
-    return exchange.finish(rows, both, cut_out, schema)
+    return exchange.finish(rows, answered, cut_out, schema)

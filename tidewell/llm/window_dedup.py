@@ -128,7 +128,7 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut_out(table: pa.Table, got) -> pa.Table:
         own = Block(table, size)
-        found = got([(own.keys, [own.checks])], dealt)[0][0]
+        found = got([(own.keys, [own.checks])])[0]
         earlier = found[0].astype(bool) if found else np.zeros(len(own.keys), dtype=bool)
         gone = own.covered(earlier, size)
         kept, removed = kept_texts(own, gone)
