@@ -92,6 +92,19 @@ def test_recall_by_brute_force(spark, sf_dir):
     assert 0.99 * (near.sum() - len(pdf)) <= found <= near.sum() - len(pdf)
 
 
+@pytest.mark.parametrize("dim, depth", [(64, 1), (64, 2), (64, 4), (768, 2), (768, 4)])
+def test_recall_at_the_limit(dim, depth):
+    """Pairs at a cosine of just 0.98 share a bucket, also with the codes that large tables use."""
+    rng = np.random.default_rng(dim + depth)
+    x, y = rng.normal(size=(2, 1500, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    a, b = vector_dedup.codes(x, depth), vector_dedup.codes(y, depth)
+    met = [bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist())]
+    assert np.mean(met) >= 0.98
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (None, 3)]
@@ -625,6 +638,22 @@ def test_toxicity_of_a_long_clean_text(spark):
     assert {r["doc_id"] for r in toxicity.accepted(df, model).collect()} == {1, 3}
 
 
+def test_very_long_and_equal_texts(spark, small_blocks):
+    """A text of a million words among short ones, and a hundred rows that are one text."""
+    rng = random.Random(14)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "a b c"), *[(k, "one text in a hundred rows, of more than thirteen words and of more than fifty bytes") for k in range(10, 110)]]
+    df = H.frame(spark, rows)
+    removed = {r["doc_id"]: r["n_removed"] for r in window_dedup.window_dedup(df).collect()}
+    assert removed[1] == 0 and removed[2] == 200_000 and removed[10] == 0 and removed[11] == 16 == removed[109]
+    groups = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(df).collect()}
+    assert groups[2] == 1 and groups[3] == 3 and {groups[k] for k in range(10, 110)} == {10}
+    scores = {r["doc_id"]: r for r in backoff_lm.score(df).collect()}
+    assert scores[1]["n_tokens"] == 200_001 and len({scores[k]["score"] for k in range(10, 110)}) == 1
+    judged = {r["doc_id"]: r for r in line_rules.line_rules(df).collect()}
+    assert judged[1]["n_words"] == 200_000 and judged[10]["n_frequent_lines"] == 1
+
+
 def test_document_of_nothing(spark):
     """Every operator takes one empty document and one without words."""
     df = H.frame(spark, [(1, ""), (2, " \n ")])

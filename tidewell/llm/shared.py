@@ -7,6 +7,7 @@ import gc
 import os
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -48,8 +49,7 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def settle() -> None:
-    """Give freed memory back to the system: Python workers idle beside the next stage's, and an executor's memory is one sum."""
+def _trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -58,6 +58,37 @@ def settle() -> None:
         pass
 
 
+class Settling:
+    """Gives freed memory back at most once in ``seconds``, and once more when nothing has come for so long."""
+
+    def __init__(self, seconds: float = 1.0):
+        self.seconds, self.last, self.timer, self.lock = seconds, 0.0, None, threading.Lock()
+
+    def __call__(self) -> None:
+        with self.lock:
+            now = time.monotonic()
+            if now - self.last >= self.seconds:
+                self.last = now
+                _trim()
+            elif self.timer is None:
+                self.timer = threading.Timer(self.seconds, self._later)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def _later(self) -> None:
+        with self.lock:
+            self.timer, self.last = None, time.monotonic()
+            _trim()
+
+
+_settling = Settling()
+
+
+def settle() -> None:
+    """Give freed memory back to the system: Python workers idle beside the next stage's, and an executor's memory is one sum."""
+    _settling()
+
+
 class Idle:
     """Keeps a worker's memos from one task to the next, and drops them once no task has come for a while.
 
