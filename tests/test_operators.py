@@ -68,6 +68,8 @@ def test_deep_chain(spark):
     assert far.count() == 1104 and far.agg(F.max("distance")).first()[0] == 1104
     below = tree.descendants(df, "n0", NOW)
     assert below.count() == 1104
+    order = tree.forest_preorder(df, NOW).orderBy("position").collect()
+    assert [(r["canonical_id"], r["position"]) for r in order] == [(f"n{i}", i + 1) for i in range(1105)] and order[3]["depth"] == 3 and order[-1]["depth"] == 6
 
 
 def test_trees_with_cycle_and_gap(spark):
@@ -76,6 +78,11 @@ def test_trees_with_cycle_and_gap(spark):
     assert pairs == {("a", "b", 1), ("b", "a", 1), ("c", "b", 1), ("c", "a", 2), ("q", "o", 1)}
     assert {r[0] for r in tree.descendants(df, "a", NOW).collect()} == {"b", "c"}
     assert [(r["parent_id"], r["n"]) for r in tree.missing_parents(df, NOW).collect()] == [("gone", 1)]
+    up = lambda i: {r["canonical_id"]: (r["distance"], r["missing_parent_id"], r["cycle_cut"]) for r in tree.walk_up(df, i).collect()}
+    assert up("q") == {"q": (0, None, False), "o": (1, "gone", False)}
+    assert up("c") == {"c": (0, None, False), "b": (1, None, False), "a": (2, None, True)} and up("nobody") == {}
+    placed = {(r["root_id"], r["position"], r["canonical_id"], r["depth"]) for r in tree.forest_preorder(df, NOW).collect()}
+    assert placed == {("o", 1, "o", 0), ("o", 2, "q", 1)}  # what hangs on a cycle has no place
     ends = {r["id"]: r["missing_parent_id"] for r in tree.missing_root(tree.ancestors(df), df).collect()}
     assert ends == {"o": "gone", "q": "gone"}
 
@@ -113,6 +120,20 @@ def test_edges_and_warnings(spark):
     assert [tuple(r) for r in state.warnings_upsert(old, new).collect()] == [("a", "spam", "second", 1)]
 
 
+def test_generations(spark, tmp_path):
+    """All tables appear together; what a crash leaves is never read nor written over; old ones go."""
+    folder = str(tmp_path / "s")
+    write = lambda n: state.publish_all({"a": spark.range(n), "b": spark.range(2 * n)}, folder)
+    read = lambda: [t.count() for t in state.current_all(spark, folder, ("a", "b")).values()]
+    assert state.current_all(spark, folder, ("a",)) is None and write(1) == 1 and read() == [1, 2]
+    (tmp_path / "s" / "gen-000002" / "a").mkdir(parents=True)
+    assert read() == [1, 2] and write(3) == 3 and read() == [3, 6]
+    with pytest.raises(Exception, match="no such column"):
+        state.publish_all({"a": spark.range(9), "b": spark.range(1).select(F.raise_error(F.lit("no such column")))}, folder)
+    assert read() == [3, 6] and write(4) == 5 and read() == [4, 8]
+    assert sorted(p.name for p in (tmp_path / "s").glob("_done-*")) == ["_done-000003", "_done-000005"] and not (tmp_path / "s" / "gen-000001").exists()
+
+
 def test_publish(spark, tmp_path):
     folder = str(tmp_path / "s")
     assert state.current(spark, folder) is None
@@ -158,6 +179,9 @@ def test_requests():
     parse = lambda **k: feeds.Request.parse(k, NOW)
     assert parse().mode == "conversations" and parse(q="x").mode == "relevance" and parse(q="x", mode="new").mode == "new"
     assert parse(mode="relevance").mode == "conversations" and parse(q="x", mode="social", go="1").mode == "relevance"
+    assert parse(mode="discovery", q="x", reach="3", order="connections") == feeds.Request("discovery", "x", 0, None, "connections", 3)
+    assert parse(date="2020-01-02").before == 1577923200 and parse(date="2020-01-02", before="7").before == 7 and parse(date="2020-13-02").before is None and parse(page="x").page == 0
+    assert parse(mode="discovery", q="a b", reach="3", page="2", before="5").query_string() == "q=a+b&mode=discovery&before=5&reach=3&order=recent" and parse(mode="new").query_string() == "mode=new"
     assert parse(before="5").before == 5 and parse(before=str(NOW)).before is None and parse(reach="9", order="?").reach == 2 and parse(page="-4").page == 0
 
 
@@ -193,6 +217,14 @@ def test_vectors(spark, monkeypatch):
         vectors.token_chunks("a", lambda t: [1] * (9 if t == "b" else 1), lambda ids: "b", 3)
 
 
+def test_budgets(spark):
+    chunks = spark.createDataFrame([("abc",), (None,), ("abcd",)], "text string")
+    assert tuple(vectors.budget_check(chunks, list, 4).first()) == (3, 4)
+    with pytest.raises(Exception, match="a chunk has 4 tokens, more than 3"):
+        vectors.budget_check(chunks, list, 3).collect()
+    assert tuple(vectors.budget_check(chunks.where("false"), list, 3).first()) == (0, 0)
+
+
 def test_refresh_reuses(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "canonical_id string, text string")
     embed = lambda rows: rows.select("canonical_id", F.array(F.lit(1.0), F.length(F.coalesce("text", F.lit(""))).cast("double")).alias("embedding"))

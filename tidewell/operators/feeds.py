@@ -133,32 +133,31 @@ def _midnight(day: str) -> int:
 
 @dataclass(frozen=True)
 class Request:
-    """A feed request after defaults: unknown modes, orders and reaches fall back; reach and order belong to discovery only."""
+    """A feed request after defaults: unknown modes, orders and reaches fall back; reach and order matter in discovery only."""
 
     mode: str = "conversations"
     query: str = ""
     page: int = 0
     before: int | None = None
-    order: str | None = None
-    reach: int | None = None
+    order: str = "recent"
+    reach: int = 2
 
     @classmethod
     def parse(cls, args: Mapping[str, str], now: int) -> Request:
         """``go`` (the search was submitted) makes a query a relevance search; ``date`` stands for ``before`` where that is missing."""
         query = args.get("q", "").strip()
-        asked = "relevance" if query and "go" in args else args.get("mode", "")
+        asked = "relevance" if query and "go" in args else {"social": "discovery"}.get(args.get("mode", ""), args.get("mode", ""))
         mode = asked if asked in MODES else "relevance" if query else "conversations"
         mode = "conversations" if mode == "relevance" and not query else mode
         before = _number(args, "before", 0) or _midnight(args.get("date", ""))
-        order = reach = None
-        if args.get("mode") == "discovery":
-            order = "connections" if args.get("order") == "connections" else "recent"
-            reach = next((r for r in (1, 3) if _number(args, "reach", 2) == r), 2)
+        order = "connections" if args.get("order") == "connections" else "recent"
+        reach = next((r for r in (1, 3) if _number(args, "reach", 2) == r), 2)
         return cls(mode, query, _number(args, "page", 0), before if 0 < before < now else None, order, reach)
 
     def query_string(self) -> str:
         """The canonical form of the request, as links carry it: without the page, and without what is empty."""
-        parts = {"q": self.query, "mode": self.mode, "before": self.before, "reach": self.reach, "order": self.order}
+        parts = {"q": self.query, "mode": self.mode, "before": self.before}
+        parts |= {"reach": self.reach, "order": self.order} if self.mode == "discovery" else {}
         return urlencode({k: v for k, v in parts.items() if v})
 
 
@@ -174,7 +173,7 @@ def feed(posts: DataFrame, follows: DataFrame, hubs: DataFrame, root: int, reque
         return relevance(posts, matches, now, request.page, request.before)
     if request.mode == "conversations":
         return conversations(posts, now, request.page, request.before, matches)
-    return social(posts, follows, hubs, root, now, request.page, request.before, request.order or "recent", request.reach or 2, matches)
+    return social(posts, follows, hubs, root, now, request.page, request.before, request.order, request.reach, matches)
 
 
 def context(posts: DataFrame, canonical_id: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:

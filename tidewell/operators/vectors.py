@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .window import eligible
+
 EPSILON = 1e-12
 
 
@@ -72,27 +74,44 @@ def reuse(old: DataFrame, new: DataFrame, fingerprint_same: bool = True) -> Data
 
 
 def token_chunks(text: str, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], budget: int = 254) -> list[str]:
-    """Windows of at most ``budget`` tokens; one that doesn't come back within it is halved until it does."""
+    """Pieces of at most ``budget`` tokens each when encoded again, as long as bisection finds them.
+
+    Decoding a part of the tokens may give a text of more tokens; the part is then split in the middle. One token that
+    does so is an error.
+    """
+
+    def pieces(ids: list[int]) -> list[str]:
+        text = decode(ids)
+        if not ids or len(encode(text)) <= budget:
+            return [text]
+        if len(ids) == 1:
+            raise ValueError(f"a single token comes back as more than {budget}")
+        middle = len(ids) // 2
+        return pieces(ids[:middle]) + pieces(ids[middle:])
+
     ids = encode(text)
-    waiting = deque([ids[i : i + budget] for i in range(0, len(ids), budget)] or [[]])
-    out = []
-    while waiting:
-        window = waiting.popleft()
-        piece = decode(window)
-        if window and len(encode(piece)) > budget:
-            if len(window) == 1:
-                raise ValueError(f"one token decodes to more than {budget} tokens")
-            half = len(window) // 2
-            waiting.extendleft([window[half:], window[:half]])
-        else:
-            out.append(piece)
-    return out
+    return [p for i in range(0, max(1, len(ids)), budget) for p in pieces(ids[i : i + budget])]
+
+
+def budget_check(chunks: DataFrame, encode: Callable[[str], list[int]], budget: int = 254) -> DataFrame:
+    """(n, most): how many chunks (text) there are and the most tokens of any; more than ``budget`` raises."""
+    @F.pandas_udf("long")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(encode(t or "")))
+
+    counted = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(tokens("text")), F.lit(0)).alias("most"))
+    fault = F.concat(F.lit("a chunk has "), F.col("most").cast("string"), F.lit(f" tokens, more than {budget}"))
+    return counted.withColumn("most", F.when(F.col("most") > budget, F.raise_error(fault).cast("long")).otherwise(F.col("most")))
+
+
+def corpus(posts: DataFrame, now: int) -> DataFrame:
+    """(canonical_id, source, source_id, text, created_at) of the window in the canonical order of source and id; a null text is empty."""
+    rows = eligible(posts, now).select("canonical_id", "source", "source_id", F.coalesce("text", F.lit("")).alias("text"), "created_at")
+    return rows.orderBy("source", "source_id")
 
 
 def chunked(posts: DataFrame, encode: Callable, decode: Callable, budget: int = 254) -> DataFrame:
     """(canonical_id, chunk, text) in Arrow batches; the tokenizer is any pair of callables."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: token_chunks(t or "", encode, decode, budget))

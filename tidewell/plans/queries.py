@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +14,9 @@ from ..functions import events as signed
 from ..functions import markup
 from ..functions.porter import stem
 from ..operators import aggregates, enrich, extras, feeds, graph, lookups, moderation, search, state, tree, vectors, window
-from ..sources.views import DAY, NOW, ctes, table, view
+from ..sources.views import DAY, NOW, table, view
 from ..streaming import ingest
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+from .registry import ORACLES, QUERIES, query
 
 ROOT = 0
 LOW = NOW - window.WINDOW
@@ -32,18 +27,6 @@ CLAUSES = search.parse(PHRASE_QUERY)
 ELIGIBLE = f"created_at between {LOW} and {NOW}"
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name; ``sql`` may use the shared views."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = f"{ctes()}, {sql.strip()[5:].strip()}" if sql.strip().startswith("with ") else f"{ctes()} {sql}"
-        return f
-
-    return add
-
-
 def posts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "posts")
 
@@ -197,7 +180,7 @@ def search_stemmed(spark, sf_dir):
     return stored_index(spark, sf_dir).match(STEMMED).select("canonical_id", F.round("bm25", 6).alias("bm25"))
 
 
-ACCENTS = search.parse('fur "de la" Ción')
+ACCENTS = search.parse("FUR nicht")
 
 
 @query(f"with {scored(ACCENTS)} select canonical_id, round(bm25, 6) as bm25 from m")
@@ -712,3 +695,8 @@ def star_revenue_by_nation(spark, sf_dir):
     return sold.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
+
+
+from . import stored  # noqa: E402  registers more queries, which use this module's
+
+__all__ = ["ORACLES", "QUERIES", "stored"]

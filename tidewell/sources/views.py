@@ -29,8 +29,8 @@ WARNINGS = """select concat('doc:', cast(doc_id as varchar(20))) as canonical_id
  union all
  select concat('doc:', cast(doc_id as varchar(20))), 'spam', 'auto-flagged: spam duplicate-content' from {labels} where quality = 0"""
 #: Advertised relays of every user, one to three each.
-RELAYS = """select distinct user_id as author_id, concat('wss://relay', cast((user_id * 7 + event_id) % 13 as varchar(20)), '.example') as relay
- from {events} where event_id % 7 = 0"""
+RELAYS = """select distinct user_id as author_id, concat('wss://relay', cast((user_id * 7 + event_id % 3) % 13 as varchar(20)), '.example') as relay
+ from {events}"""
 
 VIEWS = {"posts": POSTS, "follows": FOLLOWS, "profiles": PROFILES, "hubs": HUBS, "warnings": WARNINGS, "relays": RELAYS}
 TABLES = ("documents", "events", "labels")

@@ -1,33 +1,59 @@
-"""Structured Streaming ingestion: verify, filter, label, keep the latest state, retain the window.
+"""Ingestion: events are judged, labelled and merged into the stored tables, all tables in one published generation.
 
-A micro-batch is a plan from the published state to the next one, so a failed batch changes nothing.
+Everything is a plan from the published generation and a batch of events to the next generation, so a failed
+batch changes nothing, and a batch that comes twice changes nothing either.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.events import thread_refs, verified, warning_reason
-from ..operators import moderation, state
+from ..operators import enrich, moderation, state
 from ..operators.window import WINDOW
+from ..sources import schemas
 from ..sources.files import EVENT
 
 METADATA_KINDS = (0, 3, 10002)
+SPAM_LIST, NSFW_LIST = "spam", "nsfw"
+POST_URL = "https://njump.me/"
 
 
-def judged(events: DataFrame, now: int, blocked: Sequence[str], curated: Sequence[str], filters: list[dict]) -> DataFrame:
-    """Events (json, id, pubkey, created_at, kind, tags, content) with a verdict and labels; each id once.
+def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Events (json, and the event's fields) of JSON texts."""
+    return lines.select(F.col(column).alias("json"), F.from_json(column, EVENT).alias("e")).select("json", "e.*")
 
-    Late and future events are told by the clock given, not by a watermark.
+
+def _marked(events: DataFrame, key: str, entries: DataFrame, name: str) -> DataFrame:
+    """Adds whether ``key`` is among the entries: a left join, which Spark broadcasts where its size allows."""
+    return events.join(entries.select(F.col("entry").alias(key), F.lit(True).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def entries(spark: SparkSession, values: Sequence[str] | DataFrame | None) -> DataFrame:
+    if isinstance(values, DataFrame):
+        return values.select("entry").distinct()
+    return spark.createDataFrame([(v,) for v in dict.fromkeys(values or ())], "entry string")
+
+
+def judged(events: DataFrame, now: int, blocked=(), curated=(), filters: list[dict] | None = None) -> DataFrame:
+    """Events (json, id, pubkey, created_at, kind, tags, content) with a verdict and labels.
+
+    ``blocked`` (keys and ids) and ``curated`` (keys) are tables with a column ``entry``, or short lists. Late and future
+    events are told by the clock given, not by a watermark.
     """
-    listed = F.col("pubkey").isin(list(blocked)) | F.col("id").isin(list(blocked)) if blocked else F.lit(False)
-    nsfw = F.col("pubkey").isin(list(curated)) if curated else F.lit(False)
+    spark = events.sparkSession
+    barred, listed = entries(spark, blocked), entries(spark, curated)
+    rows = _marked(_marked(_marked(events, "pubkey", barred, "__author"), "id", barred, "__event"), "pubkey", listed, "__nsfw")
     everything = F.concat_ws(" ", "content", F.flatten(F.coalesce("tags", F.array().cast("array<array<string>>"))))
-    word = moderation.verdict(F.coalesce(verified("json"), F.lit(False)), moderation.matches_filters(filters), everything, listed, nsfw)
+    post = F.col("kind") == 1
+    word = moderation.verdict(
+        F.coalesce(verified("json"), F.lit(False)), moderation.matches_filters(filters or [{}]), everything, post & (F.col("__author") | F.col("__event")), post & F.col("__nsfw")
+    )
     inside = F.col("created_at").between(now - WINDOW, now)
     labels = F.array_compact(
         F.array(
@@ -36,38 +62,112 @@ def judged(events: DataFrame, now: int, blocked: Sequence[str], curated: Sequenc
             F.when(moderation.link_farm(F.col("content")), F.lit("spam")),
         )
     )
-    return events.withColumn("verdict", F.when(~inside & (F.col("kind") == 1) & (word == "accept"), "outside").otherwise(word)).withColumn("labels", labels)
+    return rows.withColumn("verdict", F.when(~inside & post & (word == "accept"), "outside").otherwise(word)).withColumn("labels", labels).drop("__author", "__event", "__nsfw")
 
 
-def posts_of(events: DataFrame) -> DataFrame:
-    """Accepted kind-1 events as posts."""
+def metadata_of(events: DataFrame) -> DataFrame:
+    """Metadata rows of accepted events; only the known kinds are metadata, any other raises."""
+    fault = F.concat(F.lit("not a metadata kind: "), F.coalesce(F.col("kind").cast("string"), F.lit("null")))
+    kind = F.when(F.col("kind").isin(*METADATA_KINDS), F.col("kind")).otherwise(F.raise_error(fault).cast("int"))
+    relay = F.col("relay") if "relay" in events.columns else F.lit(None).cast("string")
+    return events.select("pubkey", kind.alias("kind"), "created_at", F.col("id").alias("event_id"), "tags", "content", F.col("json").alias("event_json"), relay.alias("relay"))
+
+
+def ingest_name(profile, author):
+    """Name at ingestion: the profile's display name or name, else the key's first 12 letters."""
+    filled = lambda c: F.when(F.length(c) > 0, c)
+    return F.coalesce(filled(F.get_json_object(profile, "$.display_name")), filled(F.get_json_object(profile, "$.name")), F.substring(author, 1, 12))
+
+
+def posts_of(events: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Accepted kind-1 events as posts: clipped text, address, references, and the name that the stored profile gives."""
     refs = thread_refs(F.col("tags"))
     point = lambda c: F.when(c.isNotNull(), F.concat(F.lit("nostr:"), c))
-    return events.where("kind = 1").select(
+    rows = events.where("kind = 1")
+    if metadata is None:
+        rows = rows.withColumn("profile", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(metadata.where("kind = 0").select("pubkey", F.col("content").alias("profile")), "pubkey", "left")
+    return rows.select(
         F.concat(F.lit("nostr:"), "id").alias("canonical_id"), F.lit("nostr").alias("source"), F.col("id").alias("source_id"), F.col("pubkey").alias("author_id"),
-        F.col("content").alias("text"), "created_at", point(refs["reply"]).alias("parent_id"), point(refs["root"]).alias("root_id"),
+        ingest_name(F.col("profile"), F.col("pubkey")).alias("author_name"), enrich.clip(F.col("content")).alias("text"), "created_at",
+        F.concat(F.lit(POST_URL), "id").alias("url"), point(refs["reply"]).alias("parent_id"), point(refs["root"]).alias("root_id"),
     )
 
 
+def spam_reasons(posts: DataFrame, stored: DataFrame) -> DataFrame:
+    """(canonical_id, reason): link farms, and texts that their author has also posted under another id."""
+    both = stored.join(posts.select("canonical_id"), "canonical_id", "left_anti").select("canonical_id", "author_id", "text").unionByName(posts.select("canonical_id", "author_id", "text"))
+    repeated = moderation.duplicates(both).where("n_duplicates > 0").join(posts.select("canonical_id"), "canonical_id", "left_semi")
+    farms = posts.where(moderation.link_farm(F.col("text")))
+    return farms.select("canonical_id", F.lit("link-farm").alias("reason")).union(repeated.select("canonical_id", F.lit("duplicate-content")))
+
+
+def warnings_of(events: DataFrame, posts: DataFrame, stored: DataFrame, spammers: DataFrame, now: int) -> DataFrame:
+    """(canonical_id, category, reason, created_at, seq) for accepted posts: the author's, explicit terms, spam, and listed authors."""
+    rows = events.where("kind = 1").withColumn("canonical_id", F.concat(F.lit("nostr:"), "id"))
+    told = rows.withColumn("said", warning_reason(F.col("tags"))).where("said is not null").select("canonical_id", F.lit("author-cw").alias("category"), F.concat(F.lit("author: "), "said").alias("reason"))
+    frank = rows.where(moderation.explicit(F.col("content"))).select("canonical_id", F.lit("explicit"), F.lit("auto-flagged: explicit"))
+    reasons = spam_reasons(posts, stored).groupBy("canonical_id").agg(F.min("reason").alias("reason"))
+    spam = reasons.select("canonical_id", F.lit("spam"), F.concat(F.lit("auto-flagged: spam "), "reason"))
+    listed = posts.join(spammers.select(F.col("entry").alias("author_id")), "author_id", "left_semi").select("canonical_id", F.lit("spam-list"), F.lit("auto-flagged: spam curated list"))
+    return reduce(DataFrame.union, (told, frank, spam, listed)).withColumn("created_at", F.lit(now).cast("long")).withColumn("seq", F.lit(1))
+
+
 def report(events: DataFrame) -> DataFrame:
     """(verdict, n): ids counted once a rule, broken copies each."""
     return events.groupBy("verdict").agg(F.count_distinct(F.coalesce("id", F.xxhash64("json").cast("string"))).alias("n"))
 
 
-def collect(spark: SparkSession, folder: str, state_folder: str, checkpoint: str, now: int, blocked: Sequence[str] = (), curated: Sequence[str] = (), filters: list[dict] | None = None) -> None:
-    """Replay recorded events (JSON lines) into posts and metadata snapshots under ``state_folder``."""
+def label_report(events: DataFrame) -> DataFrame:
+    """(label, n): accepted posts of each label, each id once however many relays sent it."""
+    rows = events.where("verdict = 'accept' and kind = 1")
+    return rows.select("id", F.explode("labels").alias("label")).groupBy("label").agg(F.count_distinct("id").alias("n"))
+
+
+def members(lists: DataFrame, name: str) -> DataFrame:
+    """(entry) of a stored list."""
+    return lists.where(F.col("name") == name).select(F.explode("members").alias("entry")).distinct()
+
+
+def merged(tables: dict[str, DataFrame], events: DataFrame, now: int, blocked=()) -> dict[str, DataFrame]:
+    """The next tables after a batch of judged events: posts, metadata, follows and warnings. Each id counts once."""
+    spark = events.sparkSession
+    taken = events.where("verdict = 'accept'").dropDuplicates(["id"])
+    fresh_meta = metadata_of(taken.where(F.col("kind").isin(*METADATA_KINDS)))
+    metadata = state.merge_latest(tables["metadata"], fresh_meta, ["pubkey", "kind"], "created_at", "event_id")
+    fresh = posts_of(taken, metadata)
+    found = warnings_of(taken, fresh, tables["posts"], members(tables["lists"], SPAM_LIST), now)
+    warnings = state.warnings_upsert(tables["warnings"].withColumn("seq", F.lit(0)), found)
+    barred = entries(spark, blocked)
+    posts = state.upsert(tables["posts"], fresh, "canonical_id")
+    posts = moderation.purge(posts, barred.withColumnRenamed("entry", "author_id"), barred.select(F.concat(F.lit("nostr:"), "entry").alias("canonical_id")))
+    clean = ~F.coalesce(moderation.secret(F.col("text")).isNotNull(), F.lit(False))
+    held = ~F.coalesce(moderation.secret(F.col("event_json")).isNotNull(), F.lit(False))
+    kept, warned = state.expire(posts.where(clean), warnings, now)
+    metadata = metadata.where(held)
+    return tables | {"posts": kept, "metadata": metadata, "follows": state.edges(metadata.where("kind = 3")), "warnings": warned}
+
+
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(action, n): posts by what the merge did to them."""
+    compared = [c for c in new.columns if c not in ("canonical_id", "author_name")]
+    return state.upsert_actions(old, new, "canonical_id", compared).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stored(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return state.current_all(spark, folder, tuple(schemas.TABLES)) or schemas.empty(spark)
+
+
+def collect(spark: SparkSession, folder: str, state_folder: str, checkpoint: str, now: int, blocked=(), curated=(), filters: list[dict] | None = None) -> None:
+    """Replay recorded events (JSON lines) as a stream into the tables under ``state_folder``; a micro-batch is a generation."""
 
     def step(batch: DataFrame, number: int) -> None:
-        events = judged(batch.select(F.col("value").alias("json"), F.from_json("value", EVENT).alias("e")).select("json", "e.*"), now, blocked, curated, filters or [{}])
-        taken = events.where("verdict = 'accept'").dropDuplicates(["id"])
-        fresh = posts_of(taken)
-        old = state.current(spark, f"{state_folder}/posts")
-        merged = fresh if old is None else state.upsert(old, fresh, "canonical_id")
-        state.publish(merged.where(F.col("created_at") >= now - WINDOW), f"{state_folder}/posts")
-        meta = taken.where(F.col("kind").isin(*METADATA_KINDS)).select("pubkey", "kind", "created_at", F.col("id").alias("event_id"), "tags", "content")
-        known = state.current(spark, f"{state_folder}/metadata")
-        both = meta if known is None else known.unionByName(meta)
-        state.publish(state.latest(both, ["pubkey", "kind"], "created_at", "event_id"), f"{state_folder}/metadata")
+        events = judged(parsed(batch), now, blocked, curated, filters).persist()
+        try:
+            state.publish_all(merged(stored(spark, state_folder), events, now, blocked), state_folder)
+        finally:
+            events.unpersist()
 
     stream = spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())])).text(folder)
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -84,7 +184,7 @@ def files_of(spark: SparkSession, path: str, schema: T.StructType, files: int |
 
 
 def stream_latest(spark: SparkSession, folder: str, schema: T.StructType, keys: Sequence[str], time: str, tie: str, state_folder: str, files: int = 1) -> DataFrame:
-    """Latest-wins state of a parquet stream, one file a batch, kept as published snapshots; returns the last one."""
+    """Latest-wins state of a parquet stream, one file a batch, kept as published snapshots; runs the stream and returns the last one."""
 
     def step(batch: DataFrame, number: int) -> None:
         old = state.current(spark, f"{state_folder}/latest")
@@ -97,7 +197,7 @@ def stream_latest(spark: SparkSession, folder: str, schema: T.StructType, keys:
 
 
 def stream_dedup(spark: SparkSession, folder: str, schema: T.StructType, key: str, time: str, delay: str, state_folder: str) -> DataFrame:
-    """First sighting of each key within a watermark, written to parquet."""
+    """First sighting of each key within a watermark, written to parquet; runs the stream."""
     stream = files_of(spark, folder, schema).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     stream.dropDuplicatesWithinWatermark([key]).writeStream.format("parquet").option("path", f"{state_folder}/out").option(
         "checkpointLocation", f"{state_folder}/checkpoint"
