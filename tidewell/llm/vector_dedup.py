@@ -99,8 +99,11 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def verify(table: pa.Table, cosine: float, kind: str) -> pa.Table:
-    """Rows (code, pair, side, rep, label, weight, codes, vector) of some buckets -> (a, b, n): links, and counts where b is null."""
+def verify(table: pa.Table, cosine: float, kind: str, depth: int) -> pa.Table:
+    """Rows (code, pair, side, rep, label, weight, vector) of some buckets -> (a, b, n): links, and counts where b is null.
+
+    Codes don't travel with the vectors: those of linked vectors are computed again.
+    """
     a, b, n = [], [], []
     pair = table.column("pair").to_numpy()
     rep = table.column("rep").to_numpy()
@@ -109,7 +112,7 @@ def verify(table: pa.Table, cosine: float, kind: str) -> pa.Table:
     pair, rep = pair[order], rep[order]
     code, side, weight = (table.column(c).to_numpy() for c in ("code", "side", "weight"))
     label, size = table.column("label").to_numpy(), np.array([len(v) for v in table.column("vector").to_pylist()])
-    vectors, all_codes = table.column("vector").to_pylist(), table.column("codes").to_pylist()
+    vectors = table.column("vector").to_pylist()
     bounds = np.flatnonzero(np.append(True, (np.diff(pair) != 0))).tolist() + [len(pair)]
     for i, j in zip(bounds[:-1], bounds[1:]):
         if j - i < 2:
@@ -117,7 +120,6 @@ def verify(table: pa.Table, cosine: float, kind: str) -> pa.Table:
         for dim in np.unique(size[i:j]).tolist():  # one, but for clashes of codes
             at = np.flatnonzero(size[i:j] == dim) + i
             x = _unit([vectors[k] for k in at.tolist()], kind)
-            own = np.array([all_codes[k] for k in at.tolist()], dtype=np.int64)
             two = side[at].any()
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for start in range(0, len(at), 256):
@@ -137,9 +139,11 @@ def verify(table: pa.Table, cosine: float, kind: str) -> pa.Table:
             a.append(rep[at[moved]])
             b.append(rep[at[root[moved]]])
             n.append(np.zeros(len(moved), np.int64))
+            linked, place = np.unique(np.concatenate([p, q]), return_inverse=True)
+            own, short = codes(x[linked], depth), np.split(place, 2)
             here = np.zeros(len(p), dtype=bool)
             for s in range(0, len(p), 1 << 16):
-                cp, cq = own[p[s : s + (1 << 16)]], own[q[s : s + (1 << 16)]]
+                cp, cq = own[short[0][s : s + (1 << 16)]], own[short[1][s : s + (1 << 16)]]
                 common = np.zeros(cp.shape, dtype=bool)
                 for c in range(cq.shape[1]):
                     common |= cp == cq[:, c : c + 1]
@@ -189,22 +193,20 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 ["rep", "label", "weight", "bare", "vector"],
             )
 
-    coded = cut(
-        distinct.mapInArrow(hashed, "rep long, label long, weight long, bare array<long>, vector binary")
-        .withColumn("codes", F.transform("bare", lambda c: F.xxhash64("label", F.octet_length("vector"), c))).drop("bare")
-    )
-    placed = coded.withColumn("code", F.explode(F.array_distinct("codes")))
-    sizes = placed.groupBy("code").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    coded = cut(distinct.mapInArrow(hashed, "rep long, label long, weight long, bare array<long>, vector binary"))
+    bucket = F.xxhash64("label", F.octet_length("vector"), "code").alias("bucket")
+    placed = coded.withColumn("code", F.explode(F.array_distinct("bare"))).select("*", bucket).drop("bare")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     parts = F.when(F.col("many") > TOGETHER, F.ceil(F.col("many") / (TOGETHER // 2))).otherwise(1).cast("int")
-    met = placed.join(sizes, "code").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = placed.join(sizes, "bucket").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("low"), F.greatest("part", o).alias("high")))
     dealt = met.withColumn("cell", F.explode(others)).select(
-        "code", F.xxhash64("code", "cell.low", "cell.high").alias("pair"),
+        "code", F.xxhash64("bucket", "cell.low", "cell.high").alias("pair"),
         ((F.col("cell.low") != F.col("cell.high")) & (F.col("part") == F.col("cell.high"))).cast("int").alias("side"),
-        "rep", "label", "weight", "codes", "vector",
+        "rep", "label", "weight", "vector",
     )
     buckets = max(1, int((sizes.agg(F.sum("many")).first()[0] or 0) / 4000))
-    found = cut(dealt.withColumn("bucket", F.pmod("pair", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(lambda t: verify(t, cosine, kind), "a long, b long, n long"))
+    found = cut(dealt.withColumn("bucket", F.pmod("pair", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(lambda t: verify(t, cosine, kind, depth), "a long, b long, n long"))
     reached = components(found.where("b is not null").select("a", "b"))
     counted = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     final = alike.join(counted, "rep", "left").join(reached.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
