@@ -41,7 +41,7 @@ END = np.uint64(0x51A7E0F0E4D00001)
 START = np.uint64(0x51A7E0F05A2700A3)
 ORDER = 3
 #: Strength of the prior for contexts of one token, two tokens and so on; of longer ones the last.
-PRIOR = (600.0, 30.0)
+PRIOR = (600.0, 5.0)
 SPARE_BITS = 18
 #: Larger than usual: the more text a block holds, the fewer n-grams does it send that others send too.
 BLOCK_BYTES = 6 << 20
