@@ -282,6 +282,26 @@ def test_merged_transforms():
             for k in range(len(s) - 4):
                 least[s[k : k + 5]] = min(least.get(s[k : k + 5], 99), i)
         assert got == {(n, k): least[s[k : k + 5]] for n, s in enumerate(strings) for k in range(len(s) - 4)}
+        shard = np.sort(np.array([rng.randint(0, 3) for _ in strings]))
+        shard = np.unique(shard, return_inverse=True)[1]
+        string, place, prefix = suffix_merge.merge_shards(strings, shard, 4)
+        suffixes = [strings[a][b:] for a, b in zip(string, place)]
+        common = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(suffixes, suffixes[1:])]
+        assert [min(4, c) for c in common] == prefix[1:].tolist() and all(a[:4] <= b[:4] for a, b in zip(suffixes, suffixes[1:]))
+
+
+def test_the_merge_alone_decides_the_same():
+    """Without the table of equal segments and the hash filter, and whatever the shards are."""
+    rng = random.Random(5)
+    for _ in range(30):
+        # Equal windows have equal minimizers: each base has letters of its own, and its key.
+        base = [bytes(rng.choice([65 + 2 * k, 66 + 2 * k]) for _ in range(rng.randint(8, 16))) for k in range(6)]
+        cuts = [(k, rng.randint(0, 3)) for k in range(6) for _ in range(rng.randint(1, 6))]
+        strings = [base[k][i : rng.randint(i + 5, len(base[k]))] for k, i in cuts]
+        keys = np.array([k for k, _ in cuts], dtype=np.uint64)
+        ids, sender = np.array([rng.randint(0, 9) for _ in strings]), np.array([rng.randint(0, 4) for _ in strings])
+        found = [suffix_merge.resolve(keys, ids, strings, 5, sender, pool, spare).tolist() for spare in (True, False) for pool in (1 << 20, 20)]
+        assert found[0] == found[1] == found[2] == found[3] and any(found[0])
 
 
 @pytest.mark.parametrize("frequent", [2000, 3])

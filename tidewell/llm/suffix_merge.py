@@ -10,11 +10,10 @@ windows with one minimizer form a segment of at most 2 * length - GRAM bytes.
 2. For minimizers that are shared, blocks send their distinct segments with the smallest document id
    that holds each (for the very frequent ones, single windows, so that a frequent short phrase with
    ever new surroundings doesn't gather in one bucket).
-3. A bucket cuts its segments into shards, sorts each shard's suffixes once, and merges the shards'
-   transforms by iterative interleave refinement: after h rounds the interleave is sorted by the first
-   h bytes, and the block bounds kept along the way are the positions where common prefixes are
-   shorter than h.  After ``length`` rounds every block of equal prefixes is a repeated interval; its
-   smallest document id decides.  No suffix is sorted again.
+3. In a bucket each block's segments are a shard, whose suffixes are sorted once; the shards'
+   transforms are merged by iterative interleave refinement: after h rounds the interleave is sorted by the first
+   h bytes, and the round in which a bound between two suffixes appears gives their common prefix.  Runs of common
+   prefixes of ``length`` bytes are the repeated intervals; their smallest document id decides.  No suffix is sorted again.
 4. Blocks get one bit for each window back and cut the covered bytes out.
 
 Everything compared decides on bytes; hashes only choose where bytes meet, so the result is exact.
@@ -39,7 +38,8 @@ LENGTH, GRAM = 50, 24  # GRAM is a multiple of 8
 FREQUENT = 2_000
 #: Bits of a position beside the hash that orders minimizers; longer texts are scanned in pieces that overlap by a window.
 PLACE_BITS = 27
-SHARDS = 4
+#: Shards that are merged at once.
+SHARDS = 200
 #: Strings that a packed row should hold at least.
 LEAST_STRINGS = 32
 #: Smaller than usual: besides the text a block holds the strings that it shares.
@@ -157,19 +157,20 @@ class Candidates:
         self.strings = [strings[k] for k in order.tolist()]
 
 
-def suffix_order(text: np.ndarray, segment: np.ndarray) -> np.ndarray:
-    """Sorted places of one shard's suffixes by prefix doubling; 0 ends a segment, and ends sort by segment."""
+def suffix_order(text: np.ndarray, segment: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """Places of all suffixes in order of shard, then content, by prefix doubling; 0 ends a segment, and ends sort by segment."""
     n = len(text)
     ends = text == 0
     rank = text.astype(np.int64) + segment.max() + 1
     rank[ends] = segment[ends]
+    rank += shard * (int(rank.max()) + 1)
     width = 1
     while True:
         after = np.zeros(n, dtype=np.int64)
         after[: n - width] = rank[width:] + 1
         # beyond an end nothing matters: ends are distinct already
         both = rank * (int(rank.max()) + 3) + after
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)  # equal ones get equal ranks, in whatever order
         ranked = both[order]
         new = np.empty(n, dtype=np.int64)
         new[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])) - 1
@@ -179,42 +180,46 @@ def suffix_order(text: np.ndarray, segment: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def merge_shards(shards: list[list[bytes]], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string number, offset, block) of all suffixes in merged order; a block holds equal first ``rounds`` bytes.
+def transforms(strings: list[bytes], shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Transforms of all shards, one after another: (byte before each suffix, its string, its place there, strings of each shard).
 
-    String numbers count through the shards.  Suffixes shorter than ``rounds`` are blocks of their own.
+    ``shard`` ascends. Bytes are numbered anew, so that 0 is free for what stands before a string: its end.
     """
+    whole = np.frombuffer(b"".join(strings), np.uint8)
     used = np.zeros(256, dtype=bool)
-    for shard in shards:
-        used[np.frombuffer(b"".join(shard), np.uint8)] = True
+    used[whole] = True
     if used.all():
         raise ValueError("UTF-8 text never uses all 256 bytes; 0 must stay free for the ends")
-    letters = np.cumsum(used).astype(np.uint8)
-    transforms, places, strings, enders = [], [], [], []
-    base = 0
-    for shard in shards:
-        lengths = np.array([len(s) + 1 for s in shard])
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        text = np.zeros(starts[-1], dtype=np.uint8)
-        inside = np.ones(starts[-1], dtype=bool)
-        inside[starts[1:] - 1] = False
-        text[inside] = letters[np.frombuffer(b"".join(shard), np.uint8)]
-        segment = np.repeat(np.arange(len(shard)), lengths)
-        order = suffix_order(text, segment)
-        previous = text[order - 1]
-        previous[starts[segment[order]] == order] = 0
-        transforms.append(previous)
-        places.append(order - starts[segment[order]])
-        strings.append(segment[order] + base)
-        enders.append(len(shard))
-        base += len(shard)
-    transform = np.concatenate(transforms)
+    lengths = np.array([len(s) + 1 for s in strings])
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    text = np.zeros(starts[-1], dtype=np.uint8)
+    inside = np.ones(starts[-1], dtype=bool)
+    inside[starts[1:] - 1] = False
+    text[inside] = np.cumsum(used).astype(np.uint8)[whole]
+    segment = np.repeat(np.arange(len(strings)), lengths)
+    order = suffix_order(text, segment, shard[segment])
+    previous = text[order - 1]
+    previous[starts[segment[order]] == order] = 0
+    return previous, segment[order], order - starts[segment[order]], np.bincount(shard)
+
+
+def merge_shards(strings: list[bytes], shard: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, place in it, common prefix with the suffix before) of all suffixes, merged from the shards' transforms.
+
+    Round h sorts the interleave of the shards by the first h bytes: the merged transform, sorted stably by its bytes, gives
+    the suffixes one byte longer. A bound between suffixes appears in the round after their common prefix and stays in its place, so the
+    round it appears in is that prefix and one; prefixes of ``rounds`` and more aren't told apart.
+    """
+    transform, string, place, sizes = transforms(strings, shard)
     n = len(transform)
-    ends = np.repeat(np.arange(len(shards), dtype=np.uint8), enders)
-    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(t) for t in transforms])
+    ends = np.repeat(np.arange(len(sizes), dtype=np.uint8), sizes)
+    shard_of = shard[string].astype(np.uint8)
+    interleave = shard_of.copy()
     block = np.zeros(n, dtype=np.int32)
     merged = np.empty(n, dtype=np.uint8)
-    for _ in range(rounds):
+    prefix = np.full(n, rounds, dtype=np.uint8)
+    prefix[0] = 0
+    for h in range(rounds):
         merged[np.argsort(interleave, kind="stable")] = transform
         # Stable by the byte before: the suffixes one byte longer, in order. Ends keep the shards' order.
         step = np.argsort(merged, kind="stable")[len(ends) :]
@@ -222,23 +227,31 @@ def merge_shards(shards: list[list[bytes]], rounds: int) -> tuple[np.ndarray, np
         before, byte = block[step], merged[step]
         new = np.ones(n, dtype=bool)
         new[len(ends) + 1 :] = (before[1:] != before[:-1]) | (byte[1:] != byte[:-1])
+        prefix[new & (prefix == rounds)] = h
         block = np.cumsum(new, dtype=np.int32)
-    place = np.empty(n, dtype=np.int64)
-    string = np.empty(n, dtype=np.int64)
-    order = np.argsort(interleave, kind="stable")
-    place[order], string[order] = np.concatenate(places), np.concatenate(strings)
-    return string, place, block
-
-
-def least_ids(strings: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset, smallest id of any string that holds the same window) for every window."""
-    size = -(-len(strings) // SHARDS)
-    shards = [strings[i : i + size] for i in range(0, len(strings), size)]
-    string, place, block = merge_shards(shards, length)
+    back = np.argsort(interleave, kind="stable")
+    merged_string, merged_place = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    merged_string[back], merged_place[back] = string, place
+    return merged_string, merged_place, prefix
+
+
+def least_ids(strings: list[bytes], ids: np.ndarray, length: int, sender: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, smallest id of any string that holds the same window) for every window.
+
+    Repeated intervals are runs of suffixes with a common prefix of ``length``. Shards are the blocks that sent the strings, several
+    together where there are more than SHARDS.
+    """
+    sender = np.arange(len(strings)) if sender is None else sender
+    way = np.argsort(sender, kind="stable")
+    shard = np.unique(sender[way], return_inverse=True)[1]
+    shard = shard * min(SHARDS, int(shard[-1]) + 1) // (int(shard[-1]) + 1)
+    string, place, prefix = merge_shards([strings[k] for k in way.tolist()], shard, length)
+    string = way[string]
     lengths = np.array([len(s) for s in strings])
     full = place <= lengths[string] - length
-    string, place, block = string[full], place[full], block[full]
-    first = np.append(True, block[1:] != block[:-1])
+    bound = np.cumsum(prefix < length)  # the interval of each suffix; suffixes too short for a window are in none of theirs
+    string, place, interval = string[full], place[full], bound[full]
+    first = np.append(True, interval[1:] != interval[:-1])
     least = np.minimum.reduceat(ids[string], np.flatnonzero(first))
     return string, place, least[np.cumsum(first) - 1]
 
@@ -264,20 +277,27 @@ def repeated_windows(strings: list[bytes], length: int) -> tuple[np.ndarray, np.
     return first, last
 
 
-def resolve(keys: np.ndarray, ids: np.ndarray, strings: list[bytes], length: int, pool_bytes: int = 1 << 20) -> np.ndarray:
-    """For each sent string a bit for each of its windows: held by a document smaller than the sender's smallest."""
+def resolve(
+    keys: np.ndarray, ids: np.ndarray, strings: list[bytes], length: int, sender: np.ndarray | None = None, pool_bytes: int = 1 << 20, spare: bool = True
+) -> np.ndarray:
+    """For each sent string a bit for each of its windows: held by a document smaller than the sender's smallest.
+
+    Equal strings are one, with the smallest id of all. With ``spare`` the merge is spared strings that only repeat as a whole, and parts
+    without a window that any other string holds; without, the merge decides everything, with the same result.
+    """
     found: dict[bytes, int] = {}
     number = np.array([found.setdefault(s, len(found)) for s in strings], dtype=np.int64)
     distinct = list(found)
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, number, ids)
-    key = np.zeros(len(distinct), dtype=np.uint64)
+    key, home = np.zeros(len(distinct), dtype=np.uint64), np.zeros(len(distinct), dtype=np.int64)
     key[number] = keys
+    home[number[::-1]] = (np.arange(len(strings)) if sender is None else sender)[::-1]  # the first that sent it
     ones = np.array([(1 << (len(s) - length + 1)) - 1 for s in distinct], dtype=np.uint64)
-    masks = np.where(least[number] < ids, ones[number], np.uint64(0))
+    masks = np.where(least[number] < ids, ones[number], np.uint64(0)) if spare else np.zeros(len(number), dtype=np.uint64)
     order = np.argsort(key, kind="stable")
     bound = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-    several = np.diff(np.append(bound, len(order))) > 1
+    several = np.diff(np.append(bound, len(order))) > (1 if spare else 0)
     groups = [order[a:b] for a, b in zip(bound[several], np.append(bound, len(order))[1:][several])]
     senders = np.argsort(number, kind="stable")
     sender_bounds = np.searchsorted(number[senders], np.arange(len(distinct) + 1))
@@ -290,13 +310,14 @@ def resolve(keys: np.ndarray, ids: np.ndarray, strings: list[bytes], length: int
             continue
         members = np.concatenate(pool)
         pool, held = [], 0
-        first, last = repeated_windows([distinct[k] for k in members.tolist()], length)
+        whole = [distinct[k] for k in members.tolist()]
+        first, last = repeated_windows(whole, length) if spare else (np.zeros(len(whole), np.int64), np.array([len(s) - length for s in whole]))
         some = last >= 0
         if not some.any():
             continue
         members, first, last = members[some], first[some], last[some]
         cut = [distinct[k][a : z + length] for k, a, z in zip(members.tolist(), first.tolist(), last.tolist())]
-        string, place, smallest = least_ids(cut, least[members], length)
+        string, place, smallest = least_ids(cut, least[members], length, home[members])
         string, place = members[string], place + first[string]
         # every sender of the string compares with its own smallest id
         n = np.diff(sender_bounds)[string]
@@ -326,7 +347,7 @@ def merge(asked: list[tuple[np.ndarray, np.ndarray, list]], length: int) -> tupl
     way = np.lexsort((ids, rank))
     place = np.empty(len(way), dtype=np.int64)
     place[way] = np.cumsum(np.append(0, (rank[way][1:] != rank[way][:-1]) | (ids[way][1:] != ids[way][:-1])))
-    return [[resolve(keys, place, strings, length)]], ()
+    return [[resolve(keys, place, strings, length, blocks)]], ()
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
