@@ -62,6 +62,17 @@ def test_markup():
     assert markup.render("![](u) ![cat](u)") == "<p>[image.png] [image: cat]</p>" and markup.render(None) == ""
 
 
+def test_markup_blocks():
+    assert markup.render("> a\n> > b\n> - c\nd") == "<blockquote><p>a</p>\n<blockquote><p>b</p></blockquote>\n<ul><li>c</li></ul></blockquote>\n<p>d</p>"
+    assert markup.render("1. one\n2. two\n   - in *two*\n     more\n\n- x\n- y") == "<ol><li>one</li><li>two\n<ul><li>in <em>two</em>\n<p>more</p></li></ul></li></ol>\n<ul><li>x</li><li>y</li></ul>"
+    assert markup.render("Title\n===\nSub\n---\n\n---\na  \nb\nc") == "<h1>Title</h1>\n<h2>Sub</h2>\n<hr>\n<p>a<br>\nb\nc</p>"
+    assert markup.render("    <b>\n\tx\n\n## H ##\n~~~\nopen <i>") == "<pre><code>&lt;b&gt;\nx</code></pre>\n<h2>H</h2>\n<pre><code>open &lt;i&gt;</code></pre>"
+    assert markup.render("> ```\n> # <x>\n> ```") == "<blockquote><pre><code># &lt;x&gt;</code></pre></blockquote>"
+    deep = markup.render("\n".join(">" * k + " q" for k in range(1, 60)))
+    assert deep.count("<blockquote>") == deep.count("</blockquote>") == 59
+    assert 0 < markup.render(">" * 20_000).count("<blockquote>") < 100 and markup.render("\n".join(" " * k + "- x" for k in range(2000)))
+
+
 def test_blocklist(spark, tmp_path):
     path = tmp_path / "block.txt"
     with pytest.raises(FileNotFoundError):

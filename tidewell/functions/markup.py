@@ -61,61 +61,109 @@ def inline(text: str) -> str:
     return "".join(out) + html.escape(text[at:], quote=False)
 
 
-def render(text: str | None) -> str:
-    """Paragraphs, headings (a space after the hashes; hashtags stay text), quotes, lists, rules and fenced code."""
-    out: list[str] = []
-    plain: list[str] = []
-    code: list[str] | None = None
-    items: list[str] = []
+_HEADING = re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*#*$")
+_RULE = re.compile(r"\s*([-*_])\s*(\1\s*){2,}$")
+_ITEM = re.compile(r"(?P<indent>\s*)(?P<mark>[-*+]|\d{1,9}[.)])\s+(?P<rest>.*)")
+_UNDER = re.compile(r"(=+|-+)\s*$")
+
+
+def _escaped(lines: list[str]) -> str:
+    return html.escape("\n".join(lines), quote=False)
+
+
+def _paragraph(lines: list[str]) -> str:
+    """Lines stay lines; two spaces at an end break one."""
+    shown = [inline(line.strip()) + ("<br>" if line.endswith("  ") and k + 1 < len(lines) else "") for k, line in enumerate(lines)]
+    return f"<p>{chr(10).join(shown)}</p>"
+
+
+def _span(lines: list[str], at: int, inside) -> int:
+    """Where the run of lines from ``at`` that are ``inside`` ends."""
+    while at < len(lines) and inside(lines[at]):
+        at += 1
+    return at
+
+
+def _items(lines: list[str], at: int, level: int) -> tuple[str, int]:
+    """A list that begins at a line, and where it ends; what is indented below an item belongs to it."""
+    first = _ITEM.match(lines[at])
+    depth, tag = len(first["indent"]), "ol" if first["mark"][0].isdigit() else "ul"
+    out = []
+    while at < len(lines):
+        own = _ITEM.match(lines[at])
+        if own is None or len(own["indent"]) != depth or own["mark"][0].isdigit() != (tag == "ol") or _RULE.match(lines[at]):
+            break
+        end = _span(lines, at + 1, lambda line: line.strip() and len(line) - len(line.lstrip()) > depth)
+        below = [line[min(depth + 2, len(line) - len(line.lstrip())) :] for line in lines[at + 1 : end]]
+        out.append(f"<li>{inline(own['rest'])}{chr(10) + blocks(below, level + 1) if below else ''}</li>")
+        at = end
+    return f"<{tag}>" + "".join(out) + f"</{tag}>", at
+
+
+#: Quotes and lists inside each other; what lies deeper is text.
+DEEPEST = 80
+
+
+def blocks(lines: list[str], depth: int = 0) -> str:
+    """Block structure, by recursion into quotes and lists."""
+    out, at, plain = [], 0, []
+    if depth > DEEPEST:
+        return _paragraph(lines)
 
     def flush() -> None:
         if plain:
-            out.append("<p>" + "<br>".join(inline(p) for p in plain) + "</p>")
+            out.append(_paragraph(plain))
             plain.clear()
-        if items:
-            out.append("<ul>" + "".join(f"<li>{inline(i)}</li>" for i in items) + "</ul>")
-            items.clear()
 
-    for line in (text or "").split("\n"):
+    while at < len(lines):
+        line = lines[at]
         if _FENCE.match(line):
             flush()
-            if code is None:
-                code = []
-            else:
-                out.append("<pre><code>" + html.escape("\n".join(code), quote=False) + "</code></pre>")
-                code = None
-            continue
-        if code is not None:
-            code.append(line)
-            continue
-        heading = re.match(r"(#{1,6})\s+(.*)", line)
-        item = re.match(r"\s*[-*+]\s+(.*)", line)
-        if heading:
+            end = _span(lines, at + 1, lambda x: not _FENCE.match(x))
+            out.append(f"<pre><code>{_escaped(lines[at + 1 : end])}</code></pre>")
+            at = end + 1
+        elif line.lstrip().startswith(">"):
             flush()
-            level = len(heading[1])
-            out.append(f"<h{level}>{inline(heading[2])}</h{level}>")
-        elif re.fullmatch(r"\s*([-*_])\s*(\1\s*){2,}", line):
+            end = _span(lines, at, lambda x: x.lstrip().startswith(">"))
+            out.append(f"<blockquote>{blocks([re.sub(r'^ *> ?', '', x) for x in lines[at:end]], depth + 1)}</blockquote>")
+            at = end
+        elif _HEADING.match(line):
             flush()
-            out.append("<hr>")
-        elif line.startswith(">"):
+            heading = _HEADING.match(line)
+            out.append(f"<h{len(heading[1])}>{inline(heading[2])}</h{len(heading[1])}>")
+            at += 1
+        elif plain and _UNDER.match(line):
+            level = 1 if line[0] == "=" else 2
+            title = plain.pop()
             flush()
-            out.append(f"<blockquote><p>{inline(line.lstrip('> '))}</p></blockquote>")
-        elif item:
-            if plain:
-                flush()
-            items.append(item[1])
-        elif line.strip():
-            if items:
-                flush()
-            plain.append(line.strip())
-        else:
+            out.append(f"<h{level}>{inline(title.strip())}</h{level}>")
+            at += 1
+        elif _RULE.match(line):
             flush()
+            out.append("<hr>")
+            at += 1
+        elif _ITEM.match(line) and not plain:
+            made, at = _items(lines, at, depth)
+            out.append(made)
+        elif line.startswith(("    ", "\t")) and not plain:
+            end = _span(lines, at, lambda x: x.startswith(("    ", "\t")))
+            out.append(f"<pre><code>{_escaped([re.sub(r'^(    |' + chr(9) + ')', '', x) for x in lines[at:end]])}</code></pre>")
+            at = end
+        else:
+            if line.strip():
+                plain.append(line)
+            else:
+                flush()
+            at += 1
     flush()
-    if code is not None:
-        out.append("<pre><code>" + html.escape("\n".join(code), quote=False) + "</code></pre>")
     return "\n".join(out)
 
 
+def render(text: str | None) -> str:
+    """Paragraphs, headings (a space after the hashes, or a line below; hashtags stay text), nested quotes and lists, rules, and fenced or indented code."""
+    return blocks((text or "").splitlines())
+
+
 @F.pandas_udf(T.StringType())
 def rendered(texts: pd.Series) -> pd.Series:
     return texts.map(render)

@@ -611,9 +611,20 @@ def event_verify(spark, sf_dir):
     return signed_events(spark, sf_dir).select("user_id", signed.verified("json").alias("valid"))
 
 
-@query()
+STEPS = [f"case when (c >> {25 + i}) & 1 = 1 then {g} else 0 end" for i, g in enumerate(signed.BECH32_GENERATOR)]
+CHECKSUM = "xor((c & 33554431) << 5, x)"
+for _step in STEPS:
+    CHECKSUM = f"xor({CHECKSUM}, {_step})"
+
+
+@query(f"""with u as (select distinct user_id, sha256(cast(user_id as varchar)) as hx from events),
+ d as (select user_id, list_transform(range(0, 64), lambda i: (strpos('0123456789abcdef', substr(hx, i + 1, 1)) - 1)::bigint) as h from u),
+ g as (select user_id, list_transform(range(0, 52), lambda i: list_sum(list_transform(range(0, 5), lambda j: case when 5 * i + j < 256 then ((h[(5 * i + j) // 4 + 1] >> (3 - (5 * i + j) % 4)) & 1) << (4 - j) else 0 end))::bigint) as v from d),
+ p as (select user_id, v, xor(list_reduce(list_concat([1::bigint, 3, 3, 3, 3, 0, 14, 16, 21, 2], v, [0::bigint, 0, 0, 0, 0, 0]), lambda c, x: {CHECKSUM}), 1) as k from g)
+ select user_id, concat('npub1', array_to_string(list_transform(list_concat(v, list_transform(range(0, 6), lambda i: (k >> (5 * (5 - i))) & 31)), lambda x: substr('{signed.BECH32_LETTERS}', x + 1, 1)), '')) as npub from p""")
 def event_addresses(spark, sf_dir):
-    return signed_events(spark, sf_dir).select("user_id", signed.npubs(F.get_json_object("json", "$.pubkey")).alias("npub"))
+    """Addresses of keys of 32 bytes."""
+    return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", signed.npubs(F.sha2(F.col("user_id").cast("string"), 256)).alias("npub"))
 
 
 @query()
