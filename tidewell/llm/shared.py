@@ -40,15 +40,25 @@ def cut(df: DataFrame) -> DataFrame:
     return kept
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it again."""
+def stored(df: DataFrame, name: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder, under ``name`` or one of its own, and read it again."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(spark)}/{name or f'stored-{uuid.uuid4().hex}.parquet'}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def discard(spark: SparkSession, name: str) -> None:
+    """Remove what ``stored`` wrote under a name, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _trim() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
