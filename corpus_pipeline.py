@@ -9,10 +9,15 @@
    length. A document of which nothing is left stays, empty.
 4. mixing: every document as often as the mix takes it.
 5. byte-level BPE: the ids of every row's text, and whether decoding them gives the text back.
+
+Edge cases: a null or empty text is never toxic, is in no group, loses nothing, counts no words and has no ids; of equal texts the smallest id
+stays; rows that tie in every column are one in stage 2; very long texts are taken whole in every stage; an empty table
+gives an empty result; columns beyond those of documents pass the stages that return rows untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import byte_bpe, jaccard_join, mixing, toxicity, window_dedup
 from tidewell.llm.queries import read, remainder
-from tidewell.llm.shared import cut, stored
+from tidewell.llm.shared import cut, discard, stored
 
 #: Smaller than for the operator alone: the executors have run the other stages before.
 BPE_MEMO = 60_000
@@ -88,8 +93,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written as Parquet and read again as the next one's documents."""
-    docs = read(spark, sf_dir, "documents")
+    """Each stage's result is written as Parquet and read again as the next one's documents; what the one before read is removed then."""
+    docs, name = read(spark, sf_dir, "documents"), f"pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, stored(docs) if k else docs, sf_dir)
+        if k:
+            docs = stored(docs, f"{name}/{k}.parquet")
+        if k > 1:
+            discard(spark, f"{name}/{k - 1}.parquet")
+        docs = stage(spark, docs, sf_dir)
     return docs
