@@ -40,18 +40,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = docs.withColumn("text_hash", F.xxhash64("text"))
+    marked = docs.withColumn("__text_hash", F.xxhash64("text"))
     groups = cut(
-        jaccard_join.jaccard_join(marked, carry=["text_hash"]).where("doc_id is not null")
-        .select("doc_id", "component_id", "group", "carry.text_hash")
+        jaccard_join.jaccard_join(marked, carry=["__text_hash"]).where("doc_id is not null")
+        .select("doc_id", "component_id", "group", "carry.__text_hash")
     )
-    row = ["doc_id", "text_hash"]
+    row = ["doc_id", "__text_hash"]
     stay = marked.join(groups.where("doc_id <> component_id").select(row).distinct(), row, "left_anti")
     again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.take(1):
         # Of an id's rows one of each group stays, and one of each text outside of groups.
         first = groups.join(again, "doc_id", "left_semi").groupBy("doc_id", "group", F.expr("if(group is null, text_hash, null)").alias("alone")).agg(
-            F.min("text_hash").alias("text_hash")
+            F.min("__text_hash").alias("__text_hash")
         )
         single = stay.join(first.select(row), row, "left_semi").dropDuplicates(row)
         stay = stay.join(again, "doc_id", "left_anti").unionByName(single)
@@ -72,11 +72,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    texts = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))
-    return byte_bpe.round_trip(texts, ranks, pattern, carry=["lang", "source", "n_chars", "text_hash"], memo=BPE_MEMO).select(
+    texts = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__text_hash", F.xxhash64("text"))
+    return byte_bpe.round_trip(texts, ranks, pattern, carry=["lang", "source", "n_chars", "__text_hash"], memo=BPE_MEMO).select(
         "doc_id", "lang", "source", "n_chars",
         F.floor(F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"),
-        "ids_le", (F.xxhash64("decoded") == F.col("text_hash")).alias("decodes"),
+        "ids_le", (F.xxhash64("decoded") == F.col("__text_hash")).alias("decodes"),
     )
 
 
