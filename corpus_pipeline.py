@@ -50,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.take(1):
         # Of an id's rows one of each group stays, and one of each text outside of groups.
-        first = groups.join(again, "doc_id", "left_semi").groupBy("doc_id", "group", F.expr("if(group is null, text_hash, null)").alias("alone")).agg(
+        first = groups.join(again, "doc_id", "left_semi").groupBy("doc_id", "group", F.expr("if(group is null, __text_hash, null)").alias("alone")).agg(
             F.min("__text_hash").alias("__text_hash")
         )
         single = stay.join(first.select(row), row, "left_semi").dropDuplicates(row)
