@@ -267,9 +267,3 @@ def test_schedule():
     assert schedule.accept_list(None, 5, "b", 9) and not schedule.accept_list(None, 10, "b", 9)
     assert schedule.accept_list((5, "b"), 5, "a", 9) and not schedule.accept_list((5, "b"), 5, "c", 9) and not schedule.accept_list((5, "b"), 4, "a", 9)
     assert schedule.relays(["a", "b"], ["b", "c", "c", "d"], 3) == ["a", "b", "c"]
-    report = schedule.Report()
-    for event in ("x", "x", "y"):
-        report.count("spam", event)
-    report.count("invalid")
-    report.gap("stopped")
-    assert report.counts == {"spam": 2, "invalid": 1} and report.gaps == ["stopped"]

@@ -215,6 +215,7 @@ def test_collection_pass(spark, tmp_path):
     parent = signed(24, content="the parent", created_at=NOW - 90)
     stream = [
         signed(21, kind=3, tags=[["p", friend]], created_at=NOW - 100), signed(22, kind=3, tags=[["p", far]], created_at=NOW - 99), signed(22, kind=0, content='{"name": "Friend"}', created_at=NOW - 98),
+        signed(22, kind=10002, tags=[["r", "wss://two/"], ["r", "wss://three", "read"], ["r", "nonsense"]], created_at=NOW - 97),
         signed(22, content="a reply", tags=[["e", parent["id"], "", "reply"]], created_at=NOW - 80), *[signed(22, content=f"post {i}", created_at=NOW - 1000 - i) for i in range(7)],
         signed(23, content="from afar", created_at=NOW - 70), parent, signed(22, content="AKIA" + "B" * 16, created_at=NOW - 60),
     ]
@@ -245,6 +246,7 @@ def test_collection_pass(spark, tmp_path):
     code, page = answer(f"/context?id={by_text['a reply']['canonical_id']}")
     assert [r["text"] for r in page["ancestors"]] == ["the parent"] and page["ends"] == [] and answer("/context?id=x")[0] == 404
     assert answer("/status")[1]["sources"][0]["posts"] == len(texts)
+    assert done["relays"] == ["wss://one", "wss://gone", "wss://two"]
     status = tables["status"].first()
     assert status["source"] == "nostr" and json.loads(status["detail"])["requests_used"] == done["requests_used"]
     assert {(r["name"], r["attempted_at"]) for r in tables["lists"].collect()} == {("spam", NOW), ("nsfw", NOW)}
