@@ -182,6 +182,16 @@ def test_transducer_equals_merges_on_a_small_vocabulary():
             assert machine.encode(piece) == byte_bpe.merge(piece, ranks)
 
 
+def test_memory_is_bounded_within_one_piece(monkeypatch):
+    """A piece of many states: the transducer forgets on the way, with the same result."""
+    monkeypatch.setattr(byte_bpe, "STRETCH", 100)
+    ranks, rng = byte_bpe.read_ranks(RANKS), random.Random(2)
+    piece = "".join(rng.choice("abcdefghij") for _ in range(6000)).encode()
+    small, large = byte_bpe.MergeTransducer(ranks, 300), byte_bpe.MergeTransducer(ranks)
+    assert small.encode(piece) == large.encode(piece) and len(small.moves) <= 400 < len(large.moves)
+    assert small.encode(b"") == [] == byte_bpe.MergeTransducer(ranks).encode(b"")
+
+
 def test_output_follows_bounded_lookahead():
     machine = byte_bpe.MergeTransducer(byte_bpe.read_ranks(RANKS))
     state, out = 0, []

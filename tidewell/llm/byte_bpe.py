@@ -35,6 +35,8 @@ ROWS = 500
 MEMO = 450_000
 #: Longer pieces are rare and may be very long: they are encoded each time, so that a memo's bytes are bounded too.
 LONG = 64
+#: Bytes of a piece after which the transducer's size is looked at again.
+STRETCH = 1 << 14
 #: A live guess is one number: the trie node below this bit, the token before it plus one above.
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
@@ -164,15 +166,27 @@ class MergeTransducer:
         move = self.moves[state << 8 | byte] = target, out
         return move
 
+    def forget(self, state: int) -> int:
+        """Start anew but for one state; returns its new number."""
+        kept, end = self.states[state], self.final[state]
+        self.reset()
+        if kept not in self.number:
+            self.number[kept] = len(self.states)
+            self.states.append(kept)
+            self.final.append(end)
+        return self.number[kept]
+
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.moves) > self.memo:
-            self.reset()
-        state, out, moves = 0, [], self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte) or self.step(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
+        state, out = 0, []
+        for at in range(0, len(piece), STRETCH):
+            if len(self.moves) > self.memo:
+                state = self.forget(state)
+            moves = self.moves
+            for byte in piece[at : at + STRETCH]:
+                move = moves.get(state << 8 | byte) or self.step(state, byte)
+                state = move[0]
+                if move[1]:
+                    out += move[1]
         out += self.final[state]
         return out
 
