@@ -226,7 +226,7 @@ def test_collection_pass(spark, tmp_path):
         write(name, [event])
     settings = collection.Settings(root=root, relays=["wss://one", "wss://gone"], options={"folder": str(tmp_path), "limit": "4"}, list_author=signed(30)["pubkey"], requests=30)
     folder = str(tmp_path / "state")
-    done = collection.collect_once(spark, folder, settings, NOW, blocked=[])
+    done = collection.one_pass(spark, folder, settings, NOW, blocked=[])
     tables = ingest.stored(spark, folder)
     texts = {r["text"] for r in tables["posts"].collect()}
     assert {"a reply", "the parent", "from afar", "post 0"} <= texts and not any("AKIA" in t for t in texts)
@@ -251,7 +251,7 @@ def test_collection_pass(spark, tmp_path):
     assert status["source"] == "nostr" and json.loads(status["detail"])["requests_used"] == done["requests_used"]
     assert {(r["name"], r["attempted_at"]) for r in tables["lists"].collect()} == {("spam", NOW), ("nsfw", NOW)}
     older = min(int(t.split()[1]) for t in texts if t.startswith("post"))
-    again = collection.collect_once(spark, folder, settings, NOW + 60, blocked=[friend])
+    again = collection.one_pass(spark, folder, settings, NOW + 60, blocked=[friend])
     tables = ingest.stored(spark, folder)
     assert {r["author_id"] for r in tables["posts"].collect()} == {far, parent["pubkey"]} and older == 0  # a blocked author goes, stored posts too
     assert {r["attempted_at"] for r in tables["lists"].collect()} == {NOW} and again["lists"] == {"spam": "not due", "nsfw": "not due"}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from contextlib import suppress
 from dataclasses import dataclass
-from datetime import UTC, datetime
-from urllib.parse import urlencode
+from datetime import date
+from urllib.parse import quote_plus
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,20 +117,21 @@ def score_label(mode: str, searched: bool) -> Column:
     return F.lit("")
 
 
+_INTEGER, _DATE = re.compile(r"\s*[+-]?\d{1,18}\s*"), re.compile(r"(\d{4})-(\d{1,2})-(\d{1,2})")
+
+
 def _number(args: Mapping[str, str], name: str, default: int) -> int:
     """An integer argument, at least 0; anything else is the default."""
-    try:
-        return max(0, int(args.get(name, default)))
-    except ValueError:
-        return default
+    text = args.get(name, "")
+    return max(0, int(text)) if _INTEGER.fullmatch(text) else default
 
 
 def _midnight(day: str) -> int:
-    """Seconds of a YYYY-MM-DD day's start in UTC, 0 if it isn't one."""
-    try:
-        return int(datetime.strptime(day, "%Y-%m-%d").replace(tzinfo=UTC).timestamp())
-    except ValueError:
-        return 0
+    """Seconds of a YYYY-MM-DD day's start in UTC, 0 if there is no such day."""
+    parts = _DATE.fullmatch(day)
+    with suppress(ValueError):
+        return (date(*map(int, parts.groups())) - date(1970, 1, 1)).days * DAY if parts else 0
+    return 0
 
 
 @dataclass(frozen=True)
@@ -146,9 +149,9 @@ class Request:
     def parse(cls, args: Mapping[str, str], now: int) -> Request:
         """``go`` (the search was submitted) makes a query a relevance search; ``date`` stands for ``before`` where that is missing."""
         query = args.get("q", "").strip()
-        asked = "relevance" if query and "go" in args else {"social": "discovery"}.get(args.get("mode", ""), args.get("mode", ""))
-        mode = asked if asked in MODES else "relevance" if query else "conversations"
-        mode = "conversations" if mode == "relevance" and not query else mode
+        own = "discovery" if args.get("mode") == "social" else args.get("mode", "")
+        wanted = ("relevance" if "go" in args else "", own, "relevance", "conversations")
+        mode = next(m for m in wanted if m in MODES and (query or m != "relevance"))
         before = _number(args, "before", 0) or _midnight(args.get("date", ""))
         order = "connections" if args.get("order") == "connections" else "recent"
         reach = next((r for r in (1, 3) if _number(args, "reach", 2) == r), 2)
@@ -156,9 +159,9 @@ class Request:
 
     def query_string(self) -> str:
         """The canonical form of the request, as links carry it: without the page, and without what is empty."""
-        parts = {"q": self.query, "mode": self.mode, "before": self.before}
-        parts |= {"reach": self.reach, "order": self.order} if self.mode == "discovery" else {}
-        return urlencode({k: v for k, v in parts.items() if v})
+        names = ("q", "mode", "before", *(("reach", "order") if self.mode == "discovery" else ()))
+        values = [self.query if n == "q" else getattr(self, n) for n in names]
+        return "&".join(f"{n}={quote_plus(str(v))}" for n, v in zip(names, values) if v)
 
 
 def feed(posts: DataFrame, follows: DataFrame, hubs: DataFrame, root: int, request: Request, now: int, index: search.Index | None = None) -> DataFrame:

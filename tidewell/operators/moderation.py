@@ -16,9 +16,10 @@ SECRETS = (
     ("openai-style key", r"\bsk-[A-Za-z0-9]{20,}\b"),
     ("github token", r"gh[pousr]_[A-Za-z0-9]{30,}\b"),
 )
+# Fixed value: terms that make a text explicit.
 EXPLICIT = r"(?i)\b(hardcore sex|uncensored nudity|explicit sex scene)\b"
 URL = r"https?://\S+"
-#: Reasons with these beginnings gate a body; others only label it.
+# Reasons with these beginnings gate a body; others only label it.
 HIDING = ("author:", "auto-flagged: explicit", "curated-nsfw:")
 
 

@@ -425,6 +425,6 @@ def collection_pass(spark, sf_dir):
     folder = recorded(spark, rows.select(F.concat(F.lit('["EVENT", "s", '), "value", F.lit("]")).alias("value")), "wss_one")
     settings = collection.Settings(root=root["pubkey"], relays=["wss://one"], options={"folder": folder, "limit": "1000", "bytes": str(1 << 26)}, requests=80)
     out = scratch(spark)
-    collection.collect_once(spark, out, settings, NOW, keys.where("u % 7 = 3").select(F.col("pubkey").alias("entry")))
+    collection.one_pass(spark, out, settings, NOW, keys.where("u % 7 = 3").select(F.col("pubkey").alias("entry")))
     posts = ingest.stored(spark, out)["posts"]
     return posts.join(keys.withColumnRenamed("pubkey", "author_id"), "author_id").select("u", "text")

@@ -95,7 +95,7 @@ def posts_of(events: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     )
 
 
-def spam_reasons(posts: DataFrame, stored: DataFrame) -> DataFrame:
+def spam_labels(posts: DataFrame, stored: DataFrame) -> DataFrame:
     """(canonical_id, reason): link farms, and texts that their author has also posted under another id."""
     both = stored.join(posts.select("canonical_id"), "canonical_id", "left_anti").select("canonical_id", "author_id", "text").unionByName(posts.select("canonical_id", "author_id", "text"))
     repeated = moderation.duplicates(both).where("n_duplicates > 0").join(posts.select("canonical_id"), "canonical_id", "left_semi")
@@ -108,7 +108,7 @@ def warnings_of(events: DataFrame, posts: DataFrame, stored: DataFrame, spammers
     rows = events.where("kind = 1").withColumn("canonical_id", F.concat(F.lit("nostr:"), "id"))
     told = rows.withColumn("said", warning_reason(F.col("tags"))).where("said is not null").select("canonical_id", F.lit("author-cw").alias("category"), F.concat(F.lit("author: "), "said").alias("reason"))
     frank = rows.where(moderation.explicit(F.col("content"))).select("canonical_id", F.lit("explicit"), F.lit("auto-flagged: explicit"))
-    reasons = spam_reasons(posts, stored).groupBy("canonical_id").agg(F.min("reason").alias("reason"))
+    reasons = spam_labels(posts, stored).groupBy("canonical_id").agg(F.min("reason").alias("reason"))
     spam = reasons.select("canonical_id", F.lit("spam"), F.concat(F.lit("auto-flagged: spam "), "reason"))
     listed = posts.join(spammers.select(F.col("entry").alias("author_id")), "author_id", "left_semi").select("canonical_id", F.lit("spam-list"), F.lit("auto-flagged: spam curated list"))
     return reduce(DataFrame.union, (told, frank, spam, listed)).withColumn("created_at", F.lit(now).cast("long")).withColumn("seq", F.lit(1))
