@@ -77,4 +77,41 @@ OP8 = f"""with d as (select doc_id, {WORDS.format("coalesce(text, '')")} as ws f
  a as (select doc_id, count(*) filter (where gone) as n_removed, string_agg(case when not gone then word end, ' ' order by k) as rest from c group by doc_id)
  select d.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(rest, '')) as kept_sha256 from d left join a using (doc_id)"""
 
-SQL = {"op1_vector_dedup": OP1, "op2_line_rules": OP2, "op4_systematic_mix": OP4, "op5_suffix_merge": OP5, "op6_jaccard_join": OP6, "op8_window_dedup": OP8}
+FINE = "len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x)))"
+INTS = "list_transform(embedding, lambda x: floor(256 * x::double))"
+GAP = "list_dot_product({0}, {0}) - 2 * list_dot_product({0}, {1}) + list_dot_product({1}, {1})"
+
+
+def _op11(rounds: int = 5) -> str:
+    """Every vector against every centroid, round by round; numbers are whole and small enough for doubles."""
+    steps = ["v as (select row_number() over () as r, vec_id, " + INTS + " as e from embeddings where len(embedding) = 64 and " + FINE + ")"]
+    steps.append("c0 as (select row_number() over (order by sha256('2:' || vec_id::varchar) nulls last, e) - 1 as k, e from v order by k limit 40)")
+    for t in range(rounds + 1):
+        steps.append(f"a{t} as (select r, min((d * 64 + k)::bigint) as m from (select v.r, c.k, {GAP.format('v.e', 'c.e')} as d from v cross join c{t} c) group by r)")
+        if t < rounds:
+            steps.append(f"s{t} as (select k, i, floor(sum(x) / count(*)) as x from (select (m % 64)::bigint as k, unnest(v.e) as x, generate_subscripts(v.e, 1) as i from v join a{t} using (r)) group by k, i)")
+            steps.append(f"c{t + 1} as (select c.k, coalesce(n.e, c.e) as e from c{t} c left join (select k, list(x order by i) as e from s{t} group by k) n using (k))")
+    return "with " + ",\n ".join(steps) + f""",
+ f as (select vec_id, (m % 64)::int as cluster, (m // 64)::bigint as distance from v join a{rounds} using (r)),
+ h as (select k, sha256(array_to_string(e::bigint[], ',')) as centroid_sha256 from c{rounds})
+ select vec_id, cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia, centroid_sha256 from f join h on h.k = f.cluster"""
+
+
+def _op13(rounds: int = 2) -> str:
+    """Every part against every entry of its codebook, round by round."""
+    steps = ["v as (select row_number() over (order by vec_id nulls last, e) as r, vec_id, label, e from (select vec_id, label, " + INTS + " as e from embeddings where len(embedding) = 64 and " + FINE + "))"]
+    steps.append("x as (select r, p, e[4 * p + 1 : 4 * p + 4] as e from (select r, e, unnest(range(16)) as p from v))")
+    steps.append("b0 as (select p, r - 1 as k, e from x where r <= 64)")
+    for t in range(rounds + 1):
+        steps.append(f"a{t} as (select r, p, min((d * 64 + k)::bigint) as m from (select x.r, x.p, b.k, {GAP.format('x.e', 'b.e')} as d from x join b{t} b on b.p = x.p) group by r, p)")
+        if t < rounds:
+            steps.append(f"s{t} as (select p, k, i, floor(sum(c) / count(*)) as c from (select p, (m % 64)::bigint as k, unnest(x.e) as c, generate_subscripts(x.e, 1) as i from x join a{t} using (r, p)) group by p, k, i)")
+            steps.append(f"b{t + 1} as (select b.p, b.k, coalesce(n.e, b.e) as e from b{t} b left join (select p, k, list(c order by i) as e from s{t} group by p, k) n using (p, k))")
+    return "with " + ",\n ".join(steps) + f""",
+ f as (select r, string_agg(lower(format('{{:02x}}', (m % 64)::int)), '' order by p) as code, sum(m // 64)::bigint as error from a{rounds} group by r),
+ g as (select sha256(string_agg(array_to_string(e::bigint[], ','), ',' order by p, k)) as codebooks_sha256 from b{rounds})
+ select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from v join f using (r) cross join g"""
+
+
+SQL = {"op1_vector_dedup": OP1, "op2_line_rules": OP2, "op4_systematic_mix": OP4, "op5_suffix_merge": OP5, "op6_jaccard_join": OP6, "op8_window_dedup": OP8,
+       "op11_hamerly_clusters": _op11(), "op13_vector_codes": _op13()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, jaccard_join, line_rules, mixing, oracles, suffix_merge, token_counts, toxicity, vector_dedup, window_dedup
+from . import backoff_lm, byte_bpe, centroids, jaccard_join, line_rules, mixing, oracles, suffix_merge, token_counts, toxicity, vector_codes, vector_dedup, window_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,9 +82,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings")).drop("n_scans", "centroid")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.quantise(read(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query, by the operators' numbers."""
-    return {f.__name__: f for f in (op1_vector_dedup, op2_line_rules, op3_byte_bpe, op4_systematic_mix, op5_suffix_merge, op6_jaccard_join, op7_token_counts, op8_window_dedup, op9_backoff_lm, op10_toxicity)}
+    own = (
+        op1_vector_dedup, op2_line_rules, op3_byte_bpe, op4_systematic_mix, op5_suffix_merge, op6_jaccard_join, op7_token_counts, op8_window_dedup,
+        op9_backoff_lm, op10_toxicity, op11_hamerly_clusters, op13_vector_codes,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
