@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .textscan import CHECK_BASE, Words, chunks, mix, polynomial, texts, windows
+from .textscan import CHECK_BASE, Words, chunks, mix, run_hashes, string_hashes, texts, windows
 
 #: A line is too frequent in a host if more than LINE_SHARE of its documents, and more than LINE_DOCS, hold it.
 LINE_DOCS, LINE_SHARE = 20, 0.01
@@ -81,14 +81,14 @@ def scan(offsets: np.ndarray, data: np.ndarray) -> tuple[dict[str, np.ndarray],
     held = np.searchsorted(words.start, begin), np.searchsorted(words.start, end)
     full = held[1] > held[0]
     begin, end, row, held = begin[full], end[full], row[full], (held[0][full], held[1][full])
-    exact = mix(polynomial(data.astype(np.uint64) + np.uint64(1), begin, end, CHECK_BASE))
+    exact = string_hashes(data, begin, end)
     both = mix(exact + row.astype(np.uint64) * np.uint64(CHECK_BASE))
     _, first = np.unique(both, return_index=True)
     again = np.ones(len(both), dtype=bool)
     again[first] = False
     stats["n_dup_lines"] = np.bincount(row[again], minlength=n)
 
-    normal = mix(polynomial(words.hashes(data, lower=True), *held, CHECK_BASE))
+    normal = run_hashes(words.hashes(data, lower=True), *held)
     both = mix(normal + row.astype(np.uint64) * np.uint64(CHECK_BASE))
     _, first, back = np.unique(both, return_index=True, return_inverse=True)
     line_words = np.bincount(back, weights=held[1] - held[0], minlength=len(first)).astype(np.int64)

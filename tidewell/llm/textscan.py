@@ -1,7 +1,11 @@
-"""Vectorised scanning of Arrow text columns: words, lines and polynomial hashes.
+"""Vectorised scanning of Arrow text columns: words, lines and their hashes.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D, which for UTF-8 is the same as the
 code-point pattern ``[^\\x20\\x09-\\x0D]+``.  All hashes are 64-bit and identical on every executor.
+
+Strings are hashed eight bytes at a time through a mixing function, long ones by XXH3: polynomials modulo
+2**64 collide for Thue-Morse strings, whatever their base. They only roll over a few hashes of words, or over windows
+that are compared byte by byte afterwards.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: About this many bytes are scanned at a time; a longer document is scanned alone.
 CHUNK_BYTES = 1 << 18
@@ -58,6 +63,36 @@ def polynomial(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return (prefix[ends] - prefix[starts]) * powers(inverse, len(values) + 1)[starts]
 
 
+#: Strings of more bytes than this are hashed one by one.
+LONG = 64
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def string_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the byte strings data[starts:ends]; those of two seeds are independent."""
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    h = mix(size.astype(np.uint64) * np.uint64(BYTE_BASE) + np.uint64((seed + 1) * CHECK_BASE % (1 << 64)))
+    h = mix((h ^ (eight[starts] & _BELOW[np.minimum(size, 8)])) * np.uint64(WORD_BASE))
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(more):
+        h[more] = mix((h[more] ^ (eight[starts[more] + done] & _BELOW[np.minimum(size[more] - done, 8)])) * np.uint64(WORD_BASE))
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]], seed)
+    return h
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of values[starts:ends], runs of 64-bit numbers of any length."""
+    whole = memoryview(np.ascontiguousarray(values).view(np.uint8))
+    return np.array([xxhash.xxh3_64_intdigest(whole[8 * i : 8 * j]) for i, j in zip(starts.tolist(), ends.tolist())], dtype=np.uint64)
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """The column as one array of large_string; null texts are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -106,13 +141,12 @@ class Words:
         self.counts = np.diff(self.bounds)
         self.row = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
-    def hashes(self, data: np.ndarray, lower: bool = False) -> np.ndarray:
-        values = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
-        return mix(polynomial(values, self.start, self.end, BYTE_BASE))
+    def hashes(self, data: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+        return string_hashes(_LOWER[data] if lower else data, self.start, self.end, seed)
 
 
 def windows(words: Words, hashes: np.ndarray, size: int, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word, hash) of every run of ``size`` words inside one row."""
+    """(index of the first word, hash) of every run of ``size`` words inside one row: a polynomial of their hashes, for a few words."""
     room = words.bounds[1:][words.row] - np.arange(len(words.row)) if len(words.row) else np.zeros(0, np.int64)
     at = np.flatnonzero(room >= size)
     return at, mix(polynomial(hashes, at, at + size, base))

@@ -1,13 +1,14 @@
 """Substring dedup by Rabin-Karp hashes of every window of ``size`` words, counted in Spark.
 
-Hashes roll over the words of a block by prefix sums (80 bits of two polynomials).  A block sends its
-distinct hashes, sorted and packed, to the bucket of their range; the bucket counts the ranks of ids that
-hold each and answers which were seen in a lower rank, one bit a hash.  Ranks are ranges of
-document ids, so such a window starts in a smaller document; windows that repeat inside one block
-are resolved there.  Repeated windows merge into maximal intervals of words, which are removed.
+Hashes roll over the words of a block by prefix sums: a 64-bit polynomial of the words' hashes, and 32 bits of
+another one over hashes of another seed.  A block sends its distinct hashes, sorted and packed, with the number of
+its documents that hold each, to the bucket of their range. The bucket adds the documents up and takes the least
+rank among the senders; a window in two documents or more is repeated, and all but the least rank hear so, one bit a hash.
+Ranks are ranges of document ids, so such a window starts in a smaller document; windows that repeat inside one
+block are resolved there.  Repeated windows merge into maximal intervals of words, which are removed.
 Windows are judged on the input, not on what is left.
 
-Edge cases: null and empty texts, and texts shorter than a window, lose nothing (kept text: the
+Edge cases: texts of any length are taken whole; null and empty texts, and texts shorter than a window, lose nothing (kept text: the
 words joined by one space); rows that share an id never remove from each other; a null id counts as
 larger than all others and comes back null; an empty table gives an empty result; columns other than
 the two named are ignored.
@@ -26,8 +27,8 @@ from . import exchange
 from .textscan import CHECK_BASE, WORD_BASE, Words, buffers, chunks, texts, windows
 
 SIZE = 13
-#: Second hash: so many bytes of another polynomial besides the 64-bit key.
-CHECK = "<u2"
+#: Second hash: so many bytes of another polynomial, over hashes of another seed, besides the 64-bit key.
+CHECK = "<u4"
 RESULT = "id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
 
 
@@ -44,7 +45,7 @@ class Block:
             hashes = words.hashes(data)
             where, key = windows(words, hashes, size)
             keys.append(key)
-            checks.append((windows(words, hashes, size, CHECK_BASE)[1] >> np.uint64(48)).astype(CHECK))
+            checks.append((windows(words, words.hashes(data, seed=1), size, CHECK_BASE)[1] >> np.uint64(32)).astype(CHECK))
             at.append(where + n)
             row.append(words.row + i)
             start.append(words.start + origin[i])
@@ -63,6 +64,9 @@ class Block:
         self.keys, self.checks = ranked[first], check[self.order][first]
         self.place = np.cumsum(first) - 1  # of the windows in self.order
         self.least_id = self.id[self.row[self.at[self.order[first]]]] if len(ranked) else none
+        holder = self.id[self.row[self.at[self.order]]] if len(ranked) else none
+        other = np.append(first[1:], True) | np.append(holder[1:] != holder[:-1], True)  # the last place of a document among its window's
+        self.documents = np.bincount(self.place[other], minlength=len(self.keys)) if len(ranked) else none
 
     def covered(self, earlier: np.ndarray, size: int) -> np.ndarray:
         """By word: whether a window over it was seen in a smaller document."""
@@ -74,22 +78,33 @@ class Block:
         return np.cumsum(edge)[: len(self.row)] > 0
 
 
+def counted(key: np.ndarray, check: np.ndarray, rank: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window of each row sent, and by window: documents that hold it, least rank among them).
+
+    ``more``: documents beyond the first that a sender counted.
+    """
+    order = np.argsort(key, kind="stable")
+    if ((key[order][1:] == key[order][:-1]) & (check[order][1:] != check[order][:-1])).any():
+        order = np.lexsort((check, key))  # two windows share a key
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+    window = np.empty(len(key), dtype=np.int64)
+    window[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    documents = np.add.reduceat(more[order].astype(np.int64) + 1, first) if len(first) else first
+    least = np.minimum.reduceat(rank[order], first) if len(first) else first
+    return window, documents, least
+
+
 def seen_earlier(asked: list[tuple[np.ndarray, np.ndarray, list]]) -> tuple[list[list[np.ndarray]], list[int]]:
-    """For each window sent: whether a block of a lower rank holds it too."""
+    """For each window sent: whether it is repeated and a block of a lower rank holds it too; the number of repeated windows."""
     key, blocks, columns = asked[0]
-    again = np.zeros(len(key), dtype=bool)
-    if len(key):
-        check, rank = columns[0], exchange.ranks(blocks)
-        way = np.argsort(key, kind="stable")
-        same = key[way[1:]] == key[way[:-1]]
-        # Only runs of one key need their checks and ranks in order.
-        run = way[np.append(same, False) | np.append(False, same)]
-        fine = run[np.lexsort((rank[run], check[run], key[run]))]
-        if len(fine):
-            first = np.append(True, (key[fine[1:]] != key[fine[:-1]]) | (check[fine[1:]] != check[fine[:-1]]))
-            least = rank[fine[first]][np.cumsum(first) - 1]
-            again[fine] = rank[fine] > least
-    return [[again]], ()
+    if not len(key):
+        return [[np.zeros(0, dtype=bool)]], [0]
+    rank = exchange.ranks(blocks)
+    window, documents, least = counted(key, columns[0], rank, columns[1])
+    repeated = documents > 1
+    return [[repeated[window] & (rank > least[window])]], [int(repeated.sum())]
 
 
 def kept_texts(own: Block, gone: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -124,11 +139,11 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def windows_of(table: pa.Table) -> list[exchange.Section]:
         own = Block(table, size)
-        return [(own.keys, [own.checks])]
+        return [(own.keys, [own.checks, own.documents - 1])]
 
     def cut_out(table: pa.Table, got) -> pa.Table:
         own = Block(table, size)
-        found = got([(own.keys, [own.checks])])[0]
+        found = got([(own.keys, [own.checks, own.documents - 1])])[0]
         earlier = found[0].astype(bool) if found else np.zeros(len(own.keys), dtype=bool)
         gone = own.covered(earlier, size)
         kept, removed = kept_texts(own, gone)
