@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, centroids, jaccard_join, line_rules, mixing, oracles, suffix_merge, token_counts, toxicity, vector_codes, vector_dedup, window_dedup
+from . import backoff_lm, byte_bpe, centroids, jaccard_join, line_rules, mixing, oracles, quality, suffix_merge, token_counts, toxicity, vector_codes, vector_dedup, window_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,6 +86,17 @@ def op11_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings")).drop("n_scans", "centroid")
 
 
+def op12_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(remainder("doc_id", 3) != 1))
+    return quality.score(docs, model).select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.quantise(read(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
@@ -95,7 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query, by the operators' numbers."""
     own = (
         op1_vector_dedup, op2_line_rules, op3_byte_bpe, op4_systematic_mix, op5_suffix_merge, op6_jaccard_join, op7_token_counts, op8_window_dedup,
-        op9_backoff_lm, op10_toxicity, op11_hamerly_clusters, op13_vector_codes,
+        op9_backoff_lm, op10_toxicity, op11_hamerly_clusters, op12_nbsvm_quality, op13_vector_codes,
     )
     return {f.__name__: f for f in own}
 
