@@ -10,7 +10,7 @@ import re
 from pyspark.sql import SparkSession
 
 from . import service
-from .operators import state, vectors
+from .operators import commits, state, vectors
 from .sources import files
 from .streaming import collection, ingest
 
@@ -58,18 +58,19 @@ def named(reference: str):
 
 def embed(spark: SparkSession, args: argparse.Namespace) -> dict:
     """The next generation of vectors for the posts in the window; texts that haven't changed keep theirs."""
-    old = state.current(spark, args.vectors)
+    base = commits.snapshot(spark, args.vectors)
+    old = base.read("rows") if base.number else None
     fresh = vectors.refresh(old, vectors.corpus(ingest.stored(spark, args.state)["posts"], args.now), named(args.embedder))
-    state.publish(fresh, args.vectors)
+    state.publish(fresh, args.vectors, base)
     return verify(spark, args)
 
 
 def verify(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Checks of the current generation: counts, ids, dimensions, norms."""
-    where = state.generation(spark, args.vectors)
-    if where is None:
+    last = commits.snapshot(spark, args.vectors)
+    if not last.number:
         raise FileNotFoundError(f"no generation in {args.vectors}")
-    rows = files.generation(spark, f"{where}/rows", spark.read.parquet(f"{where}/rows").count())
+    rows = files.checked(last.read("rows"))
     from pyspark.sql import functions as F
 
     return vectors.norms(rows.withColumn("all", F.lit(True)), "all").drop("all").first().asDict() if rows.take(1) else {"n": 0}

@@ -187,7 +187,7 @@ class Index:
     def publish(self, folder: str) -> Index:
         """Store the index as the next generation under ``folder``: by shard, each file sorted by term so that its row groups can be skipped."""
         tables = {"postings": self.postings.repartition(SHARDS, "shard").sortWithinPartitions("shard", "term"), "lengths": self.lengths}
-        state.publish_all(tables, folder, partitions={"postings": ["shard"]})
+        state.publish_all(tables, folder)
         return Index.stored(self.postings.sparkSession, folder, self.stems)
 
     @classmethod

@@ -1,7 +1,7 @@
 """State tables: latest-wins, change-detecting upserts, edge replacement, deletes, and published snapshots.
 
 Plain parquet has no MERGE, so an update is a plan from the old snapshot and the new rows to the next
-snapshot, published by a mark that appears last.
+snapshot, which the commit log (``commits``) publishes if nobody else has been faster.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import commits
 from .window import WINDOW, eligible
 
 
@@ -73,6 +74,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir. Where it is unset one of our own is used, but only if driver and executors are one process."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.getCheckpointDir():
+        return context._jsc.sc().getCheckpointDir().get()  # set by setCheckpointDir
     if not folder:
         if context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
@@ -83,56 +86,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _storage(spark: SparkSession, folder: str):
-    """(path class, file system) of a folder; a missing folder has no generations."""
+    """(path class, file system) of a folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _names(path, fs, folder: str, prefix: str) -> list[str]:
-    return sorted(s.getPath().getName() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith(prefix)) if fs.exists(path(folder)) else []
+def publish_all(tables: dict[str, DataFrame], folder: str, base: commits.Snapshot | None = None, keep: int = 10) -> int:
+    """Publish whole tables as the next commit of the store ``folder`` and return its number; all appear together or not at all.
 
-
-def publish_all(tables: dict[str, DataFrame], folder: str, partitions: dict[str, Sequence[str]] | None = None, keep: int = 2) -> int:
-    """Write the tables as the next generation under ``folder`` and return its number; all appear together or not at all.
-
-    A generation counts once its mark ``_done-N`` exists, an empty file created without overwriting: readers see the highest marked
-    one whole, and of two writers that took the same number one fails. A number is never used twice. The last
-    ``keep`` generations stay for readers that began earlier.
+    ``base`` is the commit that the tables were planned from, by default the latest one now. Raises ``commits.Conflict`` where another writer
+    has published since. The last ``keep`` commits stay for readers that began earlier.
     """
     spark = next(iter(tables.values())).sparkSession
-    path, fs = _storage(spark, folder)
-    taken = [int(n.split("-")[1]) for n in _names(path, fs, folder, "_done-") + _names(path, fs, folder, "gen-")]
-    number = max(taken, default=0) + 1
-    for name, table in tables.items():
-        writer = table.write.partitionBy(*partitions[name]) if partitions and name in partitions else table.write
-        writer.parquet(f"{folder}/gen-{number:06d}/{name}")
-    fs.create(path(f"{folder}/_done-{number:06d}"), False).close()
-    done = _names(path, fs, folder, "_done-")
-    for old in done[:-keep]:
-        fs.delete(path(f"{folder}/{old}"), False)
-        fs.delete(path(f"{folder}/gen-{old.split('-')[1]}"), True)
+    number = commits.publish(base or commits.snapshot(spark, folder), {n: commits.Write(t) for n, t in tables.items()}).number
+    if number > keep:
+        commits.sweep(spark, folder, keep)
     return number
 
 
-def generation(spark: SparkSession, folder: str) -> str | None:
-    """Folder of the latest published generation, or None."""
-    path, fs = _storage(spark, folder)
-    done = _names(path, fs, folder, "_done-")
-    return f"{folder}/gen-{done[-1].split('-')[1]}" if done else None
-
-
 def current_all(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame] | None:
-    """The tables of the latest published generation, or None."""
-    where = generation(spark, folder)
-    return None if where is None else {n: spark.read.parquet(f"{where}/{n}") for n in names}
+    """The tables of the latest commit, or None."""
+    last = commits.snapshot(spark, folder)
+    return {n: last.read(n) for n in names} if last.number else None
 
 
-def publish(df: DataFrame, folder: str) -> str:
-    """``publish_all`` of one table; returns where it is."""
-    return f"{folder}/gen-{publish_all({'rows': df}, folder):06d}/rows"
+def publish(df: DataFrame, folder: str, base: commits.Snapshot | None = None) -> int:
+    """``publish_all`` of one table."""
+    return publish_all({"rows": df}, folder, base)
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The published generation of one table, or None."""
+    """The published rows of one table, or None."""
     found = current_all(spark, folder, ("rows",))
     return found and found["rows"]

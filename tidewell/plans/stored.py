@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import events as signed
-from ..operators import enrich, feeds, lookups, moderation, search, state, tree, vectors
+from ..operators import commits, enrich, feeds, lookups, moderation, search, state, tree, vectors
 from ..operators.window import PAGE
 from ..sources import files, relay, schemas
 from ..sources.views import NOW, table, view
@@ -106,14 +106,38 @@ def blocklist_file(spark, sf_dir):
 
 @query("select o_orderkey, o_custkey from orders where o_orderkey % 2 = 1")
 def snapshot_read(spark, sf_dir):
-    """Two generations, and a third whose writer died before it was published."""
+    """Two commits, and the files of a writer that died before it published."""
     orders, folder = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), scratch(spark)
     state.publish(orders.where("o_orderkey % 2 = 0"), folder)
     state.publish(orders.where("o_orderkey % 2 = 1"), folder)
-    orders.write.parquet(f"{folder}/gen-000003/rows")
+    orders.write.parquet(f"{folder}/rows/part=0/version=dead")
     return state.current(spark, folder)
 
 
+@query("select o_orderkey, case when o_orderkey % 10 = 3 then -1 else o_custkey end as o_custkey from orders")
+def concurrent_commits(spark, sf_dir):
+    """Writers that planned from the same commit: what all of them did is there.
+
+    One adds odd orders to every part, one even orders, one renames some customers of a part: the first wins, the others plan again.
+    """
+    orders, folder = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 10).cast("int").alias("part")), scratch(spark)
+    start = commits.publish(commits.snapshot(spark, folder), {"orders": commits.Write(orders.where("part = 3"))})
+
+    def adding(rows):
+        return lambda base: {"orders": commits.Write(base.read("orders").unionByName(rows))}
+
+    def renaming(base):
+        return {"orders": commits.Write(base.read("orders", [3]).withColumn("o_custkey", F.lit(-1).cast("long")), [3], alone=True)}
+
+    plans = [adding(orders.where("part % 2 = 1 and part <> 3")), renaming, adding(orders.where("part % 2 = 0"))]
+    for first, plan in zip((start, start, start), plans):  # all begin with the same commit
+        try:
+            commits.publish(first, plan(first))
+        except commits.Conflict:
+            commits.commit(spark, folder, plan)
+    return commits.snapshot(spark, folder).read("orders").select("o_orderkey", "o_custkey")
+
+
 @query(f"select row_number() over (order by source, source_id) as position, canonical_id, coalesce(text, '') as text, created_at from posts where {ELIGIBLE}")
 def corpus_read(spark, sf_dir):
     from pyspark.sql import Window
