@@ -16,8 +16,14 @@ def upper(now: int, before: int | None = None) -> int:
 
 
 def eligible(posts: DataFrame, now: int, before: int | None = None) -> DataFrame:
-    """Rows created within the 30 days up to ``now``, both ends included, and not after ``before``."""
-    return posts.where(F.col("created_at").between(now - WINDOW, upper(now, before)))
+    """Rows created within the 30 days up to ``now``, both ends included, and not after ``before``.
+
+    Of posts stored by day (column ``part``) only the window's days are read.
+    """
+    low, high = now - WINDOW, upper(now, before)
+    if "part" in posts.columns:
+        posts = posts.where(F.col("part").between(low // DAY, high // DAY))
+    return posts.where(F.col("created_at").between(low, high))
 
 
 def page(rows: DataFrame, order: list[Column], number: int = 0, size: int = PAGE) -> DataFrame:

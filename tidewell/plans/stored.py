@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import events as signed
-from ..operators import commits, enrich, feeds, lookups, moderation, search, state, tree, vectors
+from ..operators import commits, daily, enrich, feeds, lookups, moderation, search, state, tree, vectors
 from ..operators.window import PAGE
 from ..sources import files, relay, schemas
 from ..sources.views import NOW, table, view
@@ -138,6 +138,43 @@ def concurrent_commits(spark, sf_dir):
     return commits.snapshot(spark, folder).read("orders").select("o_orderkey", "o_custkey")
 
 
+# ---------------------------------------------------------------- posts by day
+
+
+def daily_store(spark: SparkSession, sf_dir: str) -> commits.Snapshot:
+    """All posts with their labels, by day."""
+    return daily.store(spark, scratch(spark), posts_of(spark, sf_dir), view(spark, sf_dir, "warnings"))
+
+
+@query(f"select canonical_id, author_id, created_at from posts where created_at between {NOW - 30 * 86400} and {NOW - 20 * 86400} order by created_at desc, canonical_id limit 50")
+def daily_feed(spark, sf_dir):
+    """The New feed up to a date, from posts stored by day: the other days aren't read."""
+    posts = daily_store(spark, sf_dir).read("posts")
+    return feeds.new(posts, NOW, before=NOW - 20 * 86400).select("canonical_id", "author_id", "created_at")
+
+
+@query(f"""select canonical_id, case when doc_id % 7 = 3 then concat(text, '!') else text end as text, case when doc_id % 7 = 4 then created_at + 86400 else created_at end as created_at
+ from (select *, source_id::bigint as doc_id from posts) where {ELIGIBLE} and (doc_id % 7 in (0, 3, 4, 6) or doc_id % 5 < 2)""")
+def daily_merge(spark, sf_dir):
+    """A store of two fifths, upserted: a seventh comes as it is, one with another text, one a day later, and one is new or as before."""
+    rows = posts_of(spark, sf_dir).where(ELIGIBLE).withColumn("k", F.expr("cast(source_id as bigint) % 7"))
+    base = daily.store(spark, scratch(spark), rows.where("cast(source_id as bigint) % 5 < 2").drop("k"))
+    text = F.when(F.col("k") == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    later = F.when(F.col("k") == 4, F.col("created_at") + 86400).otherwise(F.col("created_at"))
+    fresh = rows.where("k in (0, 3, 4, 6)").withColumn("text", text).withColumn("created_at", later).drop("k")
+    return commits.publish(base, daily.merge(base, "posts", fresh)).read("posts").select("canonical_id", "text", "created_at")
+
+
+@query(f"""with p as (select canonical_id, created_at from posts where created_at >= {NOW + 7 * 86400 + 5000} - 2592000)
+ select p.canonical_id, count(w.category) as labels from p left join warnings w using (canonical_id) group by p.canonical_id""")
+def daily_expiry(spark, sf_dir):
+    """A week later: days before the window are gone with their labels, one day is rewritten at most."""
+    base = daily_store(spark, sf_dir)
+    last = commits.publish(base, daily.expired(base, NOW + 7 * 86400 + 5000))
+    labels = last.read("warnings").groupBy("canonical_id").agg(F.count("category").alias("labels"))
+    return last.read("posts").join(labels, "canonical_id", "left").select("canonical_id", F.coalesce("labels", F.lit(0)).alias("labels"))
+
+
 @query(f"select row_number() over (order by source, source_id) as position, canonical_id, coalesce(text, '') as text, created_at from posts where {ELIGIBLE}")
 def corpus_read(spark, sf_dir):
     from pyspark.sql import Window
