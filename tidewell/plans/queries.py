@@ -15,7 +15,7 @@ from ..functions import markup
 from ..functions.porter import stem
 from ..operators import aggregates, enrich, extras, feeds, graph, lookups, moderation, search, state, tree, vectors, window
 from ..sources.views import DAY, NOW, table, view
-from ..streaming import ingest
+from ..streaming import ingest, keyed
 from .registry import ORACLES, QUERIES, query
 
 ROOT = 0
@@ -582,6 +582,38 @@ def stream_latest_state(spark, sf_dir):
     return ingest.stream_latest(spark, f"{sf_dir}/events.parquet", schema, ["user_id", "event_type"], "ts", "event_id", scratch(spark)).select(*LATEST_COLUMNS)
 
 
+@query(LATEST)
+def stream_keyed_latest(spark, sf_dir):
+    """Latest-wins rows kept as keyed state of the stream: a batch touches its own keys only."""
+    events = table(spark, sf_dir, "events")
+    stream = ingest.files_of(spark, f"{sf_dir}/events.parquet", events.schema, 1).select("user_id", "event_type", "ts", "event_id", "value")
+    log = keyed.run(keyed.latest_changes(stream, ["user_id", "event_type"], "ts", "event_id"), scratch(spark))
+    return keyed.present(log, ["user_id", "event_type"], "ts").select(*LATEST_COLUMNS)
+
+
+@query("""with l as (select *, row_number() over (partition by user_id order by ts desc, event_id::varchar) as k from events),
+ m as (select user_id, event_id, unnest([0, 1, 2, 3]) as i, event_type from l where k = 1)
+ select user_id as follower, sha256(concat((event_id * 7 + i * (event_id % 3)) % 50, '')) as followee from m where event_type <> 'error' and i < 1 + event_id % 4 group by all""")
+def stream_keyed_edges(spark, sf_dir):
+    """Follow lists as keyed state: each event is its user's new list, which replaces all edges; lists of errors are malformed."""
+    events = table(spark, sf_dir, "events")
+    member = lambda i: F.sha2(((F.col("event_id") * 7 + i * (F.col("event_id") % 3)) % 50).cast("string"), 256)
+    members = F.transform(F.sequence(F.lit(0), (F.col("event_id") % 4).cast("int")), lambda i: F.when(F.col("event_type") == "error", F.lit("bad")).otherwise(member(i)))
+    stream = ingest.files_of(spark, f"{sf_dir}/events.parquet", events.schema, 1).withColumn("members", members)
+    log = keyed.run(keyed.edge_changes(stream, "user_id", "ts", "event_id", "members"), scratch(spark))
+    return keyed.present(log, ["follower", "followee"])
+
+
+@query("""with l as (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id) as k from events)
+ select event_id, user_id, event_type from l where k = 1 and epoch_ms(ts) + 43200000 > (select max(epoch_ms(ts)) from events)""")
+def stream_keyed_expiry(spark, sf_dir):
+    """Keys leave twelve hours after their last row, by timers of the event time."""
+    events = table(spark, sf_dir, "events")
+    stream = ingest.files_of(spark, f"{sf_dir}/events.parquet", events.schema, 1).select("user_id", "event_type", "ts", "event_id")
+    log = keyed.run(keyed.latest_changes(stream, ["user_id", "event_type"], "ts", "event_id", horizon_ms=43_200_000), scratch(spark))
+    return keyed.present(log, ["user_id", "event_type"], "ts").select("event_id", "user_id", "event_type")
+
+
 @query("select distinct event_id, user_id from events")
 def stream_dedup(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
