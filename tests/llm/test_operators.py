@@ -522,7 +522,8 @@ def test_metric_join_in_memory():
 # ---------------------------------------------------------------- 9
 
 
-def language_model(rows, modulus=7, remainder=2, order=backoff_lm.ORDER):
+def language_model(rows, modulus=7, remainder=2, order=backoff_lm.ORDER, coarse=True):
+    """(scores as the query returns them, strengths by bisection of the evidence's condition)."""
     held = lambda i: zlib.crc32(str(i).encode()) % modulus == remainder
     tokens = [(i, ["<s>"] * (order - 1) + H.words(H.lower(t)) + [None]) for i, t in rows]
     grams, contexts = Counter(), Counter()
@@ -533,6 +534,20 @@ def language_model(rows, modulus=7, remainder=2, order=backoff_lm.ORDER):
                     grams[tuple(w[k - n : k + 1])] += 1
                     contexts[tuple(w[k - n : k])] += 1
     n, v = contexts[()], len([g for g in grams if len(g) == 1])
+    prior = []
+    for m in range(1, order):
+        kinds = sum(len(g) == m + 1 for g in grams)
+        sizes = [c for g, c in contexts.items() if len(g) == m]
+        rises = [math.log(x * sum(math.log1p(c / x) for c in sizes)) for x in backoff_lm.STRENGTHS]
+        low, high = 0.25, 2.0**20
+        if coarse:  # as interpolated between the strengths that buckets sum for
+            low = high = math.exp(np.interp(math.log(max(1, kinds)), rises, np.log(backoff_lm.STRENGTHS)))
+        for _ in range(200):
+            middle = math.sqrt(low * high)
+            if coarse:
+                break
+            low, high = (middle, high) if middle * sum(math.log1p(c / middle) for c in sizes) < max(1, kinds) else (low, middle)
+        prior.append(low)
     out = []
     for i, w in tokens:
         base = score = 0.0
@@ -540,28 +555,65 @@ def language_model(rows, modulus=7, remainder=2, order=backoff_lm.ORDER):
             p = (grams[w[k],] + 1) / (n + v + 1)
             base += math.log10(p)
             for m in range(1, order):
-                prior = backoff_lm.PRIOR[m - 1]
-                p = (grams[tuple(w[k - m : k + 1])] + prior * p) / (contexts[tuple(w[k - m : k])] + prior)
+                p = (grams[tuple(w[k - m : k + 1])] + prior[m - 1] * p) / (contexts[tuple(w[k - m : k])] + prior[m - 1])
             score += math.log10(p)
         out.append((i, i is not None and held(i), len(w) - order + 1, sum(grams[x,] > 0 for x in w[order - 1 :]), n, base, score))
-    return out
+    return out, prior
 
 
 def test_language_model(spark, rows, small_blocks):
     many = rows + [(None, rows[2][1]), rows[3], (rows[3][0], rows[4][1])]  # no id, a repeated row, an id with two texts
-    expected = language_model(many)
+    expected, _ = language_model(many)
     got = sorted((tuple(r) for r in backoff_lm.score(H.frame(spark, many).repartition(3)).collect()), key=repr)
     for g, e in zip(got, sorted(expected, key=repr), strict=True):
-        assert g[:5] == e[:5] and g[5:] == pytest.approx(e[5:], rel=1e-9)
+        assert g[:5] == e[:5] and g[5] == pytest.approx(e[5], rel=1e-9) and g[6] == pytest.approx(e[6], rel=1e-3)
+
+
+def one_block(texts, ids=None, order=3):
+    """(block, counts, the bucket's note) of documents, all keys in one bucket."""
+    table = pa.table({"id": pa.array(ids or list(range(len(texts))), pa.int64()), "text": pa.array(texts, pa.string())})
+    own = backoff_lm.Block(table, 7, 2, order)
+    answers, note = backoff_lm.add_up([(keys, np.zeros(len(keys), np.int64), columns) for keys, columns in own.sections()])  # as an exchange of one block
+    return own, [a[0] for a in answers], np.array(note)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("lanes", [1, 7, 4096])
+def test_walk_equals_the_formula(order, lanes):
+    """The states carried from token to token give what interpolation at every position gives, however texts are cut into lanes."""
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 40))) for _ in range(50)] + ["", None, "z z z a b"]
+    own, counts, note = one_block(texts, order=order)
+    prior = backoff_lm.strengths(note, order)
+    machine = backoff_lm.Automaton(own, counts, prior, *note[:2].tolist())
+    formula = np.log10(backoff_lm.smoothed(counts, prior, *note[:2].tolist(), own.gram, own.context))
+    assert np.abs(machine.walk(own.gram[0], own.first, lanes) - formula).max() < 1e-9
+    if order > 2:
+        assert (machine.fails[1:] < np.arange(1, len(machine.fails))).all() and len(np.unique(machine.fails)) > 1  # failures lead to shorter contexts
+
+
+def test_every_state_is_a_distribution():
+    """Arcs, failures and one unknown token of each state sum to one."""
+    rng = random.Random(4)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    out = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    own, counts, note = one_block([" ".join(rng.choice("abcde") for _ in range(rng.randint(1, 12))) for _ in ids] + ["unknown"], [*ids, out])
+    machine = backoff_lm.Automaton(own, counts, backoff_lm.strengths(note, 3), *note[:2].tolist())
+    tokens = np.unique(own.gram[0])
+    for state in range(len(machine.fails)):
+        _, cost = machine.step(np.full(len(tokens), state), tokens)
+        assert abs((10.0**cost).sum() - 1) < 1e-9
+
+
+def test_strengths_come_from_training_counts(rows):
+    own, counts, note = one_block([t for _, t in rows], [i for i, _ in rows])
+    _, expected = language_model(rows, coarse=False)
+    assert backoff_lm.strengths(note, 3) == pytest.approx(expected, rel=0.1)
+    texts = [t if zlib.crc32(str(i).encode()) % 7 != 2 else "other words altogether" for i, t in rows]
+    assert (one_block(texts, [i for i, _ in rows])[2] == note).all()  # held-out texts change nothing
 
 
-def test_language_model_is_a_distribution(spark):
-    """The continuations of a seen and of an unseen context, and the unknown share, sum to one."""
-    counts = [np.array([5, 3, 2, 10, 0]), np.array([2, 3, 0])]  # state 0 continues with words 1 and 2; word 4 is unknown
-    machine = backoff_lm.Automaton(counts, 20, 4)
-    for state, arcs in ((0, [2, 0, 1, 2, 2]), (4, [2] * 5)):
-        steps = machine.traverse([np.arange(5), np.array(arcs)], [np.full(5, state), None])
-        assert abs((10.0**steps).sum() - 1) < 1e-9
+def test_language_model_of_nothing(spark):
     empty = backoff_lm.score(H.frame(spark, [(1, None), (None, "x"), (2, "")])).collect()
     assert sorted(r["n_tokens"] for r in empty) == [1, 1, 2]
     assert backoff_lm.score(H.frame(spark, [(1, "x")]).where("false")).collect() == []
