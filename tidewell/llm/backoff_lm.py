@@ -148,7 +148,7 @@ def strengths(note: np.ndarray, order: int) -> list[float]:
     out = []
     for k in range(order - 1):
         rises = np.log(np.maximum(STRENGTHS * sums[k], 1e-300))  # of k K(k), which grows with k
-        wanted = np.log(max(1, int(kinds[k + 1])))
+        wanted = np.log(max(1, int(kinds[k + 1]) - 1))  # nothing ends with the start
         out.append(float(np.exp(np.interp(wanted, rises, np.log(STRENGTHS)))))
     return out
 
