@@ -39,34 +39,37 @@ class Block:
         self.text = texts(table.column("text"))
         self.id = exchange.order(table)
         keys, checks, at, row, start, end, counts, n = [], [], [], [], [], [], [], 0
-        origin = buffers(self.text)[0]
+        origin, data = buffers(self.text)
+        small = np.int32 if len(data) < 1 << 31 else np.int64  # places in the block's text
         for i, j, offsets, data in chunks(self.text):
             words = Words(offsets, data)
-            hashes = words.hashes(data)
-            where, key = windows(words, hashes, size)
+            where, key = windows(words, words.hashes(data), size)
             keys.append(key)
             checks.append((windows(words, words.hashes(data, seed=1), size, CHECK_BASE)[1] >> np.uint64(32)).astype(CHECK))
-            at.append(where + n)
-            row.append(words.row + i)
-            start.append(words.start + origin[i])
-            end.append(words.end + origin[i])
+            at.append((where + n).astype(small))
+            row.append((words.row + i).astype(small))
+            start.append((words.start + origin[i]).astype(small))
+            end.append((words.end + origin[i]).astype(small))
             counts.append(words.counts)
             n += len(words.start)
         none = np.zeros(0, dtype=np.int64)
-        self.at, self.row, self.start, self.end = (np.concatenate([none, *x]) for x in (at, row, start, end))
+        self.at, self.row, self.start, self.end = (np.concatenate([np.zeros(0, small), *x]) for x in (at, row, start, end))
         self.counts = np.concatenate([none, *counts])
         key = np.concatenate([np.zeros(0, np.uint64), *keys])
         check = np.concatenate([np.zeros(0, CHECK), *checks])
-        self.order = np.argsort(key, kind="stable")  # rows stand in order of id, so the first of equals has the smallest
+        del keys, checks, at, row, start, end
+        self.order = np.argsort(key, kind="stable").astype(small)  # rows stand in order of id, so the first of equals has the smallest
         ranked = key[self.order]
+        del key
         first = np.ones(len(ranked), dtype=bool)
         first[1:] = ranked[1:] != ranked[:-1]
-        self.keys, self.checks = ranked[first], check[self.order][first]
-        self.place = np.cumsum(first) - 1  # of the windows in self.order
-        self.least_id = self.id[self.row[self.at[self.order[first]]]] if len(ranked) else none
-        holder = self.id[self.row[self.at[self.order]]] if len(ranked) else none
+        self.keys, self.checks = ranked[first], check[self.order[first]]
+        del ranked, check
+        self.place = (np.cumsum(first, dtype=small) - 1).astype(small)  # of the windows in self.order
+        holder = self.id[self.row[self.at[self.order]]] if len(first) else none
+        self.least_id = holder[first]
         other = np.append(first[1:], True) | np.append(holder[1:] != holder[:-1], True)  # the last place of a document among its window's
-        self.documents = np.bincount(self.place[other], minlength=len(self.keys)) if len(ranked) else none
+        self.documents = np.bincount(self.place[other], minlength=len(self.keys)).astype(small) if len(first) else none
 
     def covered(self, earlier: np.ndarray, size: int) -> np.ndarray:
         """By word: whether a window over it was seen in a smaller document."""
@@ -101,10 +104,18 @@ def seen_earlier(asked: list[tuple[np.ndarray, np.ndarray, list]]) -> tuple[list
     key, blocks, columns = asked[0]
     if not len(key):
         return [[np.zeros(0, dtype=bool)]], [0]
-    rank = exchange.ranks(blocks)
-    window, documents, least = counted(key, columns[0], rank, columns[1])
-    repeated = documents > 1
-    return [[repeated[window] & (rank > least[window])]], [int(repeated.sum())]
+    # A window that one block sends for one document is in no other: most are left at once.
+    way = np.argsort(key, kind="stable")
+    same = key[way[1:]] == key[way[:-1]]
+    several = way[np.append(same, False) | np.append(False, same) | (columns[1][way] > 0)]
+    del way, same
+    again, repeated = np.zeros(len(key), dtype=bool), 0
+    if len(several):
+        rank = exchange.ranks(blocks[several])
+        window, documents, least = counted(key[several], columns[0][several], rank, columns[1][several])
+        again[several] = (documents > 1)[window] & (rank > least[window])
+        repeated = int((documents > 1).sum())
+    return [[again]], [repeated]
 
 
 def kept_texts(own: Block, gone: np.ndarray) -> tuple[list[str], np.ndarray]:
