@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, search, tree
+from .postings import Postings
 from .window import DAY, PAGE, eligible, lookup, page, upper
 
 MODES = ("new", "relevance", "conversations", "discovery")
@@ -164,12 +165,15 @@ class Request:
         return "&".join(f"{n}={quote_plus(str(v))}" for n, v in zip(names, values) if v)
 
 
-def feed(posts: DataFrame, follows: DataFrame, hubs: DataFrame, root: int, request: Request, now: int, index: search.Index | None = None) -> DataFrame:
+def feed(posts: DataFrame, follows: DataFrame, hubs: DataFrame, root: int, request: Request, now: int, index: Postings | None = None) -> DataFrame:
     """The page that a request asks for; searches read ``index`` if there is one, else all texts."""
     matches = None
     if request.query:
         clauses = search.parse(request.query)
-        matches = index.match(clauses) if index else search.match(posts, clauses)
+        if index and request.mode == "relevance":
+            matches = index.top(clauses, (request.page + 1) * PAGE, eligible(posts, now, request.before))
+        else:
+            matches = index.match(clauses) if index else search.match(posts, clauses)
     if request.mode == "new":
         return new(posts, now, request.page, request.before, matches)
     if request.mode == "relevance":

@@ -1,9 +1,8 @@
 """Full-text search: query parsing, folded and stemmed terms, phrases, and BM25.
 
 Texts and queries go through one tokenizer: letters and digits are tokens, case and the diacritics of Latin letters
-are folded in the JVM, and tokens are reduced to Porter stems (in Arrow batches). ``Index`` is the inverted
-index, stored as Parquet by shards of the term: a query reads its own terms' rows only. ``match`` is the same search by
-a scan of the posts at hand.
+are folded in the JVM, and tokens are reduced to Porter stems (in Arrow batches). ``match`` searches by a scan of the posts
+at hand; the stored inverted index is in ``postings``.
 """
 
 from __future__ import annotations
@@ -13,19 +12,16 @@ import unicodedata
 from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.porter import stem
-from . import state
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 K1, B = 1.2, 0.75
 #: Replaces an inverse document frequency that isn't positive.
 LEAST_IDF = 1e-6
-#: Folders that an index is dealt over by its terms.
-SHARDS = 16
 
 
 class QueryError(ValueError):
@@ -138,7 +134,7 @@ def match(posts: DataFrame, clauses: Clauses, stems: bool = True) -> DataFrame:
     The statistics are those of all posts given, not only of the eligible ones.
     """
     clauses = normal(clauses, stems)
-    words = posts.select("canonical_id", words_of(F.col("text"), stems).alias("words"))
+    words = posts.select("canonical_id", words_of(F.coalesce("text", F.lit("")), stems).alias("words"))
     lines = words.select("canonical_id", spaced(F.col("words")).alias("line"), F.size("words").alias("n"))
     counted = lines.select("canonical_id", "n", *[occurrences(F.col("line"), c).alias(f"f{i}") for i, c in enumerate(clauses)])
     stats = counted.agg(
@@ -157,79 +153,3 @@ def score(clauses: int) -> Column:
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.col("mean")))
     return -total
-
-
-def _minus(k: int):
-    return lambda p: p - k
-
-
-def shard(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
-
-
-class Index:
-    """An inverted index: postings (shard, term, canonical_id, n, positions) and the posts' lengths (canonical_id, n).
-
-    ``n`` is the post's number of tokens, kept beside each posting so that scoring a hit needs no other table.
-    """
-
-    def __init__(self, postings: DataFrame, lengths: DataFrame, stems: bool = True):
-        self.postings, self.lengths, self.stems = postings, lengths, stems
-
-    @classmethod
-    def of(cls, posts: DataFrame, stems: bool = True) -> Index:
-        words = posts.select("canonical_id", words_of(F.col("text"), stems).alias("words")).withColumn("n", F.size("words"))
-        postings = words.select("canonical_id", "n", F.posexplode("words").alias("at", "term")).groupBy("term", "canonical_id", "n").agg(
-            F.sort_array(F.collect_list("at")).alias("positions")
-        )
-        return cls(postings.select(shard(F.col("term")).alias("shard"), "term", "canonical_id", "n", "positions"), words.select("canonical_id", "n"), stems)
-
-    def publish(self, folder: str) -> Index:
-        """Store the index as the next generation under ``folder``: by shard, each file sorted by term so that its row groups can be skipped."""
-        tables = {"postings": self.postings.repartition(SHARDS, "shard").sortWithinPartitions("shard", "term"), "lengths": self.lengths}
-        state.publish_all(tables, folder)
-        return Index.stored(self.postings.sparkSession, folder, self.stems)
-
-    @classmethod
-    def stored(cls, spark: SparkSession, folder: str, stems: bool = True) -> Index:
-        tables = state.current_all(spark, folder, ("postings", "lengths"))
-        if tables is None:
-            raise FileNotFoundError(f"no index in {folder}")
-        return cls(tables["postings"], tables["lengths"], stems)
-
-    def updated(self, gone: DataFrame, posts: DataFrame) -> Index:
-        """The index without the posts in ``gone`` (canonical_id), and with ``posts``, which replace those of their ids."""
-        fresh, old = Index.of(posts, self.stems), gone.select("canonical_id").union(posts.select("canonical_id")).distinct()
-        return Index(
-            self.postings.join(old, "canonical_id", "left_anti").unionByName(fresh.postings),
-            self.lengths.join(old, "canonical_id", "left_anti").unionByName(fresh.lengths), self.stems,
-        )
-
-    def differences(self, posts: DataFrame) -> DataFrame:
-        """(term, canonical_id): postings that are not what the posts' texts give; empty if the index is sound."""
-        flat = lambda i: i.postings.select("term", "canonical_id", "n", "positions")
-        fresh = Index.of(posts, self.stems)
-        own, other = flat(self).withColumn("side", F.lit(1)), flat(fresh).withColumn("side", F.lit(-1))
-        return own.unionByName(other).groupBy("term", "canonical_id", "n", "positions").agg(F.sum("side").alias("s")).where("s <> 0").select("term", "canonical_id").distinct()
-
-    def match(self, clauses: Clauses) -> DataFrame:
-        """(canonical_id, bm25), as ``match`` gives them."""
-        found = None
-        for i, clause in enumerate(normal(clauses, self.stems)):
-            hits = self.phrase(clause).withColumnRenamed("f", f"f{i}")
-            hits = hits.crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias(f"d{i}"))))  # one row
-            found = hits if found is None else found.join(hits.drop("n"), "canonical_id")
-        stats = self.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-        return found.crossJoin(F.broadcast(stats)).select("canonical_id", score(len(clauses)).alias("bm25"))
-
-    def rows(self, term: str) -> DataFrame:
-        here = F.lit(term)
-        return self.postings.where((F.col("shard") == shard(here)) & (F.col("term") == here)).select("canonical_id", "n", "positions")
-
-    def phrase(self, clause: list[str]) -> DataFrame:
-        """(canonical_id, n, f): places where the phrase starts, by intersecting shifted positions."""
-        rows = self.rows(clause[0] if clause else "")
-        for k, term in enumerate(clause[1:], 1):
-            other = self.rows(term).select("canonical_id", F.transform("positions", _minus(k)).alias("shifted"))
-            rows = rows.join(other, "canonical_id").select("canonical_id", "n", F.array_intersect("positions", "shifted").alias("positions"))
-        return rows.select("canonical_id", "n", F.size("positions").alias("f")).where("f > 0")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import events as signed
 from ..functions import markup
 from ..functions.porter import stem
-from ..operators import aggregates, enrich, extras, feeds, graph, lookups, moderation, search, state, tree, vectors, window
+from ..operators import aggregates, enrich, extras, feeds, graph, lookups, moderation, postings, search, state, tree, vectors, window
 from ..sources.views import DAY, NOW, table, view
 from ..streaming import ingest, keyed
 from .registry import ORACLES, QUERIES, query
@@ -130,16 +130,17 @@ SCORED = scored(CLAUSES)
 _indexes: dict[tuple, str] = {}
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The stored index of a folder's posts: built when first asked for and read again until the documents change."""
+def stored_index(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """The stored index of a folder's posts: built when first asked for and read again until the files of the documents change."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
-    key = spark.sparkContext.applicationId, sf_dir, changed
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path))
+    key = spark.sparkContext.applicationId, sf_dir, tuple(files)
     if key not in _indexes:
         folder = scratch(spark)
-        search.Index.of(posts_of(spark, sf_dir)).publish(folder)
+        postings.Postings.build(posts_of(spark, sf_dir), folder)
         _indexes[key] = folder
-    return search.Index.stored(spark, _indexes[key])
+    return postings.Postings.stored(spark, _indexes[key])
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +165,19 @@ def search_bm25_all(spark, sf_dir):
 @query(f"with {SCORED} select canonical_id, round(bm25, 6) as bm25, created_at from m join posts using (canonical_id) where {ELIGIBLE} "
        "order by round(m.bm25, 12), created_at desc, canonical_id limit 50")
 def search_bm25_top50(spark, sf_dir):
-    return feeds.relevance(posts_of(spark, sf_dir), matched(spark, sf_dir), NOW).select("canonical_id", F.round("bm25", 6).alias("bm25"), "created_at")
+    """Blocks of the index whose bounds can't reach the fiftieth score aren't read."""
+    posts = posts_of(spark, sf_dir)
+    best = stored_index(spark, sf_dir).top(CLAUSES, window.PAGE, window.eligible(posts, NOW))
+    return feeds.relevance(posts, best, NOW).select("canonical_id", F.round("bm25", 6).alias("bm25"), "created_at")
+
+
+TOP = "tion"
+
+
+@query(f"""with {scored(search.parse(TOP))} select canonical_id, round(bm25, 6) as bm25 from m order by round(m.bm25, 12), canonical_id limit 10""")
+def search_top_term(spark, sf_dir):
+    """The ten best of one frequent term among all posts."""
+    return stored_index(spark, sf_dir).top(search.parse(TOP), 10).orderBy(F.round("bm25", 12), "canonical_id").limit(10).select("canonical_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"with {SCORED} select canonical_id, round(bm25, 6) as bm25 from m")
@@ -196,18 +209,21 @@ def search_index_updated(spark, sf_dir):
     wanted = posts.where("canonical_id like 'doc:1%'")
     stale = wanted.where("author_id % 2 = 0").withColumn("text", F.when(F.expr("author_id % 4 = 0"), F.lit("the stale text")).otherwise(F.col("text")))
     gone = posts.where("canonical_id like 'doc:2%'")
-    old = search.Index.of(stale.unionByName(gone))
-    folder = scratch(spark)
-    index = old.updated(gone, wanted.where("author_id % 2 = 1 or author_id % 4 = 0")).publish(folder)
-    return index.lengths.join(index.phrase(["the"]).select("canonical_id", "f"), "canonical_id", "left").select(
+    old = postings.Postings.build(stale.unionByName(gone), scratch(spark))
+    index = old.updated(gone, wanted.where("author_id % 2 = 1 or author_id % 4 = 0"))
+    return index.lengths().join(index.phrase(["the"]).select("canonical_id", "f"), "canonical_id", "left").select(
         "canonical_id", "n", F.coalesce("f", F.lit(0)).alias("the")
     )
 
 
-@query("select term, canonical_id from (values ('', '')) as t(term, canonical_id) where false")
+@query("""with w as (select canonical_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as words from posts)
+ select canonical_id from w where canonical_id like 'doc:1%' and len(words) > 0 union select canonical_id from w where canonical_id like 'doc:2%' and len(words) > 0""".replace("\\\\", "\\"))
 def search_index_differences(spark, sf_dir):
-    """The stored index against the posts' texts: no row if it is sound."""
-    return stored_index(spark, sf_dir).differences(posts_of(spark, sf_dir))
+    """An index whose keeper wasn't told of all changes: posts that lost their last word, and posts that never came, are found."""
+    posts = posts_of(spark, sf_dir)
+    cut = F.when(F.expr("canonical_id like 'doc:1%'"), F.concat(F.lit("zzz "), "text")).otherwise(F.col("text"))
+    index = postings.Postings.build(posts.where("canonical_id not like 'doc:2%'").withColumn("text", cut), scratch(spark))
+    return index.differences(posts).select("canonical_id").distinct()
 
 
 @query(f"with {SCORED} {FEED}{ELIGIBLE} and canonical_id in (select canonical_id from m) order by created_at desc, canonical_id limit 50")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import aggregates, enrich, feeds, search, tree
+from .operators.postings import Postings
 from .operators.window import PAGE, eligible
 from .streaming import ingest
 
@@ -25,7 +26,7 @@ def _rows(frame: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in frame.collect()]  # a page at most
 
 
-def feed(tables: dict[str, DataFrame], root: str, args: Mapping[str, str], now: int, index: search.Index | None = None) -> Answer:
+def feed(tables: dict[str, DataFrame], root: str, args: Mapping[str, str], now: int, index: Postings | None = None) -> Answer:
     request = feeds.Request.parse(args, now)
     hubs = tables["metadata"].where("kind = 3").select("pubkey")
     head = {"mode": request.mode, "page": request.page, "link": request.query_string(), "before": request.before}
@@ -59,7 +60,7 @@ def status(tables: dict[str, DataFrame], now: int) -> Answer:
     return 200, {"sources": sources}
 
 
-def respond(spark: SparkSession, folder: str, root: str, target: str, now: int, index: search.Index | None = None) -> Answer:
+def respond(spark: SparkSession, folder: str, root: str, target: str, now: int, index: Postings | None = None) -> Answer:
     """(status, body) of a request's target, such as ``/?mode=new``; /search leads to the feed of the same arguments."""
     path, query = urlsplit(target).path, urlsplit(target).query
     if path == "/search":
