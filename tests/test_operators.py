@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import aggregates, enrich, extras, feeds, graph, lookups, moderation, state, tree, vectors, window
+from tidewell.operators import aggregates, enrich, extras, feeds, graph, intervals, lookups, moderation, state, tree, vectors, window
 from tidewell.streaming import schedule
 
 NOW = 1_800_000_000
@@ -68,7 +68,7 @@ def test_deep_chain(spark):
     assert far.count() == 1104 and far.agg(F.max("distance")).first()[0] == 1104
     below = tree.descendants(df, "n0", NOW)
     assert below.count() == 1104
-    order = tree.forest_preorder(df, NOW).orderBy("position").collect()
+    order = intervals.forest_preorder(df, NOW).orderBy("position").collect()
     assert [(r["canonical_id"], r["position"]) for r in order] == [(f"n{i}", i + 1) for i in range(1105)] and order[3]["depth"] == 3 and order[-1]["depth"] == 6
 
 
@@ -81,7 +81,7 @@ def test_trees_with_cycle_and_gap(spark):
     up = lambda i: {r["canonical_id"]: (r["distance"], r["missing_parent_id"], r["cycle_cut"]) for r in tree.walk_up(df, i).collect()}
     assert up("q") == {"q": (0, None, False), "o": (1, "gone", False)}
     assert up("c") == {"c": (0, None, False), "b": (1, None, False), "a": (2, None, True)} and up("nobody") == {}
-    placed = {(r["root_id"], r["position"], r["canonical_id"], r["depth"]) for r in tree.forest_preorder(df, NOW).collect()}
+    placed = {(r["root_id"], r["position"], r["canonical_id"], r["depth"]) for r in intervals.forest_preorder(df, NOW).collect()}
     assert placed == {("o", 1, "o", 0), ("o", 2, "q", 1)}  # what hangs on a cycle has no place
     ends = {r["id"]: r["missing_parent_id"] for r in tree.missing_root(tree.ancestors(df), df).collect()}
     assert ends == {"o": "gone", "q": "gone"}

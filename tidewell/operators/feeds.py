@@ -12,7 +12,7 @@ from urllib.parse import quote_plus
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, search, tree
+from . import graph, intervals, search, tree
 from .postings import Postings
 from .window import DAY, PAGE, eligible, lookup, page, upper
 
@@ -183,13 +183,19 @@ def feed(posts: DataFrame, follows: DataFrame, hubs: DataFrame, root: int, reque
     return social(posts, follows, hubs, root, now, request.page, request.before, request.order, request.reach, matches)
 
 
-def context(posts: DataFrame, canonical_id: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(ancestors from the top with distance, the post, replies in pre-order with depth) of one eligible post."""
+def context(posts: DataFrame, canonical_id: str, now: int, threads: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ancestors from the top with distance, the post, replies in pre-order with depth) of one eligible post.
+
+    ``threads``: intervals of the eligible posts (``intervals.tour``), by which any depth is one range join; without them the tree is
+    walked level by level, some thousand levels at most.
+    """
     rows = eligible(posts, now)
-    above = tree.walk_up(rows, canonical_id).where("distance > 0")
+    if threads is None:
+        above, below = tree.walk_up(rows, canonical_id).where("distance > 0"), tree.preorder(posts, canonical_id, now)
+    else:
+        above, below = intervals.ancestors(threads, canonical_id).where("distance > 0"), intervals.replies(threads, canonical_id)
     chain = rows.join(above.select("canonical_id", "distance"), "canonical_id").orderBy(F.desc("distance"))
-    below = rows.join(tree.preorder(posts, canonical_id, now), "canonical_id").orderBy("position")
-    return chain, lookup(posts, canonical_id, now), below
+    return chain, lookup(posts, canonical_id, now), rows.join(below, "canonical_id").orderBy("position")
 
 
 __all__ = ["MODES", "PAGE", "Request", "context", "conversations", "feed", "has_next", "new", "page_full", "ranked", "relevance", "score_label", "social", "threads"]

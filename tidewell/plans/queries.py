@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import events as signed
 from ..functions import markup
 from ..functions.porter import stem
-from ..operators import aggregates, enrich, extras, feeds, graph, lookups, moderation, postings, search, state, tree, vectors, window
+from ..operators import aggregates, commits, enrich, extras, feeds, graph, intervals, lookups, moderation, postings, search, state, tree, vectors, window
 from ..sources.views import DAY, NOW, table, view
 from ..streaming import ingest, keyed
 from .registry import ORACLES, QUERIES, query
@@ -334,6 +334,22 @@ BELOW = f"""ep as (select * from posts where {ELIGIBLE}),
  where instr(concat(chr(31), b.path), concat('|', c.canonical_id, chr(31))) = 0)"""
 
 
+@query(f"with {CLOSURE} select * from cl")
+def tree_interval_pairs(spark, sf_dir):
+    """All posts with all their ancestors, from stored intervals."""
+    return intervals.pairs(intervals.store(posts_of(spark, sf_dir), scratch(spark)).read("threads"))
+
+
+@query(f"with {BELOW} select row_number() over (order by path) as position, canonical_id, least(depth, 6) as depth from b")
+def tree_interval_replies(spark, sf_dir):
+    """One post's replies in display order, from intervals that came in two halves: threads that the second half touches were numbered again."""
+    posts = window.eligible(posts_of(spark, sf_dir), NOW)
+    half = posts.where("cast(source_id as bigint) % 4 <> 1")
+    base = intervals.store(half, scratch(spark))
+    last = commits.publish(base, intervals.grown(base, posts, posts.where("cast(source_id as bigint) % 4 = 1")))
+    return intervals.replies(last.read("threads"), "doc:0")
+
+
 @query(f"with {BELOW} select canonical_id, depth from b")
 def tree_descendants(spark, sf_dir):
     return tree.descendants(posts_of(spark, sf_dir), "doc:0", NOW).select("canonical_id", "depth")
@@ -349,7 +365,7 @@ def tree_preorder(spark, sf_dir):
  union all select t.root_id, c.canonical_id, t.depth + 1, concat(t.path, lpad(c.created_at::varchar, 12, '0'), '|', c.canonical_id, chr(31)) from t join ep c on c.parent_id = t.canonical_id)
  select root_id, row_number() over (partition by root_id order by path) as position, canonical_id, least(depth, 6) as depth from t""")
 def forest_preorder(spark, sf_dir):
-    return tree.forest_preorder(posts_of(spark, sf_dir), NOW)
+    return intervals.forest_preorder(posts_of(spark, sf_dir), NOW)
 
 
 @query(f"""with ep as (select * from posts where {ELIGIBLE}) select parent_id, count(*) as n from ep

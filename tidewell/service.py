@@ -11,10 +11,11 @@ from collections.abc import Callable, Mapping
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qsl, urlsplit
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import aggregates, enrich, feeds, search, tree
+from .operators import aggregates, enrich, feeds, intervals, search, tree
 from .operators.postings import Postings
 from .operators.window import PAGE, eligible
 from .streaming import ingest
@@ -23,7 +24,7 @@ Answer = tuple[int, dict]
 
 
 def _rows(frame: DataFrame) -> list[dict]:
-    return [r.asDict(recursive=True) for r in frame.collect()]  # a page at most
+    return [r.asDict(recursive=True) for r in frame.collect()]
 
 
 def feed(tables: dict[str, DataFrame], root: str, args: Mapping[str, str], now: int, index: Postings | None = None) -> Answer:
@@ -49,9 +50,17 @@ def context(tables: dict[str, DataFrame], args: Mapping[str, str], now: int) ->
     wanted = args.get("id", "")
     if not feeds.lookup(tables["posts"], wanted, now).take(1):
         return 404, {"error": "no such post"}
-    above, post, below = feeds.context(tables["posts"], wanted, now)
-    ends = tree.walk_up(eligible(tables["posts"], now), wanted).where("missing_parent_id is not null or cycle_cut").select("missing_parent_id", "cycle_cut")
-    return 200, {"post": _rows(post)[0], "ancestors": _rows(above), "replies": _rows(below), "ends": _rows(ends)}
+    rows = eligible(tables["posts"], now)
+    try:
+        above, post, below = map(_rows, feeds.context(tables["posts"], wanted, now))
+        ends = _rows(tree.walk_up(rows, wanted).where("missing_parent_id is not null or cycle_cut").select("missing_parent_id", "cycle_cut"))
+    except PySparkException as fault:
+        if "RECURSION" not in str(fault):
+            raise
+        threads = intervals.tour(rows)  # a thread deeper than a recursion may be
+        above, post, below = map(_rows, feeds.context(tables["posts"], wanted, now, threads))
+        ends = _rows(intervals.ancestors(threads, wanted).where("missing_parent_id is not null").select("missing_parent_id", F.lit(False).alias("cycle_cut")))
+    return 200, {"post": post[0], "ancestors": above, "replies": below, "ends": ends}
 
 
 def status(tables: dict[str, DataFrame], now: int) -> Answer:
