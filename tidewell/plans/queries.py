@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import events as signed
 from ..functions import markup
 from ..functions.porter import stem
-from ..operators import aggregates, commits, enrich, extras, feeds, graph, intervals, lookups, moderation, postings, search, state, tree, vectors, window
+from ..operators import aggregates, commits, enrich, extras, feeds, graph, intervals, lookups, moderation, postings, reconcile, search, state, sweeps, tree, vectors, window
 from ..sources.views import DAY, NOW, table, view
 from ..streaming import ingest, keyed
 from .registry import ORACLES, QUERIES, query
@@ -652,6 +652,56 @@ def stream_dedup(spark, sf_dir):
     return ingest.stream_dedup(spark, f"{sf_dir}/events.parquet", schema, "event_id", "ts", "1 day", scratch(spark)).select("event_id", "user_id")
 
 
+# ---------------------------------------------------------------- sliding counts, many filters, reconciliation
+
+THREAD = "coalesce(nullif(root_id, ''), canonical_id)"
+
+
+@query(f"""with e as (select canonical_id, {THREAD} as thread, author_id, created_at from posts)
+ select a.canonical_id, count(distinct b.author_id) as n_distinct from e a join e b on b.thread = a.thread and b.created_at between a.created_at - 86400 and a.created_at group by a.canonical_id""")
+def sliding_repliers(spark, sf_dir):
+    """Different authors of a thread in the day before every post, up to it."""
+    posts = posts_of(spark, sf_dir).select("canonical_id", "author_id", "created_at", F.expr(THREAD).alias("thread"))
+    return sweeps.distinct_before(posts, "thread", "author_id", "created_at").select("canonical_id", "n_distinct")
+
+
+@query("""with e as (select event_id, user_id, event_type, epoch_ms(ts) // 1000 as t from events) select event_id, count(distinct o) as n_distinct from (
+ select a.event_id, b.user_id as o from e a join e b on b.event_type = a.event_type and b.t between a.t - 3600 and a.t) group by event_id""")
+def sliding_users(spark, sf_dir):
+    """Different users of an event type in the hour before every event: five groups hold all rows."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    return sweeps.distinct_before(events, "event_type", "user_id", "t", 3600).select("event_id", "n_distinct")
+
+
+@query("""with f as (select event_id as filter, event_id % 4 as shape, (event_id * 7) % 1000 as i, user_id as u, event_type as k, epoch_ms(ts) // 1000 as t from events where event_id % 3 <> 1),
+ e as (select event_id, user_id, event_type, epoch_ms(ts) // 1000 as t from events)
+ select filter, count(*) as n from f join e on (shape <> 0 or e.event_id in (i, i + 1)) and (shape not in (1, 2) or e.user_id = f.u) and (shape <> 2 or e.event_type = f.k)
+  and (shape <> 1 or e.t between f.t - 86400 and f.t) and (shape <> 3 or (e.event_type = f.k and e.user_id in (f.u, f.u + 1))) group by filter""")
+def many_filters(spark, sf_dir):
+    """Two thirds of the events are filters: by ids, by an author and a time, by an author and a kind, by two authors and a kind."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    shape = F.col("event_id") % 4
+    i, none = (F.col("event_id") * 7) % 1000, F.lit(None)
+    filters = events.where("event_id % 3 <> 1").select(
+        F.col("event_id").alias("filter"), F.when(shape == 0, F.array(i, i + 1)).alias("ids"),
+        F.when(shape.isin(1, 2), F.array("user_id")).when(shape == 3, F.array(F.col("user_id"), F.col("user_id") + 1)).alias("authors"),
+        F.when(shape.isin(2, 3), F.array("event_type")).alias("kinds"), F.when(shape == 1, F.col("t") - 86400).otherwise(none).alias("since"), F.when(shape == 1, F.col("t")).otherwise(none).alias("until"),
+    )
+    found = sweeps.matching(events, filters, id_col="event_id", author="user_id", kind="event_type", time="t")
+    return found.groupBy("filter").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with e as (select event_id, epoch_ms(ts) // 1000 as t from events) select event_id::varchar as id, t as at, 'mine' as side from e where event_id % 97 = 3
+ union all select event_id::varchar, t, 'other' from e where event_id % 89 = 5 and event_id % 97 <> 3
+ union all select event_id::varchar, t + case when s = 'mine' then 0 else 1 end, s from e, (select unnest(['mine', 'other']) as s) where event_id % 101 = 7 and event_id % 97 <> 3 and event_id % 89 <> 5""")
+def reconciled_events(spark, sf_dir):
+    """Two versions of the events: some are on one side only, some have another time."""
+    events = table(spark, sf_dir, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    mine = events.where("event_id % 97 = 3 or event_id % 89 <> 5")
+    other = events.where("event_id % 97 <> 3").withColumn("t", F.expr("case when event_id % 101 = 7 and event_id % 89 <> 5 then t + 1 else t end"))
+    return reconcile.difference(mine, other, "event_id", "t")[0]
+
+
 # ---------------------------------------------------------------- signed events and markup (no SQL)
 
 
