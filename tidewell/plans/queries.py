@@ -15,7 +15,7 @@ from ..functions import markup
 from ..functions.porter import stem
 from ..operators import aggregates, commits, enrich, extras, feeds, graph, intervals, lookups, moderation, postings, reconcile, search, state, sweeps, tree, vectors, window
 from ..sources.views import DAY, NOW, table, view
-from ..streaming import ingest, keyed
+from ..streaming import ingest, keyed, seen
 from .registry import ORACLES, QUERIES, query
 
 ROOT = 0
@@ -646,6 +646,15 @@ def stream_keyed_expiry(spark, sf_dir):
     return keyed.present(log, ["user_id", "event_type"], "ts").select("event_id", "user_id", "event_type")
 
 
+@query("select distinct event_id, user_id from events")
+def stream_first_sightings(spark, sf_dir):
+    """The events in three batches, of which the later ones bring events of weeks ago again: Bloom filters of the days seen tell most new ones apart."""
+    events, folder = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t")), scratch(spark)
+    batches = (events.where("event_id % 3 = 0"), events.where("event_id % 3 = 1 or event_id % 5 = 0"), events)
+    found = [seen.first_sightings(spark, b, f"{folder}/seen", "event_id", "t") for b in batches]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("event_id", "user_id")
+
+
 @query("select distinct event_id, user_id from events")
 def stream_dedup(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema

@@ -14,7 +14,7 @@ from ..operators import commits, daily, enrich, feeds, lookups, moderation, sear
 from ..operators.window import PAGE
 from ..sources import files, relay, schemas
 from ..sources.views import NOW, table, view
-from ..streaming import collection, ingest, schedule
+from ..streaming import collection, counters, ingest, schedule
 from .queries import ELIGIBLE, HOPS, RULES, THREADS, network, posts_of, scratch
 from .registry import query
 
@@ -351,6 +351,21 @@ def verdict_report(spark, sf_dir):
     return ingest.report(twice.unionByName(twice))
 
 
+@query(f"select verdict, count(*) as n from (select {VERDICT} as verdict from {USERS}) group by verdict")
+def stream_verdict_counts(spark, sf_dir):
+    """The same counts, observed inside a stream in which every event comes twice: no second pass over the events."""
+    folder = scratch(spark)
+    lines = signed_posts(spark, sf_dir).checkpoint()  # signed once
+    for _ in range(2):
+        lines.select("value").write.mode("append").parquet(f"{folder}/in")
+    told = spark.read.parquet(f"{folder}/in").distinct()
+    by = told.select(F.get_json_object("value", "$.pubkey").alias("pubkey"), F.regexp_extract("value", r"post of (\d+)", 1).alias("u"))
+    blocked = by.where("cast(nullif(u, '') as long) % 7 = 3").select(F.col("pubkey").alias("entry")).distinct()
+    events = ingest.judged(ingest.parsed(ingest.files_of(spark, f"{folder}/in", told.schema, 2)), NOW, blocked)
+    counters.run(counters.told_apart(events), folder)
+    return spark.read.parquet(f"{folder}/counts").groupBy("verdict").agg(F.sum("n").alias("n"))
+
+
 @query(f"select label, count(*) as n from (select unnest([case when u % 5 = 2 then 'author-cw' end, case when u % 13 = 6 then 'spam' end]) as label, {VERDICT} as verdict from {USERS}) where verdict = 'accept' and label is not null group by label")
 def label_report(spark, sf_dir):
     twice = judged_posts(spark, sf_dir)
