@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import events as signed
 from ..functions import markup
 from ..functions.porter import stem
-from ..operators import aggregates, commits, enrich, extras, feeds, graph, intervals, lookups, moderation, postings, reconcile, search, state, sweeps, tree, vectors, window
+from ..operators import aggregates, commits, enrich, extras, feeds, graph, intervals, lookups, moderation, nearest, postings, reconcile, search, state, sweeps, tree, vectors, window
 from ..sources.views import DAY, NOW, table, view
 from ..streaming import ingest, keyed, seen
 from .registry import ORACLES, QUERIES, query
@@ -580,6 +580,13 @@ def vector_topk(spark, sf_dir):
     return vectors.top_k(rows, rows.where("vec_id % 100 = 0"), 3).withColumn("cosine", F.round("cosine", 6))
 
 
+@query(f"""with s as (select a.vec_id as anchor, v.vec_id as id, {COSINE} as cosine from embeddings a join embeddings v on a.vec_id <> v.vec_id),
+ k as (select *, row_number() over (partition by anchor order by round(cosine, 9) desc, id) as rank from s) select anchor, id, rank, round(cosine, 6) as cosine from k where rank <= 3""")
+def vector_topk_all(spark, sf_dir):
+    """The three nearest of every vector, by cells and the triangle inequality on angles."""
+    return nearest.top_k(table(spark, sf_dir, "embeddings"), None, 3)[0].withColumn("cosine", F.round("cosine", 6))
+
+
 @query("""select label, count(*) as n, round(min(sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) as least,
  round(max(sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) as most, true as finite from embeddings group by label""")
 def vector_norms(spark, sf_dir):
