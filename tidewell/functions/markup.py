@@ -12,12 +12,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A label has no brackets, and an address in brackets 2,048 characters at most, so that what opens often and never closes is scanned once.
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _INLINE = re.compile(
-    r"(?P<code>`+)(?P<body>.+?)(?P=code)|!\[(?P<alt>[^\]]*)\]\((?P<image>[^)\s]+)\)|\[(?P<label>[^\]]+)\]\((?P<target>[^)\s]+)\)"
+    r"(?P<code>`+)(?P<body>.+?)(?P=code)|!\[(?P<alt>[^\[\]]*)\]\((?P<image>[^)\s]{1,2048})\)|\[(?P<label>[^\[\]]+)\]\((?P<target>[^)\s]{1,2048})\)"
     r"|(?P<url>https?://[^\s<>\"']+)|\*\*(?P<strong>[^*]+)\*\*|\*(?P<em>[^*\s][^*]*)\*",
     re.I,
 )
+# Marks that end an address.
 #: An address ends before marks that end a sentence, quotes, and brackets that it didn't open.
 _END = re.compile(r"""[.,;:!?”’'"]+$""")
 

@@ -246,32 +246,6 @@ def ordered_distinct(spark, sf_dir):
     return lookups.distinct_in_order(table(spark, sf_dir, "events"), "user_id", "event_id", 20)
 
 
-QUESTIONS = ('"Of  the" NOT café', "foo_bar", "_ alpha", "and OR", '"a b" c "d"', '"open', "", '""', "!!")
-
-
-@query("""select * from (values ('"Of  the" NOT café', 'of the|not|café'), ('foo_bar', 'foo bar'), ('_ alpha', '|alpha'), ('and OR', 'and|or'), ('"a b" c "d"', 'a b|d|c'),
- ('"open', 'error'), ('', 'error'), ('""', 'error'), ('!!', 'error')) as t(query, clauses)""")
-def search_parse(spark, sf_dir):
-    def parsed(text: str) -> str:
-        try:
-            return "|".join(" ".join(c) for c in search.parse(text))
-        except search.QueryError:
-            return "error"
-
-    return spark.createDataFrame([(q, parsed(q)) for q in QUESTIONS], "query string, clauses string")
-
-
-ARGUMENTS = ({}, {"q": "x"}, {"q": "x", "mode": "new"}, {"mode": "relevance"}, {"q": "x", "mode": "discovery", "go": "1"}, {"mode": "discovery", "reach": "3", "order": "connections"},
-             {"mode": "new", "date": "2024-01-20"}, {"mode": "new", "date": "2024-99-20"}, {"mode": "new", "before": "5", "page": "-4"}, {"mode": "?", "before": "9999999999"})
-
-
-@query("""select * from (values (0, 'mode=conversations', 0), (1, 'q=x&mode=relevance', 0), (2, 'q=x&mode=new', 0), (3, 'mode=conversations', 0), (4, 'q=x&mode=relevance', 0), (5, 'mode=discovery&reach=3&order=connections', 0),
- (6, 'mode=new&before=1705708800', 0), (7, 'mode=new', 0), (8, 'mode=new&before=5', 0), (9, 'mode=conversations', 0)) as t(i, link, page)""")
-def request_links(spark, sf_dir):
-    requests = [feeds.Request.parse(a, NOW) for a in ARGUMENTS]
-    return spark.createDataFrame([(i, r.query_string(), r.page) for i, r in enumerate(requests)], "i int, link string, page int")
-
-
 @query("select event_id, greatest(coalesce(try_cast(trim(case when event_id % 3 = 0 then event_type when event_id % 3 = 1 then concat(' ', cast(event_id as varchar)) else cast(-event_id as varchar) end) as bigint), 2), 0) as value from events")
 def integer_arguments(spark, sf_dir):
     raw = F.expr("case when event_id % 3 = 0 then event_type when event_id % 3 = 1 then concat(' ', cast(event_id as string)) else cast(-event_id as string) end")
@@ -484,9 +458,12 @@ def oldest_cursor(spark, sf_dir):
     return spark.createDataFrame(found, "relay string, cursor long")
 
 
-@query("select * from (values (2, 3, 2), (10, 5, 5), (40, 20, 20), (81, 40, 40)) as t(requests, base, backfill)")
+@query("select user_id, greatest(3, n // 2) as base, greatest(2, n // 2) as backfill from (select user_id, count(*) as n from events group by user_id)")
 def request_shares(spark, sf_dir):
-    return spark.createDataFrame([(n, *schedule.shares(n)) for n in (2, 10, 40, 81)], "requests int, base int, backfill int")
+    """Shares of a budget of as many requests as each user has events."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    base, backfill = schedule.share_columns(F.col("n"))
+    return counts.select("user_id", base.alias("base"), backfill.alias("backfill"))
 
 
 @query(f"select u, {SAID} as text from {USERS} where {VERDICT} = 'accept'")
