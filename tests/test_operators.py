@@ -54,6 +54,23 @@ def test_reach(spark):
     assert graph.reach(follows.where("false"), hubs, 0).collect() == []
 
 
+def test_reach_of_all_roots(spark, monkeypatch):
+    """Equal to ``reach`` for each root, also where every account is split over a grid."""
+    import random
+
+    monkeypatch.setattr(graph, "GRID", 3)
+    rng = random.Random(1)
+    rows = [(rng.randrange(12), rng.choice([0, 1, rng.randrange(14)])) for _ in range(70)] + [(5, 5), (0, 0)]
+    follows = spark.createDataFrame(rows, "follower long, followee long")
+    hubs = spark.createDataFrame([(0,), (1,), (3,), (7,), (7,)], "pubkey long")
+    got = {}
+    for r in graph.reach_all(follows, hubs).collect():
+        got.setdefault(r["root"], {})[r["author_id"]] = (r["hops"], r["weight"])
+    for root in sorted({f for f, _ in rows})[:4]:
+        assert got[root] == {r["author_id"]: (r["hops"], r["weight"]) for r in graph.reach(follows, hubs, root).collect()}, root
+    assert graph.reach_all(follows.where("false"), hubs).collect() == []
+
+
 def test_reach_limits_feed(spark):
     follows = spark.createDataFrame([(0, 1), (1, 2)], "follower long, followee long")
     df = posts(spark, [("x", 1, "", 5, None, None), ("y", 2, "", 1, None, None), ("z", 3, "", 0, None, None)])

@@ -174,6 +174,10 @@ def test_stream_of_events(spark, tmp_path):
     rows = files.events(spark, str(source))
     counts = {r["verdict"]: r["n"] for r in ingest.report(ingest.judged(rows, NOW, [signed(9)["pubkey"]], [], [{}])).collect()}
     assert counts == {"accept": 4, "secret:aws access key": 1, "outside": 1, "invalid": 2, "blocklist": 1}
+    # The same filters as a list and as a table.
+    asked = spark.createDataFrame([(1, None, [root["pubkey"]], [1], None, None), (2, [reply["id"]], None, None, None, None)], "filter long, ids array<string>, authors array<string>, kinds array<long>, since long, until long")
+    found = [{(r["id"], r["verdict"]) for r in ingest.judged(rows, NOW, filters=f).collect()} for f in (asked, [{"authors": [root["pubkey"]], "kinds": [1]}, {"ids": [reply["id"]]}])]
+    assert found[0] == found[1] and (signed(9)["id"], "mismatched") in found[0]
 
 
 def test_merge_labels_edges_and_names(spark):

@@ -32,6 +32,12 @@ def new(posts: DataFrame, now: int, number: int = 0, before: int | None = None,
     return page(rows, [F.desc("created_at"), F.asc("canonical_id")], number)
 
 
+def new_after(posts: DataFrame, now: int, created_at: int, canonical_id: str, before: int | None = None, matches: DataFrame | None = None) -> DataFrame:
+    """The page of ``new`` that follows a row, by its key: what is before it is neither sorted nor counted, and posts that have come since shift nothing."""
+    later = (F.col("created_at") < created_at) | ((F.col("created_at") == created_at) & (F.col("canonical_id") > canonical_id))
+    return new(posts.where(F.col("created_at") <= created_at).where(later), now, 0, before, matches)
+
+
 def relevance(posts: DataFrame, matches: DataFrame, now: int, number: int = 0, before: int | None = None) -> DataFrame:
     """Best score first (lowest), then newest, then by id."""
     rows = eligible(posts, now, before).join(matches, "canonical_id")
@@ -198,4 +204,4 @@ def context(posts: DataFrame, canonical_id: str, now: int, threads: DataFrame |
     return chain, lookup(posts, canonical_id, now), rows.join(below, "canonical_id").orderBy("position")
 
 
-__all__ = ["MODES", "PAGE", "Request", "context", "conversations", "feed", "has_next", "new", "page_full", "ranked", "relevance", "score_label", "social", "threads"]
+__all__ = ["MODES", "PAGE", "Request", "context", "conversations", "feed", "has_next", "new", "new_after", "page_full", "ranked", "relevance", "score_label", "social", "threads"]

@@ -47,6 +47,14 @@ def feed_new_page3(spark, sf_dir):
     return feeds.new(posts_of(spark, sf_dir), NOW, 3).select(*FEED_COLUMNS)
 
 
+@query(f"{FEED}{ELIGIBLE} order by created_at desc, canonical_id limit 50 offset 150")
+def feed_new_after(spark, sf_dir):
+    """The fourth page by the key of the third one's last row."""
+    posts = posts_of(spark, sf_dir)
+    last = feeds.new(posts, NOW, 2).select("created_at", "canonical_id").orderBy("created_at", F.desc("canonical_id")).first()  # one row
+    return feeds.new_after(posts, NOW, *last).select(*FEED_COLUMNS) if last else feeds.new(posts, NOW, 3).select(*FEED_COLUMNS)
+
+
 @query(f"{FEED} created_at between {LOW} and {BEFORE} order by created_at desc, canonical_id limit 50")
 def feed_new_before(spark, sf_dir):
     return feeds.new(posts_of(spark, sf_dir), NOW, before=BEFORE).select(*FEED_COLUMNS)
@@ -269,6 +277,19 @@ def graph_hop3(spark, sf_dir):
     return graph.third(*network(spark, sf_dir), ROOT)
 
 
+@query("""with s2 as (select distinct d.follower as root, f.follower as endorser, f.followee as candidate from follows d join follows f on f.follower = d.followee where f.followee <> d.follower and f.followee <> f.follower),
+ hb as (select distinct root, candidate as hub from s2 where candidate in (select pubkey from hubs) and not exists (select 1 from follows x where x.follower = s2.root and x.followee = s2.candidate)),
+ s3 as (select distinct s2.root, s2.endorser, f.followee as candidate from s2 join hb on hb.root = s2.root and s2.candidate = hb.hub join follows f on f.follower = hb.hub where f.followee <> s2.root and f.followee <> s2.endorser),
+ sp as (select root, endorser, candidate, min(d) as d from (select *, 2 as d from s2 union all select *, 3 from s3) group by all),
+ ms as (select root, candidate, count(*) filter (where d = 2) as n2, count(*) filter (where d = 3) as n3 from sp group by all),
+ r as (select coalesce(ms.root, d.follower) as root, coalesce(ms.candidate, d.followee) as author_id, cast(case when d.followee is not null then 1 when n2 > 0 then 2 else 3 end as bigint) as hops,
+  cast((case when d.followee is not null then 36 else 0 end) + 9 * coalesce(n2, 0) + 4 * coalesce(n3, 0) as bigint) as weight from ms full join follows d on d.follower = ms.root and d.followee = ms.candidate)
+ select root, author_id, hops, weight, round(6 / sqrt(weight), 9) as graph_score from r""")
+def graph_reach_all(spark, sf_dir):
+    """The connection score of everybody for every root at once."""
+    return graph.reach_all(*network(spark, sf_dir)).withColumn("graph_score", F.round("graph_score", 9))
+
+
 @query(f"with {HOPS} select author_id, hops, weight, round(6 / sqrt(weight), 9) as graph_score from reach")
 def graph_reach_score(spark, sf_dir):
     return graph.reach(*network(spark, sf_dir), ROOT).withColumn("graph_score", F.round("graph_score", 9))
@@ -350,6 +371,21 @@ def tree_interval_replies(spark, sf_dir):
     return intervals.replies(last.read("threads"), "doc:0")
 
 
+CONTEXT = "doc:51"
+
+
+@query(f"""with {BELOW.replace("'doc:0'", repr(CONTEXT))}, up(canonical_id, parent_id, k) as (select canonical_id, parent_id, 0::bigint from ep where canonical_id = '{CONTEXT}'
+ union all select p.canonical_id, p.parent_id, up.k + 1 from up join ep p on p.canonical_id = up.parent_id)
+ select 'ancestor' as part, u.canonical_id, ep.author_id, k from up u join ep using (canonical_id) where k > 0 union all select 'post', canonical_id, author_id, 0 from ep where canonical_id = '{CONTEXT}'
+ union all select 'reply', b.canonical_id, ep.author_id, row_number() over (order by path) from b join ep using (canonical_id)""")
+def thread_context(spark, sf_dir):
+    """A post's ancestors, itself and its replies, from intervals."""
+    posts = posts_of(spark, sf_dir)
+    above, post, below = feeds.context(posts, CONTEXT, NOW, intervals.tour(window.eligible(posts, NOW)))
+    row = lambda rows, part, k: rows.select(F.lit(part).alias("part"), "canonical_id", "author_id", k.cast("long").alias("k"))
+    return row(above, "ancestor", F.col("distance")).unionByName(row(post, "post", F.lit(0))).unionByName(row(below, "reply", F.col("position")))
+
+
 @query(f"with {BELOW} select canonical_id, depth from b")
 def tree_descendants(spark, sf_dir):
     return tree.descendants(posts_of(spark, sf_dir), "doc:0", NOW).select("canonical_id", "depth")

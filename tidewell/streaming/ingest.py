@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.events import thread_refs, verified, warning_reason
-from ..operators import commits, daily, enrich, moderation, state
+from ..operators import commits, daily, enrich, moderation, state, sweeps
 from ..operators.window import WINDOW
 from ..sources import schemas
 from ..sources.files import EVENT
@@ -46,19 +46,24 @@ def entries(spark: SparkSession, values: Sequence[str] | DataFrame | None) -> Da
     return spark.createDataFrame([(v,) for v in dict.fromkeys(values or ())], "entry string")
 
 
-def judged(events: DataFrame, now: int, blocked=(), curated=(), filters: list[dict] | None = None) -> DataFrame:
+def judged(events: DataFrame, now: int, blocked=(), curated=(), filters: list[dict] | DataFrame | None = None) -> DataFrame:
     """Events (json, id, pubkey, created_at, kind, tags, content) with a verdict and labels.
 
-    ``blocked`` (keys and ids) and ``curated`` (keys) are tables with a column ``entry``, or short lists. Late and future
-    events are told by the clock given, not by a watermark.
+    ``blocked`` (keys and ids) and ``curated`` (keys) are tables with a column ``entry``, or short lists; so are ``filters``, as a table
+    the columns of ``sweeps.matching``. Late and future events are told by the clock given, not by a watermark.
     """
     spark = events.sparkSession
     barred, listed = entries(spark, blocked), entries(spark, curated)
     rows = _marked(_marked(_marked(events, "pubkey", barred, "__author"), "id", barred, "__event"), "pubkey", listed, "__nsfw")
+    if isinstance(filters, DataFrame):
+        rows = _marked(rows, "id", sweeps.matching(events, filters).select(F.col("id").alias("entry")).distinct(), "__asked")
+        asked = F.col("__asked")
+    else:
+        asked = moderation.matches_filters(filters or [{}])
     everything = F.concat_ws(" ", "content", F.flatten(F.coalesce("tags", F.array().cast("array<array<string>>"))))
     post = F.col("kind") == 1
     word = moderation.verdict(
-        F.coalesce(verified("json"), F.lit(False)), moderation.matches_filters(filters or [{}]), everything, post & (F.col("__author") | F.col("__event")), post & F.col("__nsfw")
+        F.coalesce(verified("json"), F.lit(False)), asked, everything, post & (F.col("__author") | F.col("__event")), post & F.col("__nsfw")
     )
     inside = F.col("created_at").between(now - WINDOW, now)
     labels = F.array_compact(
@@ -68,7 +73,7 @@ def judged(events: DataFrame, now: int, blocked=(), curated=(), filters: list[di
             F.when(moderation.link_farm(F.col("content")), F.lit("spam")),
         )
     )
-    return rows.withColumn("verdict", F.when(~inside & post & (word == "accept"), "outside").otherwise(word)).withColumn("labels", labels).drop("__author", "__event", "__nsfw")
+    return rows.withColumn("verdict", F.when(~inside & post & (word == "accept"), "outside").otherwise(word)).withColumn("labels", labels).drop("__author", "__event", "__nsfw", "__asked")
 
 
 def metadata_of(events: DataFrame) -> DataFrame:
