@@ -46,7 +46,7 @@ END = np.uint64(0x51A7E0F0E4D00001)
 START = np.uint64(0x51A7E0F05A2700A3)
 ORDER = 3
 #: Bits of the hash of an n-gram of two tokens or more.
-BITS = 54
+BITS = 52
 #: Strengths between which the evidence's maximum is interpolated.
 STRENGTHS = 2.0 ** np.arange(-2, 21)
 #: Sums of logarithms are added up as whole numbers of this part.
