@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import commits
 from .commits import PART, Snapshot, Write
+from .state import checkpoint_dir
 from .search import B, K1, LEAST_IDF, Clauses, normal, score, words_of
 
 #: Posts of a block; blocks of one term in a part; postings that a shard is meant for.
@@ -51,6 +52,8 @@ def segment_tables(posts: DataFrame, segment: int, first_block: int, stems: bool
     """(tables of a segment, its number of blocks)."""
     spark = posts.sparkSession
     words = posts.select("canonical_id", words_of(F.coalesce("text", F.lit("")), stems).alias("words")).withColumn("n", F.size("words"))
+    checkpoint_dir(spark)
+    words = words.checkpoint()  # tokens are made once
     sizes = sorted((r["c"], r["posts"]) for r in words.groupBy(_class(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("posts")).collect())  # a row a class
     starts, at = {}, first_block
     for c, many in sizes:
@@ -74,6 +77,7 @@ def segment_tables(posts: DataFrame, segment: int, first_block: int, stems: bool
         hot = F.broadcast(hot) if hot.limit(MOST_HOT + 1).count() <= MOST_HOT else hot
         salt = F.pmod("block", F.coalesce(F.ceil(F.col("blocks") / SPAN), F.lit(1)))
         rows = rows.join(hot, "term", "left").withColumn(PART, (F.pmod(F.xxhash64("term") + salt, F.lit(shards)) + segment * SEGMENT).cast("int")).drop("blocks")
+    rows = rows.checkpoint()  # for postings and heads
     own = F.lit(segment * SEGMENT).cast("int")
     tables = {
         "postings": rows.select(PART, "term", "block", "held"),
