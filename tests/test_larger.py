@@ -55,3 +55,17 @@ def test_recorded_pages_read_their_own_lines(spark, tmp_path, monkeypatch):
     rows = list(rows)
     assert len(rows) == 30 and end == {"budget": 6, "wss://one": 36}
     assert list(stream.readBetweenOffsets(stream.initialOffset(), end)) == rows
+
+
+def test_index_build_shuffles_texts_once(spark, tmp_path, monkeypatch):
+    from tidewell.operators import postings
+
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    posts = spark.createDataFrame([(f"p{k}", None if k == 7 else "a b a " * (k % 5)) for k in range(60)], "canonical_id string, text string")
+    index = postings.Postings.build(posts, str(tmp_path))
+    blocks = index.alive().groupBy("block").count().collect()
+    assert sum(r["count"] for r in blocks) == 60 and max(r["count"] for r in blocks) <= 4
+    assert set(index.base.read("posts").columns) == {"part", "canonical_id", "n", "block"}  # terms come from the postings
+    assert index.differences(posts).collect() == []
+    changed = posts.where("canonical_id <> 'p3'").union(spark.createDataFrame([("p3", "a a b " * 3)], posts.schema))
+    assert {r["canonical_id"] for r in index.differences(changed).collect()} == {"p3"}
