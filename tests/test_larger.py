@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tests.test_signed import NOW, signed
-from tidewell.operators import sweeps
+from tidewell.operators import feeds, nearest, sweeps, vectors, window
 from tidewell.plans import queries
 from tidewell.sources import relay
 from tidewell.streaming import ingest
@@ -69,3 +69,30 @@ def test_index_build_shuffles_texts_once(spark, tmp_path, monkeypatch):
     assert index.differences(posts).collect() == []
     changed = posts.where("canonical_id <> 'p3'").union(spark.createDataFrame([("p3", "a a b " * 3)], posts.schema))
     assert {r["canonical_id"] for r in index.differences(changed).collect()} == {"p3"}
+
+
+def test_numbers_without_one_task(spark):
+    rows = spark.createDataFrame([(s, str(k)) for s in ("b", "a", None) for k in range(40)], "source string, id string")
+    got = window.numbered(rows, [(F.col("source"), False), (F.substring("id", 1, 1), False)], [F.asc("id")])
+    ordered = sorted(((s or "", str(k)) for s in ("b", "a", None) for k in range(40)))
+    assert [(r["source"] or "", r["id"]) for r in sorted(got.collect(), key=lambda r: r["position"])] == ordered
+    down = window.numbered(rows, [(F.col("source"), True)], [F.desc("id")], "k").where("k = 1").first()
+    assert (down["source"], down["id"]) == ("b", "9")
+
+
+def test_has_next_sorts_nothing(spark, monkeypatch):
+    rows = spark.range(101).withColumn("text", F.lit("x"))
+    monkeypatch.setattr(type(rows), "orderBy", lambda *a: 1 / 0)
+    assert [feeds.has_next(rows, [F.asc("id")], n) for n in (0, 1, 2)] == [True, True, False]
+    assert not feeds.has_next(rows.limit(100), [F.asc("id")], 1)
+
+
+def test_slices(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "ANCHORS", 3)
+    rows = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(50)], "vec_id long, embedding array<float>").coalesce(1)
+    got = {(r["anchor"], r["id"], r["rank"]) for r in nearest.top_k(rows, None, 2, centres=4)[0].collect()}
+    assert got == {(r["anchor"], r["id"], r["rank"]) for r in vectors.top_k(rows, rows, 2).collect()}
+    texts = spark.createDataFrame([(str(k), None if k == 299 else "ab" * (k % 4)) for k in range(300)], "canonical_id string, text string").coalesce(1)
+    letters, joined = (lambda t: [ord(c) for c in t]), (lambda x: "".join(map(chr, x)))
+    chunks = vectors.chunked(texts, letters, joined, 4)
+    assert chunks.where("chunk = 0").count() == 300 and vectors.budget_check(chunks, letters, 4).first()[:] == (300 + sum(k % 4 == 3 for k in range(299)), 4)
