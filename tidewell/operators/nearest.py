@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .state import checkpoint_dir
 
 CENTRES, GROUP = 256, 4096
+#: Anchors whose cells are told at a time: CENTRES copies of each at most.
+ANCHORS = 64
 #: Room for the rounding of angles: that of arc cosines near zero.
 ROOM = 1e-7
 FOUND = "anchor {id}, id {id}, cosine double, pairs long"
@@ -127,14 +129,16 @@ def top_k(vectors: DataFrame, anchors: DataFrame | None, k: int, id_col: str = "
     radii = np.array([radius.get(c, -10.0) for c in range(len(at))])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, cell, reach = _matrix(batch.column(1), batch.num_rows), batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            to = _angles(x, at) if len(x) else np.zeros((0, len(at)))
-            near = (to - radii[None] <= reach[:, None] + ROOM) & (radii >= 0)[None]
-            near[np.arange(len(x)), cell] = False
-            i, c = np.nonzero(near)
-            took = pa.array(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(c.astype(np.int32)), pa.array(to[i, c]), pa.array(reach[i])], ["anchor", "unit", "cell", "to", "reach"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ANCHORS):  # an anchor may go to every cell
+                batch = whole.slice(start, ANCHORS)
+                x, cell, reach = _matrix(batch.column(1), batch.num_rows), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                to = _angles(x, at) if len(x) else np.zeros((0, len(at)))
+                near = (to - radii[None] <= reach[:, None] + ROOM) & (radii >= 0)[None]
+                near[np.arange(len(x)), cell] = False
+                i, c = np.nonzero(near)
+                took = pa.array(i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(c.astype(np.int32)), pa.array(to[i, c]), pa.array(reach[i])], ["anchor", "unit", "cell", "to", "reach"])
 
     away = asked.mapInArrow(others, f"anchor {kind}, unit array<double>, cell int, to double, reach double").checkpoint()
     found = home.unionByName(_meet(away, members, k, kind)).checkpoint()
