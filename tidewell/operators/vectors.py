@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x / (norm(a) + EPSILON))
 
 
+#: Texts that are Python objects at a time.
+SLICE = 256
 #: Anchors broadcast at a time: with 64 numbers each, about half a megabyte.
 ANCHORS = 1000
 
@@ -95,9 +97,9 @@ def token_chunks(text: str, encode: Callable[[str], list[int]], decode: Callable
 
 def budget_check(chunks: DataFrame, encode: Callable[[str], list[int]], budget: int = 254) -> DataFrame:
     """(n, most): how many chunks (text) there are and the most tokens of any; more than ``budget`` raises."""
-    @F.pandas_udf("long")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(encode(t or "")))
+    @F.arrow_udf("long")
+    def tokens(texts: pa.Array) -> pa.Array:
+        return pa.array((len(encode(t.as_py() or "")) for t in texts), pa.int64())
 
     counted = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(tokens("text")), F.lit(0)).alias("most"))
     fault = F.concat(F.lit("a chunk has "), F.col("most").cast("string"), F.lit(f" tokens, more than {budget}"))
@@ -112,9 +114,11 @@ def corpus(posts: DataFrame, now: int) -> DataFrame:
 
 def chunked(posts: DataFrame, encode: Callable, decode: Callable, budget: int = 254) -> DataFrame:
     """(canonical_id, chunk, text) in Arrow batches; the tokenizer is any pair of callables."""
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: token_chunks(t or "", encode, decode, budget))
+    @F.arrow_udf("array<string>")
+    def split(texts: pa.Array) -> pa.Array:
+        kind, parts = pa.list_(pa.string()), range(0, len(texts), SLICE)
+        made = [pa.array([token_chunks(t or "", encode, decode, budget) for t in texts.slice(k, SLICE).to_pylist()], kind) for k in parts]
+        return pa.concat_arrays(made) if made else pa.array([], kind)
 
     return posts.select("canonical_id", F.posexplode(split("text")).alias("chunk", "text"))
 
