@@ -71,6 +71,19 @@ def test_index_build_shuffles_texts_once(spark, tmp_path, monkeypatch):
     assert {r["canonical_id"] for r in index.differences(changed).collect()} == {"p3"}
 
 
+def test_index_build_moves_packed_rows(spark, tmp_path):
+    from tidewell.operators import postings
+
+    posts = spark.createDataFrame([(f"p{k}", f"the w{k % 50} the") for k in range(600)], "canonical_id string, text string")
+    tables, _ = postings.segment_tables(posts, 0, 0, True)
+    plan = tables["postings"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "hashpartitioning(bucket" in plan  # texts, and packed rows instead of postings
+    index = postings.Postings.build(posts, str(tmp_path))
+    rows = index.base.read("postings")
+    assert "canonical_id" not in rows.schema.simpleString() and rows.where("term is null").count() == rows.select("block").distinct().count()
+    assert {r["canonical_id"]: r["f"] for r in index.phrase(["the"]).collect()} == {f"p{k}": 2 for k in range(600)}
+
+
 def test_numbers_without_one_task(spark):
     rows = spark.createDataFrame([(s, str(k)) for s in ("b", "a", None) for k in range(40)], "source string, id string")
     got = window.numbered(rows, [(F.col("source"), False), (F.substring("id", 1, 1), False)], [F.asc("id")])
