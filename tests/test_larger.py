@@ -109,3 +109,16 @@ def test_slices(spark, monkeypatch):
     letters, joined = (lambda t: [ord(c) for c in t]), (lambda x: "".join(map(chr, x)))
     chunks = vectors.chunked(texts, letters, joined, 4)
     assert chunks.where("chunk = 0").count() == 300 and vectors.budget_check(chunks, letters, 4).first()[:] == (300 + sum(k % 4 == 3 for k in range(299)), 4)
+
+
+def test_top_k_by_products_of_groups(spark, monkeypatch):
+    """Copies tie by id, over several groups a side; no pair is made in the JVM."""
+    monkeypatch.setattr(vectors, "ANCHORS", 5)
+    monkeypatch.setattr(vectors, "MEMBERS", 7)
+    own = {k: [1.0 + k % 3, float(k % 5), 2.0] for k in range(40)}
+    rows = spark.createDataFrame(list(own.items()), "vec_id long, embedding array<float>")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    expected = {(q, i, n) for q in range(0, 40, 4) for n, i in enumerate(sorted((i for i in own if i != q), key=lambda i: (-round(cosine(own[q], own[i]), 9), i))[:3], 1)}
+    found = vectors.top_k(rows, rows.where("vec_id % 4 = 0"), 3)
+    assert {(r["anchor"], r["id"], r["rank"]) for r in found.collect()} == expected
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()

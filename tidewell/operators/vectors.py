@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,27 +28,49 @@ def unit(a: Column) -> Column:
 
 #: Texts that are Python objects at a time.
 SLICE = 256
-#: Anchors broadcast at a time: with 64 numbers each, about half a megabyte.
-ANCHORS = 1000
+#: Anchors and vectors that meet in one task; anchors whose products are there at a time.
+ANCHORS, MEMBERS, AT_ONCE = 4096, 16_384, 64
 
 
 def top_k(vectors: DataFrame, anchors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(anchor, id, rank, cosine): the k nearest of every anchor but itself; ties by id.
 
-    The anchors are the stated query set. They are counted and broadcast in blocks of about ANCHORS, each
-    against one pass over the corpus, so what is broadcast doesn't grow with either side.
+    The anchors are the stated query set. Both sides are dealt over groups of about ANCHORS and MEMBERS rows, each pair of which is one
+    task's product of matrices that hands on k rows an anchor: bounded in memory, and no row of one side meets another in the JVM.
+    All vectors must have one length, without nulls.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("n", norm(F.col("v")))
-    asked = anchors.select(F.col(id_col).alias("anchor"), F.col(vector_col).cast("array<double>").alias("q")).withColumn("qn", norm(F.col("q")))
-    cosine = dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    asked = anchors.select(F.col(id_col).alias("anchor"), F.col(vector_col).cast("array<double>").alias("v")).where("anchor is not null and v is not null")
+    pa_, pm = (-(-side.count() // most) or 1 for side, most in ((anchors, ANCHORS), (vectors, MEMBERS)))
+    dealt = lambda side, key, own, n, other, m: side.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left, right = dealt(asked, "anchor", "pa", pa_, "pm", pm), dealt(rows, "id", "pm", pm, "pa", pa_)
+    kind, at_once = rows.schema["id"].dataType.simpleString(), AT_ONCE
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        own, other, kinds = a.column("anchor"), b.sort_by("id").column("id"), [a.schema.field("anchor").type, b.schema.field("id").type]
+        who, whom, cosines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if a.num_rows and b.num_rows:
+            x, y = matrix(a), matrix(b.sort_by("id"))  # of ties the first ones have the smallest ids
+            names, others = own.to_numpy(), other.to_numpy()
+            for start in range(0, a.num_rows, at_once):
+                for i, c in enumerate(x[start : start + at_once] @ y.T, start):
+                    c[(others == names[i]) | np.isnan(c)] = -np.inf
+                    least = np.partition(c, len(c) - k)[len(c) - k] if len(c) > k else -np.inf
+                    some = np.flatnonzero((c >= least - 2e-9) & (c > -np.inf))
+                    kept = some[np.argsort(-np.round(c[some], 9), kind="stable")[:k]]
+                    who.append(np.full(len(kept), i))
+                    whom.append(kept)
+                    cosines.append(c[kept])
+        columns = [side.take(pa.array(np.concatenate(at))).cast(kind) for side, at, kind in zip((own, other), (who, whom), kinds)]
+        return pa.table([*columns, pa.array(np.concatenate(cosines))], ["anchor", "id", "cosine"])
+
+    found = left.groupBy("pa", "pm").cogroup(right.groupBy("pa", "pm")).applyInArrow(run, f"anchor {kind}, id {kind}, cosine double")
     order = Window.partitionBy("anchor").orderBy(F.desc(F.round("cosine", 9)), F.asc("id"))
-    blocks = -(-anchors.count() // ANCHORS) or 1
-    found = []
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == block) if blocks > 1 else asked
-        pairs = rows.join(F.broadcast(part), F.col("id") != F.col("anchor")).select("anchor", "id", cosine.alias("cosine"))
-        found.append(pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("anchor", "id", "rank", "cosine")
 
 
 def norms(vectors: DataFrame, by: str, vector_col: str = "embedding") -> DataFrame:
