@@ -122,3 +122,15 @@ def test_top_k_by_products_of_groups(spark, monkeypatch):
     found = vectors.top_k(rows, rows.where("vec_id % 4 = 0"), 3)
     assert {(r["anchor"], r["id"], r["rank"]) for r in found.collect()} == expected
     assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_leading_rows_go_to_their_keys():
+    import pyarrow as pa
+
+    from tidewell.streaming import keyed
+
+    batch = lambda rows: pa.RecordBatch.from_pylist([dict(zip(("k", "j", "id", keyed.MICROS), r)) for r in rows], pa.schema([("k", pa.string()), ("j", pa.int64()), ("id", pa.string()), (keyed.MICROS, pa.int64())]))
+    rows = [batch([("a", 1, "z", 5), ("a", 1, "y", 5), ("a", 1, "x", 4)]), batch([("a", 2, "w", None), ("b", 1, "v", 1)]), batch([("a", 1, "u", 3), ("b", 1, "t", 2)])]
+    found = [r for b in keyed.leading(["k", "j"], "id")(iter(rows)) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in found] == [("a", 1, "y", 5), ("b", 1, "t", 2)]
+    assert list(keyed.leading(["k"], "id")(iter([batch([("a", 2, "w", None)])]))) == [] and list(keyed.leading(["k"], "id")(iter([]))) == []
