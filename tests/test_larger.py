@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tests.test_signed import NOW, signed
-from tidewell.operators import feeds, nearest, sweeps, vectors, window
+from tidewell.operators import extras, feeds, nearest, sweeps, vectors, window
 from tidewell.plans import queries
 from tidewell.sources import relay
 from tidewell.streaming import ingest
@@ -134,3 +134,27 @@ def test_only_leading_rows_go_to_their_keys():
     found = [r for b in keyed.leading(["k", "j"], "id")(iter(rows)) for r in b.to_pylist()]
     assert [tuple(r.values()) for r in found] == [("a", 1, "y", 5), ("b", 1, "t", 2)]
     assert list(keyed.leading(["k"], "id")(iter([batch([("a", 2, "w", None)])]))) == [] and list(keyed.leading(["k"], "id")(iter([]))) == []
+
+
+def test_range_join_writes_less_than_it_has_rows(spark, tmp_path):
+    points = spark.range(8000).select(F.col("id").alias("point"), (F.col("id") * 7919 % 8000 / 800.0).alias("at"))
+    ranges = spark.range(30000).select(F.col("id").alias("part"), (F.col("id") * 31 % 100 / 10.0).alias("low")).withColumn("high", F.col("low") + 0.5)
+    out = extras.range_join(points, ranges, "at", "low", "high", 1.0).select("point", "part")
+    out.write.parquet(str(tmp_path / "out"))
+    same = points.join(F.broadcast(ranges), (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).select("point", "part")
+    told = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("point", "part").cast("decimal(38)"))).first() for d in (spark.read.parquet(str(tmp_path / "out")), same)]
+    assert told[0] == told[1] and told[0][0] > 10000000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < told[0][0]  # each part is written beside the same neighbours for every point
+
+
+def test_range_join_keeps_copies_nulls_and_maps(spark):
+    points = spark.createDataFrame([(1, 0.0, {"a": 1}), (1, 0.0, {"a": 1}), (2, 0.5, None), (3, -1.5, {}), (4, None, {})], "point long, at double, more map<string, int>")
+    bounds = [(0.0, 0.5)] * 300 + [(-2.0, 0.25), (-2.0, 0.25), (None, 9.0), (0.0, None), (0.5, 0.0), (0.0, 0.0)]
+    ranges = spark.createDataFrame([(*b, k % 5 or None, {"k": k}) for k, b in enumerate(bounds)], "low double, high double, part int, tags map<string, int>")
+    rows = extras.range_join(points, ranges, "at", "low", "high", 1.0)
+    assert rows.columns == ["point", "at", "more", "low", "high", "part", "tags"]
+    expected = [(p, k) for p, at in ((1, 0.0), (1, 0.0), (2, 0.5), (3, -1.5)) for k, (low, high) in enumerate(bounds) if None not in (low, high) and low <= at < high]
+    found = rows.collect()
+    assert sorted((r["point"], r["tags"]["k"]) for r in found) == sorted(expected) and all((r["low"], r["high"]) == bounds[r["tags"]["k"]] and r["part"] == (r["tags"]["k"] % 5 or None) for r in found)
+    bare = extras.range_join(points.select("at"), ranges.select("low", "high"), "at", "low", "high", 1.0)
+    assert bare.columns == ["at", "low", "high"] and bare.count() == len(expected)
