@@ -84,6 +84,49 @@ def test_index_build_moves_packed_rows(spark, tmp_path):
     assert {r["canonical_id"]: r["f"] for r in index.phrase(["the"]).collect()} == {f"p{k}": 2 for k in range(600)}
 
 
+def test_index_differences_move_no_postings(spark, tmp_path, monkeypatch):
+    """Posts are told by fingerprints, however many differ: order, copies of a term's places and lengths count, posts without a word don't."""
+    from tidewell.operators import postings
+
+    texts = {f"p{k}": f"a b w{k % 9} a " * (k % 5) for k in range(60)} | {"null": None, "none": "--"}
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "canonical_id string, text string")
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    monkeypatch.setattr(postings, "MOST_MARKED", 8)
+    index = postings.Postings.build(frame(texts), str(tmp_path))
+    ids = lambda rows: sorted(r["canonical_id"] for r in index.differing(frame(rows)).collect())
+    assert ids(texts) == [] and ids(texts | {"new": "", "also": "!"}) == []
+    other = texts | {"p1": "b a w1 a", "p2": texts["p2"] + "a", "p3": None, "none": "x", "new": "a", "p6": "A  b-w6 a"}
+    del other["p4"]
+    assert ids(other) == ["new", "none", "p1", "p2", "p3", "p4"]
+    assert {r["canonical_id"] for r in index.differences(frame(other)).collect()} == {"new", "none", "p1", "p2", "p3", "p4"}
+    twice = frame(texts).union(frame({"p7": "a twin"}))  # counted as two, the other posts aren't touched
+    assert [r["canonical_id"] for r in index.differing(twice).collect()] == ["p7"]
+    plan = index.differing(frame(texts))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "Generate explode" not in plan  # no row a posting
+    older = index.updated(frame({"p8": ""}).select("canonical_id"), frame({"p9": "fresh words"}))
+    index = older
+    assert ids({k: v for k, v in texts.items() if k != "p8"} | {"p9": "fresh words"}) == [] and ids(texts) == ["p8", "p9"]
+
+
+def test_index_differences_of_posts_without_a_word(spark, tmp_path):
+    """Where there is no word to lose, no fault is planted: the SQL leaves such posts out."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tests import oracle
+
+    ids = [1, 10, 11, 2, 20, 3, None]
+    docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": ["a word", "", "!?", "word", "--", "three", "no id"], "lang": ["en"] * 7, "source": ["s"] * 7, "n_chars": pa.array([1] * 7, pa.int64())})
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"event_id": [1], "user_id": [1]}), tmp_path / "events.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "events"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    sql = queries.ORACLES["search_index_differences"]
+    oracle.same(queries.QUERIES["search_index_differences"](spark, str(tmp_path)), con, sql)
+
+
 def test_numbers_without_one_task(spark):
     rows = spark.createDataFrame([(s, str(k)) for s in ("b", "a", None) for k in range(40)], "source string, id string")
     got = window.numbered(rows, [(F.col("source"), False), (F.substring("id", 1, 1), False)], [F.asc("id")])
