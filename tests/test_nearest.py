@@ -59,3 +59,25 @@ def test_nothing(spark):
     df = spark.createDataFrame([], ROW)
     assert nearest.top_k(df, None, 3)[0].collect() == []
     assert nearest.top_k(spark.createDataFrame([(1, [1.0, 0.0])], ROW), None, 3)[0].collect() == []
+
+
+def test_anchors_go_to_bins_not_to_cells(spark, tmp_path):
+    """Vectors that don't cluster: an anchor is sent once a bin, though it meets nearly every cell; many copies leave k rows an anchor."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(600)] + [(1000 + i, [1.0] * 16) for i in range(150)]
+    found, pairs = nearest.top_k(spark.createDataFrame(rows, ROW), None, 3, centres=64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["anchor"], []).append((r["id"], r["rank"]))
+    expected = plain(rows, 3)
+    assert {i: sorted(near, key=lambda x: x[1]) for i, near in got.items()} == {i: [(j, n) for j, n, _ in near] for i, near in expected.items()}
+    assert pairs.first()["pairs"] > len(rows) ** 2 / 2 and "Generate" not in plan
+    sent = []
+    own = nearest._meet
+    nearest._meet = lambda anchors, *more: sent.append(anchors.count()) or own(anchors, *more)
+    try:
+        nearest.top_k(spark.createDataFrame(rows, ROW), None, 3, centres=64)
+    finally:
+        nearest._meet = own
+    assert sent[0] == len(rows) and len(rows) < sent[1] <= len(rows) * nearest.BINS
